@@ -7,25 +7,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeline.catalog import evaluation
+from gaugeline.catalog import evaluation, report_text
 from gaugeline.catalog.oracle_views import with_views
 from gaugeline.plans.standins import Tables
 
-MODULES = [evaluation]
+REGISTRIES = [evaluation.register, report_text.register]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(query):
         return lambda spark, folder: query(Tables(spark, folder))
 
-    return {name: bind(query) for module in MODULES for name, query in module.QUERIES.items()}
+    return {name: bind(query) for registry in REGISTRIES for name, query in registry.queries.items()}
 
 
 def oracles() -> dict[str, str]:
-    """Oracle SQL with its shared views; named subqueries marked by ``_with`` follow the views."""
+    """Oracle SQL with its shared views; named subqueries marked by ``named`` follow the views."""
     out = {}
-    for module in MODULES:
-        for name, text in module.ORACLES.items():
+    for registry in REGISTRIES:
+        for name, text in registry.oracles.items():
             extra = re.match(r"/\*with\*/(.*)/\*end\*/(.*)", text, re.S)
             if extra is None:
                 out[name] = with_views(text.strip())

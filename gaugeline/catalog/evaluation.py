@@ -6,45 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.catalog.oracle_views import six, sixes
-from gaugeline.functions.numbers import half_up
+from gaugeline.catalog.registry import Registry, named, rounded
 from gaugeline.operators import consistency, metrics, voting
 from gaugeline.plans import standins as s
 from gaugeline.plans.standins import Tables
+from gaugeline.session import cut_lineage
 
-QUERIES = {}
-ORACLES = {}
+register = Registry()
 
 UNIT = ["codebase_id", "unit_user", "unit_day"]
 
 
-def register(name: str, oracle: str | None = None):
-    def keep(query):
-        QUERIES[name] = query
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return query
+def run_table(t: Tables, labels: DataFrame | None = None) -> DataFrame:
+    return metrics.run_metrics(s.runs_counted(t), labels or s.labels(t), s.ground_truth(t))
 
-    return keep
 
+def consistency_table(t: Tables, labels: DataFrame | None = None) -> DataFrame:
+    return consistency.consistency_jaccard(s.runs(t), labels or s.labels(t), s.ground_truth(t))
 
-def rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return frame.withColumns({c: half_up(F.col(c), digits) for c in columns})
 
+def novel_table(t: Tables, labels: DataFrame | None = None) -> DataFrame:
+    return metrics.novel_counts(s.members(t, labels), s.verdicts(t, labels))
 
-def run_table(t: Tables) -> DataFrame:
-    return metrics.run_metrics(s.runs_counted(t), s.labels(t), s.ground_truth(t))
 
-
-def consistency_table(t: Tables) -> DataFrame:
-    return consistency.consistency_jaccard(s.runs(t), s.labels(t), s.ground_truth(t))
-
-
-def novel_table(t: Tables) -> DataFrame:
-    return metrics.novel_counts(s.members(t), s.verdicts(t))
+def shared_labels(t: Tables) -> DataFrame:
+    """The labels, written once to the checkpoint folder for queries that need them several times."""
+    return cut_lineage(s.labels(t).drop("reasoning", "agreement"))
 
 
 def condition_table(t: Tables) -> DataFrame:
-    return metrics.condition_table(metrics.condition_agg(run_table(t)), consistency_table(t), novel_table(t))
+    labels = shared_labels(t)
+    aggregates = metrics.condition_agg(run_table(t, labels))
+    return metrics.condition_table(aggregates, consistency_table(t, labels), novel_table(t, labels))
 
 
 CROSS_ROUNDED = ["avg_recall", "fp_rate", "consistency", "avg_cost"]
@@ -108,12 +101,7 @@ best as (select * from tally qualify row_number() over
 sizes as (select codebase_id, unit_user, unit_day, count(*) votes, count(category) cast_votes from s_votes group by 1,2,3)"""
 
 
-def _with(ctes: str, query: str) -> str:
-    """Marks extra named subqueries; ``oracles`` joins them with the shared views."""
-    return f"/*with*/{ctes}/*end*/{query}"
-
-
-@register("d2_majority_vote", _with(MAJORITY, """
+@register("d2_majority_vote", named(MAJORITY, """
 select s.codebase_id, s.unit_user, s.unit_day, votes, cast_votes,
   case when cast_votes=1 or n>=2 then category else 'uncertain' end category,
   case when cast_votes=1 or n>=2 then nullif(gt,-1) end matched_gt_id,
@@ -125,7 +113,7 @@ def majority_vote(t):
     return voting.majority_vote(s.votes(t), UNIT)
 
 
-@register("d3_no_majority_reason", _with(MAJORITY, """
+@register("d3_no_majority_reason", named(MAJORITY, """
 select s.codebase_id, s.unit_user, s.unit_day,
   case when cast_votes=0 then 'All '||votes||' vote(s) failed — cannot classify.' else
   'No majority ('||keys||case when votes>cast_votes then ', '||(votes-cast_votes)||' failed' else '' end||'). '||
@@ -156,7 +144,7 @@ def class_summary(t):
     return voting.class_summary(s.labels(t))
 
 
-@register("d6_vote_stability", _with(MAJORITY, f"""
+@register("d6_vote_stability", named(MAJORITY, f"""
 select count(*) findings, count(*) filter (kinds>1) unstable, {six('count(*) filter (kinds>1)::double/count(*)')} instability
 from (select codebase_id, unit_user, unit_day, count(*) kinds from tally group by 1,2,3)"""))
 def vote_stability(t):
@@ -230,7 +218,7 @@ def consistency_jaccard(t):
 
 @register("e8_novel_counts", "select * from e_novels")
 def novel_counts(t):
-    return novel_table(t)
+    return novel_table(t, shared_labels(t))
 
 
 @register("e9_missed_gt", "select codebase_id, gt_id, severity, title from e_missed")
@@ -305,7 +293,8 @@ from (select codebase_id, condition_id, count(*) run_count,
   from e_run_metrics where is_valid group by 1,2) m
 left join e_consistency using (codebase_id, condition_id) left join e_novels using (codebase_id, condition_id)""")
 def condition_stats(t):
-    stats = metrics.condition_stats(run_table(t), consistency_table(t), novel_table(t))
+    labels = shared_labels(t)
+    stats = metrics.condition_stats(run_table(t, labels), consistency_table(t, labels), novel_table(t, labels))
     stats = rounded(stats, "duration_ms_mean", "duration_ms_std", digits=3)
     return rounded(rounded(stats, *STAT_COLUMNS, digits=7), "consistency")
 
@@ -326,7 +315,7 @@ bests as (select metric, condition_id from scores where v is not null
   qualify rank() over (partition by metric order by v desc)=1)"""
 
 
-@register("e16_metric_bests", _with(BESTS, "select metric, condition_id from bests"))
+@register("e16_metric_bests", named(BESTS, "select metric, condition_id from bests"))
 def metric_bests(t):
     return metrics.metric_bests(metrics.cross_codebase(condition_table(t)))
 
@@ -393,12 +382,12 @@ def _eval_status(t):
     )
 
 
-@register("e21_eval_status", _with(EVAL, "select * from evals"))
+@register("e21_eval_status", named(EVAL, "select * from evals"))
 def eval_status(t):
     return _eval_status(t)
 
 
-@register("e21_eval_tally", _with(EVAL, f"""
+@register("e21_eval_tally", named(EVAL, f"""
 select codebase_id, count(*) total, count(*) filter (status='FOUND') found, count(*) filter (status='LEAD') leads,
   count(*) filter (status='MISSED') missed, count(*) filter (status='FOUND' and severity='high') high_found,
   count(*) filter (severity='high') high_total, count(*) filter (status='FOUND' and severity='medium') medium_found,

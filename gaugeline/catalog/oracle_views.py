@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from gaugeline.functions import report_patterns as p
+from gaugeline.plans import standins
+
 VIEWS = {
     "s_runs": """
 select o_orderkey run_id, n_regionkey codebase_id,
@@ -161,6 +164,203 @@ select codebase_id, condition_id, count(*) filter (is_valid) valid_runs from s_r
 }
 
 
+def _duck(pattern: str) -> str:
+    """DuckDB's regex engine has no look-around; its word boundary is plain ASCII."""
+    for look in (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"):
+        pattern = pattern.replace(look, r"\b")
+    return "'" + pattern + "'"
+
+
+def _has(column: str, *patterns: str) -> str:
+    return "(" + " or ".join(f"regexp_matches({column}, {_duck(x)})" for x in patterns) + ")"
+
+
+def _part(column: str, pattern: str, index: int = 1) -> str:
+    return f"nullif(regexp_extract({column}, {_duck(pattern)}, {index}), '')"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{word}'" for word in words) + "]"
+
+
+_KEYWORD = f"{_list(standins.REPORT_KEYWORDS)}[1+(doc_id+i)%14]"
+_CONTRACT = f"{_list(standins.REPORT_CONTRACTS)}[1+(doc_id*3+i)%5]"
+_FUNCTION = f"{_list(standins.REPORT_FUNCTIONS)}[1+(doc_id+i*2)%5]"
+_SEVERITY = f"{_list(standins.REPORT_SEVERITIES)}[1+(doc_id+i)%5]"
+_TITLE = (
+    f"{_KEYWORD}||case (doc_id+i)%3 when 0 then ' in '||{_CONTRACT}||'.'||{_FUNCTION}"
+    f" when 1 then ' in `'||{_FUNCTION}||'()`' else ' of part '||i end"
+)
+_BARE = dict(p.BARE_HEADERS)
+_SPACES = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(160)"
+
+
+def keyword_sql(title: str) -> str:
+    return "case " + " ".join(f"when {_has(title, x)} then '{n}'" for n, x in p.KEYWORD_RULES) + " else 'other' end"
+
+
+def slug_sql(title: str) -> str:
+    words = (
+        f"list_filter(string_split_regex(lower(regexp_replace({title}, '[^a-zA-Z0-9\\s]', '', 'g')), '\\s+'),"
+        " lambda w: length(w)>2)"
+    )
+    return f"coalesce(nullif(array_to_string(({words})[1:4], '-'), ''), 'unknown')"
+
+
+def words_sql(text: str) -> str:
+    return (
+        f"list_filter(string_split_regex(regexp_replace(lower({text}), '[^a-zA-Z0-9\\s]', '', 'g'), '\\s+'),"
+        " lambda w: length(w)>2)"
+    )
+
+
+def location_sql(title: str, explicit: str) -> str:
+    contract, function = _part(explicit, p.SOURCE_FILE), _part(title, p.CALLED_FUNCTION)
+    return (
+        f"coalesce({_part(title, p.DOTTED_NAME, 1)}||'.'||{_part(title, p.DOTTED_NAME, 2)},"
+        f" {contract}||'.'||{function}, {contract}, {function}, {_part(title, p.NAMED_FUNCTION)})"
+    )
+
+
+def root_cause_sql(title: str, location: str) -> str:
+    contract = f"lower(split_part({location}, '.', 1))"
+    function = f"nullif(lower(split_part({location}, '.', 2)), '')"
+    return (
+        f"case when {location} is null then 'unknown::'||{slug_sql(title)}"
+        f" when {function} is not null then {contract}||'::'||{function}||'::'||{keyword_sql(title)}"
+        f" when {keyword_sql(title)}<>'other' then {contract}||'::'||{keyword_sql(title)}"
+        f" else {contract}||'::'||{slug_sql(title)} end"
+    )
+
+
+VIEWS |= {
+    "r_items": """
+select doc_id, text, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1)-1 i
+from documents""",
+    "r_reports": f"""
+select doc_id run_id, case when doc_id%10=9 then any_value(text) else
+  case when doc_id%20=0 then '🔐 Security Review'||chr(10)||chr(10) when doc_id%20=7 then '## High Severity'||chr(10) else '' end||
+  string_agg(case when i%12=2 then '## '||{_CONTRACT}||'.sol'||chr(10) when i%20=6 then '## Medium Severity'||chr(10)
+      when i%28=10 then '## Summary'||chr(10) when i%16=3 then '### Possible '||{_KEYWORD}||' risk'||chr(10) else '' end||
+    case when i%4<>0 then '' else case doc_id%10
+      when 0 then '['||(40+i%60)||'] **'||(i//4+1)||'. '||{_TITLE}||'**'||
+        case when i%8=0 then chr(10)||'`'||{_CONTRACT}||'.'||{_FUNCTION}||'` · Confidence: 80' else '' end
+      when 1 then '### ['||{_SEVERITY}||'] '||{_TITLE}||case when i%8=0 then ' — '||{_CONTRACT}||'.sol:'||i else '' end
+      when 2 then '### '||left({_SEVERITY},1)||'-'||i||': '||{_TITLE}
+      when 3 then '## ['||left({_SEVERITY},1)||'-'||i||'] '||{_TITLE}
+      when 4 then '### '||i||'. '||{_TITLE}||' — **'||{_SEVERITY}||'**'
+      when 5 then '#### '||i||'. '||{_TITLE}||' ('||lower({_SEVERITY})||')'
+      when 6 then '**'||i||'. ['||{_SEVERITY}||'] '||{_TITLE}||'**'
+      when 7 then '### '||i||'. '||{_TITLE}
+      else '## ['||(40+i%60)||'] '||i||'. '||{_TITLE} end||chr(10) end||
+    case when i%12=1 then '```'||chr(10)||l||chr(10)||'```' else l end, chr(10) order by i)||
+  chr(10)||'| Critical | 2 | open |'||chr(10)||'| High | Vault | Reentrancy |'||chr(10)||'| 3 | [95] | Reentrancy |' end as text
+from r_items group by doc_id""",
+    "r_lines": f"""
+select run_id, line_no, raw, trim(raw, {_SPACES}) line from (
+  select run_id, unnest(string_split(text, chr(10))) raw, generate_subscripts(string_split(text, chr(10)), 1)-1 line_no
+  from r_reports)""",
+    "r_formats": f"""
+select r.run_id, case when contains(text, '{p.SKILL_MARKER}') then 'skill'
+    when {_has('text', *p.BARE_MARKERS)} or ({_has('text', p.SEVERITY_SECTION)} and {_has('text', p.NUMBERED_HEADING)})
+    then 'bare' when l.run_id is not null then 'skill' else 'bare' end hint,
+  contains(text, '{p.SKILL_MARKER}') or {_has('text', *p.BARE_MARKERS)}
+    or ({_has('text', p.SEVERITY_SECTION)} and {_has('text', p.NUMBERED_HEADING)}) or l.run_id is not null sure
+from r_reports r left join (select distinct run_id from r_lines where {_has('line', p.SKILL_FINDING)}) l using (run_id)""",
+    "r_marks": f"""
+select l.*, {_has('line', p.SEVERITY_SECTION)} is_severity,
+  {_has('line', p.CONTRACT_SECTION)} and not {_has('line', p.SEVERITY_SECTION)} is_contract
+from r_lines l join r_formats f using (run_id) where hint='bare'""",
+    "r_state": f"""
+select *, nullif(last_value(mark ignore nulls) over w, '') section_severity, last_value(owner ignore nulls) over w section_contract
+from (select *, case when is_severity then case upper(regexp_extract(line, '(?i)(Critical|High|Medium|Low|Informational|Info)', 1))
+      when 'CRITICAL' then 'HIGH' else upper(regexp_extract(line, '(?i)(Critical|High|Medium|Low|Informational|Info)', 1)) end
+    when not is_contract and {_has('line', p.SECTION_RESET)} then '' end mark,
+  case when is_contract then {_part('line', p.CONTRACT_SECTION)} end as owner from r_marks)
+window w as (partition by run_id order by line_no rows between unbounded preceding and current row)""",
+    "r_kinds": f"""
+select *, case when is_severity or is_contract then null
+  {" ".join(f"when {_has('line', x)}{' and section_severity is not null' if n == 'section' else ''} then '{n}'"
+            for n, x in p.BARE_HEADERS)} end kind from r_state""",
+    "r_bare": f"""
+select run_id, line_no, kind, section_severity, section_contract,
+  row_number() over (partition by run_id order by line_no) as idx,
+  case kind when 'word' then upper({_part('line', _BARE['word'])}) when 'trailing' then upper({_part('line', _BARE['trailing'], 2)})
+    when 'paren' then upper({_part('line', _BARE['paren'], 2)}) when 'inline' then upper({_part('line', _BARE['inline'])})
+    when 'section' then section_severity when 'confidence' then '['||{_part('line', _BARE['confidence'])}||']'
+    else case upper(case kind when 'prefix' then {_part('line', _BARE['prefix'])} else {_part('line', _BARE['bracket'])} end)
+      when 'C' then 'CRITICAL' when 'H' then 'HIGH' when 'M' then 'MEDIUM' when 'L' then 'LOW' when 'I' then 'INFO' end end severity,
+  trim(case kind {" ".join(f"when '{n}' then {_part('line', x, 1 if n in ('trailing', 'paren', 'section') else 2)}"
+                           for n, x in p.BARE_HEADERS)} end, {_SPACES}) title,
+  case kind {" ".join(f"when '{n}' then {_part('line', _BARE[n], 3)}" for n in ('word', 'prefix', 'bracket', 'inline'))} end explicit
+from r_kinds where kind is not null""",
+    "r_near": f"""
+select l.run_id, l.line_no, arg_min({_part('m.line', p.SKILL_LOCATION)}, m.line_no) stated
+from r_lines l join r_lines m on m.run_id=l.run_id and m.line_no between l.line_no+1 and l.line_no+3
+where {_has('l.line', p.SKILL_FINDING)} and {_has('m.line', p.SKILL_LOCATION)} group by 1,2""",
+    "r_heads": f"""
+select l.run_id, l.line_no, {_part('line', p.SKILL_FINDING, 2)}::int as idx, {_part('line', p.SKILL_FINDING)}::int confidence,
+  null severity, trim({_part('line', p.SKILL_FINDING, 3)}, {_SPACES}) title, n.stated, null explicit, null section_contract
+from r_lines l join r_formats f using (run_id) left join r_near n on n.run_id=l.run_id and n.line_no=l.line_no
+where hint='skill' and {_has('line', p.SKILL_FINDING)}
+union all select run_id, line_no, idx, null, severity, title, null, explicit, section_contract from r_bare""",
+    "r_located": f"""
+select *, case when stated is not null then stated when own is null then section_contract
+  when not contains(own,'.') and section_contract is not null then section_contract||'.'||own else own end location
+from (select *, {location_sql('title', 'explicit')} own from r_heads)""",
+    "r_stops": f"""
+select h.run_id, h.line_no, min(m.line_no) stop from r_heads h join r_lines m on m.run_id=h.run_id
+  and m.line_no between h.line_no+1 and h.line_no+{p.DESCRIPTION_LINES} where {_has('m.line', p.DESCRIPTION_STOP)} group by 1,2""",
+    "r_bodies": f"""
+select h.run_id, h.line_no, trim(regexp_replace(coalesce(string_agg(m.line, ' ' order by m.line_no),''), {_duck(p.CODE_FENCE)}, '', 'g'), {_SPACES}) body
+from r_heads h left join r_stops s on s.run_id=h.run_id and s.line_no=h.line_no
+left join r_lines m on m.run_id=h.run_id and m.line_no between h.line_no+1 and least(coalesce(s.stop-1, h.line_no+{p.DESCRIPTION_LINES}), h.line_no+{p.DESCRIPTION_LINES})
+  and m.line<>'' and not {_has('m.line', p.DESCRIPTION_SKIP)} group by 1,2""",
+    "r_findings": f"""
+select l.run_id, l.line_no, l.idx, l.title, l.confidence, l.severity, l.location, {root_cause_sql('l.title', 'l.location')} root_cause,
+  {keyword_sql('l.title')} vuln_type, case when length(body)>300 then substr(body,1,297)||'...' else body end description
+from r_located l join r_bodies b on b.run_id=l.run_id and b.line_no=l.line_no""",
+    "r_parsed": "select run_id, count(*) n from r_findings group by 1",
+    "r_above": f"""
+select distinct l.run_id, l.line_no from r_lines l join r_lines m on m.run_id=l.run_id
+  and m.line_no between l.line_no-{p.SEVERITY_ABOVE_LINES} and l.line_no-1
+where {_has('l.line', p.NUMBERED_LINE)} and {_has('m.line', p.SEVERITY_ABOVE)}""",
+    "r_estimates": f"""
+select r.run_id, case when skill>0 then skill else likely end estimate from (
+  select run_id, len(regexp_extract_all(text, {_duck(p.SKILL_HEADER_START)})) skill from r_reports) r join (
+  select l.run_id, count(*) filter ((line like '#%' or line like '**%') and not {_has('line', *p.NOT_A_FINDING)}
+    and ({_has('line', *p.FINDING_LIKE)} or a.run_id is not null)) likely
+  from r_lines l left join r_above a on a.run_id=l.run_id and a.line_no=l.line_no group by 1) x using (run_id)""",
+    "r_reported": f"""
+select f.run_id, case hint when 'skill' then max({_part('line', p.SKILL_TABLE_ROW)}::int) filter ({_has('line', p.SKILL_TABLE_ROW)})
+  else sum(case when {_has('line', p.SUMMARY_COUNT_ROW)} then {_part('line', p.SUMMARY_COUNT_ROW, 2)}::bigint else 1 end)
+    filter ({_has('line', p.SUMMARY_ROW)}) end::bigint reported_count
+from r_lines join r_formats f using (run_id) group by f.run_id, hint""",
+    "r_results": """
+select f.run_id, case when sure or p.n is not null then hint else 'unknown' end format, coalesce(p.n,0) parsed,
+  case when sure or p.n is not null then reported_count end reported_count, greatest(estimate, coalesce(p.n,0)) raw_finding_estimate
+from r_formats f left join r_parsed p using (run_id) join r_estimates using (run_id) join r_reported using (run_id)""",
+    "r_blocks": f"""
+select * from (select *, case when {_has('line', p.BLOCK_HEADING)} then regexp_replace(line, '^#{{2,4}}\\s+', '')
+    else regexp_replace(regexp_replace(line, '^\\*\\*', ''), '\\*\\*\\s*$', '') end heading
+  from r_lines where {_has('line', p.BLOCK_HEADING, p.BLOCK_BOLD)}) where not {_has('heading', *p.NOT_A_BLOCK)}""",
+    "r_block_lines": f"""
+select b.run_id, b.line_no, b.line head, b.heading, m.line_no place, m.line body,
+  coalesce(max({_has('m.line', p.BLOCK_STOP)}::int) over (partition by b.run_id, b.line_no order by m.line_no), 0) stopped
+from r_blocks b left join r_lines m on m.run_id=b.run_id and m.line_no between b.line_no+1 and b.line_no+{p.BLOCK_LINES - 1}""",
+    "r_block_texts": """
+select run_id, line_no, head, any_value(heading) heading,
+  head||coalesce(' '||string_agg(body, ' ' order by place) filter (stopped=0), '') block,
+  head||coalesce(chr(10)||string_agg(body, chr(10) order by place) filter (stopped=0 and place<=line_no+2 and body<>''), '') snippet
+from r_block_lines group by 1,2,3""",
+    "r_unmatched": f"""
+select b.run_id, b.line_no, snippet, row_number() over (partition by b.run_id order by b.line_no) block_no
+from (select *, {words_sql('heading')} words from r_block_texts where {_has('block', p.SIGNAL_WORDS)}) b
+left join (select run_id, list({words_sql('title')}) titles from r_findings group by 1) t using (run_id)
+where len(list_filter(coalesce(titles, []), lambda x: len(list_filter(words, lambda w: list_contains(x, w)))>=2))=0""",
+}
+
+
 def with_views(query: str) -> str:
     """Prefix the query with the views it uses, directly or through other views."""
     needed: list[str] = []

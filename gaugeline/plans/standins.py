@@ -163,18 +163,18 @@ def votes(t: Tables) -> DataFrame:
     )
 
 
-def members(t: Tables) -> DataFrame:
+def members(t: Tables, known_labels: DataFrame | None = None) -> DataFrame:
     """Cluster members: novel and uncertain findings, clustered by brand."""
-    loose = labels(t).filter(F.col("category").isin("novel", "uncertain"))
+    loose = (known_labels or labels(t)).filter(F.col("category").isin("novel", "uncertain"))
     parts = t.part.select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("cluster_id"))
     return loose.join(parts, "part_id").select(
         "codebase_id", "cluster_id", "run_id", "condition_id", "finding_index", "title"
     )
 
 
-def clusters(t: Tables) -> DataFrame:
+def clusters(t: Tables, known_labels: DataFrame | None = None) -> DataFrame:
     """One row per cluster."""
-    pairs = members(t).select("codebase_id", "cluster_id").distinct()
+    pairs = members(t, known_labels).select("codebase_id", "cluster_id").distinct()
     number = F.col("codebase_id") + F.regexp_replace("cluster_id", "[^0-9]", "").cast("int")
     return pairs.withColumns(
         {
@@ -185,9 +185,9 @@ def clusters(t: Tables) -> DataFrame:
     )
 
 
-def verdicts(t: Tables) -> DataFrame:
+def verdicts(t: Tables, known_labels: DataFrame | None = None) -> DataFrame:
     """Validations; every fourth cluster stays unvalidated, every seventh is listed twice with another verdict."""
-    base = clusters(t).filter("n % 4 <> 3")
+    base = clusters(t, known_labels).filter("n % 4 <> 3")
     word = F.when(F.col("n") % 4 == 0, "confirmed").when(F.col("n") % 4 == 1, "plausible").otherwise("rejected")
     columns = [
         "codebase_id",
@@ -201,3 +201,53 @@ def verdicts(t: Tables) -> DataFrame:
     first = base.select(*columns, F.lit(0).alias("pos"), word.alias("verdict"))
     again = base.filter("n % 7 = 0").select(*columns, F.lit(1).alias("pos"), F.lit("rejected").alias("verdict"))
     return first.unionByName(again)
+
+
+# Word lists of the report stand-in.
+REPORT_KEYWORDS = [
+    "Reentrancy", "Missing Access Control", "Unchecked Return Value", "Phishing via tx.origin", "Unsafe Overflow",
+    "Front-Running", "Denial of Service", "Flash Loan Attack", "Oracle Manipulation", "Delegatecall Misuse",
+    "Selfdestruct Exposure", "Integer Division", "Floating Pragma", "Weak Naming",
+]
+REPORT_CONTRACTS = ["Vault", "Bridge", "Router", "TokenSale", "PriceOracle"]
+REPORT_FUNCTIONS = ["withdraw", "transfer", "swap", "buy", "getPrice"]
+REPORT_SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
+
+
+def _words(words: list[str]) -> str:
+    return "array(" + ", ".join(f"'{word}'" for word in words) + ")"
+
+
+def reports(t: Tables) -> DataFrame:
+    """Report texts: every document, whole, with report headings set between its lines in ten styles by doc_id."""
+    pick = {
+        "keyword": f"element_at({_words(REPORT_KEYWORDS)}, cast(1 + (doc_id + i) % 14 as int))",
+        "contract": f"element_at({_words(REPORT_CONTRACTS)}, cast(1 + (doc_id * 3 + i) % 5 as int))",
+        "function": f"element_at({_words(REPORT_FUNCTIONS)}, cast(1 + (doc_id + i * 2) % 5 as int))",
+        "severity": f"element_at({_words(REPORT_SEVERITIES)}, cast(1 + (doc_id + i) % 5 as int))",
+    }
+    title = "concat({keyword}, case (doc_id + i) % 3 when 0 then concat(' in ', {contract}, '.', {function}) " \
+            "when 1 then concat(' in `', {function}, '()`') else concat(' of part ', i) end)"
+    pick["title"] = title.format(**pick)
+    header = """case doc_id % 10
+      when 0 then concat('[', 40 + i % 60, '] **', i div 4 + 1, '. ', {title}, '**',
+                         case when i % 8 = 0 then concat('\\n`', {contract}, '.', {function}, '` · Confidence: 80') else '' end)
+      when 1 then concat('### [', {severity}, '] ', {title},
+                         case when i % 8 = 0 then concat(' — ', {contract}, '.sol:', i) else '' end)
+      when 2 then concat('### ', left({severity}, 1), '-', i, ': ', {title})
+      when 3 then concat('## [', left({severity}, 1), '-', i, '] ', {title})
+      when 4 then concat('### ', i, '. ', {title}, ' — **', {severity}, '**')
+      when 5 then concat('#### ', i, '. ', {title}, ' (', lower({severity}), ')')
+      when 6 then concat('**', i, '. [', {severity}, '] ', {title}, '**')
+      when 7 then concat('### ', i, '. ', {title})
+      else concat('## [', 40 + i % 60, '] ', i, '. ', {title}) end""".format(**pick)
+    body = """concat(
+      case when i % 12 = 2 then concat('## ', {contract}, '.sol\\n') when i % 20 = 6 then '## Medium Severity\\n'
+           when i % 28 = 10 then '## Summary\\n' when i % 16 = 3 then concat('### Possible ', {keyword}, ' risk\\n') else '' end,
+      case when i % 4 = 0 then concat({header}, '\\n') else '' end,
+      case when i % 12 = 1 then concat('```\\n', l, '\\n```') else l end)""".format(header=header, **pick)
+    text = f"""case when doc_id % 10 = 9 then text else concat(
+      case when doc_id % 20 = 0 then '🔐 Security Review\\n\\n' when doc_id % 20 = 7 then '## High Severity\\n' else '' end,
+      array_join(transform(split(text, '\\n'), (l, i) -> {body}), '\\n'),
+      '\\n| Critical | 2 | open |\\n| High | Vault | Reentrancy |\\n| 3 | [95] | Reentrancy |') end"""
+    return t.documents.select(F.col("doc_id").alias("run_id"), F.expr(text).alias("text"))
