@@ -360,6 +360,71 @@ left join (select run_id, list({words_sql('title')}) titles from r_findings grou
 where len(list_filter(coalesce(titles, []), lambda x: len(list_filter(words, lambda w: list_contains(x, w)))>=2))=0""",
 }
 
+VIEWS |= {
+    "k_events": """
+select user_id run_id, event_id seq, event_id%7 tid, event_type kind, value, user_id from events
+where not (event_type='error' and event_id%9 in (0,1))""",
+    "k_uses": """
+select run_id, seq, tid, ['Agent','Read','Skill','Bash'][1+seq%4] tool from k_events where kind='click'""",
+    "k_results": """
+select run_id, seq, tid, value>15 is_error, case when seq%499=0 then 'big' when seq%2=0 then 'bundle'
+  when seq%89=0 then 'marker' else 'parts' end shape from k_events where kind='view'""",
+    "k_bound": """
+select r.*, a.seq use_seq from k_results r asof join (select * from k_uses where tool='Agent') a
+  on r.run_id=a.run_id and r.tid=a.tid and r.seq>a.seq""",
+    "k_last": """
+select run_id, tid, use_seq, arg_max(is_error, seq) err, arg_max(case shape when 'bundle' then 1+seq%15 when 'parts' then 3
+  else 1 end, seq) lines from k_bound group by 1,2,3""",
+    "k_spans": """
+select u.run_id, 't'||u.tid tool_use_id, u.seq, 'scan '||u.seq description, case when u.seq%3=0 then 'small' else 'default' end model,
+  l.run_id is not null returned, coalesce(l.err,false) returned_error, coalesce(l.lines,0)::int return_lines
+from k_uses u left join k_last l on l.run_id=u.run_id and l.tid=u.tid and l.use_seq=u.seq where tool='Agent'""",
+    "k_names": "select run_id, tid, arg_max(tool, seq) tool from k_uses group by 1,2",
+    "k_errors": """
+select r.run_id, r.seq, coalesce(n.tool,'unknown') tool, substr(case shape when 'big' then repeat('x',50010)
+  when 'bundle' then 'agent-'||(seq%4)||'-bundle: '||((seq%3)*100)||' lines'||repeat(chr(10)||'row', (seq%15)::int)
+  when 'marker' then '<persisted-output> too large' else 'part '||seq||chr(10)||'next  end' end, 1, 200) error
+from k_results r left join k_names n using (run_id, tid) where is_error""",
+    "k_bundles": """
+select run_id, 'agent-'||(seq%4)||'-bundle' bundle, arg_max((seq%3)*100, seq) lines, bool_or(seq%3=0) was_empty
+from k_results where shape='bundle' group by 1,2""",
+    "k_runs": """
+select distinct user_id run_id, user_id%4 codebase_id, 'cb'||(user_id%4) condition_id,
+  case when user_id%2=0 then 'skill' else 'bare' end as mode,
+  case when user_id%5=0 then 143 when user_id%7=0 then 1 else 0 end exit_code, user_id%3=0 timed_out,
+  case when user_id%8=0 then 12 else 4 end expected,
+  case when user_id%10<>9 then user_id%100 end output_lines from events""",
+    "k_facts": """
+select r.*, coalesce(e.n,0) events, coalesce(e.inits,0) inits, coalesce(e.results,0)>0 done, e.stop_reason,
+  coalesce(e.skills,0) skill_calls, case when e.first_init%50=0 then 'auditor' end leaked,
+  coalesce(a.agents,0) agents, coalesce(a.ret,0) ret, coalesce(a.failed,0) failed, coalesce(a.thin,0) thin,
+  coalesce(b.bundles,0) bundles, coalesce(b.empty_now,0) empty_now, coalesce(b.was,0) was, coalesce(x.n,0) tool_errors
+from k_runs r left join (select run_id, count(*) n, count(*) filter (kind='signup') inits,
+    count(*) filter (kind='purchase') results, count(*) filter (kind='click' and seq%4=2) skills,
+    min(seq) filter (kind='signup') first_init,
+    case when min(seq) filter (kind='purchase')%5=0 then 'max_turns' else 'end_turn' end stop_reason from k_events group by 1) e using (run_id)
+left join (select run_id, count(*) agents, count(*) filter (returned) ret, count(*) filter (returned_error) failed,
+    count(*) filter (returned and not returned_error and return_lines<10) thin from k_spans group by 1) a using (run_id)
+left join (select run_id, count(*) bundles, count(*) filter (lines=0) empty_now, count(*) filter (was_empty) was
+    from k_bundles group by 1) b using (run_id)
+left join (select run_id, count(*) n from k_errors group by 1) x using (run_id)""",
+    "k_checks": """
+select run_id, unnest(['exit_code','not_timed_out','has_events','has_result','stop_reason','agents_spawned','agents_all_returned',
+    'agents_no_errors','agents_result_quality','no_skill_calls','bare_no_skill_visible','bundle_quality','has_output']) as "check",
+  unnest([exit_code=0 or (exit_code=143 and done), not (timed_out and not done), events>0, done, stop_reason='end_turn',
+    agents>=expected, ret=agents, failed=0, thin=0, skill_calls=0, leaked is null, empty_now=0,
+    coalesce(output_lines>=case when mode='skill' then 50 else 10 end, false)]) ok,
+  unnest([true,true,true,true,done,mode='skill',mode='skill',mode='skill',mode='skill',mode<>'skill',mode='bare' and inits>0,
+    mode='skill' and bundles>0,true]) applies from k_facts""",
+    "k_scope": """
+select distinct p_size%4 codebase_id, case when p_partkey%2=0 then 'contracts/' else 'lib/contracts/' end||
+  ['F1','F2','F12','F31','Vault','Router','TokenSale','Errors','PriceOracle','Bridge','Ledger'][1+p_partkey%11]||
+  case when p_partkey%13=0 then '.md' else '.sol' end path, (p_size+p_partkey)%3=0 in_scope from part""",
+    "k_reads": """
+select distinct run_id, case when seq%3=0 then 'contracts/F'||(seq%50)||'.sol' else 'contracts/F'||(seq%50)||'.sol' end path
+from k_uses where tool='Read' and seq%5<>0""",
+}
+
 
 def with_views(query: str) -> str:
     """Prefix the query with the views it uses, directly or through other views."""

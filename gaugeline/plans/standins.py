@@ -251,3 +251,76 @@ def reports(t: Tables) -> DataFrame:
       array_join(transform(split(text, '\\n'), (l, i) -> {body}), '\\n'),
       '\\n| Critical | 2 | open |\\n| High | Vault | Reentrancy |\\n| 3 | [95] | Reentrancy |') end"""
     return t.documents.select(F.col("doc_id").alias("run_id"), F.expr(text).alias("text"))
+
+
+def log_lines(t: Tables) -> DataFrame:
+    """Event logs: every row of ``events`` as one JSON line of the run ``user_id``; some error rows are malformed."""
+    raw = """case event_type
+      when 'signup' then concat('{"type":"system","subtype":"init","model":"model-', user_id % 3,
+        '","slash_commands":["help"', case when event_id % 50 = 0 then ',"auditor"' else '' end, '],"tools":["Read"]}')
+      when 'click' then concat('{"type":"assistant","parent_tool_use_id":', case when event_id % 6 = 0 then '"t1"' else 'null' end,
+        ',"message":{"model":"model-', event_id % 3, '","content":[{"type":"text","text":"step ', event_id,
+        '"},{"type":"tool_use","id":"t', event_id % 7, '","name":"', element_at(array('Agent','Read','Skill','Bash'),
+        cast(1 + event_id % 4 as int)), '","input":{', case event_id % 4
+          when 0 then concat('"description":"scan ', event_id, '"', case when event_id % 3 = 0 then ',"model":"small"' else '' end)
+          when 1 then concat('"file_path":"/w/', case when event_id % 3 = 0 then 'other' else concat('cb', user_id % 4) end,
+            '/contracts/F', event_id % 50, case when event_id % 5 = 0 then '.md' else '.sol' end, '"',
+            case when event_id % 8 = 1 then ',"offset":10,"limit":100' else '' end)
+          else '"command":"ls"' end, '}}]}}')
+      when 'view' then concat('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"t', event_id % 7,
+        '","is_error":', value > 15, ',"content":', case
+          when event_id % 499 = 0 then concat('"', repeat('x', 50010), '"')
+          when event_id % 2 = 0 then concat('"agent-', event_id % 4, '-bundle: ', (event_id % 3) * 100, ' lines', repeat('\\\\nrow', cast(event_id % 15 as int)), '"')
+          when event_id % 89 = 0 then '"<persisted-output> too large"'
+          else concat('[{"type":"text","text":"part ', event_id, '\\\\nnext"},{"type":"image"},{"type":"text","text":"end"}]') end,
+        '}]}}')
+      when 'purchase' then concat('{"type":"result","stop_reason":"', case when event_id % 5 = 0 then 'max_turns' else 'end_turn' end,
+        '","num_turns":', event_id % 30, ',"total_cost_usd":', event_id % 400, '.25}')
+      else case when event_id % 9 = 0 then '{"type":' when event_id % 9 = 1 then ''
+        else concat('{"type":"rate_limit_event","rate_limit_info":{"status":"', case when event_id % 2 = 0 then 'allowed' else 'rejected' end, '"}}') end
+      end"""
+    return t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.expr(raw).alias("raw"))
+
+
+def logged_runs(t: Tables) -> DataFrame:
+    """One run per user of ``events``."""
+    key = F.col("run_id")
+    return t.events.select(F.col("user_id").alias("run_id")).distinct().select(
+        "run_id",
+        (key % 4).alias("codebase_id"),
+        F.concat(F.lit("cb"), key % 4).alias("condition_id"),
+        F.when(key % 2 == 0, "skill").otherwise("bare").alias("mode"),
+        F.when(key % 5 == 0, 143).when(key % 7 == 0, 1).otherwise(0).alias("exit_code"),
+        (key % 3 == 0).alias("timed_out"),
+        F.when(key % 8 == 0, 12).cast("int").alias("expected_min_agents"),
+    )
+
+
+def output_lines(t: Tables) -> DataFrame:
+    """Lines of the run's text; every tenth run has none."""
+    key = F.col("run_id")
+    return logged_runs(t).filter(key % 10 != 9).select("run_id", (key % 100).cast("int").alias("output_lines"))
+
+
+def scope_lists(t: Tables) -> DataFrame:
+    """Scope entries of four codebases; some paths are listed both in and out of scope."""
+    name = ("element_at(array('F1','F2','F12','F31','Vault','Router','TokenSale','Errors','PriceOracle','Bridge','Ledger'), "
+            "cast(1 + p_partkey % 11 as int))")
+    path = (f"concat(case when p_partkey % 2 = 0 then 'contracts/' else 'lib/contracts/' end, {name}, "
+            "case when p_partkey % 13 = 0 then '.md' else '.sol' end)")
+    return t.part.select(
+        (F.col("p_size") % 4).alias("codebase_id"),
+        F.expr(path).alias("path"),
+        ((F.col("p_size") + F.col("p_partkey")) % 3 == 0).alias("in_scope"),
+    ).distinct()
+
+
+def report_runs(t: Tables) -> DataFrame:
+    """The runs of the report texts, by document."""
+    key = F.col("doc_id")
+    return t.documents.select(
+        key.alias("run_id"),
+        (key % 4).alias("codebase_id"),
+        F.when(key % 2 == 0, "skill").otherwise("bare").alias("mode"),
+        F.concat(F.lit("cond"), key % 3).alias("condition_id"),
+    )
