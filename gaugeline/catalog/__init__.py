@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeline.catalog import evaluation, report_text, run_logs
+from gaugeline.catalog import evaluation, inputs, report_text, run_logs
 from gaugeline.catalog.oracle_views import with_views
 from gaugeline.plans.standins import Tables
 
-REGISTRIES = [evaluation.register, report_text.register, run_logs.register]
+REGISTRIES = [inputs.register, evaluation.register, report_text.register, run_logs.register]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -61,6 +61,28 @@ def parse_run_meta(files: DataFrame) -> DataFrame:
     )
 
 
+def check_run_meta(files: DataFrame) -> DataFrame:
+    """Every metadata file with whether it is valid JSON and its identity fields, for the preflight check."""
+    j = F.from_json("content", schemas.RUN_META)
+    return files.select("file", F.try_parse_json("content").isNotNull().alias("valid_json"), j.alias("j")).select(
+        "file",
+        "valid_json",
+        F.col("j.runId").alias("run_id"),
+        F.col("j.codebaseId").alias("codebase_id"),
+        F.col("j.conditionId").alias("condition_id"),
+        F.col("j.exitCode").alias("exit_code"),
+    )
+
+
+def check_ground_truth(files: DataFrame) -> DataFrame:
+    """Every ground-truth file with whether it is valid JSON and lists findings."""
+    document = F.try_parse_json("content")
+    findings = F.try_variant_get(document, "$.findings", "array<variant>")
+    return files.select(
+        "file", document.isNotNull().alias("valid_json"), findings.isNotNull().alias("has_findings")
+    )
+
+
 def usable_runs(metas: DataFrame, texts: DataFrame) -> DataFrame:
     """Runs that ended usably and have a text."""
     return metas.filter(F.col("exit_code").isin(USABLE_EXIT_CODES)).join(texts.select("run_id"), "run_id", "left_semi")
