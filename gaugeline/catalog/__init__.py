@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeline.catalog import evaluation, inputs, report_tables, report_text, run_logs
+from gaugeline.catalog import evaluation, grouping, inputs, report_tables, report_text, run_logs
 from gaugeline.catalog.oracle_views import with_views
 from gaugeline.plans.standins import Tables
 
-REGISTRIES = [inputs.register, evaluation.register, report_tables.register, report_text.register, run_logs.register]
+REGISTRIES = [inputs.register, evaluation.register, report_tables.register, report_text.register, run_logs.register, grouping.register]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,4 +34,6 @@ def oracles() -> dict[str, str]:
             head = views[: -len(extra[1] + extra[2])].rstrip()
             named = extra[1].strip()
             out[name] = (f"{head},\n{named}" if head else f"with {named}") + "\n" + extra[2].strip()
+            if re.search(r"\bfrom reach\b", named):
+                out[name] = out[name].replace("with ", "with recursive ", 1)
     return out

@@ -426,6 +426,61 @@ from k_uses where tool='Read' and seq%5<>0""",
 }
 
 
+def word_set_sql(title: str) -> str:
+    return (
+        f"list_sort(list_distinct(list_filter(string_split(regexp_replace(lower({title}), '[^a-z0-9]+', ' ', 'g'), ' '),"
+        " lambda w: w<>'')))"
+    )
+
+
+def jaccard_sql(x: str, y: str) -> str:
+    shared = f"len(list_intersect({x}, {y}))"
+    return f"({shared}::double/(len({x})+len({y})-{shared}))"
+
+
+VIEWS |= {
+    "r_truth": f"""
+select s_suppkey%4 codebase_id, s_suppkey gt_id, {_list(standins.REPORT_CONTRACTS)}[1+s_suppkey%5] contract,
+  {_list(standins.REPORT_KEYWORDS)}[1+s_suppkey%14]||' in '||{_list(standins.REPORT_CONTRACTS)}[1+s_suppkey%5]||'.'||
+  {_list(standins.REPORT_FUNCTIONS)}[1+s_suppkey%3] title, case when s_suppkey%3=0 then 'high' end severity,
+  'reported by '||s_name description from supplier where s_suppkey%4<>3""",
+    "r_owned": """
+select f.*, run_id%4 codebase_id, 'cond'||(run_id%3) condition_id from r_findings f""",
+    "r_word_sets": f"""
+select distinct codebase_id, {word_set_sql('title')} words from r_owned""",
+    "r_best": f"""
+select codebase_id, words, arg_min(gt_id, (-round(score, 12), gt_id)) gt_id from (
+  select w.codebase_id, w.words, g.gt_id, {jaccard_sql('w.words', 'g.gw')} score
+  from r_word_sets w join (select *, {word_set_sql('title')} gw from r_truth) g using (codebase_id))
+where score>=0.5-1e-9 group by 1,2""",
+    "r_causes": f"""
+select codebase_id, lower(contract) contract, {keyword_sql('title')} vuln_type, min(gt_id) gt_id from r_truth
+where {keyword_sql('title')}<>'other' group by 1,2,3""",
+    "g_inputs": """
+select codebase_id, run_id, condition_id, finding_index, title, reasoning, part_id from s_labels
+where category in ('novel','uncertain')""",
+    "g_old": "select * from s_members where condition_id in ('1-URGENT','2-HIGH')",
+    "g_new": """
+select *, (n-1)//5 chunk_no, (n-1)%5+1 member_index from (
+  select *, row_number() over (partition by codebase_id order by run_id, finding_index) n from g_inputs
+  where condition_id not in ('1-URGENT','2-HIGH'))""",
+    "g_asked": """
+select *, case part_id%4 when 0 then 'new' when 1 then 'Brand#'||(1+part_id%25) when 2 then 'unknown-'||(part_id%5) end assign_to,
+  case when part_id%8=0 then 'Opened for '||(part_id%16) end new_title,
+  case when part_id%8=0 then 'because' end new_reasoning, case when part_id%8=0 then 'high' end new_severity
+from g_new where part_id%4<>3""",
+    "g_placed": """
+select a.*, case when k.cluster_id is not null then assign_to else 'novel-'||substr(sha256(
+    case when assign_to='new' then coalesce(new_title,title) else title end||
+    case when assign_to='new' then coalesce(new_reasoning,reasoning) else reasoning end),1,8) end cluster_id,
+  k.cluster_id is null is_new
+from g_asked a left join (select distinct codebase_id, cluster_id from s_clusters) k on k.codebase_id=a.codebase_id and k.cluster_id=a.assign_to""",
+    "g_keyed": """
+select *, 'c:k'||(part_id//3) a, 'w:'||array_to_string(list_sort(['weak','group','g'||case when part_id%30=29 then part_id//3 else (part_id+1)//3 end]),' ') b
+from g_inputs""",
+}
+
+
 def with_views(query: str) -> str:
     """Prefix the query with the views it uses, directly or through other views."""
     needed: list[str] = []

@@ -232,13 +232,14 @@ def cluster_findings(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     (root cause, word set) and never a pair of findings. A codebase's only finding becomes 'novel-1'.
     """
     cause = F.concat(F.lit("c:"), "root_cause")
-    words = F.concat(F.lit("w:"), F.array_join(title_words(F.col("title")), " "))
+    listed = F.array_join(title_words(F.col("title")), " ")
+    words = F.when(listed == "", cause).otherwise(F.concat(F.lit("w:"), listed))
     keyed = inputs.withColumns({"cause_key": cause, "word_key": words})
     edges = keyed.select(F.col("codebase_id").alias("scope"), F.col("cause_key").alias("a"), F.col("word_key").alias("b"))
     roots = connected_keys(edges.distinct()).select(
         F.col("scope").alias("codebase_id"), F.col("node").alias("cause_key"), "root"
     )
-    rooted = keyed.join(roots, ["codebase_id", "cause_key"])
+    rooted = keyed.join(roots, ["codebase_id", "cause_key"], "left").withColumn("root", F.coalesce("root", "cause_key"))
     lead = F.min(F.struct("run_id", "finding_index", "title", "reasoning")).alias("lead")
     heads = rooted.groupBy("codebase_id", "root").agg(lead, F.count("*").alias("members"))
     sizes = heads.groupBy("codebase_id").agg(F.sum("members").alias("total"))

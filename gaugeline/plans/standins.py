@@ -7,9 +7,13 @@ ground-truth position) come from the columns themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.functions.text import classify_keyword
+from gaugeline.operators.extraction import extract_findings
+from gaugeline.operators.voting import dedup_gt_match
+
 SEVERITIES = ["high", "medium", "low"]
 
 
@@ -143,8 +147,6 @@ def raw_labels(t: Tables) -> DataFrame:
 
 def labels(t: Tables) -> DataFrame:
     """Labels after match deduplication."""
-    from gaugeline.operators.voting import dedup_gt_match
-
     return dedup_gt_match(raw_labels(t))
 
 
@@ -324,3 +326,36 @@ def report_runs(t: Tables) -> DataFrame:
         F.when(key % 2 == 0, "skill").otherwise("bare").alias("mode"),
         F.concat(F.lit("cond"), key % 3).alias("condition_id"),
     )
+
+
+def report_truth(t: Tables) -> DataFrame:
+    """Ground truth for the report texts, one item per supplier; codebase 3 has none."""
+    key = F.col("s_suppkey")
+
+    def pick(words: list[str], index) -> Column:
+        return F.element_at(F.array(*[F.lit(word) for word in words]), (index + 1).cast("int"))
+
+    contract = pick(REPORT_CONTRACTS, key % 5)
+    items = t.supplier.select(
+        (key % 4).alias("codebase_id"),
+        key.alias("gt_id"),
+        key.alias("gt_pos"),
+        contract.alias("contract"),
+        F.concat(pick(REPORT_KEYWORDS, key % 14), F.lit(" in "), contract, F.lit("."), pick(REPORT_FUNCTIONS, key % 3)).alias(
+            "title"
+        ),
+        F.when(key % 3 == 0, "high").alias("severity"),
+        F.concat(F.lit("reported by "), "s_name").alias("description"),
+    )
+    return items.filter("codebase_id <> 3").withColumns(
+        {
+            "vuln_type": classify_keyword(F.col("title")),
+            "location": F.lit(None).cast("string"),
+            "root_cause": F.lit(None).cast("string"),
+        }
+    )
+
+
+def report_findings(t: Tables) -> DataFrame:
+    """Findings of the report texts with their codebase and condition."""
+    return extract_findings(reports(t)).join(report_runs(t).select("run_id", "codebase_id", "condition_id"), "run_id")
