@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeline.catalog import evaluation, grouping, inputs, report_tables, report_text, run_logs
+from gaugeline.catalog import evaluation, grouping, inputs, live, report_tables, report_text, run_logs
 from gaugeline.catalog.oracle_views import with_views
 from gaugeline.plans.standins import Tables
 
-REGISTRIES = [inputs.register, evaluation.register, report_tables.register, report_text.register, run_logs.register, grouping.register]
+REGISTRIES = [inputs.register, evaluation.register, report_tables.register, report_text.register, run_logs.register, grouping.register, live.register]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -79,17 +79,17 @@ def parse_responses(t):
 
 
 @register("c5_retry_eligible", """
-select user_id request_id, arg_max(rank, event_id) attempt, arg_max(code, event_id) error_code from (
-  select user_id, event_id, event_id%3 as rank, ['parse','timeout','validation','exit'][1+event_id%4] code from events
-  qualify row_number() over (partition by user_id order by event_id%3 desc, ['parse','timeout','validation','exit'][1+event_id%4] desc)=1)
-group by 1 having arg_max(code, event_id) in ('exit','parse','timeout') and arg_max(rank, event_id)<3""")
+select request_id, attempt, error_code from (
+  select distinct user_id request_id, event_id%(1+user_id%4) attempt, ['parse','timeout','validation','exit'][1+(user_id//4+event_id%(1+user_id%4))%4] error_code
+  from events)
+qualify row_number() over (partition by request_id order by attempt desc)=1 and error_code in ('exit','parse','timeout') and attempt<3""")
 def retry_eligible(t):
-    key = F.col("event_id")
+    attempt = F.col("event_id") % (1 + F.col("user_id") % 4)
     codes = F.array(*[F.lit(code) for code in ("parse", "timeout", "validation", "exit")])
     attempts = t.events.select(
         F.col("user_id").alias("request_id"),
-        (key % 3).alias("attempt"),
-        F.element_at(codes, (1 + key % 4).cast("int")).alias("error_code"),
+        attempt.alias("attempt"),
+        F.element_at(codes, (1 + (F.floor(F.col("user_id") / 4) + attempt) % 4).cast("int")).alias("error_code"),
     )
     return judging.retry_eligible(attempts, judging.MAX_ATTEMPTS["cluster"])
 

@@ -257,6 +257,11 @@ def reports(t: Tables) -> DataFrame:
 
 def log_lines(t: Tables) -> DataFrame:
     """Event logs: every row of ``events`` as one JSON line of the run ``user_id``; some error rows are malformed."""
+    return log_lines_of(t.events)
+
+
+def log_lines_of(events: DataFrame) -> DataFrame:
+    """``log_lines`` for a batch or streaming read of ``events``."""
     raw = """case event_type
       when 'signup' then concat('{"type":"system","subtype":"init","model":"model-', user_id % 3,
         '","slash_commands":["help"', case when event_id % 50 = 0 then ',"auditor"' else '' end, '],"tools":["Read"]}')
@@ -281,7 +286,13 @@ def log_lines(t: Tables) -> DataFrame:
       else case when event_id % 9 = 0 then '{"type":' when event_id % 9 = 1 then ''
         else concat('{"type":"rate_limit_event","rate_limit_info":{"status":"', case when event_id % 2 = 0 then 'allowed' else 'rejected' end, '"}}') end
       end"""
-    return t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.expr(raw).alias("raw"))
+    instant = F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))")
+    return events.select(
+        F.col("user_id").alias("run_id"),
+        F.col("event_id").alias("seq"),
+        instant.alias("ts"),
+        F.expr(raw).alias("raw"),
+    )
 
 
 def logged_runs(t: Tables) -> DataFrame:
