@@ -59,11 +59,10 @@ select c.condition_id, c.valid_runs, {sixes('avg_recall', 'fp_rate', 'consistenc
   avg_recall is not null and avg_recall=max(avg_recall) over () is_best
 from e_cross c""")
 def condition_leaderboard(t):
-    cross = metrics.cross_codebase(condition_table(t))
-    best = cross.agg(F.max("avg_recall").alias("_best"))
-    flagged = cross.join(F.broadcast(best)).withColumn(
-        "is_best", F.col("avg_recall").isNotNull() & F.coalesce(F.col("avg_recall") == F.col("_best"), F.lit(False))
-    )
+    """The flagship: labels, run metrics, consistency and novel counts, pooled per condition, with the best recall."""
+    cross = cut_lineage(metrics.cross_codebase(condition_table(t)))
+    best = metrics.metric_bests(cross).filter("metric = 'recall'").select("condition_id", F.lit(True).alias("is_best"))
+    flagged = cross.join(best, "condition_id", "left").na.fill(False, ["is_best"])
     return rounded(
         flagged.select("condition_id", "valid_runs", "avg_recall", "fp_rate", "consistency", "is_best"),
         "avg_recall", "fp_rate", "consistency",
@@ -221,19 +220,28 @@ def novel_counts(t):
     return novel_table(t, shared_labels(t))
 
 
-@register("e9_missed_gt", "select codebase_id, gt_id, severity, title from e_missed")
+MISSED = """
+sure as (select distinct codebase_id, matched_gt_id gt_id from s_labels
+  where is_valid and matched_gt_id is not null and agreement_count=3 and condition_id='bare_audit'),
+overlooked as (select g.* from s_gt g where not exists (select 1 from sure f where f.codebase_id=g.codebase_id and f.gt_id=g.gt_id))"""
+
+
+def _missed(t):
+    """What the unanimous matches of the baseline leave out."""
+    sure = s.labels(t).filter("agreement_count = 3")
+    return metrics.missed_gt(s.ground_truth(t), s.runs(t).filter("condition_id = 'bare_audit'"), sure)
+
+
+@register("e9_missed_gt", named(MISSED, "select codebase_id, gt_id, severity, title from overlooked"))
 def missed_gt(t):
-    return metrics.missed_gt(s.ground_truth(t), s.runs(t), s.labels(t)).select(
-        "codebase_id", "gt_id", "severity", "title"
-    )
+    return _missed(t).select("codebase_id", "gt_id", "severity", "title")
 
 
-@register("e9_missed_totals", """
-select (select count(*) from e_missed) gt_missed_total, (select count(*) from s_gt) gt_total_all,
-  cast(floor((select count(*) from e_missed)*100.0/(select count(*) from s_gt)+0.5) as int) gt_missed_percent""")
+@register("e9_missed_totals", named(MISSED, """
+select (select count(*) from overlooked) gt_missed_total, (select count(*) from s_gt) gt_total_all,
+  cast(floor((select count(*) from overlooked)*100.0/(select count(*) from s_gt)+0.5) as int) gt_missed_percent"""))
 def missed_totals(t):
-    gt = s.ground_truth(t)
-    return metrics.missed_totals(gt, metrics.missed_gt(gt, s.runs(t), s.labels(t)))
+    return metrics.missed_totals(s.ground_truth(t), _missed(t))
 
 
 @register("e10_gt_reliability", """

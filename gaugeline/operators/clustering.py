@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.operators.matching import best_similar, title_words
 from gaugeline.operators.refresh import USABLE_EXIT_CODES
 from gaugeline.session import cut_lineage
@@ -38,7 +39,7 @@ def collect_all(findings: DataFrame, runs: DataFrame) -> DataFrame:
 
 def cluster_inputs(labels: DataFrame, findings: DataFrame, runs: DataFrame, gt: DataFrame) -> DataFrame:
     """Novel labels where there is ground truth, all findings elsewhere."""
-    with_gt = gt.select("codebase_id").distinct()
+    with_gt = broadcast_if_small(gt.select("codebase_id").distinct())
     novel = collect_novel(labels).join(with_gt, "codebase_id", "left_semi")
     everything = collect_all(findings, runs.join(with_gt, "codebase_id", "left_anti"))
     return novel.unionByName(everything)

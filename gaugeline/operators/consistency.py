@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.functions.joins import broadcast_if_small
+
 KEYS = ["codebase_id", "condition_id"]
 
 
@@ -18,7 +20,7 @@ def matched_sets(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> DataFrame
     """Distinct sets of matched ids per (codebase, condition) with the number of runs that share each set."""
     eligible = (
         runs.filter("is_valid and is_classified")
-        .join(gt.select("codebase_id").distinct(), "codebase_id", "left_semi")
+        .join(broadcast_if_small(gt.select("codebase_id").distinct()), "codebase_id", "left_semi")
         .select(*KEYS, "run_id")
     )
     ids = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.functions.ordering import numbered
 
 # Findings per clustering request, attempts, and failures worth another attempt.
@@ -44,7 +45,7 @@ def classify_requests(findings: DataFrame, contexts: DataFrame, gt: DataFrame, v
     The request names its codebase; the ground-truth blocks of ``gt_sections`` are the same for all its requests and
     are not copied into each.
     """
-    asked = findings.join(gt.select("codebase_id").distinct(), "codebase_id", "left_semi").join(
+    asked = findings.join(broadcast_if_small(gt.select("codebase_id").distinct()), "codebase_id", "left_semi").join(
         contexts, ["run_id", "index"], "left"
     )
     return asked.select(

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.functions.numbers import cut_text, half_up, percent
 from gaugeline.operators.metrics import CATEGORIES
 
@@ -194,7 +195,7 @@ def findings_matrix(gt: DataFrame, runs: DataFrame, labels: DataFrame) -> DataFr
     Runs without usable labels have one row with a null gt_id ('X' invalid, '?' unclassified) and matched items one row
     with the agreement of their first match; every other cell is '-'.
     """
-    with_gt = runs.join(gt.select("codebase_id").distinct(), "codebase_id", "left_semi")
+    with_gt = runs.join(broadcast_if_small(gt.select("codebase_id").distinct()), "codebase_id", "left_semi")
     state = F.when(~F.col("is_valid"), "X").when(~F.col("is_classified"), "?")
     states = with_gt.select(
         "codebase_id", "run_id", F.lit(None).cast(gt.schema["gt_id"].dataType).alias("gt_id"),

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.functions.numbers import percent, ratio
 from gaugeline.functions.ordering import numbered
 
@@ -80,12 +81,13 @@ def gt_totals(gt: DataFrame) -> DataFrame:
     return gt.groupBy("codebase_id").agg(F.count("gt_id").alias("gt_total"))
 
 
+def _category_columns() -> list[Column]:
+    return [F.count_if(F.col("category") == name).alias(name) for name in CATEGORIES]
+
+
 def category_counts(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One count column per category."""
-    return labels.groupBy(*keys).agg(
-        *[F.count_if(F.col("category") == name).alias(name) for name in CATEGORIES],
-        F.count("*").alias("classified"),
-    )
+    """One count column per category, and all labels."""
+    return labels.groupBy(*keys).agg(*_category_columns(), F.count("*").alias("classified"))
 
 
 def f1_score(precision: Column, recall: Column) -> Column:
@@ -101,11 +103,9 @@ def run_metrics(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> DataFrame:
 
     A run without classification keeps nulls; a codebase without ground truth keeps its counts only.
     """
-    counts = category_counts(labels, ["run_id"]).drop("classified")
-    ids = labels.groupBy("run_id").agg(F.count("matched_gt_id").alias("matched_ids"))
-    joined = (
-        runs.join(counts.join(ids, "run_id"), "run_id", "left").join(gt_totals(gt), "codebase_id", "left")
-    )
+    counts = labels.groupBy("run_id").agg(*_category_columns(), F.count("matched_gt_id").alias("matched_ids"))
+    totals = broadcast_if_small(gt_totals(gt))
+    joined = runs.join(counts, "run_id", "left").join(totals, "codebase_id", "left")
     scored = F.col("is_classified") & F.col("gt_total").isNotNull()
     out = joined.withColumns(
         {name: F.when(F.col("is_classified"), F.coalesce(F.col(name), F.lit(0))) for name in CATEGORIES}
@@ -124,7 +124,7 @@ def run_matches(labels: DataFrame, gt: DataFrame) -> DataFrame:
     """Matched ground-truth ids per run as rows, with their display position (-1 for an id not in the list)."""
     positions = gt.select("codebase_id", F.col("gt_id").alias("matched_gt_id"), "gt_pos")
     with_gt = labels.filter(F.col("matched_gt_id").isNotNull()).join(
-        gt.select("codebase_id").distinct(), "codebase_id", "left_semi"
+        broadcast_if_small(gt.select("codebase_id").distinct()), "codebase_id", "left_semi"
     )
     return with_gt.join(positions, ["codebase_id", "matched_gt_id"], "left").select(
         "codebase_id",
@@ -273,7 +273,7 @@ def recall_by_severity(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> Dat
     return (
         runs.filter("is_classified")
         .select("run_id", "codebase_id")
-        .join(totals, "codebase_id")
+        .join(broadcast_if_small(totals), "codebase_id")
         .join(hits, ["run_id", "severity"], "left")
         .select("run_id", "codebase_id", "severity", F.coalesce("matched", F.lit(0)).alias("matched"), "total")
         .withColumn("rate", ratio(F.col("matched"), F.col("total")))
