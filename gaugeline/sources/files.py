@@ -19,12 +19,7 @@ SKIPPED_FOLDERS = ["node_modules", "test", "tests"]
 
 def read_files(spark: SparkSession, folder: str, pattern: str, recursive: bool = False) -> DataFrame:
     """Whole files as (path, file, content); a folder without such files gives no rows."""
-    files = (
-        spark.read.option("pathGlobFilter", pattern)
-        .option("wholetext", True)
-        .option("recursiveFileLookup", recursive)
-        .text(folder)
-    )
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
     return files.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("content")
     )
