@@ -63,7 +63,7 @@ phases as (
 
 
 def _phases(t):
-    return monitor.run_to_table(monitor.life_cycle(_stream(t), GRACE_MS, TIMEOUT_MS), "append").drop("batch")
+    return monitor.run_to_table(monitor.life_cycle(_stream(t), GRACE_MS, TIMEOUT_MS, "0 seconds"), "append").drop("batch")
 
 
 @register("l4_result_grace", LIFE + "select * from phases where phase in ('result','restart','closed')")

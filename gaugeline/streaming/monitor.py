@@ -157,16 +157,18 @@ def _life_cycle(grace_ms: int, timeout_ms: int):
     return track
 
 
-def life_cycle(events: DataFrame, grace_ms: int = RESULT_GRACE_MS, timeout_ms: int = RUN_TIMEOUT_MS) -> DataFrame:
+def life_cycle(
+    events: DataFrame, grace_ms: int = RESULT_GRACE_MS, timeout_ms: int = RUN_TIMEOUT_MS, delay: str = "1 minute"
+) -> DataFrame:
     """Phases of each run: started, result, restart (an init within the grace), closed (grace over), stuck (no result).
 
-    Time is event time. A run without result is stuck after ``timeout_ms``; one with a result closes ``grace_ms``
+    Time is event time; marks that arrive more than ``delay`` behind the newest are too late to count. A run without result is stuck after ``timeout_ms``; one with a result closes ``grace_ms``
     later, and events after that are ignored. Only init and result events reach the state.
     """
     init = (F.col("type") == "system") & (F.col("subtype") == "init")
     is_result = F.col("type") == "result"
     marks = (
-        events.withWatermark("ts", "0 seconds")
+        events.withWatermark("ts", delay)
         .filter(init | is_result)
         .select("run_id", "seq", "ts", F.unix_millis("ts").alias("at_ms"), is_result.alias("is_result"))
     )
