@@ -30,7 +30,7 @@ DONE = {"type": "result", "stop_reason": "end_turn", "num_turns": 9, "total_cost
 EVENTS = [  # run, second, event
     (1, 0, INIT), (1, 1, assistant(use("a"), use("r", "Read"))), (1, 2, back("a")), (1, 3, assistant(use("a"))),
     (1, 4, back("zz")), (1, 5, assistant(use("b"), parent="a")), (1, 6, back("a")), (1, 7, back("a")),
-    (2, 0, INIT), (2, 1, assistant({"type": "text", "text": "x"})), (1, 20, DONE), (1, 25, INIT), (1, 90, INIT),
+    (2, 1, INIT), (2, 2, assistant({"type": "text", "text": "x"})), (1, 20, DONE), (1, 25, INIT), (1, 90, INIT),
     (3, 95, INIT), (2, 30, {"type": "rate_limit_event", "rate_limit_info": {"status": "rejected"}}),
     (2, 31, {"type": "rate_limit_event", "rate_limit_info": {"status": "allowed"}}), (3, 700, DONE), (4, 800, INIT),
     (4, 810, DONE), (5, 900, INIT),
@@ -80,7 +80,7 @@ def test_life_cycle(stream, tmp_path):
     phases = {(r.run_id, r.phase, (r.at_ms - origin) / 1000) for r in rows.collect()}
     assert {p for p in phases if p[0] == 1} == {(1, "started", 0), (1, "result", 20), (1, "restart", 25), (1, "closed", 35)}
     assert {p for p in phases if p[0] in (2, 3)} == {
-        (2, "started", 0), (2, "stuck", 600), (3, "started", 95), (3, "stuck", 695)}
+        (2, "started", 1), (2, "stuck", 601), (3, "started", 95), (3, "stuck", 695)}
     assert {p for p in phases if p[0] == 4} == {(4, "started", 800), (4, "result", 810), (4, "closed", 825)}
     assert {p for p in phases if p[0] == 5} == {(5, "started", 900)}
     assert monitor.stuck_runs(rows).count() == 2 and monitor.result_grace(rows).count() == 5
