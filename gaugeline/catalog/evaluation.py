@@ -17,27 +17,35 @@ register = Registry()
 UNIT = ["codebase_id", "unit_user", "unit_day"]
 
 
-def run_table(t: Tables, labels: DataFrame | None = None) -> DataFrame:
-    return metrics.run_metrics(s.runs_counted(t), labels or s.labels(t), s.ground_truth(t))
+class Shared:
+    """Runs and labels written once to the checkpoint folder, for queries that need them several times."""
 
+    def __init__(self, t: Tables):
+        self.runs = cut_lineage(s.runs_counted(t))
+        self.labels = shared_labels(t)
+        self.gt = s.ground_truth(t)
 
-def consistency_table(t: Tables, labels: DataFrame | None = None) -> DataFrame:
-    return consistency.consistency_jaccard(s.runs(t), labels or s.labels(t), s.ground_truth(t))
 
+def shared_labels(t: Tables) -> DataFrame:
+    return cut_lineage(s.labels(t).drop("reasoning", "agreement"))
 
-def novel_table(t: Tables, labels: DataFrame | None = None) -> DataFrame:
-    return metrics.novel_counts(s.members(t, labels), s.verdicts(t, labels))
 
+def run_table(t: Tables) -> DataFrame:
+    return metrics.run_metrics(s.runs_counted(t), s.labels(t), s.ground_truth(t))
 
-def shared_labels(t: Tables) -> DataFrame:
-    """The labels, written once to the checkpoint folder for queries that need them several times."""
-    return cut_lineage(s.labels(t).drop("reasoning", "agreement"))
 
+def condition_parts(t: Tables, shared: Shared) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Run metrics, consistency and novel counts from the same runs and labels."""
+    return (
+        metrics.run_metrics(shared.runs, shared.labels, shared.gt),
+        consistency.consistency_jaccard(shared.runs, shared.labels, shared.gt),
+        metrics.novel_counts(s.members(t, shared.labels), s.verdicts(t, shared.labels)),
+    )
 
-def condition_table(t: Tables) -> DataFrame:
-    labels = shared_labels(t)
-    aggregates = metrics.condition_agg(run_table(t, labels))
-    return metrics.condition_table(aggregates, consistency_table(t, labels), novel_table(t, labels))
+
+def condition_table(t: Tables, shared: Shared | None = None) -> DataFrame:
+    runs, agreement, novels = condition_parts(t, shared or Shared(t))
+    return metrics.condition_table(metrics.condition_agg(runs), agreement, novels)
 
 
 CROSS_ROUNDED = ["avg_recall", "fp_rate", "consistency", "avg_cost"]
@@ -212,12 +220,14 @@ def condition_agg(t):
 
 @register("e7_consistency_jaccard", f"select codebase_id, condition_id, {six('consistency')} consistency from e_consistency")
 def consistency_jaccard(t):
-    return rounded(consistency_table(t), "consistency")
+    table = consistency.consistency_jaccard(s.runs(t), s.labels(t), s.ground_truth(t))
+    return rounded(table, "consistency")
 
 
 @register("e8_novel_counts", "select * from e_novels")
 def novel_counts(t):
-    return novel_table(t, shared_labels(t))
+    labels = shared_labels(t)
+    return metrics.novel_counts(s.members(t, labels), s.verdicts(t, labels))
 
 
 MISSED = """
@@ -301,8 +311,7 @@ from (select codebase_id, condition_id, count(*) run_count,
   from e_run_metrics where is_valid group by 1,2) m
 left join e_consistency using (codebase_id, condition_id) left join e_novels using (codebase_id, condition_id)""")
 def condition_stats(t):
-    labels = shared_labels(t)
-    stats = metrics.condition_stats(run_table(t, labels), consistency_table(t, labels), novel_table(t, labels))
+    stats = metrics.condition_stats(*condition_parts(t, Shared(t)))
     stats = rounded(stats, "duration_ms_mean", "duration_ms_std", digits=3)
     return rounded(rounded(stats, *STAT_COLUMNS, digits=7), "consistency")
 

@@ -33,8 +33,7 @@ select n_regionkey codebase_id, s_suppkey gt_id, s_suppkey gt_pos,
 from supplier join nation on s_nationkey=n_nationkey where n_regionkey<>4""",
     "s_gt_total": "select codebase_id, count(*) gt_total from s_gt group by 1",
     "s_findings": """
-select r.run_id, ('0x'||substr(md5(concat_ws('|',l_linenumber,l_partkey,l_suppkey,
-    cast(round(l_extendedprice*100) as bigint),strftime(l_shipdate,'%Y%m%d'))),1,15))::bigint finding_index,
+select r.run_id, (l_partkey*1000000000+cast(round(l_extendedprice*100) as bigint))*8+l_linenumber finding_index,
   codebase_id, condition_id, is_valid, is_classified, l_partkey part_id, l_suppkey supplier_id,
   'Finding on part '||l_partkey title, l_returnflag, l_linestatus
 from lineitem join s_runs r on l_orderkey=r.run_id""",

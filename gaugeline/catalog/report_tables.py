@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.catalog.evaluation import (
     BESTS,
+    Shared,
     condition_table,
     run_table,
     shared_labels,
@@ -111,7 +112,7 @@ def ledger_fp(t):
 @register("f5_ledger", named(LEDGER, f"""
 select {SHOWN} from gt_rows union all select {SHOWN} from novel_rows union all select {SHOWN} from fp_rows"""))
 def whole_ledger(t):
-    labels, numbers = shared_labels(t), cut_lineage(_numbers(t).select("run_id", "run_number"))
+    labels, numbers = cut_lineage(s.labels(t)), cut_lineage(_numbers(t).select("run_id", "run_number"))
     rows = ledger.ledger(_gt_rows(t, labels, numbers), _novel_rows(t, labels, numbers), _fp_rows(t, labels, numbers))
     return rows.select(*SHOWN_COLUMNS)
 
@@ -148,8 +149,9 @@ compared as (
 @register("f7_comparison_table", named(COMPARISON, f"""
 select codebase_id, condition_id, metric, {six('val', 3)} "value" from compared"""))
 def comparison_table(t):
-    labels = shared_labels(t)
-    table = ledger.comparison_table(condition_table(t), s.clusters(t, labels), s.verdicts(t, labels))
+    shared = Shared(t)
+    labels = shared.labels
+    table = ledger.comparison_table(condition_table(t, shared), s.clusters(t, labels), s.verdicts(t, labels))
     return rounded(table, "value", digits=3)
 
 
@@ -212,9 +214,10 @@ union all select codebase_id, 'run', run_id::varchar, '{"condition_id":"'||condi
   ',"uncertain":'||uncertain,'')||',"duration_ms":'||duration_ms||',"findings_count":'||findings_count||'}' from e_runs where is_valid""")
 def analysis_feed(t):
     """Ratios and costs are left out of the compared JSON, where number formats differ between engines."""
-    labels = shared_labels(t)
-    truth, runs = s.ground_truth(t), run_table(t, labels)
-    missed = metrics.missed_gt(truth, s.runs(t), labels)
+    shared = Shared(t)
+    labels, truth = shared.labels, shared.gt
+    runs = cut_lineage(metrics.run_metrics(shared.runs, labels, truth))
+    missed = metrics.missed_gt(truth, shared.runs, labels)
     feed = ledger.analysis_feed(runs, missed, s.clusters(t, labels), s.verdicts(t, labels), truth)
     plain = F.regexp_replace("json", '"(recall|precision|cost_usd)":[^,}]*,', "")
     return feed.select("codebase_id", "kind", "key", plain.alias("feed"))

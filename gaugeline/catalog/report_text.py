@@ -9,6 +9,7 @@ from gaugeline.catalog.registry import Registry, rounded
 from gaugeline.functions import text
 from gaugeline.operators import extraction
 from gaugeline.plans import standins as s
+from gaugeline.session import cut_lineage
 
 register = Registry()
 
@@ -138,7 +139,7 @@ from r_unmatched u left join r_parsed p using (run_id) where block_no<=10""")
 def recovered_findings(t):
     """Every unmatched block answered as one recovered finding."""
     reports = s.reports(t)
-    findings = extraction.extract_findings(reports)
+    findings = cut_lineage(extraction.extract_findings(reports))
     answers = extraction.unmatched_blocks(reports, findings).select(
         "run_id",
         (F.col("block_no") - 1).alias("position"),

@@ -235,7 +235,7 @@ def cluster_findings(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cause = F.concat(F.lit("c:"), "root_cause")
     listed = F.array_join(title_words(F.col("title")), " ")
     words = F.when(listed == "", cause).otherwise(F.concat(F.lit("w:"), listed))
-    keyed = inputs.withColumns({"cause_key": cause, "word_key": words})
+    keyed = cut_lineage(inputs.select(*INPUT, cause.alias("cause_key"), words.alias("word_key")))
     edges = keyed.select(F.col("codebase_id").alias("scope"), F.col("cause_key").alias("a"), F.col("word_key").alias("b"))
     roots = connected_keys(edges.distinct()).select(
         F.col("scope").alias("codebase_id"), F.col("node").alias("cause_key"), "root"

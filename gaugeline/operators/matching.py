@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.session import cut_lineage
+
 
 def title_words(title: Column) -> Column:
     """Sorted distinct lower-case words of a title."""
@@ -84,7 +86,11 @@ def rule_matcher(findings: DataFrame, gt: DataFrame, theta: float = 0.5) -> Data
         F.col("codebase_id").alias("scope"), title_words(F.col("title")).alias("words"),
         F.col("gt_id").alias("target"), F.col("gt_pos").alias("position"),
     )
-    by_cause = keyed.join(same_cause, ["codebase_id", "contract", "vuln_type"], "left")
+    by_cause = cut_lineage(
+        keyed.join(same_cause, ["codebase_id", "contract", "vuln_type"], "left").select(
+            "run_id", "finding_index", "codebase_id", "contract", "words", "cause_id"
+        )
+    )
     undecided = by_cause.filter("cause_id is null").select(F.col("codebase_id").alias("scope"), "words")
     similar = best_similar(undecided, titles, theta).select(
         F.col("scope").alias("codebase_id"), "words", F.col("target").alias("title_id"), "score"

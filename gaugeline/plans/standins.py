@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.functions.partitions import spread
 from gaugeline.functions.text import classify_keyword
 from gaugeline.operators.extraction import extract_findings
 from gaugeline.operators.voting import dedup_gt_match
@@ -78,21 +79,15 @@ def ground_truth(t: Tables) -> DataFrame:
     )
 
 
-def _finding_index():
+def _finding_index() -> Column:
     """A stable number per line item: (order, line) is not unique in the data."""
-    parts = [
-        F.col("l_linenumber"),
-        F.col("l_partkey"),
-        F.col("l_suppkey"),
-        F.round(F.col("l_extendedprice") * 100).cast("long"),
-        F.date_format("l_shipdate", "yyyyMMdd"),
-    ]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    return (F.col("l_partkey") * 1_000_000_000 + cents) * 8 + F.col("l_linenumber")
 
 
 def findings(t: Tables) -> DataFrame:
     """All findings of all runs."""
-    return t.lineitem.join(runs(t), F.col("l_orderkey") == F.col("run_id")).select(
+    return spread(t.lineitem, "l_orderkey").join(runs(t), F.col("l_orderkey") == F.col("run_id")).select(
         "run_id",
         _finding_index().alias("finding_index"),
         "codebase_id",
@@ -252,12 +247,12 @@ def reports(t: Tables) -> DataFrame:
       case when doc_id % 20 = 0 then '🔐 Security Review\\n\\n' when doc_id % 20 = 7 then '## High Severity\\n' else '' end,
       array_join(transform(split(text, '\\n'), (l, i) -> {body}), '\\n'),
       '\\n| Critical | 2 | open |\\n| High | Vault | Reentrancy |\\n| 3 | [95] | Reentrancy |') end"""
-    return t.documents.select(F.col("doc_id").alias("run_id"), F.expr(text).alias("text"))
+    return spread(t.documents, "doc_id").select(F.col("doc_id").alias("run_id"), F.expr(text).alias("text"))
 
 
 def log_lines(t: Tables) -> DataFrame:
     """Event logs: every row of ``events`` as one JSON line of the run ``user_id``; some error rows are malformed."""
-    return log_lines_of(t.events)
+    return log_lines_of(spread(t.events, "event_id"))
 
 
 def log_lines_of(events: DataFrame) -> DataFrame:
