@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.joins import broadcast_if_small
+from gaugeline.session import cut_lineage
 
 KEYS = ["codebase_id", "condition_id"]
 
@@ -102,7 +103,7 @@ def _long_sets(sets: DataFrame, limit: int) -> DataFrame:
 
 def consistency_jaccard(runs: DataFrame, labels: DataFrame, gt: DataFrame, max_subset_size: int = 10) -> DataFrame:
     """Mean pairwise Jaccard per (codebase, condition); two empty sets agree fully, fewer than two runs give null."""
-    sets = matched_sets(runs, labels, gt)
+    sets = cut_lineage(matched_sets(runs, labels, gt))
     array_type = sets.schema["ids"].dataType
     short = sets.filter((F.col("a") > 0) & (F.col("a") <= max_subset_size))
     empty = sets.filter(F.col("a") == 0).select(*KEYS, _choose_two(F.col("m").cast("double")).alias("total"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.ordering import last_seen
 from gaugeline.schemas import EVENT
+from gaugeline.session import cut_lineage
 
 # Limits of the checks.
 EXPECTED_MIN_AGENTS = 4
@@ -48,17 +49,6 @@ def run_model(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(F.min_by(F.col("message.model"), named).alias("model"))
 
 
-def content_blocks(events: DataFrame) -> DataFrame:
-    """One row per message block, with the event type it came in."""
-    return events.select(
-        "run_id",
-        "seq",
-        F.col("type").alias("event_type"),
-        "parent_tool_use_id",
-        F.posexplode("message.content").alias("pos", "b"),
-    ).select("run_id", "seq", "pos", "event_type", "parent_tool_use_id", "b.*")
-
-
 def result_text(content: Column, separator: str, only_text: bool) -> Column:
     """Text of a tool result: the string itself, or the texts of its parts."""
     parts = F.try_variant_get(content, "$", "array<struct<type:string,text:string>>")
@@ -69,6 +59,36 @@ def result_text(content: Column, separator: str, only_text: bool) -> Column:
     return F.coalesce(F.when(is_string, F.try_variant_get(content, "$", "string")).otherwise(joined), F.lit(""))
 
 
+def content_blocks(events: DataFrame) -> DataFrame:
+    """One row per message block, with the event type it came in.
+
+    Of a tool result's content only what the checks need is kept: its line count, the start of an error text, the
+    bundle lines it reports and its size. Columns that are not used are never computed.
+    """
+    blocks = events.select(
+        "run_id",
+        "seq",
+        F.col("type").alias("event_type"),
+        "parent_tool_use_id",
+        F.posexplode("message.content").alias("pos", "b"),
+    ).select("run_id", "seq", "pos", "event_type", "parent_tool_use_id", "b.*")
+    content = F.col("content")
+    is_result = (F.col("event_type") == "user") & (F.col("type") == "tool_result")
+    whole = result_text(content, "\n", only_text=False)
+    groups = [F.regexp_extract_all(whole, F.lit(BUNDLE_LINE), F.lit(index)) for index in range(1, 5)]
+    return blocks.withColumns(
+        {
+            "result_lines": F.when(is_result, F.size(F.split(result_text(content, "\n", only_text=True), "\n"))),
+            "error_text": F.when(
+                is_result & F.col("is_error"), F.substring(result_text(content, " ", only_text=False), 1, ERROR_CHARS)
+            ),
+            "bundle_reports": F.when(is_result & whole.rlike(BUNDLE_LINE), F.arrays_zip(*groups)),
+            "result_chars": F.when(is_result, F.length(whole)),
+            "is_pointer": F.when(is_result, whole.contains(PERSISTED_MARKER)),
+        }
+    ).drop("content")
+
+
 def tool_uses(blocks: DataFrame) -> DataFrame:
     return blocks.filter((F.col("event_type") == "assistant") & (F.col("type") == "tool_use"))
 
@@ -82,31 +102,25 @@ def agent_spans(blocks: DataFrame, stretch: int = 100_000) -> DataFrame:
 
     A result belongs to the latest earlier call with its id (an as-of join); a later result replaces an earlier one.
     """
-    uses = tool_uses(blocks).filter("name = 'Agent'").select(
-        "run_id",
-        F.coalesce("id", F.lit("unknown")).alias("tool_use_id"),
-        "seq",
-        "pos",
-        F.lit(True).alias("is_use"),
-        F.coalesce(F.col("input")["description"], F.lit("")).alias("description"),
-        F.coalesce(F.col("input")["model"], F.lit("default")).alias("model"),
-        F.lit(None).cast("boolean").alias("is_error"),
-        F.lit(None).cast("int").alias("lines"),
-    )
-    results = tool_results(blocks).filter("tool_use_id <> ''").select(
-        "run_id",
-        "tool_use_id",
-        "seq",
-        "pos",
-        F.lit(False).alias("is_use"),
-        F.lit(None).cast("string").alias("description"),
-        F.lit(None).cast("string").alias("model"),
-        F.coalesce("is_error", F.lit(False)).alias("is_error"),
-        F.size(F.split(result_text(F.col("content"), "\n", only_text=True), "\n")).alias("lines"),
+    is_use = (F.col("event_type") == "assistant") & (F.col("type") == "tool_use") & (F.col("name") == "Agent")
+    is_result = (F.col("event_type") == "user") & (F.col("type") == "tool_result") & (F.col("tool_use_id") != "")
+    given = F.col("input")
+    calls = cut_lineage(
+        blocks.filter(is_use | is_result).select(
+            "run_id",
+            F.when(is_use, F.coalesce("id", F.lit("unknown"))).otherwise(F.col("tool_use_id")).alias("tool_use_id"),
+            "seq",
+            "pos",
+            is_use.alias("is_use"),
+            F.when(is_use, F.coalesce(given["description"], F.lit(""))).alias("description"),
+            F.when(is_use, F.coalesce(given["model"], F.lit("default"))).alias("model"),
+            F.coalesce("is_error", F.lit(False)).alias("is_error"),
+            F.col("result_lines").alias("lines"),
+        )
     )
     keys = ["run_id", "tool_use_id"]
     bound = last_seen(
-        uses.unionByName(results), keys, ["seq", "pos"], F.when(F.col("is_use"), _at()), "use", width=stretch
+        calls, keys, ["seq", "pos"], F.when(F.col("is_use"), _at()), "use", width=stretch
     ).filter(F.col("use").isNotNull())
     is_use, returned_at = F.col("is_use"), F.when(~F.col("is_use"), _at())
     return (
@@ -130,8 +144,7 @@ def tool_errors(blocks: DataFrame) -> DataFrame:
         .groupBy("run_id", F.col("id").alias("tool_use_id"))
         .agg(F.max_by("name", _at()).alias("tool"))
     )
-    text = F.substring(result_text(F.col("content"), " ", only_text=False), 1, ERROR_CHARS)
-    failed = tool_results(blocks).filter("is_error").select("run_id", "tool_use_id", "seq", "pos", text.alias("error"))
+    failed = tool_results(blocks).filter("is_error").select("run_id", "tool_use_id", "seq", "pos", F.col("error_text").alias("error"))
     return failed.join(names, ["run_id", "tool_use_id"], "left").select(
         "run_id", "seq", "pos", F.coalesce("tool", F.lit("unknown")).alias("tool"), "error"
     )
@@ -143,13 +156,10 @@ def tool_error_counts(errors: DataFrame) -> DataFrame:
 
 def bundle_quality(blocks: DataFrame) -> DataFrame:
     """Line count last reported per agent bundle, and whether it was empty at some point."""
-    text = result_text(F.col("content"), "\n", only_text=False)
-    groups = [F.regexp_extract_all("text", F.lit(BUNDLE_LINE), F.lit(index)) for index in range(1, 5)]
     found = (
         tool_results(blocks)
-        .select("run_id", "seq", F.col("pos").alias("block"), text.alias("text"))
-        .filter(F.col("text").rlike(BUNDLE_LINE))
-        .select("run_id", "seq", "block", F.posexplode(F.arrays_zip(*groups)).alias("place", "m"))
+        .filter(F.col("bundle_reports").isNotNull())
+        .select("run_id", "seq", F.col("pos").alias("block"), F.posexplode("bundle_reports").alias("place", "m"))
     )
     blank = F.lit("")
     agent = F.coalesce(F.nullif(F.col("m")["0"], blank), F.nullif(F.col("m")["2"], blank), F.lit("?"))
@@ -216,7 +226,12 @@ def run_facts(runs: DataFrame, events: DataFrame, output_lines: DataFrame) -> Da
 
     ``runs`` holds run_id, mode, exit_code, timed_out and expected_min_agents; ``output_lines`` run_id, output_lines.
     """
-    blocks = content_blocks(events)
+    blocks = cut_lineage(
+        content_blocks(events).select(
+            "run_id", "seq", "pos", "event_type", "type", "name", "id", "input", "tool_use_id", "is_error",
+            "result_lines", "error_text", "bundle_reports",
+        )
+    )
     counts = ["events", "inits", "skill_calls", "agents", "agents_returned", "agents_failed", "agents_thin",
               "bundles", "bundles_empty", "bundles_were_empty", "tool_errors"]
     errors = tool_errors(blocks).groupBy("run_id").agg(F.count("*").alias("tool_errors"))
@@ -319,11 +334,10 @@ def oversize_results(blocks: DataFrame) -> DataFrame:
         .groupBy("run_id", F.col("id").alias("tool_use_id"))
         .agg(F.max_by("name", _at()).alias("tool"))
     )
-    text = result_text(F.col("content"), "\n", only_text=False)
     big = (
         tool_results(blocks)
-        .select("run_id", "tool_use_id", F.length(text).alias("chars"), text.contains(PERSISTED_MARKER).alias("marked"))
-        .filter((F.col("chars") > MAX_RESULT_CHARS) | F.col("marked"))
+        .filter((F.col("result_chars") > MAX_RESULT_CHARS) | F.col("is_pointer"))
+        .select("run_id", "tool_use_id")
         .join(names, ["run_id", "tool_use_id"], "left")
         .select("run_id", F.coalesce("tool", F.lit("unknown")).alias("tool"), F.lit(1).alias("big"), F.lit(0).alias("full"))
     )
