@@ -120,19 +120,18 @@ def majority_vote(t):
     return voting.majority_vote(s.votes(t), UNIT)
 
 
-@register("d3_no_majority_reason", named(MAJORITY, """
-select s.codebase_id, s.unit_user, s.unit_day,
-  case when cast_votes=0 then 'All '||votes||' vote(s) failed — cannot classify.' else
-  'No majority ('||keys||case when votes>cast_votes then ', '||(votes-cast_votes)||' failed' else '' end||'). '||
-  coalesce(novel_why, any_why) end reasoning
-from sizes s left join best using (codebase_id, unit_user, unit_day)
-left join (select codebase_id, unit_user, unit_day, string_agg(k, ', ' order by vote_no) keys,
-    arg_min(reasoning,vote_no) filter (category='novel') novel_why, arg_min(reasoning,vote_no) any_why
-  from with_votes where category is not null group by 1,2,3) w using (codebase_id, unit_user, unit_day)
-where not (cast_votes=1 or coalesce(n,0)>=2)"""))
+@register("d3_no_majority_reason", named(MAJORITY + """,
+undecided as (select s.* from sizes s left join best using (codebase_id, unit_user, unit_day) where not (cast_votes=1 or coalesce(n,0)>=2)),
+whys as (select codebase_id, unit_user, unit_day, arg_min(reasoning,vote_no) filter (category='novel') novel_why,
+  arg_min(reasoning,vote_no) any_why, min(vote_no)//1000 first_page, max(vote_no)//1000 last_page from with_votes where category is not null group by 1,2,3),
+listed as (select codebase_id, unit_user, unit_day, vote_no//1000 as page, string_agg(k, ', ' order by vote_no) keys
+  from with_votes where category is not null group by 1,2,3,4)""", """
+select codebase_id, unit_user, unit_day, page, case when page=first_page then 'No majority (' else ', ' end||keys||case when page=last_page then
+  case when votes>cast_votes then ', '||(votes-cast_votes)||' failed' else '' end||'). '||coalesce(novel_why, any_why) else '' end reasoning
+from undecided join whys using (codebase_id, unit_user, unit_day) join listed using (codebase_id, unit_user, unit_day)
+union all select codebase_id, unit_user, unit_day, 0, 'All '||votes||' vote(s) failed — cannot classify.' from undecided where cast_votes=0"""))
 def no_majority_reason(t):
-    pages = voting.no_majority_reason(s.votes(t), UNIT, page=1_000_000_000)
-    return pages.drop("page")
+    return voting.no_majority_reason(s.votes(t), UNIT)
 
 
 @register("d4_dedup_gt_match", """

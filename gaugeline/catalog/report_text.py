@@ -120,13 +120,13 @@ def finding_context(t):
 
 
 @register("b16_assistant_text", """
-select conv_id run_id, string_agg(text, chr(10) order by turn) as text from conversations
-where role='assistant' and text<>'' group by 1""")
+select conv_id run_id, turn//1000 as page, string_agg(text, chr(10) order by turn) as text from conversations
+where role='assistant' and text<>'' group by 1,2""")
 def assistant_text(t):
     spoken = t.conversations.filter("role = 'assistant'").select(
         F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), F.lit(0).alias("pos"), "text"
     )
-    return extraction.assistant_text(spoken, page=1_000_000).select("run_id", "text")
+    return extraction.assistant_text(spoken)
 
 
 @register("b17_recovered_findings", """

@@ -29,12 +29,12 @@ def condition_cell(numbers: Column, total: Column) -> Column:
     )
 
 
-def cell_pages(hits: DataFrame, row: Sequence[str], valid_runs: DataFrame) -> DataFrame:
+def cell_pages(hits: DataFrame, row: Sequence[str], conditions: DataFrame) -> DataFrame:
     """Cell texts from hits (row columns, condition_id, run_number, repeats), as (row…, condition_id, page, cell)."""
     cell = [*row, "condition_id"]
     page = F.floor((F.col("run_number") - 1) / PAGE)
     totals = hits.groupBy(*cell).agg(F.sum("repeats").alias("hits"), F.min(page).alias("first_page"))
-    marked = totals.join(valid_runs, CONDITION, "left").withColumn(
+    marked = totals.join(conditions, CONDITION, "left").withColumn(
         "all_runs", F.col("hits") == F.coalesce("valid_runs", F.lit(0))
     )
     partial = marked.filter(~F.col("all_runs")).select(*cell, "first_page")
@@ -59,15 +59,16 @@ def cell_pages(hits: DataFrame, row: Sequence[str], valid_runs: DataFrame) -> Da
     return complete.unionByName(listed)
 
 
-def _valid_counts(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(*CONDITION).agg(F.count_if("is_valid").alias("valid_runs"))
+def condition_runs(runs: DataFrame) -> DataFrame:
+    """Valid runs per (codebase, condition): a few rows per codebase, broadcast once counted."""
+    return broadcast_if_small(runs.groupBy(*CONDITION).agg(F.count_if("is_valid").alias("valid_runs")))
 
 
-def _spread(rows: DataFrame, runs: DataFrame, cells: DataFrame, row: Sequence[str]) -> DataFrame:
+def _spread(rows: DataFrame, conditions: DataFrame, cells: DataFrame, row: Sequence[str]) -> DataFrame:
     """Every row with a cell for each condition that its codebase has runs of."""
-    conditions = runs.select(*CONDITION).distinct()
     return (
         rows.join(conditions, "codebase_id")
+        .drop("valid_runs")
         .join(cells, [*row, "condition_id"], "left")
         .withColumns({"page": F.coalesce("page", F.lit(0).cast("long")), "cell": F.coalesce("cell", F.lit("-"))})
     )
@@ -87,10 +88,11 @@ def ledger_gt(gt: DataFrame, runs: DataFrame, labels: DataFrame, numbers: DataFr
         .join(numbers.select("run_id", "run_number"), "run_id")
         .withColumn("repeats", F.lit(1))
     )
-    cells = cell_pages(hits, ["codebase_id", "gt_id"], _valid_counts(runs))
+    conditions = condition_runs(runs)
+    cells = cell_pages(hits, ["codebase_id", "gt_id"], conditions)
     rows = gt.filter(F.col("gt_id").isNotNull()).select("codebase_id", "gt_id", cut_text(F.col("title"), 50).alias("title"))
     return (
-        _spread(rows, runs, cells, ["codebase_id", "gt_id"])
+        _spread(rows, conditions, cells, ["codebase_id", "gt_id"])
         .withColumns(
             {
                 "gt_id": F.col("gt_id").cast("string"),
@@ -120,13 +122,14 @@ def ledger_novel(
         .distinct()
         .withColumn("repeats", F.lit(1))
     )
-    cells = cell_pages(hits, ["codebase_id", "cluster_id"], _valid_counts(runs))
+    conditions = condition_runs(runs)
+    cells = cell_pages(hits, ["codebase_id", "cluster_id"], conditions)
     verdict = F.col("verdict")
     rows = clusters.select("codebase_id", "cluster_id", cut_text(F.col("title"), 50).alias("title")).join(
         last_verdicts(verdicts), ["codebase_id", "cluster_id"], "left"
     )
     return (
-        _spread(rows, runs, cells, ["codebase_id", "cluster_id"])
+        _spread(rows, conditions, cells, ["codebase_id", "cluster_id"])
         .withColumns(
             {
                 "row_id": F.col("cluster_id"),
@@ -155,10 +158,11 @@ def ledger_fp(runs: DataFrame, labels: DataFrame, numbers: DataFrame) -> DataFra
         .join(numbers.select("run_id", "run_number"), "run_id")
         .select("codebase_id", F.col("title").alias("row_id"), "condition_id", "run_number", "repeats")
     )
-    cells = cell_pages(hits, ["codebase_id", "row_id"], _valid_counts(runs))
+    conditions = condition_runs(runs)
+    cells = cell_pages(hits, ["codebase_id", "row_id"], conditions)
     rows = hits.select("codebase_id", "row_id").distinct()
     return (
-        _spread(rows, runs, cells, ["codebase_id", "row_id"])
+        _spread(rows, conditions, cells, ["codebase_id", "row_id"])
         .withColumns(
             {
                 "title": cut_text(F.col("row_id"), 50),
@@ -325,7 +329,7 @@ def run_overview(runs: DataFrame, numbers: DataFrame) -> DataFrame:
 
     ``runs`` carries ``invalid`` (reason or null) beside the run columns.
     """
-    sizes = runs.groupBy(*CONDITION).agg(F.count("*").alias("condition_runs"))
+    sizes = broadcast_if_small(runs.groupBy(*CONDITION).agg(F.count("*").alias("condition_runs")))
     status = F.when(F.col("invalid").isNotNull(), F.concat(F.lit("INVALID: "), "invalid")).when(
         F.col("timed_out"), "timeout"
     )

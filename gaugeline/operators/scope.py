@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.operators.logs import tool_uses
 
 # Contract names too general to search for, and the shortest name worth searching.
@@ -127,7 +128,7 @@ def files_read(blocks: DataFrame, runs: DataFrame) -> DataFrame:
 
 def scope_compliance(reads: DataFrame, runs: DataFrame, scope: DataFrame) -> DataFrame:
     """Per run of a codebase with a scope list: files read in scope, out of scope and in total."""
-    listed = scope.filter("in_scope").groupBy("codebase_id").agg(F.count("*").alias("in_scope_files"))
+    listed = broadcast_if_small(scope.filter("in_scope").groupBy("codebase_id").agg(F.count("*").alias("in_scope_files")))
     marks = scope.groupBy("codebase_id", "path").agg(
         F.bool_or("in_scope").alias("is_in"), F.bool_or(~F.col("in_scope")).alias("is_out")
     )
