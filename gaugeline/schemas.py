@@ -14,8 +14,7 @@ CONFIG = f"struct<codebases:array<{CODEBASE}>,conditions:array<{CONDITION}>,defa
 RUN_META = (
     "struct<runId:string,codebaseId:string,conditionId:string,iteration:int,mode:string,timestampUtc:string,"
     "durationMs:bigint,exitCode:int,timedOut:boolean,codebaseGitCommit:string,skillVersion:string,"
-    "skillGitCommit:string,deep:boolean,fileOutput:boolean,expectedMinAgents:int,model:string,claudeModel:string,"
-    "claudeCliVersion:string>"
+    "skillGitCommit:string,deep:boolean,fileOutput:boolean,expectedMinAgents:int,model:string,claudeModel:string>"
 )
 
 GROUND_TRUTH = (

@@ -1,4 +1,4 @@
-"""Compare registered queries with their DuckDB counterparts: python tests/check_oracle.py [sf] [name prefix ...]"""
+"""Compare registered queries with their DuckDB counterparts: python tests/check_oracle.py [sf or folder] [name prefix ...]"""
 
 from __future__ import annotations
 
@@ -65,7 +65,7 @@ def compare(spark, connection, name, folder):
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     prefixes = tuple(sys.argv[2:])
-    folder = f"/root/testdata/sf{sf}"
+    folder = sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(folder)
