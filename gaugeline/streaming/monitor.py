@@ -7,10 +7,12 @@ so a long run spreads over many keys) and the life cycle of a run (fed by its fe
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +21,9 @@ from gaugeline.operators.logs import content_blocks
 from gaugeline.schemas import EVENT
 from gaugeline.session import ensure_checkpoint_dir
 
+# The state functions travel with the query, so executors do not need this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Grace after the result and the time limit of a run.
 RESULT_GRACE_MS = 15_000
 RUN_TIMEOUT_MS = 10 * 60 * 1000

@@ -84,3 +84,17 @@ def test_life_cycle(stream, tmp_path):
     assert {p for p in phases if p[0] == 4} == {(4, "started", 800), (4, "result", 810), (4, "closed", 825)}
     assert {p for p in phases if p[0] == 5} == {(5, "started", 900)}
     assert monitor.stuck_runs(rows).count() == 2 and monitor.result_grace(rows).count() == 5
+
+
+def test_state_functions_run_where_the_package_is_missing(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    for number, function in enumerate((monitor._track_agent, monitor._life_cycle(1, 2))):
+        file = tmp_path / f"f{number}"
+        file.write_bytes(cloudpickle.dumps(function))
+        code = f"from pyspark import cloudpickle; print(cloudpickle.loads(open({str(file)!r}, 'rb').read()).__name__)"
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+        assert done.stdout.strip() == function.__name__, done.stderr
