@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.functions.numbers import ratio
 from gaugeline.operators.metrics import CATEGORIES
 
@@ -19,7 +20,7 @@ def validate_vote_gt(votes: DataFrame, gt: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_known", F.lit(True))
     )
-    joined = votes.join(known, ["codebase_id", "matched_gt_id"], "left")
+    joined = votes.join(broadcast_if_small(known), ["codebase_id", "matched_gt_id"], "left")
     named = F.col("category").isNotNull() & F.col("matched_gt_id").isNotNull()
     unknown = named & F.col("_known").isNull()
     note = F.concat(F.lit('Invalid GT ID "'), F.col("matched_gt_id").cast("string"), F.lit('". '), F.col("reasoning"))
