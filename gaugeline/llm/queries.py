@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import exact_dedup, secrets
+from gaugeline.llm import exact_dedup, merkle, mixing, secrets, simhash
 from gaugeline.llm.common import table
 
 
@@ -14,5 +14,24 @@ def op2_secret_scan(spark, folder):
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan)}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_secret_scan": secrets.oracle()}
+def op3_source_mixing(spark, folder):
+    return mixing.mix_sources(table(spark, folder, "documents"))
+
+
+def op4_merkle_fingerprints(spark, folder):
+    return merkle.compared_documents(table(spark, folder, "documents"))
+
+
+def op5_simhash_near_dedup(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_secret_scan, op3_source_mixing, op4_merkle_fingerprints, op5_simhash_near_dedup)
+}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_secret_scan": secrets.oracle(),
+    "op3_source_mixing": mixing.oracle(),
+}
