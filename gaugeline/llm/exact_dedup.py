@@ -1,9 +1,10 @@
 """Exact deduplication by content sort.
 
 Normalised texts are range-partitioned at sampled splitters, sorted inside the partitions (Spark's external sort), and
-every text is compared in full with its neighbour. The sort key ends in length and identifier, so a group of any size
-spreads over as many partitions as it needs; only groups that touch a partition border are put together afterwards, and
-there are at most two of those per partition.
+every text is compared in full with its neighbour. Splitters and sort see the first characters of the content and a
+digest of all of it, so that what the driver samples does not grow with the length of texts. The sort key ends in length
+and identifier: a group of any size spreads over as many partitions as it needs; only groups that touch a partition
+border are put together afterwards, and there are at most two of those per partition.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.common import SPACES, in_blocks, shuffle_partitions, texts, written
 
+HEAD = 32  # characters of the content that lead the sort key
+
 RUNS = (
     "part int, run long, doc_id long, text_sha256 string, leader long, size long, "
     "is_first boolean, is_last boolean, edge_text string"
@@ -97,16 +100,13 @@ def exact_dedup(documents: DataFrame) -> DataFrame:
     keeps all of them. An empty table gives an empty result; other columns are ignored.
     """
     spark = documents.sparkSession
-    rows = texts(documents).select(
-        "doc_id",
-        F.char_length("text").alias("length"),
-        normalised(F.col("text")).alias("norm"),
+    norm = normalised(F.col("text")).alias("norm")
+    rows = texts(documents).select("doc_id", F.char_length("text").alias("length"), norm).select(
+        "*", F.substring("norm", 1, HEAD).alias("head"), F.sha2(F.encode("norm", "utf-8"), 256).alias("text_sha256")
     )
-    key = [F.col("norm"), F.col("length").desc(), F.col("doc_id").asc_nulls_last()]
-    ordered = (
-        rows.repartitionByRange(shuffle_partitions(spark), *key)
-        .sortWithinPartitions(*key)
-        .select("doc_id", "norm", F.sha2(F.encode("norm", "utf-8"), 256).alias("text_sha256"))
+    key = [F.col("head"), F.col("text_sha256"), F.col("length").desc(), F.col("doc_id").asc_nulls_last()]
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(*key).select(
+        "doc_id", "norm", "text_sha256"
     )
     runs = written(ordered.mapInArrow(neighbour_runs, RUNS))
     borders = border_groups(runs)
