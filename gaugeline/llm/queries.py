@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import exact_dedup, merkle, mixing, secrets, simhash
+from gaugeline.llm import bpe, exact_dedup, licenses, merkle, mixing, quality, secrets, simhash, toxicity
 from gaugeline.llm.common import table
 
 
@@ -26,9 +26,35 @@ def op5_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_toxicity(spark, folder):
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_license_scan(spark, folder):
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+def op9_quality(spark, folder):
+    return quality.select_by_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op10_bpe(spark, folder):
+    return bpe.encoded_digests(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_secret_scan, op3_source_mixing, op4_merkle_fingerprints, op5_simhash_near_dedup)
+    for f in (
+        op1_exact_dedup,
+        op2_secret_scan,
+        op3_source_mixing,
+        op4_merkle_fingerprints,
+        op5_simhash_near_dedup,
+        op6_toxicity,
+        op8_license_scan,
+        op9_quality,
+        op10_bpe,
+    )
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
