@@ -33,6 +33,23 @@ def written(frame: DataFrame) -> DataFrame:
     return cut_lineage(frame)
 
 
+BROADCAST_BYTES = 8 << 20
+SALTS = 64
+
+
+def with_small(rows: DataFrame, small: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
+    """Inner join with a written table that is usually small, without gathering the rows of a hot key.
+
+    The bytes of ``small`` are measured: up to BROADCAST_BYTES it is broadcast. Beyond, every row of it is repeated for
+    each salt, and ``rows`` meet it by key and a salt of ``spread_by``, so a key's rows spread over SALTS places.
+    """
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in small.columns), F.lit(0))
+    if (small.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), keys)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def crc_remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as decimal text, modulo ``parts``; a null id counts as the text 'null'."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))), F.lit(parts)).cast("int")

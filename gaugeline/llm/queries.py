@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import bpe, exact_dedup, licenses, merkle, mixing, quality, secrets, simhash, toxicity
+from gaugeline.llm import bpe, exact_dedup, licenses, lm, merkle, mixing, quality, secrets, simhash, toxicity
 from gaugeline.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_toxicity(spark, folder):
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_lm_scores(spark, folder):
+    return lm.score(table(spark, folder, "documents"))
+
+
 def op8_license_scan(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
         op4_merkle_fingerprints,
         op5_simhash_near_dedup,
         op6_toxicity,
+        op7_lm_scores,
         op8_license_scan,
         op9_quality,
         op10_bpe,
