@@ -135,10 +135,12 @@ def no_majority_reason(t):
 
 
 @register("d4_dedup_gt_match", """
-select run_id, finding_index, category, matched_gt_id, agreement, reasoning from s_labels""")
+select run_id, finding_index "position", part_id%5 finding_index, category, matched_gt_id, agreement, reasoning from s_labels""")
 def dedup_gt_match(t):
-    return voting.dedup_gt_match(s.raw_labels(t)).select(
-        "run_id", "finding_index", "category", "matched_gt_id", "agreement", "reasoning"
+    """Printed numbers that repeat within a run; the position alone tells the labels apart."""
+    labels = s.raw_labels(t).withColumn("finding_index", F.col("part_id") % 5)
+    return voting.dedup_gt_match(labels).select(
+        "run_id", "position", "finding_index", "category", "matched_gt_id", "agreement", "reasoning"
     )
 
 
@@ -223,32 +225,42 @@ def consistency_jaccard(t):
     return rounded(table, "consistency")
 
 
+@register("e7_consistency_wide", named("""
+wide_runs as (select n_regionkey codebase_id, c_mktsegment condition_id, c_custkey run_id from customer join nation on c_nationkey=n_nationkey
+  where c_custkey%9<>0 and c_custkey%10<>0 and n_regionkey<>2),
+wide_ids as (select distinct codebase_id, condition_id, run_id, l_suppkey%34 id from lineitem join orders on l_orderkey=o_orderkey
+  join wide_runs on run_id=o_custkey where l_partkey%2=0),
+wide_sets as (select r.codebase_id, r.condition_id, r.run_id, count(id) a from wide_runs r left join wide_ids using (codebase_id, condition_id, run_id) group by 1,2,3),
+wide_shared as (select x.codebase_id, x.condition_id, x.run_id xr, y.run_id yr, count(*) i from wide_ids x join wide_ids y
+  on x.codebase_id=y.codebase_id and x.condition_id=y.condition_id and x.id=y.id and x.run_id<y.run_id group by 1,2,3,4),
+wide_sum as (select s.codebase_id, s.condition_id, sum(i::double/(x.a+y.a-i)) j from wide_shared s
+  join wide_sets x on x.run_id=xr join wide_sets y on y.run_id=yr group by 1,2)""", f"""
+select codebase_id, condition_id, {six('case when n>=2 then (coalesce(j,0)+e*(e-1)/2.0)/(n*(n-1)/2.0) end')} consistency
+from (select codebase_id, condition_id, count(*)::double n, count(*) filter (a=0)::double e from wide_sets group by 1,2)
+left join wide_sum using (codebase_id, condition_id)"""))
+def consistency_wide(t):
+    """Sets of up to 34 ids, most of them distinct."""
+    return rounded(consistency.consistency_jaccard(*s.wide_runs(t)), "consistency")
+
+
 @register("e8_novel_counts", "select * from e_novels")
 def novel_counts(t):
     labels = shared_labels(t)
     return metrics.novel_counts(s.members(t, labels), s.verdicts(t, labels))
 
 
-MISSED = """
-sure as (select distinct codebase_id, matched_gt_id gt_id from s_labels
-  where is_valid and matched_gt_id is not null and agreement_count=3 and condition_id='bare_audit'),
-overlooked as (select g.* from s_gt g where not exists (select 1 from sure f where f.codebase_id=g.codebase_id and f.gt_id=g.gt_id))"""
-
-
 def _missed(t):
-    """What the unanimous matches of the baseline leave out."""
-    sure = s.labels(t).filter("agreement_count = 3")
-    return metrics.missed_gt(s.ground_truth(t), s.runs(t).filter("condition_id = 'bare_audit'"), sure)
+    return metrics.missed_gt(s.ground_truth(t), s.runs(t), s.labels(t))
 
 
-@register("e9_missed_gt", named(MISSED, "select codebase_id, gt_id, severity, title from overlooked"))
+@register("e9_missed_gt", "select codebase_id, gt_id, severity, title from e_missed")
 def missed_gt(t):
     return _missed(t).select("codebase_id", "gt_id", "severity", "title")
 
 
-@register("e9_missed_totals", named(MISSED, """
-select (select count(*) from overlooked) gt_missed_total, (select count(*) from s_gt) gt_total_all,
-  cast(floor((select count(*) from overlooked)*100.0/(select count(*) from s_gt)+0.5) as int) gt_missed_percent"""))
+@register("e9_missed_totals", """
+select (select count(*) from e_missed) gt_missed_total, (select count(*) from s_gt) gt_total_all,
+  cast(floor((select count(*) from e_missed)*100.0/(select count(*) from s_gt)+0.5) as int) gt_missed_percent""")
 def missed_totals(t):
     return metrics.missed_totals(s.ground_truth(t), _missed(t))
 
@@ -277,7 +289,7 @@ select r.run_id, r.codebase_id, t.severity, coalesce(h.matched,0) matched, t.tot
 from s_runs r join (select codebase_id, severity, count(*) total from s_gt group by 1,2) t using (codebase_id)
 left join (select run_id, severity, count(distinct matched_gt_id) matched from s_labels l
   join s_gt g on g.codebase_id=l.codebase_id and g.gt_id=matched_gt_id group by 1,2) h
-  on h.run_id=r.run_id and h.severity=t.severity
+  on h.run_id=r.run_id and h.severity is not distinct from t.severity
 where r.is_classified""")
 def recall_by_severity(t):
     return rounded(metrics.recall_by_severity(s.runs(t), s.labels(t), s.ground_truth(t)), "rate")
@@ -352,6 +364,32 @@ def filter_by_codebases(t):
     return round_cross(metrics.filter_by_codebases(condition_table(t), [1, 2, 4], visible))
 
 
+@register("e17_subset_view", """
+select t.*, (select count(*) from s_verdicts where codebase_id in (1,2,4) and risk_category is not null
+    and verdict in ('confirmed','plausible')) excluded
+from (select m gt_missed_total, n gt_total_all, cast(floor(m*100.0/n+0.5) as int) gt_missed_percent
+  from (select (select count(*) from e_missed where codebase_id in (1,2,4)) m, (select count(*) from s_gt where codebase_id in (1,2,4)) n)) t""")
+def subset_view(t):
+    labels = shared_labels(t)
+    missed = metrics.missed_gt(s.ground_truth(t), s.runs(t), labels)
+    return metrics.subset_totals(s.ground_truth(t), missed, s.verdicts(t, labels), [1, 2, 4])
+
+
+SUBSET_CROSS = """
+cross_subset as (
+select condition_id, sum(avg_matched) filter (avg_recall is not null)/sum(gt_total) filter (avg_recall is not null) avg_recall,
+  sum(confirmed_novels_filtered)::bigint confirmed_novels_filtered,
+  case when sum(total_findings)>0 then sum(total_fp)::double/sum(total_findings) end fp_rate, avg(consistency) consistency,
+  sum(avg_cost*valid_runs)/sum(valid_runs) filter (avg_cost is not null) avg_cost,
+  sum(avg_duration_ms*valid_runs)/sum(valid_runs) filter (avg_duration_ms is not null) avg_duration_ms
+from e_table where codebase_id in (1,2,4) group by 1)"""
+
+
+@register("e17_subset_bests", named(SUBSET_CROSS + "," + BESTS.replace("e_cross", "cross_subset"), "select metric, condition_id from bests"))
+def subset_bests(t):
+    return metrics.metric_bests(metrics.filter_by_codebases(condition_table(t), [1, 2, 4]))
+
+
 @register("e18_risk_excluded", """
 select count(*) filter (risk_category is not null and verdict in ('confirmed','plausible')) excluded from s_verdicts""")
 def risk_excluded(t):
@@ -382,20 +420,18 @@ def report_header(t):
 
 
 EVAL = """
-evals as (select g.codebase_id, g.gt_id, g.severity, case when max(case when l.agreement_count>=2 then 1 end)=1
+evals as (select g.codebase_id, g.gt_id, g.severity, case when max(case when l.agreement_count>=2 and g.gt_id%5<>0 then 1 end)=1
     then 'FOUND' when count(l.run_id)>0 then 'LEAD' else 'MISSED' end status
-  from s_gt g left join s_labels l on l.codebase_id=g.codebase_id and l.matched_gt_id=g.gt_id
-  and l.condition_id='2-HIGH' group by 1,2,3)"""
+  from s_gt g left join s_labels l on l.codebase_id=g.codebase_id and l.matched_gt_id=g.gt_id group by 1,2,3)"""
 
 
 def _eval_status(t):
-    """Matches of one condition; those with one vote only count as leads."""
-    hits = s.labels(t).filter("matched_gt_id is not null and condition_id = '2-HIGH'").select(
+    """Matches of all runs; those with one vote, and all of every fifth item, count as leads."""
+    hits = s.labels(t).filter("matched_gt_id is not null").select(
         "codebase_id", F.col("matched_gt_id").alias("gt_id"), "agreement_count"
     )
-    return metrics.eval_status(
-        s.ground_truth(t), hits.filter("agreement_count >= 2"), hits.filter("agreement_count < 2")
-    )
+    sure = "agreement_count >= 2 and gt_id % 5 <> 0"
+    return metrics.eval_status(s.ground_truth(t), hits.filter(sure), hits.filter(f"not ({sure})"))
 
 
 @register("e21_eval_status", named(EVAL, "select * from evals"))

@@ -17,7 +17,7 @@ register = Registry()
 # --- C: requests, responses, rule-based votes --------------------------------------------------------------------
 
 @register("c1_classify_requests", """
-select f.codebase_id, f.run_id, f.idx finding_index, v.vote_no, f.title, coalesce(f.location,'unknown') "location",
+select f.codebase_id, f.run_id, f.line_no "position", f.idx finding_index, v.vote_no, f.title, coalesce(f.location,'unknown') "location",
   coalesce(f.confidence::varchar,'N/A') confidence, coalesce(f.severity,'N/A') severity, f.context
 from (select f.*, coalesce((select string_agg(m.raw, chr(10) order by m.line_no) from r_lines m
     where m.run_id=f.run_id and m.line_no between h.first_no and h.first_no+39), f.title) context
@@ -29,7 +29,7 @@ where f.codebase_id<>3""")
 def classify_requests(t):
     found = s.report_findings(t)
     contexts = extraction.finding_context(s.reports(t), found)
-    return judging.classify_requests(found, contexts.dropDuplicates(["run_id", "index"]), s.report_truth(t), votes=3)
+    return judging.classify_requests(found, contexts, s.report_truth(t), votes=3)
 
 
 @register("c1_gt_sections", """
@@ -95,14 +95,16 @@ def retry_eligible(t):
 
 
 @register("c6_rule_matcher", f"""
-select f.run_id, f.idx finding_index, f.codebase_id,
+select f.run_id, f.line_no "position", f.idx finding_index, f.codebase_id,
+  case when c.gt_id is not null then 'same contract and keyword class' when b.gt_id is not null then 'similar title'
+    else 'no ground-truth item is close' end reasoning,
   case when coalesce(c.gt_id,b.gt_id) is not null then 'matched' when split_part(root_cause,'::',1)='unknown' then 'fp' else 'novel' end category,
   coalesce(c.gt_id,b.gt_id) matched_gt_id, case when c.gt_id is not null then 'high' when b.gt_id is not null then 'medium' else 'low' end confidence
 from r_owned f left join r_causes c on c.codebase_id=f.codebase_id and c.contract=split_part(root_cause,'::',1) and c.vuln_type=f.vuln_type
 left join r_best b on b.codebase_id=f.codebase_id and b.words={word_set_sql('f.title')}""")
 def rule_matcher(t):
     found = s.report_findings(t).withColumnRenamed("index", "finding_index")
-    return matching.rule_matcher(found, s.report_truth(t), theta=0.5).drop("reasoning")
+    return matching.rule_matcher(found, s.report_truth(t), theta=0.5)
 
 
 # --- G: clustering -----------------------------------------------------------------------------------------------

@@ -149,11 +149,12 @@ def scan_validations(t):
 
 
 @register("a8_scan_dims", """
-select 'seg-'||lower(c_mktsegment)||'_x'||c_custkey condition_id, 0 as position, 'Seg '||upper(left(c_mktsegment,1))||lower(substr(c_mktsegment,2))||' X'||c_custkey as label,
-  'seg-'||lower(c_mktsegment)||'_x'||c_custkey||' skill' subtitle from customer
+select 'v2.seg-'||lower(c_mktsegment)||'_x(b'||c_custkey||')' condition_id, 0 as position,
+  'V2.Seg '||upper(left(c_mktsegment,1))||lower(substr(c_mktsegment,2))||' X(B'||c_custkey||')' as label,
+  'v2.seg-'||lower(c_mktsegment)||'_x(b'||c_custkey||') skill' subtitle from customer
 union all select 'plain_'||c_custkey, 1, 'Bare CC', 'No skill, audit prompt only' from customer""")
 def scan_dims(t):
-    body = """concat('{"conditions":[{"id":"seg-', lower(c_mktsegment), '_x', c_custkey, '","type":"skill"},{"id":"plain_', c_custkey,
+    body = """concat('{"conditions":[{"id":"v2.seg-', lower(c_mktsegment), '_x(b', c_custkey, ')","type":"skill"},{"id":"plain_', c_custkey,
       '","type":"bare"}]}')"""
     raw = t.customer.select(F.lit("bench.json").alias("file"), F.expr(body).alias("content"))
     return files.parse_conditions(raw).select("condition_id", "position", "label", "subtitle")

@@ -28,7 +28,7 @@ select distinct case when o_orderpriority='5-LOW' then 'bare_audit' else o_order
 from orders where o_orderpriority<>'1-URGENT'""",
     "s_gt": """
 select n_regionkey codebase_id, s_suppkey gt_id, s_suppkey gt_pos,
-  case s_suppkey%3 when 0 then 'high' when 1 then 'medium' else 'low' end severity,
+  case when s_suppkey%7=0 then null when s_suppkey%3=0 then 'high' when s_suppkey%3=1 then 'medium' else 'low' end severity,
   'Missing check of the stored balance in the vault of '||s_name title
 from supplier join nation on s_nationkey=n_nationkey where n_regionkey<>4""",
     "s_gt_total": "select codebase_id, count(*) gt_total from s_gt group by 1",
@@ -40,9 +40,9 @@ from lineitem join s_runs r on l_orderkey=r.run_id""",
     "s_labels0": """
 select f.run_id, f.finding_index, f.codebase_id, f.condition_id, f.is_valid, f.part_id, f.title,
   1+part_id%3 agreement_count, (1+part_id%3)||'/3' agreement,
-  case when l_returnflag='R' and g.gt_id is not null then 'matched' when l_returnflag in ('R','A') then 'fp'
+  case when l_returnflag='R' and g.gt_id%6<>5 then 'matched' when l_returnflag in ('R','A') then 'fp'
        when l_linestatus='F' then 'novel' else 'uncertain' end category,
-  case when l_returnflag='R' then g.gt_id end matched_gt_id, 'seen on part '||part_id reasoning
+  case when l_returnflag='R' and g.gt_id%6<>5 then g.gt_id end matched_gt_id, 'seen on part '||part_id reasoning
 from s_findings f left join s_gt g on g.codebase_id=f.codebase_id and g.gt_id=f.supplier_id
 where f.is_classified""",
     "s_ranked": """
@@ -242,7 +242,7 @@ select doc_id run_id, case when doc_id%10=9 then any_value(text) else
   string_agg(case when i%12=2 then '## '||{_CONTRACT}||'.sol'||chr(10) when i%20=6 then '## Medium Severity'||chr(10)
       when i%28=10 then '## Summary'||chr(10) when i%16=3 then '### Possible '||{_KEYWORD}||' risk'||chr(10) else '' end||
     case when i%4<>0 then '' else case doc_id%10
-      when 0 then '['||(40+i%60)||'] **'||(i//4+1)||'. '||{_TITLE}||'**'||
+      when 0 then '['||(40+i%60)||'] **'||((i//4)%3+1)||'. '||{_TITLE}||'**'||
         case when i%8=0 then chr(10)||'`'||{_CONTRACT}||'.'||{_FUNCTION}||'` · Confidence: 80' else '' end
       when 1 then '### ['||{_SEVERITY}||'] '||{_TITLE}||case when i%8=0 then ' — '||{_CONTRACT}||'.sol:'||i else '' end
       when 2 then '### '||left({_SEVERITY},1)||'-'||i||': '||{_TITLE}
@@ -319,7 +319,7 @@ left join r_lines m on m.run_id=h.run_id and m.line_no between h.line_no+1 and l
 select l.run_id, l.line_no, l.idx, l.title, l.confidence, l.severity, l.location, {root_cause_sql('l.title', 'l.location')} root_cause,
   {keyword_sql('l.title')} vuln_type, case when length(body)>300 then substr(body,1,297)||'...' else body end description
 from r_located l join r_bodies b on b.run_id=l.run_id and b.line_no=l.line_no""",
-    "r_parsed": "select run_id, count(*) n from r_findings group by 1",
+    "r_parsed": "select run_id, count(*) n, max(line_no) as last from r_findings group by 1",
     "r_above": f"""
 select distinct l.run_id, l.line_no from r_lines l join r_lines m on m.run_id=l.run_id
   and m.line_no between l.line_no-{p.SEVERITY_ABOVE_LINES} and l.line_no-1

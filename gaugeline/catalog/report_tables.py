@@ -157,13 +157,11 @@ def comparison_table(t):
 
 @register("f8_missed_table", """
 select codebase_id, gt_id, case when length(title)>60 then substr(title,1,57)||'...' else title end title
-from (select g.codebase_id, g.gt_id, repeat(g.title, 2) title from s_gt g where not exists (select 1 from e_found f
-  where f.codebase_id=g.codebase_id and f.gt_id=g.gt_id and f.condition_id='bare_audit'))""")
+from (select codebase_id, gt_id, repeat(title, 2) title from e_missed)""")
 def missed_table(t):
-    """Items the baseline alone missed, with titles long enough to be cut."""
+    """Missed items with titles long enough to be cut."""
     truth = s.ground_truth(t).withColumn("title", F.repeat("title", F.lit(2)))
-    baseline = s.runs(t).filter("condition_id = 'bare_audit'")
-    return ledger.missed_table(metrics.missed_gt(truth, baseline, s.labels(t)))
+    return ledger.missed_table(metrics.missed_gt(truth, s.runs(t), s.labels(t)))
 
 
 @register("f9_recall_chart", """
@@ -203,24 +201,26 @@ def run_overview(t):
 
 
 @register("f13_analysis_feed", """
-select b.codebase_id, 'codebase' kind, b.codebase_id::varchar "key", '{"gt_count":'||coalesce(gt_total,0)||',"novel_clusters":'||coalesce(k,0)||
+select b.codebase_id, 'codebase' kind, b.codebase_id::varchar "key", null::double recall, null::double precision_value, null::double cost_usd, '{"gt_count":'||coalesce(gt_total,0)||',"novel_clusters":'||coalesce(k,0)||
   coalesce(',"confirmed":'||c||',"plausible":'||p||',"rejected":'||x,'')||'}' feed
 from (select distinct codebase_id from s_runs) b left join s_gt_total using (codebase_id)
 left join (select codebase_id, count(*) k from s_clusters group by 1) using (codebase_id)
 left join (select codebase_id, count(*) filter (verdict='confirmed') c, count(*) filter (verdict='plausible') p,
   count(*) filter (verdict='rejected') x from s_verdicts group by 1) using (codebase_id)
-union all select codebase_id, 'missed', gt_id::varchar, '{"gt_id":'||gt_id||'}' from e_missed
-union all select codebase_id, 'run', run_id::varchar, '{"condition_id":"'||condition_id||'"'||coalesce(',"matched":'||matched||',"novel":'||novel||',"fp":'||fp||
-  ',"uncertain":'||uncertain,'')||',"duration_ms":'||duration_ms||',"findings_count":'||findings_count||'}' from e_runs where is_valid""")
+union all select codebase_id, 'missed', gt_id::varchar, null, null, null, '{"gt_id":'||gt_id||'}' from e_missed
+union all select codebase_id, 'run', run_id::varchar, SIX_RECALL, SIX_PREC, SIX_COST, '{"condition_id":"'||condition_id||'"'||coalesce(',"matched":'||matched||',"novel":'||novel||',"fp":'||fp||
+  ',"uncertain":'||uncertain,'')||',"duration_ms":'||duration_ms||',"findings_count":'||findings_count||'}' from e_run_metrics where is_valid""".replace("SIX_RECALL", six("recall")).replace("SIX_PREC", six("prec")).replace("SIX_COST", six("cost_usd")))
 def analysis_feed(t):
-    """Ratios and costs are left out of the compared JSON, where number formats differ between engines."""
+    """Ratios and costs are compared as numbers beside the rest of the JSON, because engines write doubles differently."""
     shared = Shared(t)
     labels, truth = shared.labels, shared.gt
     runs = cut_lineage(metrics.run_metrics(shared.runs, labels, truth))
     missed = metrics.missed_gt(truth, shared.runs, labels)
     feed = ledger.analysis_feed(runs, missed, s.clusters(t, labels), s.verdicts(t, labels), truth)
     plain = F.regexp_replace("json", '"(recall|precision|cost_usd)":[^,}]*,', "")
-    return feed.select("codebase_id", "kind", "key", plain.alias("feed"))
+    numbers = {"recall": "recall", "precision": "precision_value", "cost_usd": "cost_usd"}
+    parsed = [F.get_json_object("json", f"$.{name}").cast("double").alias(alias) for name, alias in numbers.items()]
+    return rounded(feed.select("codebase_id", "kind", "key", *parsed, plain.alias("feed")), *numbers.values())
 
 
 @register("f14_dashboard_rows", named(BESTS + """,

@@ -107,7 +107,7 @@ def parser_coverage(t):
 
 
 @register("b15_finding_context", """
-select f.run_id, f.idx, coalesce((select string_agg(m.raw, chr(10) order by m.line_no) from r_lines m
+select f.run_id, f.line_no "position", f.idx, coalesce((select string_agg(m.raw, chr(10) order by m.line_no) from r_lines m
     where m.run_id=f.run_id and m.line_no between h.first_no and h.first_no+39), f.title) context
 from r_findings f left join (select f.run_id, f.line_no, min(l.line_no) first_no
   from r_findings f join r_lines l on l.run_id=f.run_id
@@ -116,7 +116,7 @@ from r_findings f left join (select f.run_id, f.line_no, min(l.line_no) first_no
 def finding_context(t):
     reports = s.reports(t)
     found = extraction.finding_context(reports, extraction.extract_findings(reports))
-    return found.select("run_id", F.col("index").alias("idx"), "context")
+    return found.select("run_id", "position", F.col("index").alias("idx"), "context")
 
 
 @register("b16_assistant_text", """
@@ -130,10 +130,9 @@ def assistant_text(t):
 
 
 @register("b17_recovered_findings", """
-select run_id, line_no+1 idx, title, severity, location, root_cause, false recovered from (
-  select run_id, idx-1 line_no, title, severity, location, root_cause from r_findings)
+select run_id, line_no "position", idx, title, severity, location, root_cause, false recovered from r_findings
 union all
-select u.run_id, coalesce(p.n,0)+block_no, 'Recovered: '||split_part(snippet, chr(10), 1), null, 'Unknown',
+select u.run_id, coalesce(p.last,-1)+block_no, coalesce(p.n,0)+block_no, 'Recovered: '||split_part(snippet, chr(10), 1), null, 'Unknown',
   'Unknown::logic-error', true
 from r_unmatched u left join r_parsed p using (run_id) where block_no<=10""")
 def recovered_findings(t):
@@ -150,7 +149,7 @@ def recovered_findings(t):
         F.lit("").alias("description"),
     )
     return extraction.recovered_findings(findings, answers).select(
-        "run_id", F.col("index").alias("idx"), "title", "severity", "location", "root_cause", "recovered"
+        "run_id", "position", F.col("index").alias("idx"), "title", "severity", "location", "root_cause", "recovered"
     )
 
 

@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame
 
 
 def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores, so that costly row work runs in parallel.
+    """Deal rows out by key before costly row work, so that it does not depend on how the table was written.
 
-    A table of many files already has enough splits and is returned as it is, without a shuffle.
+    Adaptive execution fits the number of partitions to the bytes. A stream is returned as it is.
     """
-    if frame.isStreaming:
-        return frame
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+    return frame if frame.isStreaming else frame.repartition(key)

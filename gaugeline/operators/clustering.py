@@ -186,7 +186,7 @@ def expand_members(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     return listed.join(chunks, ["codebase_id", "chunk_no", "member_index"]).select(*MEMBER)
 
 
-def connected_keys(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_keys(edges: DataFrame) -> DataFrame:
     """Connected components of (scope, a, b) edges, as (scope, node, root) with the smallest node as root.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): every round links a node's neighbours to the
@@ -198,7 +198,7 @@ def connected_keys(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         wanted.select("scope", F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select("scope", F.col("root").alias("node"), F.col("node").alias("root")))
         smallest = both.groupBy("scope", "node").agg(F.least(F.min("root"), F.col("node")).alias("m"))
         large = both.join(smallest, ["scope", "node"]).filter("root > node").select(
@@ -219,8 +219,6 @@ def connected_keys(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select("scope", F.col("root").alias("node"), "root").distinct()
     return current.unionByName(roots).distinct()
 

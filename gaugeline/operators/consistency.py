@@ -1,20 +1,28 @@
-"""Run-to-run consistency: the mean pairwise Jaccard of matched ground-truth sets, without forming the pairs.
+"""Run-to-run consistency: the mean pairwise Jaccard of matched ground-truth sets.
 
-For sets A, B with |A| = a, |B| = b and |A ∩ B| = i the Jaccard is i / (a + b - i). The number of k-subsets shared
-by a pair is C(i, k), so counting each subset once per group gives the binomial moments of i for every (a, b), and
-inclusion-exclusion turns these into the exact sum of Jaccards. The work grows with the number of distinct sets
-times 2^size, never with the number of run pairs. Sets above ``max_subset_size`` are compared through shared ids.
+Equal sets are folded into one row with a count first. The distinct sets of a (codebase, condition) are dealt into blocks
+by hash; each pair of blocks is one bounded piece of work that counts all its intersections at once, as a matrix product,
+and gives back a single partial sum. No pair of sets is ever a row, no id is a key, and the way is the same at any size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.session import cut_lineage
 
+# The block function travels with the query, so executors do not need this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEYS = ["codebase_id", "condition_id"]
+BLOCK = 1024
 
 
 def matched_sets(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> DataFrame:
@@ -37,83 +45,60 @@ def matched_sets(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> DataFrame
         .select(*KEYS, F.coalesce("ids", empty).alias("ids"))
         .groupBy(*KEYS, "ids")
         .agg(F.count("*").alias("m"))
-        .withColumn("a", F.size("ids"))
-    )
-
-
-def _subsets(ids: Column, array_type) -> Column:
-    """All non-empty subsets of a short array."""
-    start = F.array(F.array().cast(array_type))
-    grown = F.aggregate(
-        ids, start, lambda have, item: F.concat(have, F.transform(have, lambda s: F.concat(s, F.array(item))))
     )
-    return F.filter(grown, lambda s: F.size(s) > 0)
 
 
-def _choose_two(count: Column) -> Column:
-    return count * (count - 1) / 2
+def block_total(rows: pd.DataFrame) -> float:
+    """The sum of Jaccards over the pairs of runs of two blocks, or within one block (``side`` 0 only)."""
+    width = {x: n for n, x in enumerate(sorted({x for ids in rows["ids"] for x in ids}))}
 
+    def matrix(part: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(part), len(width)), dtype=np.float32)
+        for n, ids in enumerate(part["ids"]):
+            out[n, [width[x] for x in ids]] = 1
+        return out
 
-def _moment_weight() -> Column:
-    """Weight of the k-th moment of pairs with sizes (a, b) in the sum of Jaccards."""
-    return F.expr(
-        "aggregate(sequence(1, k), 0D, (total, i) -> total + if((k - i) % 2 = 0, 1D, -1D)"
-        " * factorial(k) / (factorial(i) * factorial(k - i)) * i / (a + b - i))"
-    )
+    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    a, m = matrix(left), left["m"].to_numpy(dtype=np.float64)
+    b, n = (matrix(right), right["m"].to_numpy(dtype=np.float64)) if len(right) else (a, m)
+    shared = (a @ b.T).astype(np.float64)
+    either = a.sum(1, dtype=np.float64)[:, None] + b.sum(1, dtype=np.float64)[None, :] - shared
+    score = np.divide(shared, either, out=np.ones_like(shared), where=either > 0) * m[:, None] * n[None, :]
+    if len(right):
+        return float(score.sum())
+    return float(np.triu(score, 1).sum() + (m * (m - 1) / 2).sum())
 
 
-def _short_sets(sets: DataFrame, array_type) -> DataFrame:
-    """Jaccard sum over pairs of short non-empty sets."""
-    counted = (
-        sets.select(*KEYS, "a", "m", F.explode(_subsets(F.col("ids"), array_type)).alias("s"))
-        .groupBy(*KEYS, "s", "a")
-        .agg(F.sum("m").cast("decimal(19,0)").alias("c"))
-    )
-    pairs = F.expr(
-        "inline(flatten(transform(l, x -> transform(filter(l, y -> y.a >= x.a), y -> "
-        "struct(x.a as a, y.a as b, cast(if(x.a = y.a, x.c * (x.c - 1) / 2, x.c * y.c) as decimal(38,0)) as n)))))"
-    )
-    moments = (
-        counted.groupBy(*KEYS, "s")
-        .agg(F.collect_list(F.struct("a", "c")).alias("l"))
-        .select(*KEYS, F.size("s").alias("k"), pairs)
-        .groupBy(*KEYS, "a", "b", "k")
-        .agg(F.sum("n").alias("n"))
+def consistency_jaccard(runs: DataFrame, labels: DataFrame, gt: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Mean pairwise Jaccard per (codebase, condition); two empty sets agree fully, fewer than two runs give null."""
+    sets = cut_lineage(matched_sets(runs, labels, gt))
+    sizes = cut_lineage(
+        sets.groupBy(*KEYS).agg(F.sum("m").cast("double").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     )
-    return moments.select(*KEYS, (F.col("n").cast("double") * _moment_weight()).alias("total"))
-
-
-def _long_sets(sets: DataFrame, limit: int) -> DataFrame:
-    """Jaccard sum over pairs with at least one long set; equal sets are already folded into one row."""
-    long_sets = sets.filter(F.col("a") > limit)
-    same = long_sets.select(*KEYS, _choose_two(F.col("m").cast("double")).alias("total"))
-    left = long_sets.select(*KEYS, F.col("ids").alias("x"), F.col("m").alias("mx"), F.explode("ids").alias("id"))
-    right = sets.select(*KEYS, F.col("ids").alias("y"), F.col("m").alias("my"), F.explode("ids").alias("id"))
-    once = (F.size("y") <= limit) | (F.col("x") < F.col("y"))
-    shared = (
-        left.join(right, [*KEYS, "id"])
-        .filter(once)
-        .groupBy(*KEYS, "x", "y", "mx", "my")
-        .agg(F.count("*").cast("double").alias("i"))
+    own = F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int")
+    dealt = (
+        sets.join(broadcast_if_small(sizes), KEYS)
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            *KEYS,
+            F.least("own", "other").alias("i"),
+            F.greatest("own", "other").alias("j"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"),
+            "ids",
+            "m",
+        )
     )
-    jaccard = F.col("i") / (F.size("x") + F.size("y") - F.col("i"))
-    different = shared.select(*KEYS, (F.col("mx").cast("double") * F.col("my") * jaccard).alias("total"))
-    return same.unionByName(different)
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
+    keys = ", ".join(f"{k} {kinds[k]}" for k in KEYS)
 
+    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        # a block that no set fell into has nothing to meet; alone, the other side would count within itself
+        one_sided = key[2] != key[3] and rows["side"].nunique() < 2
+        return pd.DataFrame([[*key[:2], 0.0 if one_sided else block_total(rows)]])
 
-def consistency_jaccard(runs: DataFrame, labels: DataFrame, gt: DataFrame, max_subset_size: int = 10) -> DataFrame:
-    """Mean pairwise Jaccard per (codebase, condition); two empty sets agree fully, fewer than two runs give null."""
-    sets = cut_lineage(matched_sets(runs, labels, gt))
-    array_type = sets.schema["ids"].dataType
-    short = sets.filter((F.col("a") > 0) & (F.col("a") <= max_subset_size))
-    empty = sets.filter(F.col("a") == 0).select(*KEYS, _choose_two(F.col("m").cast("double")).alias("total"))
     sums = (
-        _short_sets(short, array_type)
-        .unionByName(_long_sets(sets, max_subset_size))
-        .unionByName(empty)
-        .groupBy(*KEYS)
-        .agg(F.sum("total").alias("total"))
+        dealt.groupBy(*KEYS, "i", "j").applyInPandas(total, f"{keys}, total double").groupBy(*KEYS).agg(F.sum("total").alias("total"))
     )
-    sizes = sets.groupBy(*KEYS).agg(F.sum("m").cast("double").alias("n"))
-    mean = F.when(F.col("n") >= 2, F.coalesce("total", F.lit(0.0)) / _choose_two(F.col("n")))
+    mean = F.when(F.col("n") >= 2, F.coalesce("total", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1) / 2))
     return sizes.join(sums, KEYS, "left").select(*KEYS, mean.alias("consistency"))

@@ -189,7 +189,10 @@ def parsed_lines(candidates: DataFrame) -> DataFrame:
 
 
 def findings_of(parsed: DataFrame) -> DataFrame:
-    """Findings of all formats: structured ones carry their own number, free-form ones count in text order."""
+    """Findings of all formats: structured ones carry their own number, free-form ones count in text order.
+
+    ``index`` is the number as printed and may repeat within a run; ``position`` (the line) tells findings apart.
+    """
     skill, line = F.col("kind") == "skill", F.col("line")
     headed = parsed.filter(F.col("kind").isNotNull()).withColumns(_header_parts(F.col("kind"), line))
     own, contract = F.col("own_location"), F.col("section_contract")
@@ -210,6 +213,7 @@ def findings_of(parsed: DataFrame) -> DataFrame:
     return located.select(
         "run_id",
         "line_no",
+        F.col("line_no").cast("int").alias("position"),
         F.when(skill, F.regexp_extract(line, p.SKILL_FINDING, 2).try_cast("int"))
         .otherwise(F.row_number().over(_order()))
         .alias("index"),
@@ -352,6 +356,8 @@ def unmatched_blocks(reports: DataFrame, findings: DataFrame) -> DataFrame:
 def finding_context(reports: DataFrame, findings: DataFrame) -> DataFrame:
     """40 lines from the first line that holds the title (or its first 20 characters); the title when none does.
 
+    One row per finding: (run_id, position, index, context).
+
     The titles of a run join its text as one array, so a text is never copied per finding. A title holds no line
     break, so the line is found by one substring search in the whole text.
     """
@@ -360,35 +366,38 @@ def finding_context(reports: DataFrame, findings: DataFrame) -> DataFrame:
         return F.regexp_replace(text, "[`*]", "")
 
     start = F.substring(plain(F.col("title")), 1, p.CONTEXT_TITLE_CHARS)
-    sought = findings.select("run_id", "index", "title", start.alias("start"))
-    titles = sought.groupBy("run_id").agg(F.collect_list(F.struct("index", "title", "start")).alias("titles"))
+    sought = findings.select("run_id", "position", "index", "title", start.alias("start"))
+    titles = sought.groupBy("run_id").agg(F.collect_list(F.struct("position", "index", "title", "start")).alias("titles"))
     texts = reports.join(titles, "run_id").select(
         "run_id", "titles", F.split("text", "\n").alias("lines"), plain(F.col("text")).alias("clean")
     )
 
     def context(finding: Column) -> Column:
         place = F.instr(F.col("clean"), finding["start"])
-        before = F.size(F.split(F.left(F.col("clean"), F.greatest(place - 1, F.lit(0))), "\n"))
+        before = F.regexp_count(F.left(F.col("clean"), F.greatest(place - 1, F.lit(0))), F.lit("\n")) + 1
         found = F.array_join(F.slice("lines", before, F.lit(p.CONTEXT_LINES)), "\n")
         return F.struct(
-            finding["index"].alias("index"), F.when(place > 0, found).otherwise(finding["title"]).alias("context")
+            finding["position"].alias("position"),
+            finding["index"].alias("index"),
+            F.when(place > 0, found).otherwise(finding["title"]).alias("context"),
         )
 
     return texts.select("run_id", F.inline(F.transform("titles", context)))
 
 
 def recovered_findings(findings: DataFrame, recovered: DataFrame) -> DataFrame:
-    """Append findings recovered by a judge, numbered after the parsed ones.
+    """Append findings recovered by a judge, numbered and placed after the parsed ones.
 
     ``recovered`` holds run_id, position, title, severity, location, vulnerability_type, description; positions
     count from 0 within a run.
     """
-    counts = findings.groupBy("run_id").agg(F.count("*").alias("_parsed"))
+    counts = findings.groupBy("run_id").agg(F.count("*").alias("_parsed"), F.max("position").alias("_last"))
     location = F.coalesce(F.nullif("location", F.lit("")), F.lit("Unknown"))
     kind = F.coalesce(F.nullif("vulnerability_type", F.lit("")), F.lit("unknown"))
     extra = recovered.join(counts, "run_id", "left").select(
         "run_id",
-        (F.coalesce("_parsed", F.lit(0)) + F.col("position") + 1).cast("int").alias("index"),
+        (F.coalesce("_last", F.lit(-1)) + recovered["position"] + 1).cast("int").alias("position"),
+        (F.coalesce("_parsed", F.lit(0)) + recovered["position"] + 1).cast("int").alias("index"),
         "title",
         F.nullif("severity", F.lit("")).alias("severity"),
         location.alias("location"),

@@ -42,15 +42,17 @@ def gt_sections(gt: DataFrame) -> DataFrame:
 def classify_requests(findings: DataFrame, contexts: DataFrame, gt: DataFrame, votes: int = 1) -> DataFrame:
     """One request per finding and vote, for codebases with ground truth.
 
-    The request names its codebase; the ground-truth blocks of ``gt_sections`` are the same for all its requests and
+    Findings and contexts meet by ``position``, because a printed number may repeat within a run. The request names its
+    codebase; the ground-truth blocks of ``gt_sections`` are the same for all its requests and
     are not copied into each.
     """
     asked = findings.join(broadcast_if_small(gt.select("codebase_id").distinct()), "codebase_id", "left_semi").join(
-        contexts, ["run_id", "index"], "left"
+        contexts.drop("index"), ["run_id", "position"], "left"
     )
     return asked.select(
         "codebase_id",
         "run_id",
+        "position",
         F.col("index").alias("finding_index"),
         F.explode(F.sequence(F.lit(0), F.lit(votes - 1))).alias("vote_no"),
         "title",

@@ -70,7 +70,7 @@ def best_similar(left: DataFrame, right: DataFrame, theta: float) -> DataFrame:
 def rule_matcher(findings: DataFrame, gt: DataFrame, theta: float = 0.5) -> DataFrame:
     """A deterministic voter: one vote per finding.
 
-    ``findings`` holds run_id, finding_index, codebase_id, title, root_cause, vuln_type; ``gt`` codebase_id, gt_id,
+    ``findings`` holds run_id, position, finding_index, codebase_id, title, root_cause, vuln_type; ``gt`` codebase_id, gt_id,
     gt_pos, title, contract, vuln_type. A finding matches the first item with its contract and keyword class, else the
     item with the most similar title from ``theta`` on. Unmatched findings without a known contract are too vague
     (fp), the others are novel.
@@ -88,7 +88,7 @@ def rule_matcher(findings: DataFrame, gt: DataFrame, theta: float = 0.5) -> Data
     )
     by_cause = cut_lineage(
         keyed.join(same_cause, ["codebase_id", "contract", "vuln_type"], "left").select(
-            "run_id", "finding_index", "codebase_id", "contract", "words", "cause_id"
+            "run_id", "position", "finding_index", "codebase_id", "contract", "words", "cause_id"
         )
     )
     undecided = by_cause.filter("cause_id is null").select(F.col("codebase_id").alias("scope"), "words")
@@ -99,6 +99,7 @@ def rule_matcher(findings: DataFrame, gt: DataFrame, theta: float = 0.5) -> Data
     gt_id = F.coalesce("cause_id", "title_id")
     return judged.select(
         "run_id",
+        "position",
         "finding_index",
         "codebase_id",
         F.when(gt_id.isNotNull(), "matched").when(F.col("contract") == "unknown", "fp").otherwise("novel").alias("category"),

@@ -259,7 +259,7 @@ def gt_reliability(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> DataFra
 
 
 def recall_by_severity(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> DataFrame:
-    """Matched, total and rate per classified run and severity."""
+    """Matched, total and rate per classified run and severity; items without a severity are a group of their own."""
     totals = gt.filter(F.col("gt_id").isNotNull()).groupBy("codebase_id", "severity").agg(F.count("*").alias("total"))
     severities = gt.select("codebase_id", F.col("gt_id").alias("matched_gt_id"), "severity")
     hits = (
@@ -274,7 +274,11 @@ def recall_by_severity(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> Dat
         runs.filter("is_classified")
         .select("run_id", "codebase_id")
         .join(broadcast_if_small(totals), "codebase_id")
-        .join(hits, ["run_id", "severity"], "left")
+        .join(
+            hits.select(F.col("run_id").alias("_run"), F.col("severity").alias("_severity"), "matched"),
+            (F.col("run_id") == F.col("_run")) & F.col("severity").eqNullSafe(F.col("_severity")),
+            "left",
+        )
         .select("run_id", "codebase_id", "severity", F.coalesce("matched", F.lit(0)).alias("matched"), "total")
         .withColumn("rate", ratio(F.col("matched"), F.col("total")))
     )
@@ -366,6 +370,18 @@ def filter_by_codebases(
     )
 
 
+def subset_totals(gt: DataFrame, missed: DataFrame, verdicts: DataFrame, codebase_ids: Sequence) -> DataFrame:
+    """One row for a chosen set of codebases: listed and missed ground truth, the whole percent, and what is set aside.
+
+    The aggregates of the subset come from ``filter_by_codebases``, its bests from ``metric_bests`` of these.
+    """
+    chosen = F.col("codebase_id").isin(list(codebase_ids))
+    totals = missed_totals(gt.filter(chosen), missed.filter(chosen))
+    return totals.withColumn("gt_missed_percent", F.coalesce("gt_missed_percent", F.lit(0))).crossJoin(
+        F.broadcast(risk_excluded(verdicts.filter(chosen)))  # one row each
+    )
+
+
 def risk_excluded(verdicts: DataFrame) -> DataFrame:
     """Validations that count as real but are set aside for their risk category."""
     kept = F.col("risk_category").isNotNull() & F.col("verdict").isin("confirmed", "plausible")

@@ -124,7 +124,8 @@ def no_majority_reason(votes: DataFrame, keys: Sequence[str], page: int = 1000)
 def dedup_gt_match(labels: DataFrame) -> DataFrame:
     """Keep one match per (run, ground-truth item): highest agreement, then the earliest; demote the others.
 
-    Needs ``agreement_count``, ``agreement``, ``finding_index`` and ``reasoning``. A demoted row that led until a
+    Needs ``agreement_count``, ``agreement``, ``position`` (unique within a run, unlike a printed number) and
+    ``reasoning``. A demoted row that led until a
     later finding beat it carries its agreement in the text. Leaders are found from the earliest finding per
     agreement level, so no run or ground-truth item is ever sorted as a whole.
     """
@@ -133,16 +134,16 @@ def dedup_gt_match(labels: DataFrame) -> DataFrame:
     levels = (
         labels.filter(contested)
         .groupBy(*group, "agreement_count")
-        .agg(F.min("finding_index").alias("finding_index"))
+        .agg(F.min("position").alias("position"))
     )
     higher = Window.partitionBy(*group).orderBy(F.desc("agreement_count"))
     above = higher.rowsBetween(Window.unboundedPreceding, -1)
     leaders = (
-        levels.withColumn("_above", F.min("finding_index").over(above))
-        .filter(F.col("_above").isNull() | (F.col("finding_index") < F.col("_above")))
-        .select(*group, "finding_index", F.when(F.col("_above").isNull(), "winner").otherwise("led").alias("_standing"))
+        levels.withColumn("_above", F.min("position").over(above))
+        .filter(F.col("_above").isNull() | (F.col("position") < F.col("_above")))
+        .select(*group, "position", F.when(F.col("_above").isNull(), "winner").otherwise("led").alias("_standing"))
     )
-    joined = labels.join(leaders, [*group, "finding_index"], "left")
+    joined = labels.join(leaders, [*group, "position"], "left")
     demoted = contested & (F.coalesce("_standing", F.lit("")) != "winner")
     led = F.when(F.col("_standing") == "led", F.concat(F.lit(" ("), "agreement", F.lit(")"))).otherwise(F.lit(""))
     note = F.concat(

@@ -63,9 +63,9 @@ def conditions(t: Tables) -> DataFrame:
 
 
 def ground_truth(t: Tables) -> DataFrame:
-    """Ground truth of four of the five codebases; region 4 has none."""
+    """Ground truth of four of the five codebases; region 4 has none. Every seventh item states no severity."""
     key = F.col("s_suppkey")
-    severity = F.when(key % 3 == 0, "high").when(key % 3 == 1, "medium").otherwise("low")
+    severity = F.when(key % 7 == 0, None).when(key % 3 == 0, "high").when(key % 3 == 1, "medium").otherwise("low")
     return (
         t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .filter("n_regionkey <> 4")
@@ -113,10 +113,10 @@ def runs_counted(t: Tables) -> DataFrame:
 
 
 def raw_labels(t: Tables) -> DataFrame:
-    """Labels before match deduplication, for classified runs."""
+    """Labels before match deduplication, for classified runs; every sixth item is never matched."""
     items = ground_truth(t).select("codebase_id", F.col("gt_id").alias("supplier_id"), F.lit(True).alias("_known"))
     joined = findings(t).filter("is_classified").join(items, ["codebase_id", "supplier_id"], "left")
-    matched = (F.col("l_returnflag") == "R") & F.col("_known")
+    matched = (F.col("l_returnflag") == "R") & F.col("_known") & (F.col("supplier_id") % 6 != 5)
     category = (
         F.when(matched, "matched")
         .when(F.col("l_returnflag").isin("R", "A"), "fp")
@@ -126,6 +126,7 @@ def raw_labels(t: Tables) -> DataFrame:
     agreement = 1 + F.col("part_id") % 3
     return joined.select(
         "run_id",
+        F.col("finding_index").alias("position"),
         "finding_index",
         "codebase_id",
         "condition_id",
@@ -145,6 +146,22 @@ def labels(t: Tables) -> DataFrame:
     return dedup_gt_match(raw_labels(t))
 
 
+def wide_runs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, labels and ground truth with matched sets of up to 34 ids: a run per customer, a label per line item."""
+    key = F.col("c_custkey")
+    runs_wide = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_regionkey").alias("codebase_id"),
+        F.col("c_mktsegment").alias("condition_id"),
+        key.alias("run_id"),
+        (key % 9 != 0).alias("is_valid"),
+        (key % 10 != 0).alias("is_classified"),
+    )
+    items = t.lineitem.filter("l_partkey % 2 = 0").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    labels_wide = items.select(F.col("o_custkey").alias("run_id"), (F.col("l_suppkey") % 34).alias("matched_gt_id"))
+    truth = t.region.filter("r_regionkey <> 2").select(F.col("r_regionkey").alias("codebase_id"))
+    return runs_wide, labels_wide, truth
+
+
 def votes(t: Tables) -> DataFrame:
     """Votes on (user, day) units; the event number orders them, an error event is a failed vote."""
     kind = F.col("event_type")
@@ -227,7 +244,7 @@ def reports(t: Tables) -> DataFrame:
             "when 1 then concat(' in `', {function}, '()`') else concat(' of part ', i) end)"
     pick["title"] = title.format(**pick)
     header = """case doc_id % 10
-      when 0 then concat('[', 40 + i % 60, '] **', i div 4 + 1, '. ', {title}, '**',
+      when 0 then concat('[', 40 + i % 60, '] **', (i div 4) % 3 + 1, '. ', {title}, '**',
                          case when i % 8 = 0 then concat('\\n`', {contract}, '.', {function}, '` · Confidence: 80') else '' end)
       when 1 then concat('### [', {severity}, '] ', {title},
                          case when i % 8 = 0 then concat(' — ', {contract}, '.sol:', i) else '' end)

@@ -242,14 +242,16 @@ def parse_codebases(files: DataFrame) -> DataFrame:
 
 
 def condition_names(condition_id: Column, kind: Column) -> dict[str, Column]:
-    """Label (words capitalised, the rest as written) and subtitle; null kind means not configured."""
+    """Label (a capital wherever an ASCII word starts, the rest as written) and subtitle; null kind: not configured."""
     words = F.transform(
-        F.split(F.regexp_replace(condition_id, "[-_]", " "), " "),
-        lambda word: F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, 2, 2**31 - 1)),
+        F.split(F.regexp_replace(condition_id, "[-_]", " "), "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])"),
+        lambda word: F.when(
+            word.rlike("^[a-z]"), F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, 2, 2**31 - 1))
+        ).otherwise(word),
     )
     return {
         "label": F.when(kind == "bare", "Bare CC")
-        .when(kind.isNotNull(), F.array_join(words, " "))
+        .when(kind.isNotNull(), F.array_join(words, ""))
         .otherwise(condition_id),
         "subtitle": F.when(kind == "bare", "No skill, audit prompt only")
         .when(kind.isNotNull(), F.concat(condition_id, F.lit(" skill")))

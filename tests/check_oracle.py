@@ -66,7 +66,7 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     prefixes = tuple(sys.argv[2:])
     folder = sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
-    spark = local_session(8)
+    spark = local_session(4)
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(folder)
     failed = 0

@@ -148,10 +148,10 @@ def test_rule_matcher(rows):
     gt = rows([("cb", "H-01", 0, "Reentrancy in exit", "Pool", "reentrancy"), ("cb", "M-01", 1, "Fee is never capped", None, "other")],
               "codebase_id string, gt_id string, gt_pos int, title string, contract string, vuln_type string")
     found = rows(
-        [("r", 1, "cb", "Drain", "pool::exit::reentrancy", "reentrancy"), ("r", 2, "cb", "Fee never capped", "gate::x", "other"),
-         ("r", 3, "cb", "Nothing alike", "gate::y", "other"), ("r", 4, "cb", "Vague", "unknown::vague", "other"),
-         ("r", 5, "zz", "Drain", "pool::exit::reentrancy", "reentrancy")],
-        "run_id string, finding_index int, codebase_id string, title string, root_cause string, vuln_type string")
+        [("r", 1, 1, "cb", "Drain", "pool::exit::reentrancy", "reentrancy"), ("r", 2, 2, "cb", "Fee never capped", "gate::x", "other"),
+         ("r", 3, 3, "cb", "Nothing alike", "gate::y", "other"), ("r", 4, 4, "cb", "Vague", "unknown::vague", "other"),
+         ("r", 5, 5, "zz", "Drain", "pool::exit::reentrancy", "reentrancy")],
+        "run_id string, position int, finding_index int, codebase_id string, title string, root_cause string, vuln_type string")
     got = {r.finding_index: (r.category, r.matched_gt_id, r.confidence) for r in matching.rule_matcher(found, gt).collect()}
     assert got == {1: ("matched", "H-01", "high"), 2: ("matched", "M-01", "medium"), 3: ("novel", None, "low"),
                    4: ("fp", None, "low"), 5: ("novel", None, "low")}

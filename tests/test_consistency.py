@@ -24,11 +24,11 @@ def evaluate(rows, groups, limit):
             runs.append(("cb", condition, run, True, True))
             labels += [(run, x) for x in ids] + [(run, None)] + [(run, x) for x in list(ids)[:1]]
     gt = rows([("cb", "x")], "codebase_id string, gt_id string")
-    out = consistency_jaccard(rows(runs, RUNS), rows(labels, LABELS), gt, max_subset_size=limit)
+    out = consistency_jaccard(rows(runs, RUNS), rows(labels, LABELS), gt, block=limit)
     return {r.condition_id: r.consistency for r in out.collect()}
 
 
-@pytest.mark.parametrize("limit", [10, 3, 0])
+@pytest.mark.parametrize("limit", [1, 3, 1024])
 def test_equals_all_pairs(rows, limit):
     rng = random.Random(11)
     universe = [f"G{i}" for i in range(9)]

@@ -1,6 +1,6 @@
 import pytest
 
-from gaugeline.operators import extraction
+from gaugeline.operators import extraction, judging
 
 STRUCTURED = """🔐 Security Review
 
@@ -153,6 +153,22 @@ def test_context_and_recovered(rows):
     assert got[("a", 1)].recovered is False
 
 
+def test_two_findings_under_one_number_keep_their_own_context(rows):
+    text = "🔐 Security Review\n[90] **1. First bug here**\nfirst body\n[80] **1. Second bug there**\nsecond body"
+    frame = rows([("a", text)], "run_id string, text string")
+    findings = extraction.extract_findings(frame)
+    assert [f["index"] for f in findings.collect()] == [1, 1]
+    contexts = {r.position: r.context.split("\n")[1] for r in extraction.finding_context(frame, findings).collect()}
+    assert contexts == {1: "first body", 3: "second body"}
+    gt = rows([("cb",)], "codebase_id string")
+    asked = judging.classify_requests(
+        findings.selectExpr("*", "'cb' as codebase_id"), extraction.finding_context(frame, findings), gt
+    )
+    assert sorted((r.position, r.finding_index, r.context.split("\n")[1]) for r in asked.collect()) == [
+        (1, 1, "first body"), (3, 1, "second body")
+    ]
+
+
 def test_narrative_and_assistant_text(rows):
     narratives = rows([("n", "130% of $12.5 and $250 at 40%")], "narrative_id string, text string")
     got = {(r.kind, r.value) for r in extraction.narrative_number_check(narratives).collect()}

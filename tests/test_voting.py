@@ -104,12 +104,19 @@ def test_dedup_equals_the_sequential_rule(rows):
     for run, counts in enumerate(itertools.product([1, 2, 3], repeat=4)):
         found = [(i, "H-01" if i != 2 else "H-02", c) for i, c in enumerate(counts)] + [(9, None, 1)]
         want[run] = sequential_dedup(found)
-        data += [(run, i, "matched" if g else "novel", g, c, f"{c}/3", "r") for i, g, c in found]
-    frame = rows(data, "run_id int, finding_index int, category string, matched_gt_id string, agreement_count int, agreement string, reasoning string")
+        data += [(run, i, 1, "matched" if g else "novel", g, c, f"{c}/3", "r") for i, g, c in found]
+    frame = rows(data, "run_id int, position int, finding_index int, category string, matched_gt_id string, agreement_count int, agreement string, reasoning string")
     got = voting.dedup_gt_match(frame).collect()
     assert len(got) == len(data)
     for r in got:
-        assert (r.category, r.matched_gt_id, r.reasoning) == want[r.run_id][r.finding_index]
+        assert (r.category, r.matched_gt_id, r.reasoning) == want[r.run_id][r.position]
+
+
+def test_three_matches_under_one_printed_number_keep_one(rows):
+    data = [("r", p, 1, "matched", "H-01", n, f"{n}/3", "why") for p, n in ((0, 2), (1, 3), (2, 3))]
+    frame = rows(data, "run_id string, position int, finding_index int, category string, matched_gt_id string, agreement_count int, agreement string, reasoning string")
+    got = {r.position: r.category for r in voting.dedup_gt_match(frame).collect()}
+    assert got == {0: "uncertain", 1: "matched", 2: "uncertain"}
 
 
 def test_vote_stability(votes):
