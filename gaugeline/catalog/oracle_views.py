@@ -397,8 +397,9 @@ select distinct user_id run_id, user_id%4 codebase_id, 'cb'||(user_id%4) conditi
 select r.*, coalesce(e.n,0) events, coalesce(e.inits,0) inits, coalesce(e.results,0)>0 done, e.stop_reason,
   coalesce(e.skills,0) skill_calls, case when e.first_init%50=0 then 'auditor' end leaked,
   coalesce(a.agents,0) agents, coalesce(a.ret,0) ret, coalesce(a.failed,0) failed, coalesce(a.thin,0) thin,
-  coalesce(b.bundles,0) bundles, coalesce(b.empty_now,0) empty_now, coalesce(b.was,0) was, coalesce(x.n,0) tool_errors
-from k_runs r left join (select run_id, count(*) n, count(*) filter (kind='signup') inits,
+  coalesce(b.bundles,0) bundles, coalesce(b.empty_now,0) empty_now, coalesce(b.was,0) was, coalesce(x.n,0) tool_errors,
+  sc.in_scope_files, sc.files_read, sc.in_scope_read, sc.out_of_scope_read, coalesce(om.n,0) mentions
+from k_runs r left join k_compliance sc using (run_id) left join (select run_id, count(*) n from k_mentions group by 1) om using (run_id) left join (select run_id, count(*) n, count(*) filter (kind='signup') inits,
     count(*) filter (kind='purchase') results, count(*) filter (kind='click' and seq%4=2) skills,
     min(seq) filter (kind='signup') first_init,
     case when min(seq) filter (kind='purchase')%5=0 then 'max_turns' else 'end_turn' end stop_reason from k_events group by 1) e using (run_id)
@@ -409,12 +410,34 @@ left join (select run_id, count(*) bundles, count(*) filter (lines=0) empty_now,
 left join (select run_id, count(*) n from k_errors group by 1) x using (run_id)""",
     "k_checks": """
 select run_id, unnest(['exit_code','not_timed_out','has_events','has_result','stop_reason','agents_spawned','agents_all_returned',
-    'agents_no_errors','agents_result_quality','no_skill_calls','bare_no_skill_visible','bundle_quality','has_output']) as "check",
+    'agents_no_errors','agents_result_quality','no_skill_calls','bare_no_skill_visible','bundle_quality','has_output',
+    'scope_no_oos_findings','scope_in_scope_read']) as "check",
   unnest([exit_code=0 or (exit_code=143 and done), not (timed_out and not done), events>0, done, stop_reason='end_turn',
     agents>=expected, ret=agents, failed=0, thin=0, skill_calls=0, leaked is null, empty_now=0,
-    coalesce(output_lines>=case when mode='skill' then 50 else 10 end, false)]) ok,
+    coalesce(output_lines>=case when mode='skill' then 50 else 10 end, false), mentions=0, in_scope_read>0]) ok,
+  unnest([exit_code::varchar, case when timed_out and not done then 'timed out' when timed_out then 'killed after completion'
+      else 'completed in time' end, events::varchar, case when done then stop_reason else 'no result event' end, stop_reason,
+    agents||'/'||expected, ret||'/'||agents, failed::varchar, thin::varchar, skill_calls::varchar, coalesce(leaked,'none'),
+    empty_now::varchar, coalesce(output_lines::varchar,'no stdout file'), mentions::varchar,
+    in_scope_read||'/'||in_scope_files||' in scope, '||files_read||' in total']) detail,
   unnest([true,true,true,true,done,mode='skill',mode='skill',mode='skill',mode='skill',mode<>'skill',mode='bare' and inits>0,
-    mode='skill' and bundles>0,true]) applies from k_facts""",
+    mode='skill' and bundles>0,true,in_scope_files is not null,in_scope_files is not null]) applies from k_facts""",
+    "k_oos_names": """
+select distinct codebase_id, replace(split_part(path,'/',-1),'.sol','') "name" from k_scope
+where not in_scope and path like '%.sol' and length(replace(split_part(path,'/',-1),'.sol',''))>4
+  and replace(split_part(path,'/',-1),'.sol','') not in ('Errors','Utils','Base','Common','Constants','Types','Events',
+    'Helpers','Math','SafeMath','Context','Storage','Proxy','Test')""",
+    "k_mentions": r"""
+select run_id, "name" from r_reports r join k_oos_names n on n.codebase_id=r.run_id%4
+where regexp_matches(text, '(?i)\b'||"name"||'\.sol\b') or regexp_matches(text, '(?i)\bcontract\s+'||"name"||'\b')
+  or regexp_matches(text, '(?i)\bfinding[^\n]*\b'||"name"||'\b')""",
+    "k_compliance": """
+select r.run_id, r.codebase_id, r.mode, l.n in_scope_files, coalesce(c.files_read,0) files_read,
+  coalesce(c.i,0) in_scope_read, coalesce(c.o,0) out_of_scope_read, coalesce(c.i,0)>0 ok
+from k_runs r join (select codebase_id, count(*) n from k_scope where in_scope group by 1) l using (codebase_id)
+left join (select run_id, count(*) files_read, count(*) filter (i) i, count(*) filter (o) o from (
+  select k.run_id, k.path, bool_or(in_scope) i, bool_or(not in_scope) o from k_reads k
+  left join k_scope s on s.codebase_id=k.run_id%4 and s.path=k.path group by 1,2) group by 1) c using (run_id)""",
     "k_scope": """
 select distinct p_size%4 codebase_id, case when p_partkey%2=0 then 'contracts/' else 'lib/contracts/' end||
   ['F1','F2','F12','F31','Vault','Router','TokenSale','Errors','PriceOracle','Bridge','Ledger'][1+p_partkey%11]||

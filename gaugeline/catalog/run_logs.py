@@ -20,7 +20,12 @@ def _blocks(t):
 
 
 def _facts(t):
-    return logs.run_facts(s.logged_runs(t), _events(t), s.output_lines(t))
+    """Facts with the scope checks; a run's text is the report of its number."""
+    events, runs, listed = _events(t), s.logged_runs(t), s.scope_lists(t)
+    blocks = logs.checked_blocks(events)
+    compliance = scope.scope_compliance(scope.files_read(blocks, runs), runs, listed)
+    mentions = scope.oos_mentions(s.reports(t), runs, scope.oos_names(listed))
+    return logs.run_facts(runs, events, s.output_lines(t), compliance, mentions, blocks)
 
 
 @register("a3_scan_events", "select run_id, seq, kind from k_events")
@@ -68,11 +73,11 @@ def session_inits(t):
 
 
 def _checks(t, *names):
-    return logs.check_rows(_facts(t)).filter(F.col("check").isin(*names)).select("run_id", "check", "ok")
+    return logs.check_rows(_facts(t)).filter(F.col("check").isin(*names))
 
 
 def _checks_sql(*names):
-    return f"""select run_id, "check", ok from k_checks where applies and "check" in ({', '.join(f"'{n}'" for n in names)})"""
+    return f"""select run_id, "check", ok, detail from k_checks where applies and "check" in ({', '.join(f"'{n}'" for n in names)})"""
 
 
 @register("k5_check_exit_timeout", _checks_sql("exit_code", "not_timed_out"))
@@ -103,6 +108,14 @@ def check_output(t):
     return _checks(t, "has_output")
 
 
+SCOPE_CHECKS = ("scope_no_oos_findings", "scope_in_scope_read")
+
+
+@register("k10_scope_checks", _checks_sql(*SCOPE_CHECKS))
+def check_scope(t):
+    return _checks(t, *SCOPE_CHECKS)
+
+
 @register("k10_verify_runs", """
 select run_id, bool_and(ok) passed, count(*) checks, count(*) filter (not ok) failed from k_checks where applies group by 1""")
 def verify_runs(t):
@@ -119,7 +132,8 @@ def suite_summary(t):
 @register("k10_warnings", """
 select run_id, 'tool_errors' warning, tool_errors amount from k_facts where tool_errors>0
 union all select run_id, 'bundle_retry', was from k_facts where mode='skill' and was>0 and empty_now=0
-union all select run_id, 'restarted_session', inits from k_facts where inits>1""")
+union all select run_id, 'restarted_session', inits from k_facts where inits>1
+union all select run_id, mode||'_read_out_of_scope', out_of_scope_read from k_facts where out_of_scope_read>0""")
 def warnings(t):
     return logs.warning_rows(_facts(t))
 
@@ -185,22 +199,12 @@ def scoped_sizes(t):
     return scope.scoped_sizes(picked, files)
 
 
-NAMES_SQL = """
-select distinct codebase_id, replace(split_part(path,'/',-1),'.sol','') "name" from k_scope
-where not in_scope and path like '%.sol' and length(replace(split_part(path,'/',-1),'.sol',''))>4
-  and replace(split_part(path,'/',-1),'.sol','') not in ('Errors','Utils','Base','Common','Constants','Types','Events',
-    'Helpers','Math','SafeMath','Context','Storage','Proxy','Test')"""
-
-
-@register("j2_oos_names", NAMES_SQL)
+@register("j2_oos_names", "select * from k_oos_names")
 def oos_names(t):
     return scope.oos_names(s.scope_lists(t))
 
 
-@register("j3_oos_mentions", f"""
-select run_id, "name" from r_reports r join ({NAMES_SQL}) n on n.codebase_id=r.run_id%4
-where regexp_matches(text, '(?i)\\b'||"name"||'\\.sol\\b') or regexp_matches(text, '(?i)\\bcontract\\s+'||"name"||'\\b')
-  or regexp_matches(text, '(?i)\\bfinding[^\\n]*\\b'||"name"||'\\b')""")
+@register("j3_oos_mentions", "select * from k_mentions")
 def oos_mentions(t):
     return scope.oos_mentions(s.reports(t), s.report_runs(t), scope.oos_names(s.scope_lists(t)))
 
@@ -210,13 +214,7 @@ def files_read(t):
     return scope.files_read(_blocks(t), s.logged_runs(t))
 
 
-@register("j5_scope_compliance", """
-select r.run_id, r.codebase_id, r.mode, l.n in_scope_files, coalesce(c.files_read,0) files_read,
-  coalesce(c.i,0) in_scope_read, coalesce(c.o,0) out_of_scope_read, coalesce(c.i,0)>0 ok
-from k_runs r join (select codebase_id, count(*) n from k_scope where in_scope group by 1) l using (codebase_id)
-left join (select run_id, count(*) files_read, count(*) filter (i) i, count(*) filter (o) o from (
-  select k.run_id, k.path, bool_or(in_scope) i, bool_or(not in_scope) o from k_reads k
-  left join k_scope s on s.codebase_id=k.run_id%4 and s.path=k.path group by 1,2) group by 1) c using (run_id)""")
+@register("j5_scope_compliance", "select * from k_compliance")
 def scope_compliance(t):
     reads = scope.files_read(_blocks(t), s.logged_runs(t))
     return scope.scope_compliance(reads, s.logged_runs(t), s.scope_lists(t))

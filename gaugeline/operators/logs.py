@@ -221,20 +221,44 @@ def bundle_facts(bundles: DataFrame) -> DataFrame:
     )
 
 
-def run_facts(runs: DataFrame, events: DataFrame, output_lines: DataFrame) -> DataFrame:
-    """Everything the checks need, one row per run.
-
-    ``runs`` holds run_id, mode, exit_code, timed_out and expected_min_agents; ``output_lines`` run_id, output_lines.
-    """
-    blocks = cut_lineage(
+def checked_blocks(events: DataFrame) -> DataFrame:
+    """The message blocks with what the checks read of them, written once."""
+    return cut_lineage(
         content_blocks(events).select(
             "run_id", "seq", "pos", "event_type", "type", "name", "id", "input", "tool_use_id", "is_error",
             "result_lines", "error_text", "bundle_reports",
         )
     )
+
+
+def run_facts(
+    runs: DataFrame,
+    events: DataFrame,
+    output_lines: DataFrame,
+    compliance: DataFrame | None = None,
+    mentions: DataFrame | None = None,
+    blocks: DataFrame | None = None,
+) -> DataFrame:
+    """Everything the checks need, one row per run.
+
+    ``runs`` holds run_id, mode, exit_code, timed_out and expected_min_agents; ``output_lines`` run_id, output_lines.
+    ``compliance`` (of ``scope.scope_compliance``) has a row for every run of a codebase with a scope list, ``mentions``
+    (of ``scope.oos_mentions``) the out-of-scope names in its text; without them no scope check applies. ``blocks`` are
+    the ``checked_blocks`` of the events if they exist already.
+    """
+    if blocks is None:
+        blocks = checked_blocks(events)
     counts = ["events", "inits", "skill_calls", "agents", "agents_returned", "agents_failed", "agents_thin",
               "bundles", "bundles_empty", "bundles_were_empty", "tool_errors"]
     errors = tool_errors(blocks).groupBy("run_id").agg(F.count("*").alias("tool_errors"))
+    scope_columns = ["in_scope_files", "files_read", "in_scope_read", "out_of_scope_read"]
+    if compliance is None:
+        no_scope = [F.lit(None).cast("long").alias(c) for c in (*scope_columns, "oos_mentions")]
+        runs = runs.select("*", *no_scope)
+    else:
+        named = mentions.groupBy("run_id").agg(F.count("*").alias("oos_mentions"))
+        runs = runs.join(compliance.select("run_id", *scope_columns), "run_id", "left").join(named, "run_id", "left")
+        counts = [*counts, "oos_mentions"]
     return (
         runs.join(event_facts(events), "run_id", "left")
         .join(agent_facts(agent_spans(blocks)), "run_id", "left")
@@ -257,6 +281,7 @@ def check_rows(facts: DataFrame) -> DataFrame:
     skill, bare = col("mode") == "skill", col("mode") == "bare"
     done = col("has_result")
     late = col("timed_out") & ~done
+    scoped = col("in_scope_files").isNotNull()
     expected = F.coalesce("expected_min_agents", F.lit(EXPECTED_MIN_AGENTS))
     wanted_lines = F.when(skill, MIN_OUTPUT_LINES["skill"]).otherwise(MIN_OUTPUT_LINES["bare"])
     checks = [
@@ -291,12 +316,22 @@ def check_rows(facts: DataFrame) -> DataFrame:
             F.coalesce(col("output_lines") >= wanted_lines, F.lit(False)),
             F.coalesce(col("output_lines").cast("string"), F.lit("no stdout file")),
         ),
+        _check("scope_no_oos_findings", F.coalesce(col("oos_mentions") == 0, F.lit(True)), col("oos_mentions"), scoped),
+        _check(
+            "scope_in_scope_read",
+            col("in_scope_read") > 0,
+            F.concat("in_scope_read", F.lit("/"), "in_scope_files", F.lit(" in scope, "), "files_read", F.lit(" in total")),
+            scoped,
+        ),
     ]
     return facts.select("run_id", F.inline(F.array_compact(F.array(*checks))))
 
 
 def warning_rows(facts: DataFrame) -> DataFrame:
-    """Warnings that do not fail a run: tool errors, bundles that had to be rebuilt, restarted sessions."""
+    """Warnings that do not fail a run: tool errors, rebuilt bundles, restarted sessions, reads out of scope by mode.
+
+    The single tool errors behind a count are the rows of ``tool_errors``.
+    """
     col = F.col
     retried = (col("mode") == "skill") & (col("bundles_were_empty") > 0) & (col("bundles_empty") == 0)
 
@@ -307,6 +342,10 @@ def warning_rows(facts: DataFrame) -> DataFrame:
         warning("tool_errors", "tool_errors", col("tool_errors") > 0),
         warning("bundle_retry", "bundles_were_empty", retried),
         warning("restarted_session", "inits", col("inits") > 1),
+        *[
+            warning(f"{mode}_read_out_of_scope", "out_of_scope_read", (col("mode") == mode) & (col("out_of_scope_read") > 0))
+            for mode in ("skill", "bare")
+        ],
     ]
     return facts.select("run_id", F.inline(F.array_compact(F.array(*found))))
 
