@@ -53,9 +53,8 @@ select c.codebase_id, c.cluster_id, 'Title: '||any_value(c.title)||chr(10)||'Cla
 from s_clusters c join picked p on p.codebase_id=c.codebase_id and p.cluster_id=c.cluster_id
 join files f on f.codebase_id=p.codebase_id and f.path=p.path group by c.codebase_id, c.cluster_id, p.level"""))
 def validate_requests(t):
-    picked, source_files = _scoped(t)
     clusters = s.clusters(t).withColumn("reasoning", F.lit("seen"))
-    return judging.validate_requests(clusters, scope.scoped_sizes(picked, source_files))
+    return judging.validate_requests(clusters, scope.scoped_sizes(*_scoped(t)))
 
 
 def _responses(t):

@@ -13,6 +13,7 @@ register = Registry()
 # Longer limits than the defaults, to suit the spacing of the stand-in events.
 GRACE_MS = 12 * 3600 * 1000
 TIMEOUT_MS = 3 * 24 * 3600 * 1000
+LONG_MS = 10 * 365 * 24 * 3600 * 1000
 
 
 def _stream(t):
@@ -34,19 +35,35 @@ select run_id, 'turns' counter, count(*) n from k_events where kind='click' and
 union all select run_id, 'tool:'||tool, count(*) from k_uses group by 1,2
 union all select run_id, 'spawns', count(*) from k_uses where tool='Agent' group by 1""")
 def live_counters(t):
-    rows = monitor.run_to_table(monitor.live_counters(_stream(t)), "update")
-    return monitor.latest_updates(rows, ["run_id", "counter"])
+    return monitor.counter_totals(_counter_rows(t))
 
 
-@register("l3_active_agents", """
-select run_id, 't'||tid tool_use_id, coalesce(arg_max(spawn, seq), false) is_open, count(*) filter (spawn) spawns,
+def _counter_rows(t):
+    return monitor.run_to_table(monitor.live_counters(_stream(t), width="1 day"), "update")
+
+
+def _agent_rows(t):
+    return monitor.run_to_table(monitor.active_agents(_stream(t), LONG_MS), "update")
+
+
+AGENTS = """select run_id, 't'||tid tool_use_id, coalesce(arg_max(spawn, seq), false) is_open, count(*) filter (spawn) spawns,
   count(*) filter (not spawn and before) "returns"
 from (select *, lag(spawn) over (partition by run_id, tid order by seq) before from (
   select run_id, tid, seq, true spawn from k_uses where tool='Agent' union all select run_id, tid, seq, false from k_results))
-group by 1,2""")
+group by 1,2"""
+
+
+@register("l3_active_agents", AGENTS)
 def active_agents(t):
-    rows = monitor.run_to_table(monitor.active_agents(_stream(t)), "update")
-    return monitor.latest_updates(rows, ["run_id", "tool_use_id"])
+    return monitor.agent_totals(_agent_rows(t))
+
+
+@register("l3_agent_returns", f"""
+select run_id, 'returns' counter, sum("returns")::bigint n from ({AGENTS}) group by 1""")
+def agent_returns(t):
+    """The returns counter of each run."""
+    totals = monitor.agent_totals(_agent_rows(t))
+    return totals.groupBy("run_id").agg(F.sum("returns").alias("n")).select("run_id", F.lit("returns").alias("counter"), "n")
 
 
 LIFE = f"""/*with*/marks as (select user_id run_id, event_id seq, epoch_us(ts)//1000 ms, event_type='purchase' is_result from events
@@ -63,7 +80,7 @@ phases as (
 
 
 def _phases(t):
-    return monitor.run_to_table(monitor.life_cycle(_stream(t), GRACE_MS, TIMEOUT_MS, "0 seconds"), "append").drop("batch")
+    return monitor.run_to_table(monitor.life_cycle(_stream(t), GRACE_MS, TIMEOUT_MS, "0 seconds", LONG_MS), "append").drop("batch")
 
 
 @register("l4_result_grace", LIFE + "select * from phases where phase in ('result','restart','closed')")
@@ -77,14 +94,18 @@ def rate_limits(t):
     return monitor.run_to_table(monitor.rate_limits(_stream(t)).select("run_id", "seq", "status"), "append").drop("batch")
 
 
-@register("l6_run_done", """
+@register("l6_run_done", f"""
+select d.*, coalesce(a.returned,0) returned, coalesce(c.tools,'none') tools from (
 select run_id, count(*) filter (kind='purchase') results, arg_max(seq%30, seq) filter (kind='purchase') turns,
   count(*) filter (kind='click' and seq%4=0) agents, case when max(seq) filter (kind='purchase')%5=0 then 'max_turns' else 'end_turn' end stop_reason,
   max(seq) filter (kind='purchase')%400+0.25 cost_usd
-from k_events group by 1 having count(*) filter (kind='purchase')>0""")
+from k_events group by 1 having count(*) filter (kind='purchase')>0) d
+left join (select run_id, sum("returns")::bigint returned from ({AGENTS}) group by 1) a using (run_id)
+left join (select run_id, string_agg(tool||':'||n, ', ' order by tool) tools from (select run_id, tool, count(*) n from k_uses group by 1,2) group by 1) c
+using (run_id)""")
 def run_done(t):
-    rows = monitor.run_to_table(monitor.run_done(_stream(t)), "update")
-    return monitor.latest_updates(rows, ["run_id"])
+    progress = monitor.run_to_table(monitor.run_progress(_stream(t), width="1 day"), "update")
+    return monitor.run_done(progress, _counter_rows(t), _agent_rows(t))
 
 
 @register("l7_stuck_runs", LIFE + "select * from phases where phase='stuck'")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gaugeline.catalog.registry import Registry
 from gaugeline.operators import logs, scope
 from gaugeline.plans import standins as s
+from gaugeline.session import cut_lineage
 
 register = Registry()
 
@@ -164,6 +165,7 @@ picked as (
 
 
 def _scoped(t):
+    """(levels, files, source files) of the stand-in clusters."""
     path = F.concat(F.lit("src/"), "p_brand", F.lit("/P"), "p_partkey", F.lit(".sol"))
     files = t.part.select(
         (F.col("p_partkey") % 5).alias("codebase_id"),
@@ -181,22 +183,38 @@ def _scoped(t):
         F.when(F.col("n") % 3 == 0, F.array(own, F.lit("src/absent.sol"))).alias("relevant_files"),
     )
     files = files.drop("p_partkey")
-    return scope.scoped_files(clusters, listed, files), files
+    levels = cut_lineage(scope.scoped_levels(clusters, listed, files))
+    return levels, scope.scoped_files(levels, clusters, listed, files), files
 
 
-@register("j1_scoped_source", f"/*with*/{SOURCES}/*end*/select codebase_id, cluster_id, level, path from picked")
-def scoped_source(t):
+@register("j1_scope_levels", f"/*with*/{SOURCES}/*end*/select distinct codebase_id, cluster_id, level from picked")
+def scope_levels(t):
     return _scoped(t)[0]
 
 
+SHARED_FILES = """select distinct codebase_id, level, case when level=1 then cluster_id end cluster_id, path from picked"""
+
+
+@register("j1_scoped_source", f"/*with*/{SOURCES}/*end*/{SHARED_FILES}")
+def scoped_source(t):
+    return _scoped(t)[1]
+
+
+@register("j1_scoped_sections", f"""/*with*/{SOURCES}/*end*/
+select p.codebase_id, p.level, p.cluster_id, p.path, '// ═══ '||p.path||' ═══'||chr(10)||chr(10)||f.content "section"
+from ({SHARED_FILES}) p join files f on f.codebase_id=p.codebase_id and f.path=p.path""")
+def scoped_sections(t):
+    _, picked, files = _scoped(t)
+    return scope.scoped_sections(picked, files)
+
+
 @register("j1_scoped_sizes", f"""/*with*/{SOURCES}/*end*/
 select p.codebase_id, cluster_id, level, count(*) files,
   (sum(length('// ═══ '||p.path||' ═══')+2+length(f.content))+2*(count(*)-1))::bigint chars,
   level=3 and sum(length('// ═══ '||p.path||' ═══')+2+length(f.content))+2*(count(*)-1)>200000 too_large
 from picked p join files f on f.codebase_id=p.codebase_id and f.path=p.path group by 1,2,3""")
 def scoped_sizes(t):
-    picked, files = _scoped(t)
-    return scope.scoped_sizes(picked, files)
+    return scope.scoped_sizes(*_scoped(t))
 
 
 @register("j2_oos_names", "select * from k_oos_names")

@@ -6,6 +6,8 @@ facts are aggregates that combine map-side, so one very long run does not end up
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +61,8 @@ def result_text(content: Column, separator: str, only_text: bool) -> Column:
     return F.coalesce(F.when(is_string, F.try_variant_get(content, "$", "string")).otherwise(joined), F.lit(""))
 
 
-def content_blocks(events: DataFrame) -> DataFrame:
-    """One row per message block, with the event type it came in.
+def content_blocks(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per message block, with the event type it came in and the event's columns named in ``keep``.
 
     Of a tool result's content only what the checks need is kept: its line count, the start of an error text, the
     bundle lines it reports and its size. Columns that are not used are never computed.
@@ -68,10 +70,11 @@ def content_blocks(events: DataFrame) -> DataFrame:
     blocks = events.select(
         "run_id",
         "seq",
+        *keep,
         F.col("type").alias("event_type"),
         "parent_tool_use_id",
         F.posexplode("message.content").alias("pos", "b"),
-    ).select("run_id", "seq", "pos", "event_type", "parent_tool_use_id", "b.*")
+    ).select("run_id", "seq", *keep, "pos", "event_type", "parent_tool_use_id", "b.*")
     content = F.col("content")
     is_result = (F.col("event_type") == "user") & (F.col("type") == "tool_result")
     whole = result_text(content, "\n", only_text=False)

@@ -22,49 +22,83 @@ LARGE_SOURCE_CHARS = 200_000
 CANARY = r"BENCHMARK_CANARY_[A-Z0-9_-]+_[a-z0-9]+"
 
 
-def scoped_files(clusters: DataFrame, scope: DataFrame, source_files: DataFrame) -> DataFrame:
-    """The source files a cluster is judged on: (codebase_id, cluster_id, level, path).
+def scoped_levels(clusters: DataFrame, scope: DataFrame, source_files: DataFrame) -> DataFrame:
+    """What each cluster is judged on: (codebase_id, cluster_id, level); clusters without any source have no row.
 
-    Level 1 are the cluster's own relevant files that exist, level 2 the scope list, level 3 every file. Contents are
-    not copied per cluster; ``scoped_sections`` adds them.
+    Level 1 are the cluster's own relevant files that exist, level 2 the scope list, level 3 every file.
     """
     keys = ["codebase_id", "cluster_id"]
-    files = source_files.select("codebase_id", "path")
-    own = (
-        clusters.select(*keys, F.explode("relevant_files").alias("path"))
-        .join(files, ["codebase_id", "path"], "left_semi")
+    own = _own_files(clusters, source_files).select(*keys).distinct().withColumn("_own", F.lit(True))
+    listed = _listed_files(scope, source_files).select("codebase_id").distinct().withColumn("_listed", F.lit(True))
+    present = source_files.select("codebase_id").distinct().withColumn("_present", F.lit(True))
+    level = F.when(F.col("_own"), 1).when(F.col("_listed"), 2).when(F.col("_present"), 3)
+    return (
+        clusters.select(*keys)
+        .join(own, keys, "left")
+        .join(broadcast_if_small(listed), "codebase_id", "left")
+        .join(broadcast_if_small(present), "codebase_id", "left")
+        .select(*keys, level.alias("level"))
+        .filter(F.col("level").isNotNull())
+    )
+
+
+def _own_files(clusters: DataFrame, source_files: DataFrame) -> DataFrame:
+    return (
+        clusters.select("codebase_id", "cluster_id", F.explode("relevant_files").alias("path"))
+        .join(source_files.select("codebase_id", "path"), ["codebase_id", "path"], "left_semi")
         .distinct()
     )
-    without_own = clusters.select(*keys).join(own.select(*keys).distinct(), keys, "left_anti")
+
+
+def _listed_files(scope: DataFrame, source_files: DataFrame) -> DataFrame:
     listed = scope.filter(F.col("in_scope") & F.col("path").endswith(".sol")).select("codebase_id", "path").distinct()
-    listed = listed.join(files, ["codebase_id", "path"], "left_semi")
-    scoped = without_own.join(listed, "codebase_id")
-    unscoped = without_own.join(listed.select("codebase_id").distinct(), "codebase_id", "left_anti")
-    everything = unscoped.join(files, "codebase_id")
-    return (
-        own.select(*keys, F.lit(1).alias("level"), "path")
-        .unionByName(scoped.select(*keys, F.lit(2).alias("level"), "path"))
-        .unionByName(everything.select(*keys, F.lit(3).alias("level"), "path"))
+    return listed.join(source_files.select("codebase_id", "path"), ["codebase_id", "path"], "left_semi")
+
+
+def scoped_files(levels: DataFrame, clusters: DataFrame, scope: DataFrame, source_files: DataFrame) -> DataFrame:
+    """The files of each level in use: (codebase_id, level, cluster_id, path).
+
+    Own files are listed per cluster. The scope list and the whole source are the same for all clusters of a codebase
+    and listed once, with a null cluster_id, so the rows grow with clusters plus files.
+    """
+    used = broadcast_if_small(levels.select("codebase_id", "level").distinct())
+    nobody = F.lit(None).cast(clusters.schema["cluster_id"].dataType).alias("cluster_id")
+    shared = (
+        _listed_files(scope, source_files)
+        .select("codebase_id", F.lit(2).alias("level"), nobody, "path")
+        .unionByName(source_files.select("codebase_id", F.lit(3).alias("level"), nobody, "path"))
+        .join(used, ["codebase_id", "level"], "left_semi")
     )
+    own = _own_files(clusters, source_files).select("codebase_id", F.lit(1).alias("level"), "cluster_id", "path")
+    return own.unionByName(shared)
 
 
 def scoped_sections(files: DataFrame, source_files: DataFrame) -> DataFrame:
-    """The judged source, one section with a path banner per row."""
+    """The judged source, one section with a path banner per row of ``scoped_files``."""
     section = F.concat(F.lit("// ═══ "), "path", F.lit(" ═══\n\n"), "content")
     return files.join(source_files, ["codebase_id", "path"]).select(
-        "codebase_id", "cluster_id", "level", "path", section.alias("section")
+        "codebase_id", "level", "cluster_id", "path", section.alias("section")
     )
 
 
-def scoped_sizes(files: DataFrame, source_files: DataFrame) -> DataFrame:
+def scoped_sizes(levels: DataFrame, files: DataFrame, source_files: DataFrame) -> DataFrame:
     """Files and characters per cluster; ``too_large`` warns when an unscoped source is very long."""
     banner = F.length(F.concat(F.lit("// ═══ "), "path", F.lit(" ═══\n\n")))
     sizes = source_files.select("codebase_id", "path", (banner + F.length("content")).alias("chars"))
     total = F.sum("chars") + 2 * (F.count("*") - 1)
-    return (
+    keys = ["codebase_id", "level"]
+    totals = (
         files.join(sizes, ["codebase_id", "path"])
-        .groupBy("codebase_id", "cluster_id", "level")
+        .groupBy(*keys, "cluster_id")
         .agg(F.count("*").alias("files"), total.alias("chars"))
+    )
+    own = levels.filter("level = 1").join(totals.filter("level = 1"), [*keys, "cluster_id"])
+    shared = levels.filter("level > 1").join(
+        broadcast_if_small(totals.filter("level > 1").drop("cluster_id")), keys
+    )
+    return (
+        own.unionByName(shared)
+        .select("codebase_id", "cluster_id", "level", "files", "chars")
         .withColumn("too_large", (F.col("level") == 3) & (F.col("chars") > LARGE_SOURCE_CHARS))
     )
 

@@ -1,8 +1,9 @@
 """Live monitoring of run events with Structured Streaming.
 
 Input streams hold run_id, seq, ts, raw (one JSON event per row, in order per run). Counting uses built-in streaming
-aggregates. Only what depends on order and time within a key runs in Python state: open agents (keyed by run and call,
-so a long run spreads over many keys) and the life cycle of a run (fed by its few init and result events).
+aggregates over time slices. Only what depends on order and time within a key runs in Python state: open agents (keyed
+by run and call, so a long run spreads over many keys) and the life cycle of a run (fed by its few init and result
+events). All state ends: slices behind the watermark, returned or abandoned calls, and runs that are over.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import sys
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -27,6 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Grace after the result and the time limit of a run.
 RESULT_GRACE_MS = 15_000
 RUN_TIMEOUT_MS = 10 * 60 * 1000
+KEEP_CLOSED_MS = 60 * 60 * 1000
 
 
 def stream_events(lines: DataFrame) -> DataFrame:
@@ -42,8 +45,16 @@ def rate_limits(events: DataFrame) -> DataFrame:
     return events.filter(limited & ~status.eqNullSafe("allowed")).select("run_id", "seq", "ts", status.alias("status"))
 
 
-def live_counters(events: DataFrame) -> DataFrame:
-    """Running counts per run: turns, agent spawns and calls per tool, as (run_id, counter, n)."""
+def _windowed(events: DataFrame, delay: str, width: str) -> DataFrame:
+    """Events with the time slice they count in; a slice's state goes once the watermark has passed its end."""
+    return events.withWatermark("ts", delay).withColumn("slice", F.window("ts", width))
+
+
+def live_counters(events: DataFrame, delay: str = "1 minute", width: str = "1 hour") -> DataFrame:
+    """Running counts per run and time slice: turns, agent spawns and calls per tool, as (run_id, counter, since, n).
+
+    ``counter_totals`` adds the slices up. Events further behind the newest one than slice and ``delay`` do not count.
+    """
     assistant = (F.col("type") == "assistant") & F.col("message.content").isNotNull()
     calls = F.filter("message.content", lambda block: block["type"] == "tool_use")
     counters = F.concat(
@@ -52,58 +63,115 @@ def live_counters(events: DataFrame) -> DataFrame:
         F.transform(F.filter(calls, lambda block: block["name"] == "Agent"), lambda block: F.lit("spawns")),
     )
     return (
-        events.filter(assistant)
-        .select("run_id", F.explode(counters).alias("counter"))
-        .groupBy("run_id", "counter")
+        _windowed(events.filter(assistant).select("run_id", "ts", F.explode(counters).alias("counter")), delay, width)
+        .groupBy("slice", "run_id", "counter")
         .agg(F.count("*").alias("n"))
+        .select("run_id", "counter", F.col("slice.start").alias("since"), "n")
     )
 
 
-def run_done(events: DataFrame) -> DataFrame:
-    """Summary of every run that has a result: turns, agents, stop reason and cost."""
+def counter_totals(rows: DataFrame) -> DataFrame:
+    """(run_id, counter, n) over all slices of a written ``live_counters`` stream."""
+    return latest_updates(rows, ["run_id", "counter", "since"]).groupBy("run_id", "counter").agg(F.sum("n").alias("n"))
+
+
+def run_progress(events: DataFrame, delay: str = "1 minute", width: str = "1 hour") -> DataFrame:
+    """Per run and time slice: results and the last of them, own turns and agent spawns."""
     is_result = F.col("type") == "result"
-    at_result = F.when(is_result, F.col("seq"))
     assistant = (F.col("type") == "assistant") & F.col("message.content").isNotNull()
-    agents = F.size(
-        F.filter("message.content", lambda b: (b["type"] == "tool_use") & (b["name"] == "Agent"))
-    )
+    agents = F.size(F.filter("message.content", lambda b: (b["type"] == "tool_use") & (b["name"] == "Agent")))
+    last = F.when(is_result, F.struct("seq", "num_turns", "stop_reason", "total_cost_usd"))
     return (
-        events.groupBy("run_id")
+        _windowed(events, delay, width)
+        .groupBy("slice", "run_id")
         .agg(
             F.count_if(is_result).alias("results"),
-            F.coalesce(
-                F.max_by("num_turns", at_result), F.count_if(assistant & F.col("parent_tool_use_id").isNull())
-            ).alias("turns"),
+            F.count_if(assistant & F.col("parent_tool_use_id").isNull()).alias("own_turns"),
             F.coalesce(F.sum(F.when(assistant, agents)), F.lit(0)).cast("long").alias("agents"),
-            F.max_by("stop_reason", at_result).alias("stop_reason"),
-            F.max_by("total_cost_usd", at_result).alias("cost_usd"),
+            F.max(last).alias("last"),
+        )
+        .select("run_id", F.col("slice.start").alias("since"), "results", "own_turns", "agents", "last")
+    )
+
+
+def run_done(progress: DataFrame, counters: DataFrame, agents: DataFrame) -> DataFrame:
+    """Summary of every run that has a result, from the written streams of ``run_progress``, ``live_counters`` and
+    ``active_agents``: turns, agents, how many of them returned, calls per tool, stop reason and cost."""
+    returned = agent_totals(agents).groupBy("run_id").agg(F.sum("returns").alias("returned"))
+    calls = counter_totals(counters).filter(F.col("counter").startswith("tool:"))
+    listed = F.struct(F.substring("counter", 6, 2**31 - 1).alias("tool"), "n")
+    tools = calls.groupBy("run_id").agg(
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(listed)), lambda x: F.concat_ws(":", x["tool"], x["n"])), ", "
+        ).alias("tools")
+    )
+    return (
+        latest_updates(progress, ["run_id", "since"])
+        .groupBy("run_id")
+        .agg(
+            F.sum("results").alias("results"),
+            F.sum("own_turns").alias("own_turns"),
+            F.sum("agents").alias("agents"),
+            F.max("last").alias("last"),
         )
         .filter("results > 0")
+        .join(returned, "run_id", "left")
+        .join(tools, "run_id", "left")
+        .select(
+            "run_id",
+            "results",
+            F.coalesce("last.num_turns", "own_turns").alias("turns"),
+            "agents",
+            F.coalesce("returned", F.lit(0)).alias("returned"),
+            F.coalesce("tools", F.lit("none")).alias("tools"),
+            "last.stop_reason",
+            F.col("last.total_cost_usd").alias("cost_usd"),
+        )
     )
 
 
 AGENT_OUTPUT = "run_id long, tool_use_id string, is_open boolean, spawns long, returns long"
-AGENT_STATE = "is_open boolean, spawns long, returns long"
-
-
-def _track_agent(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A spawn opens the call id, the next result closes it; results of closed ids do not count."""
-    is_open, spawns, returns = state.get if state.exists else (False, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["seq", "pos"])
-    for is_spawn in rows["is_spawn"]:
-        if is_spawn:
-            is_open, spawns = True, spawns + 1
-        elif is_open:
-            is_open, returns = False, returns + 1
-    state.update((is_open, spawns, returns))
-    yield pd.DataFrame(
-        {"run_id": [key[0]], "tool_use_id": [key[1]], "is_open": [is_open], "spawns": [spawns], "returns": [returns]}
-    )
+AGENT_STATE = "since_ms long"
+
+
+def _track_agent(timeout_ms: int):
+    def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """A spawn opens the call id, the next result closes it; results of closed ids do not count.
 
+        Only open calls have state: it goes when the call returns, or when it has been open for too long.
+        """
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["seq", "pos"])
+        spawn = rows["is_spawn"].to_numpy(dtype=bool)
+        open_before = np.concatenate(([state.exists], spawn[:-1]))
+        if spawn[-1]:
+            since = int(rows["at_ms"].iloc[-1])
+            state.update((since,))
+            state.setTimeoutTimestamp(max(since + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(
+            {
+                "run_id": [key[0]],
+                "tool_use_id": [key[1]],
+                "is_open": [bool(spawn[-1])],
+                "spawns": [int(spawn.sum())],
+                "returns": [int((~spawn & open_before).sum())],
+            }
+        )
 
-def active_agents(events: DataFrame) -> DataFrame:
-    """Open agent calls with spawn and return counts per (run, call id), updated as events arrive."""
-    blocks = content_blocks(events)
+    return track
+
+
+def active_agents(events: DataFrame, timeout_ms: int = RUN_TIMEOUT_MS, delay: str = "1 minute") -> DataFrame:
+    """Agent calls per (run, call id) as they open and return, with the spawns and returns since the last update.
+
+    ``agent_totals`` adds the updates up. A call that is open for ``timeout_ms`` of event time is given up: a later
+    result of it does not count.
+    """
+    blocks = content_blocks(events.withWatermark("ts", delay), keep=["ts"])
     spawn = (F.col("event_type") == "assistant") & (F.col("type") == "tool_use") & (F.col("name") == "Agent")
     back = (F.col("event_type") == "user") & (F.col("type") == "tool_result")
     relevant = blocks.filter(spawn | back).select(
@@ -111,10 +179,19 @@ def active_agents(events: DataFrame) -> DataFrame:
         F.coalesce(F.when(spawn, F.col("id")).otherwise(F.col("tool_use_id")), F.lit("")).alias("tool_use_id"),
         "seq",
         "pos",
+        "ts",
+        F.unix_millis("ts").alias("at_ms"),
         spawn.alias("is_spawn"),
     )
     return relevant.groupBy("run_id", "tool_use_id").applyInPandasWithState(
-        _track_agent, AGENT_OUTPUT, AGENT_STATE, "update", GroupStateTimeout.NoTimeout
+        _track_agent(timeout_ms), AGENT_OUTPUT, AGENT_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def agent_totals(rows: DataFrame) -> DataFrame:
+    """(run_id, tool_use_id, is_open, spawns, returns) of a written ``active_agents`` stream."""
+    return rows.groupBy("run_id", "tool_use_id").agg(
+        F.max_by("is_open", "batch").alias("is_open"), F.sum("spawns").alias("spawns"), F.sum("returns").alias("returns")
     )
 
 
@@ -122,7 +199,7 @@ LIFE_OUTPUT = "run_id long, phase string, at_ms long"
 LIFE_STATE = "start_ms long, result_ms long, over boolean"
 
 
-def _life_cycle(grace_ms: int, timeout_ms: int):
+def _life_cycle(grace_ms: int, timeout_ms: int, keep_ms: int):
     def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, result, over = state.get if state.exists else (-1, -1, False)
         found = []
@@ -133,6 +210,9 @@ def _life_cycle(grace_ms: int, timeout_ms: int):
         def finish() -> None:
             found.append(("closed" if result >= 0 else "stuck", deadline()))
 
+        if state.hasTimedOut and over:  # nothing of the run is expected any more
+            state.remove()
+            return
         if state.hasTimedOut:
             finish()
             over = True
@@ -153,8 +233,8 @@ def _life_cycle(grace_ms: int, timeout_ms: int):
                 elif not is_result and result >= 0:
                     found.append(("restart", int(at)))
         state.update((start, result, over))
-        if not over:
-            state.setTimeoutTimestamp(max(deadline(), state.getCurrentWatermarkMs() + 1))
+        until = deadline() + (keep_ms if over else 0)
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {"run_id": [key[0]] * len(found), "phase": [p for p, _ in found], "at_ms": [a for _, a in found]}
         )
@@ -163,12 +243,18 @@ def _life_cycle(grace_ms: int, timeout_ms: int):
 
 
 def life_cycle(
-    events: DataFrame, grace_ms: int = RESULT_GRACE_MS, timeout_ms: int = RUN_TIMEOUT_MS, delay: str = "1 minute"
+    events: DataFrame,
+    grace_ms: int = RESULT_GRACE_MS,
+    timeout_ms: int = RUN_TIMEOUT_MS,
+    delay: str = "1 minute",
+    keep_ms: int = KEEP_CLOSED_MS,
 ) -> DataFrame:
     """Phases of each run: started, result, restart (an init within the grace), closed (grace over), stuck (no result).
 
-    Time is event time; marks that arrive more than ``delay`` behind the newest are too late to count. A run without result is stuck after ``timeout_ms``; one with a result closes ``grace_ms``
-    later, and events after that are ignored. Only init and result events reach the state.
+    Time is event time; marks that arrive more than ``delay`` behind the newest are too late to count. A run without
+    result is stuck after ``timeout_ms``; one with a result closes ``grace_ms`` later, and events after that are ignored.
+    A run that is over is remembered for ``keep_ms`` more and then forgotten, so the state holds recent runs only. Only
+    init and result events reach it.
     """
     init = (F.col("type") == "system") & (F.col("subtype") == "init")
     is_result = F.col("type") == "result"
@@ -178,7 +264,7 @@ def life_cycle(
         .select("run_id", "seq", "ts", F.unix_millis("ts").alias("at_ms"), is_result.alias("is_result"))
     )
     return marks.groupBy("run_id").applyInPandasWithState(
-        _life_cycle(grace_ms, timeout_ms), LIFE_OUTPUT, LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        _life_cycle(grace_ms, timeout_ms, keep_ms), LIFE_OUTPUT, LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -54,20 +54,22 @@ def stream(spark, batch_lines, tmp_path):
 
 
 def test_counters_and_summary(stream, tmp_path):
-    counters = monitor.latest_updates(
-        monitor.run_to_table(monitor.live_counters(stream), "update", str(tmp_path / "a")), ["run_id", "counter"])
-    assert {(r.run_id, r.counter): r.n for r in counters.collect()} == {
+    counts = monitor.run_to_table(monitor.live_counters(stream), "update", str(tmp_path / "a"))
+    assert {(r.run_id, r.counter): r.n for r in monitor.counter_totals(counts).collect()} == {
         (1, "turns"): 2, (1, "tool:Agent"): 3, (1, "tool:Read"): 1, (1, "spawns"): 3, (2, "turns"): 1}
-    done = monitor.latest_updates(monitor.run_to_table(monitor.run_done(stream), "update", str(tmp_path / "b")), ["run_id"])
-    got = {r.run_id: (r.turns, r.agents, r.stop_reason, r.cost_usd) for r in done.collect()}
-    assert got == {1: (9, 3, "end_turn", 1.5), 3: (9, 0, "end_turn", 1.5), 4: (9, 0, "end_turn", 1.5)}
+    progress = monitor.run_to_table(monitor.run_progress(stream), "update", str(tmp_path / "b"))
+    agents = monitor.run_to_table(monitor.active_agents(stream), "update", str(tmp_path / "d"))
+    done = monitor.run_done(progress, counts, agents)
+    got = {r.run_id: (r.turns, r.agents, r.returned, r.tools, r.stop_reason, r.cost_usd) for r in done.collect()}
+    assert got == {1: (9, 3, 2, "Agent:3, Read:1", "end_turn", 1.5), 3: (9, 0, 0, "none", "end_turn", 1.5),
+                   4: (9, 0, 0, "none", "end_turn", 1.5)}
     limited = monitor.run_to_table(monitor.rate_limits(stream), "append", str(tmp_path / "c"))
     assert [(r.run_id, r.status) for r in limited.collect()] == [(2, "rejected")]
 
 
 def test_open_agents_equal_the_batch_spans(stream, batch_lines, tmp_path):
     rows = monitor.run_to_table(monitor.active_agents(stream), "update", str(tmp_path / "a"))
-    state = {(r.run_id, r.tool_use_id): r for r in monitor.latest_updates(rows, ["run_id", "tool_use_id"]).collect()}
+    state = {(r.run_id, r.tool_use_id): r for r in monitor.agent_totals(rows).collect()}
     assert (state[(1, "a")].spawns, state[(1, "a")].returns, state[(1, "a")].is_open) == (2, 2, False)
     assert (state[(1, "b")].is_open, state[(1, "zz")].returns) == (True, 0)
     spans = logs.agent_spans(logs.content_blocks(logs.parse_events(batch_lines))).collect()
@@ -86,13 +88,42 @@ def test_life_cycle(stream, tmp_path):
     assert monitor.stuck_runs(rows).count() == 2 and monitor.result_grace(rows).count() == 5
 
 
+def state_sizes(stream, mode, folder):
+    query = (
+        stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.count())
+        .option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_state_ends(spark, rows, tmp_path):
+    """Every batch holds one run an hour later than the one before: state must not grow with the runs."""
+    source = tmp_path / "runs"
+    for run in range(6):
+        data = [(0, INIT), (1, assistant(use("a"))), (2, back("a")), (3, assistant(use("b"))), (9, DONE)]
+        at = START + dt.timedelta(hours=3 * run)
+        lines = [(run, run * 10 + i, at + dt.timedelta(seconds=s), json.dumps(e)) for i, (s, e) in enumerate(data)]
+        rows(lines, LINES).coalesce(1).write.mode("append").parquet(str(source))
+    reader = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1)
+    events = monitor.stream_events(reader.parquet(str(source)))
+    for name, (stream, mode) in {
+        "counters": (monitor.live_counters(events), "update"),
+        "progress": (monitor.run_progress(events), "update"),
+        "agents": (monitor.active_agents(events), "update"),
+        "life": (monitor.life_cycle(events), "append"),
+    }.items():
+        sizes = state_sizes(stream, mode, tmp_path / name)
+        assert max(sizes) <= 8 and any(b < a for a, b in zip(sizes, sizes[1:])), (name, sizes)
+
+
 def test_state_functions_run_where_the_package_is_missing(tmp_path):
     import subprocess
     import sys
 
     from pyspark import cloudpickle
 
-    for number, function in enumerate((monitor._track_agent, monitor._life_cycle(1, 2))):
+    for number, function in enumerate((monitor._track_agent(1), monitor._life_cycle(1, 2, 3))):
         file = tmp_path / f"f{number}"
         file.write_bytes(cloudpickle.dumps(function))
         code = f"from pyspark import cloudpickle; print(cloudpickle.loads(open({str(file)!r}, 'rb').read()).__name__)"
