@@ -37,7 +37,7 @@ def load_results(
     reports = files.parse_run_text(read("*.stdout.txt"))
     parsed = extraction.parse_results(reports).select("run_id", F.col("parsed").alias("findings_count"))
     chars = reports.select("run_id", F.length("text").alias("text_chars"))
-    costs = logs.run_cost(logs.parse_events(files.parse_event_lines(read("*.events.jsonl"))))
+    costs = logs.run_cost(logs.parse_events(files.read_event_lines(spark, results_dir)))
     label_files = read("*.classifications.json")
     classified = files.parse_classification_headers(label_files).select("run_id", F.lit(True).alias("is_classified"))
     runs = (

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline import schemas
+from gaugeline.functions.ordering import numbered
 from gaugeline.functions.text import trimmed
 from gaugeline.operators.refresh import USABLE_EXIT_CODES
 
@@ -87,8 +88,23 @@ def parse_run_text(files: DataFrame) -> DataFrame:
     return files.select(stem(".stdout.txt").alias("run_id"), F.col("content").alias("text"))
 
 
+def read_event_lines(spark: SparkSession, folder: str, pattern: str = "*.events.jsonl") -> DataFrame:
+    """Event log lines (run_id, seq, raw) in file order, read split by split, so a long log is many tasks.
+
+    A line's place is the start of its split and its order within it; exact numbers come from ``numbered``.
+    """
+    lines = spark.read.text(folder, pathGlobFilter=pattern).select(
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.col("value").alias("raw"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    placed = lines.select(stem(".events.jsonl").alias("run_id"), "split", "place", "raw")
+    return numbered(placed, ["run_id"], ["split", "place"], "seq").select("run_id", (F.col("seq") - 1).alias("seq"), "raw")
+
+
 def parse_event_lines(files: DataFrame) -> DataFrame:
-    """Event log lines in file order."""
+    """Event log lines in file order, out of whole files as (file, content); ``read_event_lines`` splits long logs."""
     return files.select(
         stem(".events.jsonl").alias("run_id"), F.posexplode(F.split("content", "\n")).alias("seq", "raw")
     ).withColumn("seq", F.col("seq").cast("long"))

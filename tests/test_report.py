@@ -171,10 +171,28 @@ def test_preflight_on_files(spark, folders):
     assert refresh.preflight(metas.filter("false"), chars, truth).first().reason == "no .meta.json files found"
 
 
-def test_condition_names(spark, folders):
-    rows = files.parse_conditions(files.read_files(spark, str(folders), "bench.json")).orderBy("position").collect()
-    assert [(r.label, r.subtitle) for r in rows] == [
+def test_condition_names(spark, folders, rows):
+    names = files.parse_conditions(files.read_files(spark, str(folders), "bench.json")).orderBy("position").collect()
+    assert [(r.label, r.subtitle) for r in names] == [
         ("Bare CC", "No skill, audit prompt only"), ("Skill X V2", "skill-x_v2 skill")]
+    frame = rows([("v2.beta-x", "skill"), ("(new) éa_b", "skill")], "condition_id string, type string")
+    label = files.condition_names(frame.condition_id, frame.type)["label"]
+    assert [r[0] for r in frame.select(label).collect()] == ["V2.Beta X", "(New) éA B"]
+
+
+def test_a_log_of_several_splits_keeps_its_order(spark, tmp_path):
+    for run in ("a", "b"):
+        (tmp_path / f"{run}.events.jsonl").write_text("".join(f"{run}{i}\n" for i in range(700)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        lines = files.read_event_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for run in ("a", "b"):
+        own = sorted((r.seq, r.raw) for r in lines if r.run_id == run)
+        assert own == [(i, f"{run}{i}") for i in range(700)]
 
 
 def test_scope_and_source_files(spark, tmp_path):
