@@ -15,11 +15,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import SPACES, written
+from gaugeline.llm.common import SPACES, with_small, written
 
 LEVELS = ["domain", "lang", "source"]
 BUCKET = 3  # hexadecimal digits of the seeded order that name a bucket
 UNKNOWN = "(none)"
+ONE_TASK_LEAVES = 100_000
 
 
 @dataclass(frozen=True)
@@ -98,7 +99,7 @@ def poured(nodes: DataFrame, parent: list[str], level: str, mix: Mix) -> DataFra
     settled = first.select("*", at_first("left").alias("open_left"), at_first("weights").alias("open_weights"))
     amount = F.when(
         F.col("first_open").isNull() | (F.col("place") < F.col("first_open")), F.col("supply")
-    ).otherwise(F.floor(big(F.col("open_left")) * big(F.col("weight")) / big(F.col("open_weights"))).cast("long"))
+    ).otherwise(F.expr("cast(open_left as decimal(19,0)) * cast(weight as decimal(19,0)) div open_weights"))
     return settled.withColumn("amount", amount).drop(
         "weight", "left", "weights", "place", "first_open", "open_left", "open_weights"
     )
@@ -107,10 +108,9 @@ def poured(nodes: DataFrame, parent: list[str], level: str, mix: Mix) -> DataFra
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """(domain, lang, source, tokens, amount): the tokens that every leaf has to give."""
     supplied = leaves.withColumn("supply", F.col("tokens") * mix.max_epochs)
-    total = F.floor(F.col("total") * mix.budget_percent / 100).cast("long")
-    level = supplied.groupBy("domain").agg(F.sum("supply").alias("supply"))
-    root = leaves.agg(F.sum("tokens").cast("decimal(19,0)").alias("total")).select(total.alias("budget"))
-    poured_level = poured(level.join(F.broadcast(root)), [], "domain", mix)  # one row on the other side
+    budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * mix.budget_percent // 100
+    level = supplied.groupBy("domain").agg(F.sum("supply").alias("supply")).withColumn("budget", F.lit(budget).cast("long"))
+    poured_level = poured(level, [], "domain", mix)
     for depth in (2, 3):
         path = LEVELS[:depth]
         given = poured_level.select(*LEVELS[: depth - 1], F.col("amount").alias("budget"))
@@ -130,17 +130,19 @@ def mixing_plan(rows: DataFrame, mix: Mix) -> DataFrame:
     Tokens are first added up per bucket of the order, at most 16^3 per leaf; only the bucket in which the rest of the
     budget ends is looked at row by row, so no task sorts a whole leaf.
     """
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")))
+    if leaves.count() <= ONE_TASK_LEAVES:  # the tree is then poured without a shuffle
+        leaves = leaves.coalesce(1)
     plan = written(
         budgets(leaves, mix).select(
             *LEVELS,
             "tokens",
             "amount",
-            F.when(F.col("tokens") > 0, F.floor(F.col("amount") / F.col("tokens"))).otherwise(0).cast("long").alias("full_epochs"),
+            F.when(F.col("tokens") > 0, F.expr("amount div tokens")).otherwise(0).alias("full_epochs"),
             F.when(F.col("tokens") > 0, F.col("amount") % F.col("tokens")).otherwise(0).alias("rest"),
         )
     )
-    ordered = rows.join(plan.select(*LEVELS, "full_epochs", "rest"), LEVELS).withColumn("key", order_key(mix))
+    ordered = with_small(rows, plan.select(*LEVELS, "full_epochs", "rest"), LEVELS, "doc_id").withColumn("key", order_key(mix))
     bucket = F.substring("key", 1, BUCKET).alias("bucket")
     sums = ordered.groupBy(*LEVELS, "rest", bucket).agg(F.sum("n_tokens").alias("here"))
     so_far = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -152,8 +154,7 @@ def mixing_plan(rows: DataFrame, mix: Mix) -> DataFrame:
         .select(*LEVELS, "c.bucket", "c.before")
     )
     inside = (
-        ordered.withColumn("bucket", bucket)
-        .join(crossing, [*LEVELS, "bucket"])
+        with_small(ordered.withColumn("bucket", bucket), crossing, [*LEVELS, "bucket"], "doc_id")
         .withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key")))
         .filter("upto <= rest")
         .groupBy(*LEVELS)
@@ -172,7 +173,7 @@ def mixing_plan(rows: DataFrame, mix: Mix) -> DataFrame:
 
 def mixed(rows: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
     """The rows that the plan takes, with ``copies``: the epochs in which the document occurs."""
-    placed = rows.join(plan.select(*LEVELS, "full_epochs", "cut"), LEVELS).withColumn("key", order_key(mix))
+    placed = with_small(rows, plan.select(*LEVELS, "full_epochs", "cut"), LEVELS, "doc_id").withColumn("key", order_key(mix))
     taken = (F.col("key") <= F.col("cut")).cast("long")
     return placed.withColumn("copies", F.col("full_epochs") + taken).filter("copies > 0").drop("full_epochs", "cut", "key")
 
