@@ -36,4 +36,5 @@ def oracles() -> dict[str, str]:
             out[name] = (f"{head},\n{named}" if head else f"with {named}") + "\n" + extra[2].strip()
             if re.search(r"\bfrom reach\b", named):
                 out[name] = out[name].replace("with ", "with recursive ", 1)
+    out["a14_write_report_tables"] = inputs.report_counts_sql(out)
     return out

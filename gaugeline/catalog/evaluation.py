@@ -10,7 +10,7 @@ from gaugeline.catalog.registry import Registry, named, rounded
 from gaugeline.operators import consistency, metrics, voting
 from gaugeline.plans import standins as s
 from gaugeline.plans.standins import Tables
-from gaugeline.session import cut_lineage
+from gaugeline.session import cut_lineage, materialised
 
 register = Registry()
 
@@ -18,26 +18,26 @@ UNIT = ["codebase_id", "unit_user", "unit_day"]
 
 
 class Shared:
-    """Runs and labels written once to the checkpoint folder, for queries that need them several times."""
+    """Runs and labels written once to the shared folder, for queries that need them several times."""
 
     def __init__(self, t: Tables):
-        self.runs = cut_lineage(s.runs_counted(t))
+        self.runs = materialised(s.runs_counted(t))
         self.labels = shared_labels(t)
         self.gt = s.ground_truth(t)
 
 
 def shared_labels(t: Tables) -> DataFrame:
-    return cut_lineage(s.labels(t).drop("reasoning", "agreement"))
+    return materialised(s.labels(t).drop("reasoning", "agreement"))
 
 
 def run_table(t: Tables) -> DataFrame:
-    return metrics.run_metrics(s.runs_counted(t), s.labels(t), s.ground_truth(t))
+    return materialised(metrics.run_metrics(s.runs_counted(t), s.labels(t), s.ground_truth(t)))
 
 
 def condition_parts(t: Tables, shared: Shared) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run metrics, consistency and novel counts from the same runs and labels."""
     return (
-        metrics.run_metrics(shared.runs, shared.labels, shared.gt),
+        materialised(metrics.run_metrics(shared.runs, shared.labels, shared.gt)),
         consistency.consistency_jaccard(shared.runs, shared.labels, shared.gt),
         metrics.novel_counts(s.members(t, shared.labels), s.verdicts(t, shared.labels)),
     )

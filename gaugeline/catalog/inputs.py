@@ -7,13 +7,16 @@ contents from real files is covered by the tests.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.catalog.registry import Registry, named
-from gaugeline.operators import refresh
+from gaugeline.operators import metrics, refresh
+from gaugeline.plans import report
 from gaugeline.plans import standins as s
-from gaugeline.session import ensure_checkpoint_dir
+from gaugeline.session import ensure_checkpoint_dir, materialised
 from gaugeline.sources import feed, files
 
 register = Registry()
@@ -198,14 +201,67 @@ def scan_eval_gt(t):
     return files.parse_eval_ground_truth(raw).select("codebase_id", "gt_id", "gt_pos", "severity", "contract", "description")
 
 
-@register("a14_write_report_tables", """
-select codebase_id, run_id, condition_id, is_valid from s_runs""")
+# The report's tables, each with the query whose DuckDB counterpart states its rows.
+REPORT_TABLES = {
+    "header": "e20_report_header",
+    "runs": "e5_run_metrics",
+    "matches": "e5_run_matches",
+    "conditions": "e6_condition_agg",
+    "condition_order": "e4_condition_order",
+    "cross_codebase": "e15_cross_codebase",
+    "metric_bests": "e16_metric_bests",
+    "missed_gt": "e9_missed_gt",
+    "missed_totals": "e9_missed_totals",
+    "risk_excluded": "e18_risk_excluded",
+    "reliability": "e10_gt_reliability",
+    "integrity": None,  # no violation in the stand-in
+    "ledger": "f5_ledger",
+    "matrix": "f6_findings_matrix",
+    "comparison": "f7_comparison_table",
+    "recall_chart": "f9_recall_chart",
+    "breakdown": "f10_breakdown_rows",
+    "validations": "f11_validation_rows",
+    "overview": "f12_run_overview",
+    "analysis_feed": "f13_analysis_feed",
+    "dashboard": "f14_dashboard_rows",
+}
+
+
+def report_counts_sql(oracles: dict[str, str]) -> str:
+    """The row count of every report table, from the finished statements of the queries named above."""
+    parts = [
+        f"select '{name}' table_name, count(*) row_count from ({oracles[query]})" if query else f"select '{name}', 0"
+        for name, query in REPORT_TABLES.items()
+    ]
+    return "\nunion all ".join(parts)
+
+
+@register("a14_write_report_tables", "")
 def write_report_tables(t):
-    """The run table written to the shared folder, partitioned by codebase, and read back."""
+    """All report tables of the stand-in results, written to the shared folder, read back and counted."""
     ensure_checkpoint_dir(t.spark)
     folder = f"{t.spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}"
-    feed.write_report_tables({"runs": s.runs(t).select("codebase_id", "run_id", "condition_id", "is_valid")}, folder)
-    return feed.read_report_table(t.spark, folder, "runs")
+    labels = materialised(s.labels(t))
+    members = materialised(s.members(t, labels))
+    results = report.Results(
+        runs=materialised(metrics.invalid_runs(s.runs_counted(t))),
+        labels=labels,
+        gt=s.ground_truth(t),
+        clusters=s.clusters(t, labels),
+        members=members,
+        cluster_conditions=members.select("codebase_id", "cluster_id", "condition_id").distinct(),
+        verdicts=s.verdicts(t, labels),
+        conditions=s.conditions(t),
+    )
+    tables = report.report_tables(results)
+    feed.write_report_tables(tables, folder)
+    counts = [
+        feed.read_report_table(t.spark, folder, name, table.schema).agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("row_count")
+        )
+        for name, table in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @register("a15_build_manifest", """

@@ -15,7 +15,7 @@ from gaugeline.catalog.oracle_views import six
 from gaugeline.catalog.registry import Registry, named, rounded
 from gaugeline.operators import ledger, metrics
 from gaugeline.plans import standins as s
-from gaugeline.session import cut_lineage
+from gaugeline.session import cut_lineage, materialised
 
 register = Registry()
 
@@ -112,7 +112,7 @@ def ledger_fp(t):
 @register("f5_ledger", named(LEDGER, f"""
 select {SHOWN} from gt_rows union all select {SHOWN} from novel_rows union all select {SHOWN} from fp_rows"""))
 def whole_ledger(t):
-    labels, numbers = cut_lineage(s.labels(t)), cut_lineage(_numbers(t).select("run_id", "run_number"))
+    labels, numbers = materialised(s.labels(t)), materialised(_numbers(t).select("run_id", "run_number"))
     rows = ledger.ledger(_gt_rows(t, labels, numbers), _novel_rows(t, labels, numbers), _fp_rows(t, labels, numbers))
     return rows.select(*SHOWN_COLUMNS)
 

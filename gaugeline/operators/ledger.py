@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.functions.numbers import cut_text, half_up, percent
 from gaugeline.operators.metrics import CATEGORIES
+from gaugeline.session import materialised
 
 PAGE = 1000
 CONDITION = ["codebase_id", "condition_id"]
@@ -80,13 +81,13 @@ LEDGER_COLUMNS = ["codebase_id", "row_id", "title", "condition_id", "page", "cel
 def ledger_gt(gt: DataFrame, runs: DataFrame, labels: DataFrame, numbers: DataFrame) -> DataFrame:
     """Ground-truth rows: which valid runs matched each item."""
     valid = runs.filter("is_valid").select("run_id")
-    hits = (
+    hits = materialised(
         labels.filter(F.col("matched_gt_id").isNotNull())
         .select("codebase_id", "condition_id", "run_id", F.col("matched_gt_id").alias("gt_id"))
         .distinct()
         .join(valid, "run_id", "left_semi")
         .join(numbers.select("run_id", "run_number"), "run_id")
-        .withColumn("repeats", F.lit(1))
+        .select("codebase_id", "condition_id", "gt_id", "run_number", F.lit(1).alias("repeats"))
     )
     conditions = condition_runs(runs)
     cells = cell_pages(hits, ["codebase_id", "gt_id"], conditions)
@@ -114,7 +115,7 @@ def ledger_novel(
     clusters: DataFrame, members: DataFrame, verdicts: DataFrame, runs: DataFrame, numbers: DataFrame
 ) -> DataFrame:
     """Cluster rows: distinct runs per condition, invalid runs included, runs outside the view dropped."""
-    hits = (
+    hits = materialised(
         members.select("codebase_id", "cluster_id", "condition_id", "run_id")
         .distinct()
         .join(numbers.select("run_id", "run_number"), "run_id")
@@ -150,7 +151,7 @@ def ledger_novel(
 def ledger_fp(runs: DataFrame, labels: DataFrame, numbers: DataFrame) -> DataFrame:
     """False-positive rows by exact title; a title repeated within a run counts each time."""
     valid = runs.filter("is_valid").select("run_id")
-    hits = (
+    hits = materialised(
         labels.filter("category = 'fp'")
         .groupBy("codebase_id", "title", "condition_id", "run_id")
         .agg(F.count("*").alias("repeats"))

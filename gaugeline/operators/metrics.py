@@ -377,9 +377,10 @@ def subset_totals(gt: DataFrame, missed: DataFrame, verdicts: DataFrame, codebas
     """
     chosen = F.col("codebase_id").isin(list(codebase_ids))
     totals = missed_totals(gt.filter(chosen), missed.filter(chosen))
-    return totals.withColumn("gt_missed_percent", F.coalesce("gt_missed_percent", F.lit(0))).crossJoin(
-        F.broadcast(risk_excluded(verdicts.filter(chosen)))  # one row each
-    )
+    one = F.lit(1).alias("_one")
+    excluded = risk_excluded(verdicts.filter(chosen)).select(one, "excluded")
+    filled = totals.withColumn("gt_missed_percent", F.coalesce("gt_missed_percent", F.lit(0))).select(one, "*")
+    return filled.join(excluded, "_one").drop("_one")
 
 
 def risk_excluded(verdicts: DataFrame) -> DataFrame:

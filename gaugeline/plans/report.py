@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.operators import consistency, extraction, ledger, logs, metrics
-from gaugeline.session import cut_lineage
+from gaugeline.session import cut_lineage, materialised
 from gaugeline.sources import feed, files
 
 
@@ -51,7 +51,7 @@ def load_results(
     judged = metrics.invalid_runs(runs).withColumn("is_valid", F.col("invalid").isNull())
     if latest:
         judged = metrics.latest_runs(judged)
-    judged = cut_lineage(judged)
+    judged = materialised(judged)
     cluster_files = read("*clusters-*.json")
     clusters = files.parse_clusters(cluster_files)
     config = read(config_file.rsplit("/", 1)[-1], config_file.rsplit("/", 1)[0])
@@ -68,19 +68,24 @@ def load_results(
 
 
 def report_tables(results: Results) -> dict[str, DataFrame]:
-    """All report relations by name."""
-    r = results
+    """All report relations by name; what several of them need is written once and read from there."""
+    r = replace(
+        results, **{name: materialised(getattr(results, name)) for name in ("labels", "clusters", "members", "verdicts")}
+    )
     gt = r.gt.join(r.runs.select("codebase_id").distinct(), "codebase_id", "left_semi")
-    run_metrics = metrics.run_metrics(r.runs, r.labels, gt)
-    numbers = metrics.run_numbers(r.runs)
-    conditions = metrics.condition_table(
-        metrics.condition_agg(run_metrics),
-        consistency.consistency_jaccard(r.runs, r.labels, gt),
-        metrics.novel_counts(r.cluster_conditions, r.verdicts),
+    gt = materialised(gt)
+    run_metrics = materialised(metrics.run_metrics(r.runs, r.labels, gt))
+    numbers = materialised(metrics.run_numbers(r.runs).select("run_id", "run_number"))
+    conditions = materialised(
+        metrics.condition_table(
+            metrics.condition_agg(run_metrics),
+            consistency.consistency_jaccard(r.runs, r.labels, gt),
+            metrics.novel_counts(r.cluster_conditions, r.verdicts),
+        )
     )
-    cross = metrics.cross_codebase(conditions)
-    bests = metrics.metric_bests(cross)
-    missed = metrics.missed_gt(gt, r.runs, r.labels)
+    cross = materialised(metrics.cross_codebase(conditions))
+    bests = cut_lineage(metrics.metric_bests(cross))
+    missed = materialised(metrics.missed_gt(gt, r.runs, r.labels))
     matrix = ledger.findings_matrix(gt, r.runs, r.labels)
     return {
         "header": metrics.report_header(r.runs),
@@ -112,5 +117,5 @@ def report_tables(results: Results) -> dict[str, DataFrame]:
 
 
 def write_report(results: Results, folder: str) -> None:
-    """Compute every relation once and write it; readers of the report only read the written tables."""
+    """Compute every relation and write it; readers of the report only read the written tables."""
     feed.write_report_tables(report_tables(results), folder)

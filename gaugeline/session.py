@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; on a cluster the caller brings its own."""
+    checkpoints = os.environ.get("GAUGELINE_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="gaugeline-checkpoint-")
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("gaugeline")
@@ -18,6 +20,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", checkpoints)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("GAUGELINE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -36,6 +40,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def materialised(frame: DataFrame) -> DataFrame:
+    """Write the frame as parquet to the shared checkpoint folder and continue from the table.
+
+    For wide relations that are read several times: readers of a few columns read only these, with pushdown and
+    statistics. Small frames, and those of iterations, go through ``cut_lineage``, whose files Spark cleans up.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write the frame to the shared checkpoint folder and continue from the written copy."""
     ensure_checkpoint_dir(frame.sparkSession)

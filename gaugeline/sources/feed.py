@@ -4,21 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gaugeline.operators.refresh import content_hash
 
 
 def write_report_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """One parquet dataset per report table; tables that have a codebase are partitioned by it."""
+    """One parquet dataset per report table.
+
+    Tables that have a codebase are partitioned by it, and writing them again replaces only the partitions of the
+    codebases at hand. Rows keep their order within a partition.
+    """
     for name, table in tables.items():
         writer = table.write.mode("overwrite")
         if "codebase_id" in table.columns and len(table.columns) > 1:
-            writer = writer.partitionBy("codebase_id")
+            writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("codebase_id")
         writer.parquet(f"{folder.rstrip('/')}/{name}")
 
 
-def read_report_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}")
+def read_report_table(spark: SparkSession, folder: str, name: str, schema: StructType | None = None) -> DataFrame:
+    """A written table; with its schema, an empty one can be read too."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{folder.rstrip('/')}/{name}")
 
 
 def build_manifest(metas: DataFrame, ground_truth_files: DataFrame, prompts: DataFrame, files: DataFrame) -> DataFrame:
