@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.common import binary, crc_remainder
 
-TOXIC_ROWS, ORDINARY_ROWS = 3_000, 9_000  # bound of the labelled sample that is fitted on the driver
+TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000  # bound of the labelled sample that is fitted on the driver
 HELD_OUT, PARTS = 2, 4  # rows whose crc32(doc_id) modulo 4 is 2 are never learned from
 DICTIONARY, TOXIC_DICTIONARY = 64 << 10, 2 << 10  # bytes
 MIN_SHARE, MIN_LIFT = 0.025, 10.0  # of a word of the toxic dictionary: documents that have it; against ordinary ones
