@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.common import binary, crc_remainder
 
-FIT_ROWS = 12_000  # bound of the labelled sample that is fitted on the driver
+FIT_ROWS = 8_000  # bound of the labelled sample that is fitted on the driver
 HELD_OUT, PARTS = 2, 4  # rows whose crc32(doc_id) modulo 4 is 2 are never learned from
 GRADES = 3
 BITS = 18  # hashed weights
