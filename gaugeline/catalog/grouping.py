@@ -259,19 +259,23 @@ def expand_members(t):
 
 
 def _clustered(t):
-    """Root causes link three neighbouring parts, titles the next three, with a break after every thirty."""
+    """Root causes link three neighbouring parts, titles the next three, with a break after every thirty.
+
+    Every seventh part has one word more in its title, so titles are similar, not equal.
+    """
     key = F.col("part_id")
     group = F.when(key % 30 == 29, F.floor(key / 3)).otherwise(F.floor((key + 1) / 3))
     loose = s.labels(t).filter(F.col("category").isin("novel", "uncertain"))
     return clustering.cluster_findings(
         loose.withColumns(
-            {"root_cause": F.concat(F.lit("k"), F.floor(key / 3)), "title": F.concat(F.lit("Weak group g"), group)}
+            {"root_cause": F.concat(F.lit("k"), F.floor(key / 3)), "title": F.concat(F.lit("Weak group g"), group, F.when(key % 7 == 3, " again").otherwise(""))}
         )
     )
 
 
 COMPONENTS = """
-edges as (select distinct codebase_id, a x, b y from g_keyed union select distinct codebase_id, b, a from g_keyed),
+edges as (select distinct codebase_id, a x, b y from g_keyed union select distinct codebase_id, b, a from g_keyed
+  union select codebase_id, a, b from g_near union select codebase_id, b, a from g_near),
 reach as (select codebase_id, x, x y from edges union select r.codebase_id, r.x, e.y from reach r join edges e on e.codebase_id=r.codebase_id and e.x=r.y),
 roots as (select codebase_id, x, min(y) root from reach group by 1,2)"""
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 
-from gaugeline.functions import report_patterns as p
-from gaugeline.plans import standins
+from gaugeline.catalog import oracle_patterns as p
 
 VIEWS = {
     "s_runs": """
@@ -164,9 +163,6 @@ select codebase_id, condition_id, count(*) filter (is_valid) valid_runs from s_r
 
 
 def _duck(pattern: str) -> str:
-    """DuckDB's regex engine has no look-around; its word boundary is plain ASCII."""
-    for look in (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"):
-        pattern = pattern.replace(look, r"\b")
     return "'" + pattern + "'"
 
 
@@ -182,10 +178,10 @@ def _list(words) -> str:
     return "[" + ", ".join(f"'{word}'" for word in words) + "]"
 
 
-_KEYWORD = f"{_list(standins.REPORT_KEYWORDS)}[1+(doc_id+i)%14]"
-_CONTRACT = f"{_list(standins.REPORT_CONTRACTS)}[1+(doc_id*3+i)%5]"
-_FUNCTION = f"{_list(standins.REPORT_FUNCTIONS)}[1+(doc_id+i*2)%5]"
-_SEVERITY = f"{_list(standins.REPORT_SEVERITIES)}[1+(doc_id+i)%5]"
+_KEYWORD = f"{_list(p.REPORT_KEYWORDS)}[1+(doc_id+i)%14]"
+_CONTRACT = f"{_list(p.REPORT_CONTRACTS)}[1+(doc_id*3+i)%5]"
+_FUNCTION = f"{_list(p.REPORT_FUNCTIONS)}[1+(doc_id+i*2)%5]"
+_SEVERITY = f"{_list(p.REPORT_SEVERITIES)}[1+(doc_id+i)%5]"
 _TITLE = (
     f"{_KEYWORD}||case (doc_id+i)%3 when 0 then ' in '||{_CONTRACT}||'.'||{_FUNCTION}"
     f" when 1 then ' in `'||{_FUNCTION}||'()`' else ' of part '||i end"
@@ -462,9 +458,9 @@ def jaccard_sql(x: str, y: str) -> str:
 
 VIEWS |= {
     "r_truth": f"""
-select s_suppkey%4 codebase_id, s_suppkey gt_id, {_list(standins.REPORT_CONTRACTS)}[1+s_suppkey%5] contract,
-  {_list(standins.REPORT_KEYWORDS)}[1+s_suppkey%14]||' in '||{_list(standins.REPORT_CONTRACTS)}[1+s_suppkey%5]||'.'||
-  {_list(standins.REPORT_FUNCTIONS)}[1+s_suppkey%3] title, case when s_suppkey%3=0 then 'high' end severity,
+select s_suppkey%4 codebase_id, s_suppkey gt_id, {_list(p.REPORT_CONTRACTS)}[1+s_suppkey%5] contract,
+  {_list(p.REPORT_KEYWORDS)}[1+s_suppkey%14]||' in '||{_list(p.REPORT_CONTRACTS)}[1+s_suppkey%5]||'.'||
+  {_list(p.REPORT_FUNCTIONS)}[1+s_suppkey%3] title, case when s_suppkey%3=0 then 'high' end severity,
   'reported by '||s_name description from supplier where s_suppkey%4<>3""",
     "r_owned": """
 select f.*, run_id%4 codebase_id, 'cond'||(run_id%3) condition_id from r_findings f""",
@@ -497,9 +493,17 @@ select a.*, case when k.cluster_id is not null then assign_to else 'novel-'||sub
     case when assign_to='new' then coalesce(new_reasoning,reasoning) else reasoning end),1,8) end cluster_id,
   k.cluster_id is null is_new
 from g_asked a left join (select distinct codebase_id, cluster_id from s_clusters) k on k.codebase_id=a.codebase_id and k.cluster_id=a.assign_to""",
+    "g_titled": """
+select *, list_sort(list_concat(['weak','group','g'||case when part_id%30=29 then part_id//3 else (part_id+1)//3 end],
+  case when part_id%7=3 then ['again'] else [] end)) words from g_inputs""",
     "g_keyed": """
-select *, 'c:k'||(part_id//3) a, 'w:'||array_to_string(list_sort(['weak','group','g'||case when part_id%30=29 then part_id//3 else (part_id+1)//3 end]),' ') b
-from g_inputs""",
+select *, 'c:k'||(part_id//3) a, 'w:'||array_to_string(words,' ') b from g_titled""",
+    "g_tokens": """
+select codebase_id, words, unnest(words) token from (select distinct codebase_id, words from g_titled)""",
+    "g_near": f"""
+select distinct t.codebase_id, 'w:'||array_to_string(t.words,' ') a, 'w:'||array_to_string(h.head,' ') b
+from g_tokens t join (select codebase_id, token, min(words) head from g_tokens group by 1,2) h using (codebase_id, token)
+where t.words<>h.head and {jaccard_sql('t.words', 'h.head')}>=0.7-1e-9""",
 }
 
 

@@ -1,4 +1,8 @@
-"""Fixed values of the report formats: markers, header patterns and word lists, in their order of priority."""
+"""Fixed values of the report formats: markers, header patterns and word lists, in their order of priority.
+
+Word borders are spelled out with look-arounds: since Java 19 ``\\b`` is plain ASCII, before it is not, and the formats
+mean ASCII words on any Java.
+"""
 
 from __future__ import annotations
 

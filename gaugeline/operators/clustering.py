@@ -223,18 +223,49 @@ def connected_keys(edges: DataFrame) -> DataFrame:
     return current.unionByName(roots).distinct()
 
 
-def cluster_findings(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+SIMILAR = 0.7
+
+
+def similar_sets(sets: DataFrame, theta: float = SIMILAR) -> DataFrame:
+    """(scope, words, head) links between word sets: under each word, a set and the smallest set that holds the word.
+
+    A link needs a Jaccard of ``theta``. Sets meet through words, never each other, so the work grows with the words.
+    """
+    tokens = sets.select("scope", "words", F.explode("words").alias("token"))
+    heads = cut_lineage(tokens.groupBy("scope", "token").agg(F.min("words").alias("head")))
+    shared = F.size(F.array_intersect("words", "head"))
+    score = shared / (F.size("words") + F.size("head") - shared)
+    return (
+        tokens.join(heads, ["scope", "token"])
+        .filter((F.col("words") != F.col("head")) & (score >= theta - 1e-9))
+        .select("scope", "words", "head")
+        .distinct()
+    )
+
+
+def cluster_findings(inputs: DataFrame, theta: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """Full clustering without a judge: clusters and members.
 
     Inputs also hold root_cause. Two findings of a codebase belong together when they share a root cause or the set of
-    title words, directly or through others. Each finding links two keys, so the graph has one edge per distinct
-    (root cause, word set) and never a pair of findings. A codebase's only finding becomes 'novel-1'.
+    title words, or have similar word sets (``similar_sets``), directly or through others. Each finding links two keys,
+    so the graph has one edge per distinct (root cause, word set) and per similar set, and never a pair of findings. A
+    codebase's only finding becomes 'novel-1'.
     """
     cause = F.concat(F.lit("c:"), "root_cause")
-    listed = F.array_join(title_words(F.col("title")), " ")
-    words = F.when(listed == "", cause).otherwise(F.concat(F.lit("w:"), listed))
-    keyed = cut_lineage(inputs.select(*INPUT, cause.alias("cause_key"), words.alias("word_key")))
-    edges = keyed.select(F.col("codebase_id").alias("scope"), F.col("cause_key").alias("a"), F.col("word_key").alias("b"))
+    def word_key(words: Column) -> Column:
+        return F.concat(F.lit("w:"), F.array_join(words, " "))
+
+    worded = inputs.select(*INPUT, cause.alias("cause_key"), title_words(F.col("title")).alias("words"))
+    keyed = cut_lineage(
+        worded.withColumn(
+            "word_key", F.when(F.size("words") == 0, F.col("cause_key")).otherwise(word_key(F.col("words")))
+        )
+    )
+    sets = keyed.select(F.col("codebase_id").alias("scope"), "words").distinct()
+    near = similar_sets(sets, theta).select("scope", word_key(F.col("words")).alias("a"), word_key(F.col("head")).alias("b"))
+    edges = keyed.select(
+        F.col("codebase_id").alias("scope"), F.col("cause_key").alias("a"), F.col("word_key").alias("b")
+    ).unionByName(near)
     roots = connected_keys(edges.distinct()).select(
         F.col("scope").alias("codebase_id"), F.col("node").alias("cause_key"), "root"
     )

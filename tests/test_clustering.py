@@ -68,6 +68,19 @@ def test_full_clustering_joins_by_cause_or_title(rows):
     assert (totals.total_findings, totals.unique_bugs) == (5, 3)
 
 
+def test_similar_titles_are_clustered(rows):
+    data = [
+        finding("r1", 1, "Missing cap on fee in vault") + ("a::x",),
+        finding("r2", 1, "Missing cap on fee in the vault") + ("b::y",),
+        finding("r3", 1, "Missing owner of token") + ("c::z",),
+    ]
+    _, members = clustering.cluster_findings(rows(data, CAUSED))
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(r.cluster_id, set()).add(r.run_id)
+    assert sorted(map(sorted, groups.values())) == [["r1", "r2"], ["r3"]]
+
+
 def test_a_single_input_becomes_novel_1(rows):
     clusters, members = clustering.cluster_findings(rows([finding("r1", 4, "T") + ("a::b",)], CAUSED))
     assert [(r.cluster_id, r.title, r.severity) for r in clusters.collect()] == [("novel-1", "T", "unknown")]
