@@ -271,7 +271,10 @@ union all select 'runs', 'total', (count(*))::varchar from s_runs
 union all select 'runs_per_codebase', case when run_id%29=0 then 'unknown' else codebase_id::varchar end, (count(*))::varchar from s_runs group by 2
 union all select 'ground_truth', s_suppkey::varchar, substr(sha256(s_name),1,16) from supplier
 union all select 'prompt', n_name, substr(sha256(n_name||'!'),1,16) from nation
-union all select 'file', 'r'||run_id||'.meta.json', null from s_runs""")
+union all select 'file', 'r'||run_id||'.meta.json', null from s_runs
+union all select 'pipeline', r_name, (r_regionkey%2=0)::varchar from region
+union all select 'skill_version', n_name, n_regionkey::varchar from nation
+union all select 'config', c_mktsegment||c_custkey, '{"runs":'||c_custkey||'}' from customer""")
 def build_manifest(t):
     metas = s.runs(t).select(
         F.when(F.col("run_id") % 29 != 0, F.col("codebase_id")).alias("codebase_id"), "condition_id"
@@ -279,7 +282,12 @@ def build_manifest(t):
     truth = t.supplier.select(F.col("s_suppkey").alias("codebase_id"), F.col("s_name").alias("content"))
     prompts = t.nation.select(F.col("n_name").alias("name"), F.concat("n_name", F.lit("!")).alias("content"))
     names = s.runs(t).select(F.concat(F.lit("r"), "run_id", F.lit(".meta.json")).alias("file"))
-    return feed.build_manifest(metas, truth, prompts, names)
+    state = t.region.select(F.col("r_name").alias("key"), (F.col("r_regionkey") % 2 == 0).alias("value"))
+    skills = t.nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("version"))
+    config = t.customer.select(
+        F.concat("c_mktsegment", "c_custkey").alias("file"), F.format_string('{"runs":%d}', "c_custkey").alias("content")
+    )
+    return feed.build_manifest(metas, truth, prompts, names, state, skills, config)
 
 
 # --- I: staleness and fitness ------------------------------------------------------------------------------------

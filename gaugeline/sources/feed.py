@@ -28,11 +28,20 @@ def read_report_table(spark: SparkSession, folder: str, name: str, schema: Struc
     return reader.parquet(f"{folder.rstrip('/')}/{name}")
 
 
-def build_manifest(metas: DataFrame, ground_truth_files: DataFrame, prompts: DataFrame, files: DataFrame) -> DataFrame:
+def build_manifest(
+    metas: DataFrame,
+    ground_truth_files: DataFrame,
+    prompts: DataFrame,
+    files: DataFrame,
+    pipeline: DataFrame,
+    skills: DataFrame,
+    config: DataFrame,
+) -> DataFrame:
     """Snapshot provenance as (section, key, value) rows.
 
     ``metas`` holds codebase_id and condition_id per run, ``ground_truth_files`` codebase_id and content, ``prompts``
-    name and content, ``files`` the archived file names.
+    name and content, ``files`` the archived file names, ``pipeline`` key and value of the code's state (commit, branch,
+    uncommitted changes), ``skills`` name and version, ``config`` file and content of the run configuration.
     """
     blank = F.lit("")
 
@@ -53,6 +62,9 @@ def build_manifest(metas: DataFrame, ground_truth_files: DataFrame, prompts: Dat
         rows(ground_truth_files, "ground_truth", F.col("codebase_id"), content_hash(F.col("content"))),
         rows(prompts, "prompt", F.col("name"), content_hash(F.col("content"))),
         rows(files, "file", F.col("file"), F.lit(None)),
+        rows(pipeline, "pipeline", F.col("key"), F.col("value")),
+        rows(skills, "skill_version", F.col("name"), F.col("version")),
+        rows(config, "config", F.col("file"), F.col("content")),
     ]
     manifest = parts[0]
     for part in parts[1:]:

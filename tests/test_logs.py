@@ -107,7 +107,7 @@ def test_cost_and_model(rows):
     assert logs.run_model(events).first().model == "m1"
 
 
-def test_scope(rows, events):
+def test_scope(rows, monkeypatch, events):
     listed = rows(
         [("cb", "src/A.sol", True), ("cb", "src/B.sol", False), ("cb", "mock/Mocker.sol", False), ("cb", "x/Errors.sol", False),
          ("cb", "x/Abc.sol", False), ("cb", "x/Other.t.sol", False)], "codebase_id string, path string, in_scope boolean")
@@ -123,8 +123,10 @@ def test_scope(rows, events):
              ("aMocker.sol", 0), ("findings of Mocker_x", 0), ("see Other.t.sol", 1)]
     reports = rows([(f"t{i}", text) for i, (text, _) in enumerate(texts)], "run_id string, text string")
     owners = rows([(f"t{i}", "cb") for i in range(len(texts))], "run_id string, codebase_id string")
-    assert {r.run_id for r in scope.oos_mentions(reports, owners, names).collect()} == {
-        f"t{i}" for i, (_, hit) in enumerate(texts) if hit}
+    want = {f"t{i}" for i, (_, hit) in enumerate(texts) if hit}
+    assert {r.run_id for r in scope.oos_mentions(reports, owners, names).collect()} == want
+    monkeypatch.setattr(scope, "MAX_BROADCAST_BYTES", -1)
+    assert {r.run_id for r in scope.oos_mentions(reports, owners, names).collect()} == want
 
 
 def test_canary(rows):
@@ -133,3 +135,21 @@ def test_canary(rows):
     texts = rows([("b", f"x {mark} y"), ("b", f"again {mark}"), ("s", mark), ("o", mark), ("b", mark + "z")], "run_id string, text string")
     canaries = rows([("cb", "skill_v2", mark)], "codebase_id string, condition_id string, canary string")
     assert [(r.run_id, r.canary) for r in scope.canary_leak(texts, runs, canaries).collect()] == [("b", mark)]
+
+
+def test_scope_checks_apply_where_there_is_a_scope_list(rows):
+    runs = rows([("in", "cb", "skill", "skill"), ("out", "cb", "bare", "bare"), ("free", "zz", "bare", "bare")],
+                "run_id string, codebase_id string, condition_id string, mode string")
+    runs = runs.selectExpr("*", "0 as exit_code", "false as timed_out", "cast(null as int) as expected_min_agents")
+    reads = rows([("in", "a.sol"), ("out", "b.sol")], "run_id string, path string")
+    listed = rows([("cb", "a.sol", True), ("cb", "b.sol", False)], "codebase_id string, path string, in_scope boolean")
+    mentions = rows([("out", "Mocker")], "run_id string, name string")
+    events = logs.parse_events(rows([("in", 0, '{"type":"result"}')], "run_id string, seq long, raw string"))
+    none = rows([], "run_id string, output_lines int")
+    facts = logs.run_facts(runs, events, none, scope.scope_compliance(reads, runs, listed), mentions)
+    got = {(r.run_id, r.check): r.ok for r in logs.check_rows(facts).collect() if r.check.startswith("scope")}
+    assert got == {("in", "scope_no_oos_findings"): True, ("in", "scope_in_scope_read"): True,
+                   ("out", "scope_no_oos_findings"): False, ("out", "scope_in_scope_read"): False}
+    warned = {(r.run_id, r.warning) for r in logs.warning_rows(facts).collect()}
+    assert warned == {("out", "bare_read_out_of_scope")}
+    assert not [r for r in logs.check_rows(logs.run_facts(runs, events, none)).collect() if r.check.startswith("scope")]
