@@ -52,8 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded: the encoded corpus."""
-    return bpe.encode_documents(docs)
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded_sha256: the encoded corpus."""
+    return bpe.encoded_corpus(docs)
 
 
 STAGES = [

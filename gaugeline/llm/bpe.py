@@ -34,8 +34,9 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CHUNK_BITS = 9  # chunks of about 512 bytes
 SHARED = 2_000  # chunks shipped to all tasks, at most
 SHARED_BYTES = 4_096  # longer chunks are not shipped
-KEEP_BYTES = 24 << 20  # of chunks that a task remembers, beside KEEP_WORDS words
-KEEP_WORDS = 500_000
+KEEP_BYTES = 8 << 20  # of chunks that a task remembers, beside KEEP_WORDS words
+KEEP_WORDS = 250_000
+BLOCK = 1 << 20  # bytes of text encoded together
 MARKS = b".,;:!?%$&#*"  # never joined to a letter before them, nor part of a special token
 LATIN_END = "\u0250"
 SPACE = frozenset(b" \t\n\x0b\x0c\r")
@@ -173,7 +174,7 @@ def shared_chunks(documents: DataFrame, content: str) -> dict[bytes, bytes]:
 
     def hashes(batches):
         for batch in batches:
-            for block in in_blocks([batch], "text"):
+            for block in in_blocks([batch], "text", BLOCK):
                 found = [
                     (chunk_hash(part), len(part))
                     for text in binary(block.column("text")).to_pylist()
@@ -225,6 +226,14 @@ def encode_documents(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     )
 
 
+def encoded_corpus(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """Like ``encode_documents``, with the digest of the decoded text in place of the text."""
+    return _run(
+        documents, path, "doc_id long, n_tokens long, ids binary, decoded_sha256 string",
+        lambda ids, decoded: (len(ids) // 4, ids, sha256(decoded).hexdigest()), [pa.int64(), pa.binary(), pa.string()],
+    )
+
+
 def encoded_digests(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """The digests of ``encode_documents``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return _run(
@@ -244,7 +253,7 @@ def _run(documents: DataFrame, path: str, columns: str, answer, kinds: list) ->
     def run(batches):
         codec = Codec(content=content, shared=shared)
         for batch in batches:
-            for block in in_blocks([batch], "text"):
+            for block in in_blocks([batch], "text", BLOCK):
                 encoded = codec.encode_all(binary(block.column("text")).to_pylist())
                 answers = [answer(ids, codec.decode(ids)) for ids in encoded]
                 arrays = [pa.array(c, k) for c, k in zip(zip(*answers), kinds)]
