@@ -6,6 +6,7 @@ end token. All that belongs to a predicted word, its count and the contexts it f
 word: numerators are looked up there, and since each word is the context of its successor exactly once (and the begin
 mark occurs as often as the end token), the denominators can be added up there as well. So one shuffle brings the
 counted n-grams of all texts to the shards; each shard builds its trie from the training texts and answers for all.
+Answers go back by block of documents, as arrays of partial sums.
 
 No model is broadcast and no shard grows with one word: words that a sample shows to be frequent are spread over all
 shards by their contexts, and only their counts, a bounded list, go everywhere.
@@ -27,7 +28,7 @@ from gaugeline.llm.common import SPACES, binary, crc_remainder, in_blocks, shuff
 from gaugeline.llm.elias_fano import HASH_BITS, Trie
 
 HELD_OUT, PARTS = 2, 7
-MU = 100.0
+MU = 500.0  # the strength of the prior, chosen on held-out text
 HOT_SHARE = 500  # words of more than 1/500 of the tokens are spread, so there are fewer than 500 of them
 HOT_SAMPLE = 20_000  # documents that show which words are frequent; this moves work, not results
 BLOCK = 4 << 20  # bytes of text counted together
@@ -40,18 +41,8 @@ def word_hash(word: bytes) -> int:
 
 END, BEGIN = word_hash(b" end"), word_hash(b" begin")  # no word has a space
 
-MAPPED = "shard int, row long, doc_id long, held_out boolean, n_tokens long, kind string, content binary"
-MAP_SCHEMA = pa.schema(
-    [
-        ("shard", pa.int32()),
-        ("row", pa.int64()),
-        ("doc_id", pa.int64()),
-        ("held_out", pa.bool_()),
-        ("n_tokens", pa.int64()),
-        ("kind", pa.string()),
-        ("content", pa.binary()),
-    ]
-)
+MAPPED = "shard int, block long, kind string, content binary"
+MAP_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("kind", pa.string()), ("content", pa.binary())])
 
 
 def frequent_words(rows: DataFrame) -> np.ndarray:
@@ -102,31 +93,48 @@ def counted(texts: list[bytes]):
     return hashes, *distinct(word, context, doc, len(hashes), len(texts)), lengths
 
 
-def content(trained: np.ndarray, words: np.ndarray, sizes: np.ndarray, contexts: np.ndarray, docs: np.ndarray, times: np.ndarray) -> bytes:
-    arrays = [
-        trained.astype(np.uint8), words.astype(np.uint64), sizes.astype(np.uint32),
-        contexts.astype(np.uint32), docs.astype(np.uint16), times.astype(np.uint32),
-    ]
-    head = struct.pack("<3q", len(trained), len(words), len(contexts))
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed blob."""
+    head = struct.pack(f"<{1 + 2 * len(arrays)}q", len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a))))
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
-def read_content(data: bytes):
+def unpacked(data: bytes) -> list[np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(data)
-    docs, words, entries = struct.unpack_from("<3q", data)
-    at, out = 24, []
-    for kind, n in ((np.uint8, docs), (np.uint64, words), (np.uint32, words), (np.uint32, entries), (np.uint16, entries), (np.uint32, entries)):
-        out.append(np.frombuffer(data, dtype=kind, count=n, offset=at))
-        at += n * np.dtype(kind).itemsize
+    (n,) = struct.unpack_from("<q", data)
+    kinds = struct.unpack_from(f"<{2 * n}q", data, 8)
+    at, out = 8 + 16 * n, []
+    for kind, size in zip(kinds[::2], kinds[1::2]):
+        out.append(np.frombuffer(data, dtype=chr(kind), count=size, offset=at))
+        at += out[-1].nbytes
     return out
 
 
+def content(trained: np.ndarray, words: np.ndarray, sizes: np.ndarray, contexts: np.ndarray, docs: np.ndarray, times: np.ndarray) -> bytes:
+    """A block's n-grams for one shard: which documents train, words, entries per word; context, document, times."""
+    return packed(
+        trained.astype(np.uint8), words.astype(np.uint64), sizes.astype(np.uint32),
+        contexts.astype(np.uint32), docs.astype(np.uint16), times.astype(np.uint32),
+    )
+
+
 def dealt(batches, shards: int, hot: np.ndarray):
-    """What every shard gets of a task's documents: n-grams by block, and at the end the counts that all shards need."""
+    """What every shard gets of a task's documents: n-grams by block, and at the end the counts that all shards need.
+
+    The documents of a block travel as one more blob, to be put together with the answers.
+    """
     task = TaskContext.get().partitionId() << 33
-    row, hot_counts, tokens = 0, np.zeros(len(hot), dtype=np.int64), 0
-    for block in in_blocks(batches, "text", BLOCK):
-        texts, held = binary(block.column("text")).to_pylist(), np.array(block.column("held_out").to_pylist(), dtype=bool)
+    blocks, hot_counts, tokens = 0, np.zeros(len(hot), dtype=np.int64), 0
+
+    def rows(numbers, block: int, kind: str, contents):
+        n = len(numbers)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(numbers, pa.int32()), pa.array([block] * n, pa.int64()), pa.array([kind] * n), pa.array(contents, pa.binary())],
+            schema=MAP_SCHEMA,
+        )
+
+    for batch in in_blocks(batches, "text", BLOCK):
+        texts, held = binary(batch.column("text")).to_pylist(), np.array(batch.column("held_out").to_pylist(), dtype=bool)
         hashes, word, context, doc, times, lengths = counted(texts)
         contexts = (hashes[context] >> np.uint64(HASH_BITS - 32)).astype(np.uint32)
         h = hashes[word]
@@ -139,32 +147,19 @@ def dealt(batches, shards: int, hot: np.ndarray):
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(shards + 1))
         filled, contents = [], []
-        for s in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[s] : bounds[s + 1]]
+        for number in np.flatnonzero(np.diff(bounds)):
+            own = order[bounds[number] : bounds[number + 1]]
             starts = np.flatnonzero(np.r_[True, word[own][1:] != word[own][:-1]])
-            filled.append(s)
+            filled.append(number)
             contents.append(content(~held, h[own][starts], np.diff(np.r_[starts, len(own)]), contexts[own], doc[own], times[own]))
-        n, first = len(filled), task + row
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(filled, pa.int32()), pa.array([first] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()),
-             pa.nulls(n, pa.int64()), pa.array(["grams"] * n), pa.array(contents, pa.binary())],
-            schema=MAP_SCHEMA,
-        )
-        n = len(texts)
-        rows = np.arange(first, first + n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((rows % shards).astype(np.int32)), pa.array(rows), block.column("doc_id"), block.column("held_out"),
-             pa.array(lengths), pa.array(["document"] * n), pa.nulls(n, pa.binary())],
-            schema=MAP_SCHEMA,
-        )
-        row += n
-    if row:
-        totals = struct.pack("<q", tokens) + hot_counts.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(shards), pa.int32()), pa.array([task] * shards, pa.int64()), pa.nulls(shards, pa.int64()), pa.nulls(shards, pa.bool_()),
-             pa.nulls(shards, pa.int64()), pa.array(["totals"] * shards), pa.array([totals] * shards, pa.binary())],
-            schema=MAP_SCHEMA,
-        )
+        block = task + blocks
+        yield rows(filled, block, "grams", contents)
+        ids = batch.column("doc_id")
+        known = np.asarray(ids.is_valid(), dtype=np.uint8)
+        yield rows([block % shards], block, "documents", [packed(np.asarray(ids.fill_null(0)), known, held.astype(np.uint8), lengths)])
+        blocks += 1
+    if blocks:
+        yield rows(range(shards), task, "totals", [packed(np.array([tokens]), hot_counts)] * shards)
 
 
 class Shard:
@@ -175,12 +170,13 @@ class Shard:
         self.tokens, self.hot_counts, self.model = 0, np.zeros(len(hot), dtype=np.int64), None
         self.blocks = []
 
-    def take(self, kind: str, row: int, data: bytes) -> None:
+    def take(self, kind: str, block: int, data: bytes) -> None:
         if kind == "totals":
-            self.tokens += struct.unpack_from("<q", data)[0]
-            self.hot_counts += np.frombuffer(data, dtype=np.int64, offset=8)
+            tokens, counts = unpacked(data)
+            self.tokens += int(tokens[0])
+            self.hot_counts += counts
         elif kind == "grams":
-            self.blocks.append((row, read_content(data)))
+            self.blocks.append((block, unpacked(data)))
         else:
             self.model = data
 
@@ -210,7 +206,7 @@ class Shard:
         return Trie.build(words, counts, where, self.pair_context[seen], pair_counts[seen], self.tokens, mu)
 
     def answers(self, trie: Trie):
-        """(row, base, score, known) arrays per block, and the number of trained words that are at home here."""
+        """Per block (documents, base, score, known), and the number of trained words that are at home here."""
         place = trie.find(self.words)
         counts = trie.word_counts(place)
         numerators = trie.numerators(place[self.pair_word], self.pair_context)
@@ -219,58 +215,103 @@ class Shard:
         base, known = log_counts[word] * self.times, (counts > 0)[word] * self.times
         score = (numerators[self.pair_of] - denominators[word]) * self.times
         at, out = 0, []
-        for row, (trained, _, _, _, doc, _) in self.blocks:
+        for block, (trained, _, _, _, doc, _) in self.blocks:
             own = slice(at, at + len(doc))
             at += len(doc)
             docs = np.unique(doc)
             sums = [np.bincount(doc, x[own], len(trained))[docs] for x in (base, score, known)]
-            out.append((row + docs.astype(np.int64), *sums))
+            out.append((block, docs, *sums))
         everything = trie.words.get(np.arange(trie.words.size)) if trie.words.size else np.empty(0, np.uint64)
         return out, int((everything % np.uint64(self.shards) == self.number).sum())
 
 
-ANSWERS = (
-    "row long, doc_id long, held_out boolean, n_tokens long, base double, score double, n_known long, "
-    "words long, train_tokens long"
-)
-
-
 def gathered(batches, shards: int, hot: np.ndarray, documents: list):
-    """Read a partition's rows into shards; the rows of documents are handed through."""
+    """Read a partition's rows into shards; the blobs of documents are handed through."""
     out = {}
     for batch in batches:
-        kinds = batch.column("kind").to_pylist()
-        for i, kind in enumerate(kinds):
-            if kind != "document":
-                number = batch.column("shard")[i].as_py()
-                shard = out.setdefault(number, Shard(number, shards, hot))
-                shard.take(kind, batch.column("row")[i].as_py(), batch.column("content")[i].as_py())
-        some = batch.filter(pa.array([k == "document" for k in kinds]))
-        if some.num_rows:
-            documents.append(some.select(["row", "doc_id", "held_out", "n_tokens"]))
+        columns = (batch.column(c).to_pylist() for c in ("shard", "block", "kind", "content"))
+        for number, block, kind, data in zip(*columns):
+            if kind == "documents":
+                documents.append((block, data))
+                continue
+            if number not in out:
+                out[number] = Shard(number, shards, hot)
+            out[number].take(kind, block, data)
     return out.values()
 
 
+ANSWERS = "block long, kind string, content binary"
+
+
 def answered(batches, shards: int, hot: np.ndarray, mu: float):
-    """Partial sums per document and shard, the documents' own rows, and a row of totals per shard."""
-    names = [c.split()[0] for c in ANSWERS.split(", ")]
+    """Each block's partial sums from the shards of this partition, the blobs of documents, and a row of totals."""
+
+    def row(block: int, kind: str, data: bytes):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), pa.array([kind]), pa.array([data], pa.binary())], names=["block", "kind", "content"]
+        )
+
     documents = []
     for shard in gathered(batches, shards, hot, documents):
         shard.gather()
         trie = Trie.mapped(shard.model or shard.build(mu))
         blocks, words = shard.answers(trie)
-        for rows, base, score, known in blocks:
-            n = len(rows)
-            none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64())]
-            arrays = [pa.array(rows), *none, pa.array(base), pa.array(score), pa.array(known.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
-        one = [pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64())]
-        sums = [pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*one, *sums, pa.array([words], pa.int64()), pa.array([trie.train_tokens], pa.int64())], names=names)
-    for batch in documents:
-        n = batch.num_rows
-        none = [pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *none], names=names)
+        for block, docs, base, score, known in blocks:
+            yield row(block, "sums", packed(docs, base, score, known.astype(np.uint32)))
+        yield row(-1, "totals", packed(np.array([words, trie.train_tokens])))
+    for block, data in documents:
+        yield row(block, "documents", data)
+
+
+SCORED = (
+    "doc_id long, held_out boolean, n_tokens long, base double, score double, n_known long, words long, train_tokens long"
+)
+SCORED_SCHEMA = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("held_out", pa.bool_()),
+        ("n_tokens", pa.int64()),
+        ("base", pa.float64()),
+        ("score", pa.float64()),
+        ("n_known", pa.int64()),
+        ("words", pa.int64()),
+        ("train_tokens", pa.int64()),
+    ]
+)
+
+
+def added_up(batches):
+    """One row per document from the rows of its block, which stand together; one row of totals with null n_tokens."""
+
+    def finished(block: int, rows: list):
+        if block < 0:
+            words, tokens = zip(*(unpacked(data)[0].tolist() for _, data in rows))
+            columns = [[None]] * 6 + [[sum(words)], [max(tokens)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCORED_SCHEMA)], schema=SCORED_SCHEMA)
+        ids, known_ids, held, lengths = next(unpacked(data) for kind, data in rows if kind == "documents")
+        sums = np.zeros((3, len(ids)))
+        for kind, data in rows:
+            if kind == "sums":
+                docs, *parts = unpacked(data)
+                for total, part in zip(sums, parts):
+                    total[docs] += part
+        none = pa.nulls(len(ids), pa.int64())
+        arrays = [
+            pa.array(ids, mask=known_ids == 0), pa.array(held.astype(bool)), pa.array(lengths), pa.array(sums[0]), pa.array(sums[1]),
+            pa.array(sums[2].astype(np.int64)), none, none,
+        ]
+        return pa.RecordBatch.from_arrays(arrays, schema=SCORED_SCHEMA)
+
+    at, held = None, []
+    for batch in batches:
+        for block, kind, data in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "content"))):
+            if block != at and held:
+                yield finished(at, held)
+                held = []
+            at = block
+            held.append((kind, data))
+    if held:
+        yield finished(at, held)
 
 
 def modelled(batches, shards: int, hot: np.ndarray, mu: float):
@@ -310,25 +351,18 @@ def score(documents: DataFrame, mu: float = MU, model: tuple[DataFrame, np.ndarr
     else:
         table, hot = model
         shards = table.count()
-        none = lambda kind: F.lit(None).cast(kind)
         tries = table.select(
-            "shard", none("long").alias("row"), none("long").alias("doc_id"), none("boolean").alias("held_out"),
-            none("long").alias("n_tokens"), F.lit("model").alias("kind"), F.col("trie").alias("content"),
-        )
+            "shard", F.lit(0).cast("long").alias("block"), F.lit("model").alias("kind"), F.col("trie").alias("content")
+        )
         grams = rows.mapInArrow(lambda batches: dealt(batches, shards, hot), MAPPED)
         spread = grams.unionByName(tries).repartitionById(shards, F.col("shard"))
+    parts = spread.mapInArrow(lambda batches: answered(batches, shards, hot, mu), ANSWERS)
     sums = written(
-        spread.mapInArrow(lambda batches: answered(batches, shards, hot, mu), ANSWERS)
-        .groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-            F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("n_known").alias("n_known"),
-            F.sum("words").alias("words"), F.max("train_tokens").alias("train_tokens"),
-        )
-    )
-    totals = sums.filter("row = -1").first()
+        parts.repartition(shuffle_partitions(documents.sparkSession), "block").sortWithinPartitions("block").mapInArrow(added_up, SCORED)
+    )
+    totals = sums.filter("words is not null").first()
     words, tokens = (totals.words, totals.train_tokens) if totals else (0, 0)
-    return sums.filter("row >= 0").select(
+    return sums.filter("n_tokens is not null").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(tokens + words + 1)))).alias("base_score"), "score",
     )

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from gaugeline.llm import simhash
+from gaugeline.llm.components import components
 
 
 def plain_print(text, width=4):
@@ -72,3 +73,23 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.copies) for r in rows) == [(0, 0, 1), (0, 5, 3), (5, 5, 3), (5, 5, 3)]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_components_of_chains_hubs_and_random_edges(spark):
+    rng = random.Random(3)
+    chain = list(range(100, 160))
+    rng.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(7, i) for i in range(200, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    edges += [(5, 5), (-3, 7)]
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
