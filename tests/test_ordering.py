@@ -48,5 +48,6 @@ def test_rounding_and_cutting(rows):
 
 
 def test_broadcast_only_below_the_limit(spark):
-    assert "broadcast" in broadcast_if_small(spark.range(5), 10)._jdf.queryExecution().toString()
-    assert "broadcast" not in broadcast_if_small(spark.range(50), 10)._jdf.queryExecution().toString()
+    small, large = broadcast_if_small(spark.range(5), 1000), broadcast_if_small(spark.range(500), 1000)
+    assert "broadcast" in small._jdf.queryExecution().toString() and small.count() == 5
+    assert "broadcast" not in large._jdf.queryExecution().toString() and large.count() == 500
