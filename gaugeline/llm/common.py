@@ -12,15 +12,25 @@ from pyspark.sql import functions as F
 from gaugeline.session import cut_lineage
 
 SPACES = " \t\n\x0b\f\r"  # fixed value: the white space of the contracts, [\x20\x09-\x0D]
-CUT_BYTES = 4 << 20  # texts handed to one vectorised step
+CUT_BYTES = 1 << 20  # texts handed to one vectorised step
+ARROW_ROWS = 1_000  # texts in one transfer to Python, at most
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bounded_transfers(documents: DataFrame) -> DataFrame:
+    """Have the session hand at most ARROW_ROWS texts at once to Python; the default suits numbers, not texts."""
+    conf, name = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > ARROW_ROWS:
+        conf.set(name, ARROW_ROWS)
+    return documents
+
+
 def texts(documents: DataFrame) -> DataFrame:
     """doc_id and text with null as empty; other columns, clashing ones too, are left behind."""
+    documents = bounded_transfers(documents)
     return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
 

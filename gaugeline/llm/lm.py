@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import SPACES, binary, crc_remainder, in_blocks, shuffle_partitions, written
+from gaugeline.llm.common import SPACES, binary, bounded_transfers, crc_remainder, in_blocks, shuffle_partitions, written
 from gaugeline.llm.elias_fano import HASH_BITS, Trie
 
 HELD_OUT, PARTS = 2, 7
@@ -322,7 +322,9 @@ def modelled(batches, shards: int, hot: np.ndarray, mu: float):
 
 def prepared(documents: DataFrame) -> DataFrame:
     held = crc_remainder(F.col("doc_id"), PARTS) == HELD_OUT
-    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"))
+    return bounded_transfers(documents).select(
+        F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out")
+    )
 
 
 def sharded(rows: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:

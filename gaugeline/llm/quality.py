@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import binary, crc_remainder
+from gaugeline.llm.common import binary, crc_remainder, texts
 
 FIT_ROWS = 8_000  # bound of the labelled sample that is fitted on the driver
 HELD_OUT, PARTS = 2, 4  # rows whose crc32(doc_id) modulo 4 is 2 are never learned from
@@ -104,8 +104,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most FIT_ROWS graded training rows, those with the smallest id hashes."""
     known = graded(labels).filter(crc_remainder(F.col("doc_id"), PARTS) != HELD_OUT)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    texts = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "grade").collect()  # bounded by the sample
+    rows = texts(documents).join(F.broadcast(chosen), "doc_id").select("text", "grade").collect()  # bounded by the sample
     return fit([(r["text"].encode(), r["grade"]) for r in rows])
 
 

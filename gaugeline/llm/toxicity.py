@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import binary, crc_remainder
+from gaugeline.llm.common import binary, crc_remainder, texts
 
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000  # bound of the labelled sample that is fitted on the driver
 HELD_OUT, PARTS = 2, 4  # rows whose crc32(doc_id) modulo 4 is 2 are never learned from
@@ -136,8 +136,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     ]
     spark = documents.sparkSession
     chosen = spark.createDataFrame([(i,) for i in sorted(set(sample))], "doc_id long").join(known.distinct(), "doc_id")
-    texts = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "label").collect()  # bounded by the sample
+    rows = texts(documents).join(F.broadcast(chosen), "doc_id").select("text", "label").collect()  # bounded by the sample
     return fit([(r["text"].encode(), r["label"]) for r in rows])
 
 
