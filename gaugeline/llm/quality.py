@@ -1,8 +1,9 @@
 """Quality by ordinal cumulative-link regression.
 
 One weight vector over hashed words is shared by all grades, and ordered thresholds cut its score into grades:
-P(grade > j) = sigmoid(w.x - theta_j). That gives an expected grade and a tail probability to select by. Ratings are
-graded from the labels: one point for good quality, one for not being toxic, so 0, 1 or 2.
+P(grade > j) = sigmoid(w.x - theta_j). That gives an expected grade and a tail probability to select by. Beside the
+words, two hashed features tell how long a text is and how much of it is repetition. Ratings are graded from the labels:
+one point for good quality, one for not being toxic, so 0, 1 or 2.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ HELD_OUT, PARTS = 2, 4  # rows whose crc32(doc_id) modulo 4 is 2 are never learn
 GRADES = 3
 BITS = 18  # hashed weights
 SCALE = 30.0  # of the mean word weight
+SHAPE = 5.0  # of the features of the whole text
 EPOCHS, BATCH, RATE, RIDGE = 6, 64, 0.3, 1e-6
-TAIL_GRADE, TAIL_LEAST = 1, 0.5  # selected: P(grade >= 1) of at least one half
+TAIL_GRADE, TAIL_LEAST = 2, 0.2  # selected: P(grade >= 2) of at least so much, which clean texts pass but for a few
 CACHE = 500_000  # words whose weight a task remembers
 
 
@@ -42,13 +44,18 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def shape(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Features of a text as words that no text holds: its length by powers of two, and tenths of distinct words."""
+    distinct = 10 * len(set(words)) // len(words) if words else 0
+    return b" length %d" % len(words).bit_length(), b" distinct %d" % distinct
+
+
 def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the lower-cased words and their values; the values are scaled shares and add up to SCALE."""
+    """Slots and values: of the lower-cased words their share times SCALE, of the shape features SHAPE."""
     words = text.lower().split()
-    if not words:
-        return np.empty(0, dtype=np.int64), np.empty(0)
     slots, counts = np.unique(np.array([slot(w) for w in words], dtype=np.int64), return_counts=True)
-    return slots, counts * (SCALE / len(words))
+    extra = [slot(w) for w in shape(words)]
+    return np.r_[slots, extra], np.r_[counts * (SCALE / max(1, len(words))), [SHAPE] * len(extra)]
 
 
 def fit(rows: list[tuple[bytes, int]]) -> Model:
@@ -116,22 +123,22 @@ def quality_score(model: Model) -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, theta, known = model.weights.tolist(), np.array(model.thresholds), {}
 
-        def mean_weight(text: bytes) -> float:
+        def weighed(text: bytes) -> float:
             words = text.lower().split()
-            if not words:
-                return 0.0
+            whole = SHAPE * sum(weights[slot(w)] for w in shape(words))
             if len(known) > CACHE:
                 known.clear()
             try:
-                return sum([known[w] for w in words]) * SCALE / len(words)
+                total = sum([known[w] for w in words])
             except KeyError:
                 for w in words:
                     if w not in known:
                         known[w] = weights[slot(w)]
-                return sum([known[w] for w in words]) * SCALE / len(words)
+                total = sum([known[w] for w in words])
+            return whole + total * SCALE / max(1, len(words))
 
         for texts in batches:
-            z = np.array([mean_weight(t or b"") for t in binary(texts).to_pylist()]).reshape(-1, 1)
+            z = np.array([weighed(t or b"") for t in binary(texts).to_pylist()]).reshape(-1, 1)
             tails = sigmoid(z - theta)  # P(grade > j)
             yield pa.StructArray.from_arrays(
                 [pa.array(tails.sum(1)), pa.array(tails[:, TAIL_GRADE - 1])], names=["expected_grade", "tail_probability"]
