@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.ordering import last_seen
 from gaugeline.schemas import EVENT
-from gaugeline.session import cut_lineage
+from gaugeline.session import cut_lineage, materialised
 
 # Limits of the checks.
 EXPECTED_MIN_AGENTS = 4
@@ -61,19 +61,22 @@ def result_text(content: Column, separator: str, only_text: bool) -> Column:
     return F.coalesce(F.when(is_string, F.try_variant_get(content, "$", "string")).otherwise(joined), F.lit(""))
 
 
-def content_blocks(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def content_blocks(events: DataFrame, keep: Sequence[str] = (), outer: bool = False) -> DataFrame:
     """One row per message block, with the event type it came in and the event's columns named in ``keep``.
 
+    With ``outer``, an event without blocks keeps one row whose ``pos`` is null.
+
     Of a tool result's content only what the checks need is kept: its line count, the start of an error text, the
     bundle lines it reports and its size. Columns that are not used are never computed.
     """
+    explode = F.posexplode_outer if outer else F.posexplode
     blocks = events.select(
         "run_id",
         "seq",
         *keep,
         F.col("type").alias("event_type"),
         "parent_tool_use_id",
-        F.posexplode("message.content").alias("pos", "b"),
+        explode("message.content").alias("pos", "b"),
     ).select("run_id", "seq", *keep, "pos", "event_type", "parent_tool_use_id", "b.*")
     content = F.col("content")
     is_result = (F.col("event_type") == "user") & (F.col("type") == "tool_result")
@@ -184,24 +187,21 @@ def session_inits(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(F.count_if(is_init).alias("inits"))
 
 
-def event_facts(events: DataFrame) -> DataFrame:
-    """Per run: event and init counts, the first result's stop reason and the first init's visible commands."""
-    is_result = F.col("type") == "result"
-    is_init = (F.col("type") == "system") & (F.col("subtype") == "init")
-    skill_call = (F.col("type") == "assistant") & F.exists(
-        "message.content", lambda block: (block["type"] == "tool_use") & (block["name"] == "Skill")
-    )
-    leaked = F.get(
-        F.filter(F.coalesce("slash_commands", F.array().cast("array<string>")), lambda c: ~c.isin(BUILT_IN_COMMANDS)),
-        F.lit(0),
-    )
+def event_facts(blocks: DataFrame) -> DataFrame:
+    """Per run: event and init counts, the first result's stop reason and the first init's visible commands.
+
+    Taken from ``checked_blocks``: every event has one row there without a place or with place 0.
+    """
+    events = blocks.filter(F.col("pos").isNull() | (F.col("pos") == 0))
+    is_result = F.col("event_type") == "result"
+    is_init = (F.col("event_type") == "system") & (F.col("subtype") == "init")
     return events.groupBy("run_id").agg(
         F.count("*").alias("events"),
         F.count_if(is_init).alias("inits"),
         (F.count_if(is_result) > 0).alias("has_result"),
         F.min_by("stop_reason", F.when(is_result, F.col("seq"))).alias("stop_reason"),
-        F.count_if(skill_call).alias("skill_calls"),
-        F.min_by(leaked, F.when(is_init, F.col("seq"))).alias("leaked_command"),
+        F.count_if("skill_call").alias("skill_calls"),
+        F.min_by("leaked", F.when(is_init, F.col("seq"))).alias("leaked_command"),
     )
 
 
@@ -225,10 +225,20 @@ def bundle_facts(bundles: DataFrame) -> DataFrame:
 
 
 def checked_blocks(events: DataFrame) -> DataFrame:
-    """The message blocks with what the checks read of them, written once."""
-    return cut_lineage(
-        content_blocks(events).select(
-            "run_id", "seq", "pos", "event_type", "type", "name", "id", "input", "tool_use_id", "is_error",
+    """The message blocks and the events without any, with what the checks read of them: the log is parsed and written
+    once, and ``event_facts`` and all block checks start from there."""
+    skill_call = (F.col("type") == "assistant") & F.exists(
+        "message.content", lambda block: (block["type"] == "tool_use") & (block["name"] == "Skill")
+    )
+    leaked = F.get(
+        F.filter(F.coalesce("slash_commands", F.array().cast("array<string>")), lambda c: ~c.isin(BUILT_IN_COMMANDS)),
+        F.lit(0),
+    )
+    marked = events.withColumns({"skill_call": F.coalesce(skill_call, F.lit(False)), "leaked": leaked})
+    own = ["subtype", "stop_reason", "skill_call", "leaked"]
+    return materialised(
+        content_blocks(marked, keep=own, outer=True).select(
+            "run_id", "seq", "pos", *own, "event_type", "type", "name", "id", "input", "tool_use_id", "is_error",
             "result_lines", "error_text", "bundle_reports",
         )
     )
@@ -263,7 +273,7 @@ def run_facts(
         runs = runs.join(compliance.select("run_id", *scope_columns), "run_id", "left").join(named, "run_id", "left")
         counts = [*counts, "oos_mentions"]
     return (
-        runs.join(event_facts(events), "run_id", "left")
+        runs.join(event_facts(blocks), "run_id", "left")
         .join(agent_facts(agent_spans(blocks)), "run_id", "left")
         .join(bundle_facts(bundle_quality(blocks)), "run_id", "left")
         .join(errors, "run_id", "left")
