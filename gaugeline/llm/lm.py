@@ -31,7 +31,7 @@ HELD_OUT, PARTS = 2, 7
 MU = 500.0  # the strength of the prior, chosen on held-out text
 HOT_SHARE = 500  # words of more than 1/500 of the tokens are spread, so there are fewer than 500 of them
 HOT_SAMPLE = 20_000  # documents that show which words are frequent; this moves work, not results
-BLOCK = 4 << 20  # bytes of text counted together
+BLOCK = 2 << 20  # bytes of text counted together
 MASK = (1 << HASH_BITS) - 1
 
 
