@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import SPACES, with_small, written
 
 LEVELS = ["domain", "lang", "source"]
-BUCKET = 3  # hexadecimal digits of the seeded order that name a bucket
+BUCKET = 3  # hexadecimal digits of the seeded order that name the finest bucket
 UNKNOWN = "(none)"
 ONE_TASK_LEAVES = 100_000
 
@@ -127,8 +127,9 @@ def order_key(mix: Mix) -> Column:
 def mixing_plan(rows: DataFrame, mix: Mix) -> DataFrame:
     """Per leaf: full_epochs, and the last order key that the partial epoch takes (``cut``).
 
-    Tokens are first added up per bucket of the order, at most 16^3 per leaf; only the bucket in which the rest of the
-    budget ends is looked at row by row, so no task sorts a whole leaf.
+    Tokens are first added up per bucket of the order, named by its first hexadecimal digits: one digit more at a time, and
+    only inside the bucket in which the rest of the budget ends, so a leaf is 16 rows at each step. The last such bucket is
+    looked at row by row; no task sorts a whole leaf.
     """
     leaves = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")))
     if leaves.count() <= ONE_TASK_LEAVES:  # the tree is then poured without a shuffle
@@ -143,18 +144,21 @@ def mixing_plan(rows: DataFrame, mix: Mix) -> DataFrame:
         )
     )
     ordered = with_small(rows, plan.select(*LEVELS, "full_epochs", "rest"), LEVELS, "doc_id").withColumn("key", order_key(mix))
-    bucket = F.substring("key", 1, BUCKET).alias("bucket")
-    sums = ordered.groupBy(*LEVELS, "rest", bucket).agg(F.sum("n_tokens").alias("here"))
     so_far = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    crossing = written(
-        sums.withColumn("upto", F.sum("here").over(so_far))
-        .filter("upto > rest")
-        .groupBy(*LEVELS)
-        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("here")).alias("before"))).alias("c"))
-        .select(*LEVELS, "c.bucket", "c.before")
-    )
+    left = ordered.withColumn("before", F.lit(0).cast("long"))
+    for digits in range(1, BUCKET + 1):
+        within = left.withColumn("bucket", F.substring("key", 1, digits))
+        sums = within.groupBy(*LEVELS, "rest", "before", "bucket").agg(F.sum("n_tokens").alias("here"))
+        crossing = written(
+            sums.withColumn("upto", F.col("before") + F.sum("here").over(so_far))
+            .filter("upto > rest")
+            .groupBy(*LEVELS)
+            .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("here")).alias("before"))).alias("c"))
+            .select(*LEVELS, "c.bucket", "c.before")
+        )
+        left = with_small(within.drop("before"), crossing, [*LEVELS, "bucket"], "doc_id").drop("bucket")
     inside = (
-        with_small(ordered.withColumn("bucket", bucket), crossing, [*LEVELS, "bucket"], "doc_id")
+        left
         .withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key")))
         .filter("upto <= rest")
         .groupBy(*LEVELS)
