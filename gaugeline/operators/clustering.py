@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.joins import broadcast_if_small
-from gaugeline.operators.matching import best_similar, title_words
+from gaugeline.operators.matching import best_similar, prefixes, title_words
 from gaugeline.operators.refresh import USABLE_EXIT_CODES
 from gaugeline.session import cut_lineage
 
@@ -224,20 +224,38 @@ def connected_keys(edges: DataFrame) -> DataFrame:
 
 
 SIMILAR = 0.7
+HOT = 4096  # sets that hold a token; for each so many the sets that ask for it go to one more place
 
 
 def similar_sets(sets: DataFrame, theta: float = SIMILAR) -> DataFrame:
-    """(scope, words, head) links between word sets: under each word, a set and the smallest set that holds the word.
+    """(scope, words, head) links: every pair of distinct word sets of a scope with a Jaccard of ``theta``, once.
 
-    A link needs a Jaccard of ``theta``. Sets meet through words, never each other, so the work grows with the words.
+    The smaller set (by size, then by words) is the head. Pairs meet through rare tokens (prefix filter), which loses
+    none: a set asks with the prefix for ``theta``. A head meets only sets of its size or larger, so the overlap is at
+    least 2 theta / (1 + theta) of the head, and it is filed under the shorter prefix for that share. The sets that ask
+    for a hot token are spread over salts, the heads under it are repeated for each; size and Jaccard are tested inside
+    the join, so only similar pairs become rows.
     """
-    tokens = sets.select("scope", "words", F.explode("words").alias("token"))
-    heads = cut_lineage(tokens.groupBy("scope", "token").agg(F.min("words").alias("head")))
+    if not 0 < theta <= 1:
+        raise ValueError("theta must be in (0, 1]")
+    distinct = cut_lineage(sets.filter(F.size("words") > 0).select("scope", "words").distinct())
+    frequencies = cut_lineage(
+        distinct.select("scope", F.explode("words").alias("token")).groupBy("scope", "token").agg(F.count("*").alias("n"))
+    )
+    salts = F.ceil(F.col("n") / F.lit(HOT))
+    asked = prefixes(distinct, frequencies, theta).select(
+        "scope", "token", "words", F.pmod(F.xxhash64("words"), salts).alias("salt")
+    )
+    filed = prefixes(distinct, frequencies, 2 * theta / (1 + theta)).select(
+        "scope", "token", F.col("words").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
+    )
+    smaller = F.struct(F.size("head"), F.col("head")) < F.struct(F.size("words"), F.col("words"))
+    long_enough = F.size("head") >= F.size("words") * F.lit(theta) - 1e-9
     shared = F.size(F.array_intersect("words", "head"))
     score = shared / (F.size("words") + F.size("head") - shared)
     return (
-        tokens.join(heads, ["scope", "token"])
-        .filter((F.col("words") != F.col("head")) & (score >= theta - 1e-9))
+        asked.join(filed, ["scope", "token", "salt"])
+        .filter(smaller & long_enough & (score >= theta - 1e-9))
         .select("scope", "words", "head")
         .distinct()
     )
@@ -248,8 +266,8 @@ def cluster_findings(inputs: DataFrame, theta: float = SIMILAR) -> tuple[DataFra
 
     Inputs also hold root_cause. Two findings of a codebase belong together when they share a root cause or the set of
     title words, or have similar word sets (``similar_sets``), directly or through others. Each finding links two keys,
-    so the graph has one edge per distinct (root cause, word set) and per similar set, and never a pair of findings. A
-    codebase's only finding becomes 'novel-1'.
+    so the graph has one edge per distinct (root cause, word set) and per pair of similar distinct sets, and never a pair
+    of findings. A codebase's only finding becomes 'novel-1'.
     """
     cause = F.concat(F.lit("c:"), "root_cause")
     def word_key(words: Column) -> Column:

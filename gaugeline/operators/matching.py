@@ -16,10 +16,10 @@ def title_words(title: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(plain, " "), lambda word: word != "")))
 
 
-def _prefixes(sets: DataFrame, frequencies: DataFrame, theta: float) -> DataFrame:
+def prefixes(sets: DataFrame, frequencies: DataFrame, theta: float) -> DataFrame:
     """The rarest tokens of each set: two sets with Jaccard >= theta share at least one of them.
 
-    A set of n tokens keeps its first n - ceil(theta * n) + 1 tokens in the order of rising frequency.
+    A set of n tokens keeps its first n - ceil(theta * n) + 1 tokens in the order of rising frequency, which is n here.
     """
     keep = F.size("t") - F.ceil(F.size("t") * F.lit(theta) - F.lit(1e-9)).cast("int") + 1
     tokens = sets.select("scope", "words", F.explode("words").alias("token")).join(
@@ -29,7 +29,7 @@ def _prefixes(sets: DataFrame, frequencies: DataFrame, theta: float) -> DataFram
         tokens.groupBy("scope", "words")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("t"))
         .select("scope", "words", F.explode(F.slice("t", F.lit(1), keep)).alias("f"))
-        .select("scope", "words", F.col("f.token").alias("token"))
+        .select("scope", "words", F.col("f.token").alias("token"), F.col("f.n").alias("n"))
     )
 
 
@@ -50,8 +50,8 @@ def best_similar(left: DataFrame, right: DataFrame, theta: float) -> DataFrame:
     frequencies = (
         offered.select("scope", F.explode("words").alias("token")).groupBy("scope", "token").agg(F.count("*").alias("n"))
     )
-    near = _prefixes(wanted, frequencies, theta).join(
-        _prefixes(offered.select("scope", "words"), frequencies, theta).withColumnRenamed("words", "other"),
+    near = prefixes(wanted, frequencies, theta).drop("n").join(
+        prefixes(offered.select("scope", "words"), frequencies, theta).drop("n").withColumnRenamed("words", "other"),
         ["scope", "token"],
     )
     shared = F.size(F.array_intersect("words", "other"))

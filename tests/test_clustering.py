@@ -81,6 +81,29 @@ def test_similar_titles_are_clustered(rows):
     assert sorted(map(sorted, groups.values())) == [["r1", "r2"], ["r3"]]
 
 
+def test_similar_titles_meet_past_smaller_sets_of_their_words(rows):
+    titles = ["in overflow vault withdraw", "in overflow vault withdraw x", "a in overflow", "a vault withdraw"]
+    data = [finding(f"r{i}", 1, title) + (f"c{i}::x",) for i, title in enumerate(titles)]
+    _, members = clustering.cluster_findings(rows(data, CAUSED))
+    cluster = {r.run_id: r.cluster_id for r in members.collect()}
+    assert cluster["r0"] == cluster["r1"] and len(set(cluster.values())) == 3
+
+
+@pytest.mark.parametrize("theta", [0.3, 0.7, 1.0])
+def test_similar_sets_are_all_pairs(rows, monkeypatch, theta):
+    monkeypatch.setattr(clustering, "HOT", 7)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(14)]
+    sets = sorted({(rng.choice("st"), tuple(sorted(set(rng.choices(words[: rng.choice([6, 14])], k=rng.randint(1, 9)))))) for _ in range(150)})
+    frame = rows([(scope, list(own)) for scope, own in sets] + [("s", []), ("s", None)], "scope string, words array<string>")
+    got = [(r.scope, frozenset((tuple(r.words), tuple(r.head)))) for r in clustering.similar_sets(frame, theta).collect()]
+    want = {
+        (s, frozenset((a, b))) for s, a in sets for z, b in sets
+        if s == z and a < b and len(set(a) & set(b)) / len(set(a) | set(b)) >= theta - 1e-9
+    }
+    assert len(got) == len(set(got)) and set(got) == want and (want or theta == 1.0)
+
+
 def test_a_single_input_becomes_novel_1(rows):
     clusters, members = clustering.cluster_findings(rows([finding("r1", 4, "T") + ("a::b",)], CAUSED))
     assert [(r.cluster_id, r.title, r.severity) for r in clusters.collect()] == [("novel-1", "T", "unknown")]
