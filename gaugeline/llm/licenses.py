@@ -60,7 +60,8 @@ class Finder:
     def __init__(self, notices=NOTICES):
         self.notices = notices
         self.patterns = [
-            regex.compile(f"(?b)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.errors}}}") for n in notices
+            [regex.compile(f"(?:{regex.escape(n.text, literal_spaces=True)}){{e<={k}}}") for k in range(n.errors + 1)]
+            for n in notices
         ]
         seeds = {}
         for number, notice in enumerate(notices):
@@ -72,7 +73,7 @@ class Finder:
         self.automaton.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, edits), leftmost and not overlapping per notice."""
+        """(notice, start, end, edits), not overlapping per notice: fewest edits first, leftmost among equals."""
         places: dict[int, list[tuple[int, int]]] = {}
         for end, (length, uses) in self.automaton.iter(text):
             for number, offset in uses:
@@ -89,10 +90,26 @@ class Finder:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                for m in self.patterns[number].finditer(text[a:b]):
-                    found.append((number, a + m.start(), a + m.end(), sum(m.fuzzy_counts)))
+                found += [(number, *m) for m in self.in_region(number, text, a, min(b, len(text)))]
         return found
 
+    def in_region(self, number: int, text: str, begin: int, stop: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) within the region: a pass for each number of edits over what better matches leave free.
+
+        Once the matches with fewer edits are taken, all that a pass can find has as many edits as it allows.
+        """
+        found, free = [], [(begin, stop)]
+        for edits, pattern in enumerate(self.patterns[number]):
+            shortest, left = len(self.notices[number].text) - edits, []
+            for a, b in free:
+                for m in pattern.finditer(text, a, b) if b - a >= shortest else ():
+                    found.append((m.start(), m.end(), edits))
+                    left.append((a, m.start()))
+                    a = m.end()
+                left.append((a, b))
+            free = left
+        return sorted(found)
+
 
 def scan(text: bytes, finder: Finder) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans, n_fuzzy."""

@@ -70,3 +70,50 @@ def test_span_covers_the_notice():
     finder = licenses.Finder()
     row = licenses.scan(b"one two Licensed under the Apche License, Versoin 2.0 and more", finder)
     assert row[7] == "apache-2:2:9:3" and row[4] == "" and row[5] == "apache-2"
+
+
+def test_adjacent_altered_notices_are_all_found():
+    finder = licenses.Finder()
+    row = licenses.scan(b"relased under the mit license " * 5 + b"released under the mit license", finder)
+    assert row[7] == ",".join(f"mit:{5 * i}:{5 * i + 5}:{int(i < 5)}" for i in range(6)) and row[8] == 6
+    row = licenses.scan(b"all rights reservd all rights reservd all rights reserved", finder)
+    assert row[7] == "proprietary:0:3:1,proprietary:3:6:1,proprietary:6:9:0"
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def plain_matches(notice, text):
+    """All parts within the errors, taken by edits, then from the left; the ends of equal ones are the text's choice."""
+    n, e = len(notice.text), notice.errors
+    parts = sorted(
+        (d, a, b)
+        for a in range(len(text)) for b in range(a + n - e, min(a + n + e, len(text)) + 1)
+        if (d := distance(notice.text, text[a:b])) <= e
+    )
+    taken = []
+    for d, a, b in parts:
+        if all(b <= x or y <= a for _, x, y in taken):
+            taken.append((d, a, b))
+    return taken
+
+
+def test_rows_of_altered_notices_equal_brute_force():
+    rng = random.Random(5)
+    notices = [n for n in licenses.NOTICES if len(n.text) < 32]
+    finder = licenses.Finder(notices)
+    for _ in range(25):
+        notice = rng.choice(notices)
+        copies = [mangled(rng, notice.text, rng.randrange(notice.errors + 2)) for _ in range(rng.randint(2, 4))]
+        text = f" {rng.choice([' ', ' and ', ' zz qq zz '] ).join(copies)} "
+        got = [m for m in finder.matches(text) if finder.notices[m[0]] is notice]
+        spans = sorted((a, b) for _, a, b, _ in got)
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        assert all(distance(notice.text, text[a:b]) == d for _, a, b, d in got)
+        assert sorted(d for *_, d in got) == sorted(d for d, _, _ in plain_matches(notice, text)), text
