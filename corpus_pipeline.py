@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from gaugeline.llm.common import BROADCAST_BYTES, table, written
-from gaugeline.session import ensure_checkpoint_dir
+from gaugeline.session import ensure_checkpoint_dir, materialised
 
 #: Nine tenths of the tokens that are left, no repetition: the pipeline's corpus has every document once.
 MIX = replace(mixing.PRODUCTION, budget_percent=90, max_epochs=1)
@@ -25,25 +25,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own (_row), written, so that it stays the same: ids may repeat or be null."""
+    return materialised(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """The numbered rows with their number as doc_id and the id as _order."""
+    return docs.select(F.col("_row").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_order"))
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among the dropped ones; rows with a null id stay.
+    """The numbered rows whose number is not among the dropped ones (their doc_id), without the number.
 
-    A list of up to BROADCAST_BYTES is broadcast, so texts stay where they are; a longer one meets them by id.
+    A list of up to BROADCAST_BYTES is broadcast, so texts stay where they are; a longer one meets them by number.
     """
-    gone = written(dropped.select(F.col("doc_id").alias("_gone")).distinct())
+    gone = written(dropped.select(F.col("doc_id").alias("_gone")))
     if gone.count() * 16 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs["_row"] == gone["_gone"], "left_anti").drop("_row")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
-    return without(docs, exact_dedup.exact_dedup(docs).filter("not kept"))
+    """One row of each group of equal texts: the longest original, then the smallest id, nulls last."""
+    docs = numbered(docs)
+    return without(docs, exact_dedup.exact_dedup(as_rows(docs), order="_order").filter("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    return without(docs, simhash.near_duplicates(docs).filter("doc_id <> component_id"))
+    """One row of each group of near duplicates: the one with the smallest id, nulls last."""
+    docs = numbered(docs)
+    return without(docs, simhash.near_duplicates(as_rows(docs), order="_order").filter("doc_id <> component_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,10 +28,10 @@ def bounded_transfers(documents: DataFrame) -> DataFrame:
     return documents
 
 
-def texts(documents: DataFrame) -> DataFrame:
-    """doc_id and text with null as empty; other columns, clashing ones too, are left behind."""
+def texts(documents: DataFrame, *also: str) -> DataFrame:
+    """doc_id, text with null as empty, and the columns of ``also``; others, clashing ones too, are left behind."""
     documents = bounded_transfers(documents)
-    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *also)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

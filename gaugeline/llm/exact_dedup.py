@@ -91,20 +91,23 @@ def neighbour_runs(batches):
         yield flush(True)
 
 
-def exact_dedup(documents: DataFrame) -> DataFrame:
+def exact_dedup(documents: DataFrame, order: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal are texts that agree after their white space is deleted; a null text is empty, and all empty texts are equal.
     The longest original (code points) stays, among equals the one with the smallest id; a null id comes last. Rows
     that repeat the same id are members like any other and share the answer ``kept``, so a caller who joins back by id
-    keeps all of them. An empty table gives an empty result; other columns are ignored.
+    keeps all of them. A caller who has to keep one row passes row numbers as doc_id and names the column with the ids as
+    ``order``: the smallest of it stays, then the smallest doc_id. An empty table gives an empty result; other columns are
+    ignored.
     """
     spark = documents.sparkSession
     norm = normalised(F.col("text")).alias("norm")
-    rows = texts(documents).select("doc_id", F.char_length("text").alias("length"), norm).select(
+    before = [order] if order else []
+    rows = texts(documents, *before).select("doc_id", *before, F.char_length("text").alias("length"), norm).select(
         "*", F.substring("norm", 1, HEAD).alias("head"), F.sha2(F.encode("norm", "utf-8"), 256).alias("text_sha256")
     )
-    key = [F.col("head"), F.col("text_sha256"), F.col("length").desc(), F.col("doc_id").asc_nulls_last()]
+    key = [F.col("head"), F.col("text_sha256"), F.col("length").desc(), *[F.col(c).asc_nulls_last() for c in [*before, "doc_id"]]]
     ordered = rows.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(*key).select(
         "doc_id", "norm", "text_sha256"
     )

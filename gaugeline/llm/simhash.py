@@ -79,17 +79,18 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the SimHash of the whole text as a signed long."""
+def fingerprints(documents: DataFrame, width: int = SHINGLE, *also: str) -> DataFrame:
+    """(doc_id, fp): the SimHash of the whole text as a signed long; columns of longs in ``also`` come along."""
 
     def run(batches):
         for batch in in_blocks(batches, "text"):
             hashes = [shingle_hashes(x, width) for x in binary(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(majority(hashes).view(np.int64))], names=["doc_id", "fp"]
+                [batch.column("doc_id"), pa.array(majority(hashes).view(np.int64)), *[batch.column(c) for c in also]],
+                names=["doc_id", "fp", *also],
             )
 
-    return texts(documents).mapInArrow(run, "doc_id long, fp long")
+    return texts(documents, *also).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *also]))
 
 
 def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -186,22 +187,28 @@ def links(prints: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFr
     return found.filter("point is null").select("a", "b").unionByName(through)
 
 
-def near_duplicates(documents: DataFrame, radius: int = RADIUS, width: int = SHINGLE, dense: int = DENSE) -> DataFrame:
+def near_duplicates(
+    documents: DataFrame, radius: int = RADIUS, width: int = SHINGLE, dense: int = DENSE, order: str | None = None
+) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), copies.
 
     A null text is empty; a text without words has fingerprint zero and links like any other. ``copies`` counts the rows
     with the same fingerprint. Repeated rows are answered each; null ids belong to components but never name one unless
-    there is no other id. An empty table gives an empty result.
+    there is no other id. A caller who has to name one row passes row numbers as doc_id and names the column with the ids
+    (long) as ``order``: the row with the smallest of it names the component, nulls last, then the smallest doc_id. An
+    empty table gives an empty result.
     """
-    prints = written(fingerprints(documents, width))
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    prints = written(fingerprints(documents, width, *([order] if order else [])))
+    first = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("order"), "doc_id") if order else F.col("doc_id")
+    classes = written(prints.groupBy("fp").agg(F.min(first).alias("least"), F.count("*").alias("copies")))
     found = components(links(classes, radius, dense))
     rooted = written(
         classes.join(found, classes["fp"] == found["node"], "left").select(
             "fp", "least", "copies", F.coalesce("root", "fp").alias("root")
         )
     )
-    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    least = F.min("least")["doc_id"] if order else F.min("least")
+    named = written(rooted.groupBy("root").agg(least.alias("component_id")))
     answers = written(rooted.join(named, "root").select("fp", "copies", "component_id"))
     return prints.join(answers, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies"

@@ -52,3 +52,12 @@ def test_awkward_rows_go_through_every_stage(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:3]:
         kept = {r.doc_id for r in stage(spark, frame, str(tmp_path)).collect()}
         assert {None, 0, 19, 32} <= kept
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies])
+def test_dedup_drops_rows_not_ids(spark, tmp_path, stage):
+    a, b, c, d = ("one two three four five", "red green blue black white", "null ids only here", "said by two rows")
+    data = [(0, b), (1, a), (1, b), (None, b), (None, c), (None, c), (7, d), (7, d), (9, d), (3, "x"), (3, "y z")]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    left = sorted(((r.doc_id, r.text) for r in stage(spark, frame, str(tmp_path)).collect()), key=str)
+    assert left == sorted([(0, b), (1, a), (None, c), (7, d), (3, "x"), (3, "y z")], key=str)
