@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import bpe, exact_dedup, licenses, lm, merkle, mixing, quality, secrets, simhash, toxicity
+from gaugeline.llm import bpe, exact_dedup, licenses, lm, merkle, mixing, quality, ranked, secrets, simhash, toxicity
 from gaugeline.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op10_bpe(spark, folder):
     return bpe.encoded_digests(table(spark, folder, "documents"))
 
 
+def op13_ranked_search(spark, folder):
+    return ranked.best_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -59,10 +63,12 @@ QUERIES = {
         op8_license_scan,
         op9_quality,
         op10_bpe,
+        op13_ranked_search,
     )
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_secret_scan": secrets.oracle(),
     "op3_source_mixing": mixing.oracle(),
+    "op13_ranked_search": ranked.ORACLE,
 }
