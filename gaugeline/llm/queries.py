@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import bpe, exact_dedup, licenses, lm, merkle, mixing, quality, ranked, secrets, simhash, toxicity
+from gaugeline.llm import bpe, exact_dedup, jaccard, licenses, lm, merkle, mixing, quality, ranked, secrets, simhash, toxicity, whitening
 from gaugeline.llm.common import table
 
 
@@ -46,6 +46,14 @@ def op10_bpe(spark, folder):
     return bpe.encoded_digests(table(spark, folder, "documents"))
 
 
+def op11_jaccard_join(spark, folder):
+    return jaccard.jaccard_join(table(spark, folder, "documents"))
+
+
+def op12_embedding_whitening(spark, folder):
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 def op13_ranked_search(spark, folder):
     return ranked.best_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -63,6 +71,8 @@ QUERIES = {
         op8_license_scan,
         op9_quality,
         op10_bpe,
+        op11_jaccard_join,
+        op12_embedding_whitening,
         op13_ranked_search,
     )
 }
@@ -70,5 +80,6 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_secret_scan": secrets.oracle(),
     "op3_source_mixing": mixing.oracle(),
+    "op11_jaccard_join": jaccard.ORACLE,
     "op13_ranked_search": ranked.ORACLE,
 }
