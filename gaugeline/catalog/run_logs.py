@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeline.catalog.registry import Registry
-from gaugeline.operators import logs, scope
+from gaugeline.catalog.registry import Registry, named
+from gaugeline.operators import leaks, logs, scope
 from gaugeline.plans import standins as s
 from gaugeline.session import cut_lineage
 
@@ -238,6 +238,25 @@ def scope_compliance(t):
     return scope.scope_compliance(reads, s.logged_runs(t), s.scope_lists(t))
 
 
+PASSAGES = """
+grams as (select doc_id run_id, w.i-1 "start", array_to_string(ws[w.i:w.i+12], ' ') seq
+  from (select doc_id, regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+') ws
+    from documents), unnest(range(1, len(ws)-11)) w(i)),
+known as (select distinct item_id, array_to_string(ws[w.i:w.i+12], ' ') seq
+  from (select item_id, regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+') ws
+    from benchmark), unnest(range(1, len(ws)-11)) w(i)),
+hits as (select distinct run_id, item_id, "start" from grams join known using (seq)),
+breaks as (select *, coalesce("start"-lag("start") over (partition by run_id, item_id order by "start")>13, true) fresh from hits),
+spans as (select *, sum(fresh::int) over (partition by run_id, item_id order by "start") span from breaks)"""
+
+
+@register("j6_passage_leak", named(PASSAGES, """
+select run_id, item_id, min("start") "start", max("start")-min("start")+13 words from spans group by run_id, item_id, span"""))
+def passage_leak(t):
+    """Passages of the benchmark in the documents."""
+    return leaks.passage_leak(t.documents.select(F.col("doc_id").alias("run_id"), "text"), t.benchmark)
+
+
 @register("j6_canary_leak", """
 select doc_id run_id, doc_id%4 codebase_id, 'cond'||((doc_id//4)%3) condition_id,
   'BENCHMARK_CANARY_COND'||((doc_id//4)%3)||'_k'||(doc_id%4)||'z' canary
