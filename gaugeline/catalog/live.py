@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gaugeline.catalog.registry import Registry
 from gaugeline.plans import standins as s
-from gaugeline.streaming import monitor
+from gaugeline.plans.standins import Tables
+from gaugeline.session import ensure_checkpoint_dir, state_session
+from gaugeline.streaming import growing, monitor
 
 register = Registry()
 
@@ -14,6 +18,8 @@ register = Registry()
 GRACE_MS = 12 * 3600 * 1000
 TIMEOUT_MS = 3 * 24 * 3600 * 1000
 LONG_MS = 10 * 365 * 24 * 3600 * 1000
+CLOCK_MS = 2_000
+KINDS = {"system": "signup", "assistant": "click", "user": "view", "result": "purchase", "rate_limit_event": "error"}
 
 
 def _stream(t):
@@ -24,12 +30,32 @@ def _stream(t):
 
 @register("l1_stream_events", "select run_id, seq, kind from k_events")
 def stream_events(t):
-    names = {"system": "signup", "assistant": "click", "user": "view", "result": "purchase", "rate_limit_event": "error"}
-    kinds = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     typed = _stream(t).select("run_id", "seq", F.element_at(kinds, F.col("type")).alias("kind"))
     return monitor.run_to_table(typed, "append").drop("batch")
 
 
+@register("l1_growing_log", "select run_id, seq, kind from k_events")
+def growing_log(t):
+    """The events written as text logs in two rounds, and followed by byte offsets after each."""
+    ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/followed-{uuid.uuid4().hex}"
+    lines = s.log_lines(t).select("run_id", F.concat_ws("\t", F.col("run_id").cast("string"), F.col("seq").cast("string"), "raw").alias("line"))
+    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    for half in (0, 1):
+        own = lines.filter(F.col("run_id") % 2 == half).select("line")
+        own.write.option("lineSep", "\n").text(f"{folder}/logs/round={half}")
+        raw = growing.growing_lines(t.spark, f"{folder}/logs", ".txt").select(F.split("raw", "\t", 3).alias("f"))
+        typed = monitor.stream_events(
+            raw.select(
+                F.col("f")[0].cast("long").alias("run_id"), F.col("f")[1].cast("long").alias("seq"),
+                F.current_timestamp().alias("ts"), F.col("f")[2].alias("raw"),
+            )
+        )
+        rows = monitor.run_to_table(typed.select("run_id", "seq", F.element_at(kinds, F.col("type")).alias("kind")), "append", f"{folder}/read")
+    return rows.drop("batch")
+
+
 @register("l2_live_counters", """
 select run_id, 'turns' counter, count(*) n from k_events where kind='click' and seq%6<>0 group by 1
 union all select run_id, 'tool:'||tool, count(*) from k_uses group by 1,2
@@ -42,8 +68,13 @@ def _counter_rows(t):
     return monitor.run_to_table(monitor.live_counters(_stream(t), width="1 day"), "update")
 
 
+def _with_state(t, clock):
+    """The tables in a session whose streams may keep maps and timers."""
+    return Tables(state_session(t.spark, clock), t.folder)
+
+
 def _agent_rows(t):
-    return monitor.run_to_table(monitor.active_agents(_stream(t), LONG_MS), "update")
+    return monitor.run_to_table(monitor.active_agents(_stream(_with_state(t, clock=False)), LONG_MS), "update")
 
 
 AGENTS = """select run_id, 't'||tid tool_use_id, coalesce(arg_max(spawn, seq), false) is_open, count(*) filter (spawn) spawns,
@@ -88,6 +119,27 @@ def result_grace(t):
     return monitor.result_grace(_phases(t))
 
 
+@register("l4_clock_grace", """
+with marks as (select user_id run_id, event_id seq, event_type='purchase' is_result from events where event_type in ('signup','purchase')),
+firsts as (select run_id, min(seq) filter (is_result) result_seq from marks group by 1)
+select run_id, phase, count(*) n from (
+  select run_id, 'started' phase from firsts
+  union all select run_id, 'result' from firsts where result_seq is not null
+  union all select run_id, 'restart' from marks join firsts using (run_id) where not is_result and seq>result_seq
+  union all select run_id, case when result_seq is null then 'stuck' else 'closed' end from firsts) group by 1,2""")
+def clock_grace(t):
+    """Phases by the clock: all events come at once, the grace then ends without any further one."""
+    stream = monitor.live_life_cycle(_stream(_with_state(t, clock=True)), CLOCK_MS, CLOCK_MS, LONG_MS)
+
+    def all_over(rows):
+        over = F.col("phase").isin("closed", "stuck")
+        counts = rows.agg(F.count_if(F.col("phase") == "started"), F.count_if(over)).first()
+        return counts[0] > 0 and counts[0] == counts[1]
+
+    rows = monitor.run_to_table(stream, "append", until=all_over, seconds=600)
+    return rows.groupBy("run_id", "phase").agg(F.count("*").alias("n"))
+
+
 @register("l5_rate_limits", """
 select run_id, seq, 'rejected' status from k_events where kind='error' and seq%2=1""")
 def rate_limits(t):

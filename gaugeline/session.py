@@ -27,6 +27,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_session(spark: SparkSession, clock: bool = True) -> SparkSession:
+    """Another session of the application, for streams whose state has maps and timers: it is kept in RocksDB.
+
+    With ``clock`` micro-batches go on without data, as timers by the clock need; without, a stream that is run over all
+    available input ends there.
+    """
+    other = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        other.conf.set(name, spark.conf.get(name))
+    other.conf.set(STATE_STORE, ROCKSDB)
+    other.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(clock).lower())
+    return other
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in ``spark.checkpoint.dir``; only a local session gets a folder of its own."""
     context = spark.sparkContext

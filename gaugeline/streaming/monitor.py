@@ -1,22 +1,25 @@
 """Live monitoring of run events with Structured Streaming.
 
 Input streams hold run_id, seq, ts, raw (one JSON event per row, in order per run). Counting uses built-in streaming
-aggregates over time slices. Only what depends on order and time within a key runs in Python state: open agents (keyed
-by run and call, so a long run spreads over many keys) and the life cycle of a run (fed by its few init and result
-events). All state ends: slices behind the watermark, returned or abandoned calls, and runs that are over.
+aggregates over time slices. Only what depends on order and time within a key runs in Python state: open agents (a map per
+part of a run, whose entries expire) and the life cycle of a run (fed by its few init and result events), by event time for
+logs that are read again and by the clock, with timers, for logs that are followed. All state ends: slices behind the
+watermark, returned or abandoned calls, and runs that are over.
 """
 
 from __future__ import annotations
 
 import sys
+import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeline.operators.logs import content_blocks
@@ -130,48 +133,49 @@ def run_done(progress: DataFrame, counters: DataFrame, agents: DataFrame) -> Dat
     )
 
 
+AGENT_KEYS = 16  # a run's calls are kept under so many keys, so a run of very many calls is not one task
 AGENT_OUTPUT = "run_id long, tool_use_id string, is_open boolean, spawns long, returns long"
-AGENT_STATE = "since_ms long"
 
 
-def _track_agent(timeout_ms: int):
-    def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """A spawn opens the call id, the next result closes it; results of closed ids do not count.
+class OpenCalls(StatefulProcessor):
+    """Open agent calls of a run (or of one of its AGENT_KEYS parts) as a map from call id to the time of its spawn.
 
-        Only open calls have state: it goes when the call returns, or when it has been open for too long.
-        """
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["seq", "pos"])
-        spawn = rows["is_spawn"].to_numpy(dtype=bool)
-        open_before = np.concatenate(([state.exists], spawn[:-1]))
-        if spawn[-1]:
-            since = int(rows["at_ms"].iloc[-1])
-            state.update((since,))
-            state.setTimeoutTimestamp(max(since + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(
-            {
-                "run_id": [key[0]],
-                "tool_use_id": [key[1]],
-                "is_open": [bool(spawn[-1])],
-                "spawns": [int(spawn.sum())],
-                "returns": [int((~spawn & open_before).sum())],
-            }
-        )
+    A spawn opens the call id, the next result closes it; results of closed ids do not count. A call that stays open
+    longer than the time to live is given up: the state store drops it, and a later result of it does not count.
+    """
 
-    return track
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", "tool_use_id string", "since_ms long", self.timeout_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["seq", "pos"])
+        now = timerValues.getCurrentProcessingTimeInMs()
+        out = []
+        for call, own in frame.groupby("tool_use_id", sort=False):
+            spawn = own["is_spawn"].to_numpy(dtype=bool)
+            was_open = self.open.containsKey((call,))
+            open_before = np.concatenate(([was_open], spawn[:-1]))
+            if spawn[-1]:
+                self.open.updateValue((call,), (now,))
+            elif was_open:
+                self.open.removeKey((call,))
+            out.append((int(own["run_id"].iloc[0]), call, bool(spawn[-1]), int(spawn.sum()), int((~spawn & open_before).sum())))
+        yield pd.DataFrame(out, columns=["run_id", "tool_use_id", "is_open", "spawns", "returns"])
+
+    def close(self) -> None:
+        pass
 
 
-def active_agents(events: DataFrame, timeout_ms: int = RUN_TIMEOUT_MS, delay: str = "1 minute") -> DataFrame:
+def active_agents(events: DataFrame, timeout_ms: int = RUN_TIMEOUT_MS) -> DataFrame:
     """Agent calls per (run, call id) as they open and return, with the spawns and returns since the last update.
 
-    ``agent_totals`` adds the updates up. A call that is open for ``timeout_ms`` of event time is given up: a later
-    result of it does not count.
+    ``agent_totals`` adds the updates up. A call is open for ``timeout_ms`` of processing time at most. The stream must be
+    read in a ``session.state_session``, with ``clock`` if it goes on, without if it ends with its input.
     """
-    blocks = content_blocks(events.withWatermark("ts", delay), keep=["ts"])
+    blocks = content_blocks(events, keep=["ts"])
     spawn = (F.col("event_type") == "assistant") & (F.col("type") == "tool_use") & (F.col("name") == "Agent")
     back = (F.col("event_type") == "user") & (F.col("type") == "tool_result")
     relevant = blocks.filter(spawn | back).select(
@@ -179,12 +183,11 @@ def active_agents(events: DataFrame, timeout_ms: int = RUN_TIMEOUT_MS, delay: st
         F.coalesce(F.when(spawn, F.col("id")).otherwise(F.col("tool_use_id")), F.lit("")).alias("tool_use_id"),
         "seq",
         "pos",
-        "ts",
-        F.unix_millis("ts").alias("at_ms"),
         spawn.alias("is_spawn"),
     )
-    return relevant.groupBy("run_id", "tool_use_id").applyInPandasWithState(
-        _track_agent(timeout_ms), AGENT_OUTPUT, AGENT_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    part = F.pmod(F.xxhash64("tool_use_id"), F.lit(AGENT_KEYS)).cast("int").alias("part")
+    return relevant.select("*", part).groupBy("run_id", "part").transformWithStateInPandas(
+        OpenCalls(timeout_ms), AGENT_OUTPUT, "Update", "ProcessingTime"
     )
 
 
@@ -268,6 +271,73 @@ def life_cycle(
     )
 
 
+class RunLife(StatefulProcessor):
+    """The life of a run by the clock: what happened (start, result, over) and a timer for what must come next."""
+
+    def __init__(self, grace_ms: int, timeout_ms: int, keep_ms: int):
+        self.grace_ms, self.timeout_ms, self.keep_ms = grace_ms, timeout_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.life = handle.getValueState("life", "start_ms long, result_ms long, over boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        start, result, over = self.life.get() if self.life.exists() else (-1, -1, False)
+        found = []
+        marks = pd.concat(list(rows)).sort_values("seq")["is_result"]
+        for is_result in () if over or 0 <= result < now - self.grace_ms else marks:
+            if start < 0:
+                start = now
+                found.append("started")
+                self.handle.registerTimer(start + self.timeout_ms)
+            if is_result and result < 0:
+                result = now
+                found.append("result")
+                self.handle.deleteTimer(start + self.timeout_ms)
+                self.handle.registerTimer(result + self.grace_ms)
+            elif not is_result and result >= 0:
+                found.append("restart")
+        self.life.update((start, result, over))
+        yield self.phases(key, found, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start, result, over = self.life.get()
+        if over:  # nothing of the run is expected any more
+            self.life.clear()
+            yield self.phases(key, [], 0)
+            return
+        self.life.update((start, result, True))
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
+        yield self.phases(key, ["closed" if result >= 0 else "stuck"], expiredTimerInfo.getExpiryTimeInMs())
+
+    @staticmethod
+    def phases(key, found: list[str], at: int) -> pd.DataFrame:
+        return pd.DataFrame({"run_id": [key[0]] * len(found), "phase": found, "at_ms": [at] * len(found)}).astype(
+            {"run_id": "int64", "phase": "object", "at_ms": "int64"}
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def live_life_cycle(
+    events: DataFrame, grace_ms: int = RESULT_GRACE_MS, timeout_ms: int = RUN_TIMEOUT_MS, keep_ms: int = KEEP_CLOSED_MS
+) -> DataFrame:
+    """``life_cycle`` by the clock, for logs that are followed as they grow: a run whose result has come closes
+    ``grace_ms`` later, and one without result is stuck after ``timeout_ms``, also if no event of any run follows.
+
+    An init within the grace is a restart; events after it are ignored. at_ms is processing time. The stream must be read
+    in a ``session.state_session`` with ``clock``.
+    """
+    init = (F.col("type") == "system") & (F.col("subtype") == "init")
+    is_result = F.col("type") == "result"
+    marks = events.filter(init | is_result).select("run_id", "seq", is_result.alias("is_result"))
+    return marks.groupBy("run_id").transformWithStateInPandas(
+        RunLife(grace_ms, timeout_ms, keep_ms), LIFE_OUTPUT, "Append", "ProcessingTime"
+    )
+
+
 def result_grace(phases: DataFrame) -> DataFrame:
     """Results with the end of their grace, and restarts that were ignored within it."""
     return phases.filter(F.col("phase").isin("result", "restart", "closed"))
@@ -277,10 +347,17 @@ def stuck_runs(phases: DataFrame) -> DataFrame:
     return phases.filter("phase = 'stuck'")
 
 
-def run_to_table(stream: DataFrame, output_mode: str, folder: str | None = None) -> DataFrame:
+def run_to_table(
+    stream: DataFrame,
+    output_mode: str,
+    folder: str | None = None,
+    until: Callable[[DataFrame], bool] | None = None,
+    seconds: float = 120,
+) -> DataFrame:
     """Run a stream over all available input and return what it wrote, with the micro-batch it came from.
 
-    Each micro-batch overwrites its own folder, so a retried batch leaves no duplicates.
+    Each micro-batch overwrites its own folder, so a retried batch leaves no duplicates. With ``until``, a test of what was
+    written, the stream goes on by the clock until that holds, or raises after ``seconds``.
     """
     spark = stream.sparkSession
     if folder is None:
@@ -290,15 +367,29 @@ def run_to_table(stream: DataFrame, output_mode: str, folder: str | None = None)
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
+    def rows() -> DataFrame:
+        return spark.read.schema(f"{stream._jdf.schema().toDDL()}, batch bigint").parquet(f"{folder}/rows")
+
     query = (
         stream.writeStream.outputMode(output_mode)
         .foreachBatch(save)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**{"processingTime": "1 second"} if until else {"availableNow": True})
         .start()
     )
-    query.awaitTermination()
-    return spark.read.schema(f"{stream._jdf.schema().toDDL()}, batch bigint").parquet(f"{folder}/rows")
+    if until is None:
+        query.awaitTermination()
+        return rows()
+    end = time.monotonic() + seconds
+    try:
+        while not (query.lastProgress and until(rows())):
+            if query.awaitTermination(1):  # it failed
+                raise RuntimeError("the stream ended by itself")
+            if time.monotonic() > end:
+                raise TimeoutError(f"the stream did not get there in {seconds} s")
+    finally:
+        query.stop()
+    return rows()
 
 
 def latest_updates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import pytest
 
 from gaugeline.operators import logs
+from gaugeline.session import state_session
 from gaugeline.streaming import monitor
 
 START = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
@@ -44,21 +45,36 @@ def batch_lines(rows):
 
 
 @pytest.fixture
-def stream(spark, batch_lines, tmp_path):
+def source(batch_lines, tmp_path):
     """The lines in five files, read one per micro-batch."""
-    source = tmp_path / "lines"
+    folder = tmp_path / "lines"
     for part in range(5):
-        batch_lines.filter(f"seq div 4 = {part} or ({part} = 0 and seq > 90)").coalesce(1).write.mode("append").parquet(str(source))
+        batch_lines.filter(f"seq div 4 = {part} or ({part} = 0 and seq > 90)").coalesce(1).write.mode("append").parquet(str(folder))
+    return folder
+
+
+@pytest.fixture
+def stream(spark, source):
+    return events_of(spark, source)
+
+
+@pytest.fixture
+def replayed(spark, source):
+    """The same in a session for state with maps."""
+    return events_of(state_session(spark, clock=False), source)
+
+
+def events_of(spark, source):
     reader = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1)
     return monitor.stream_events(reader.parquet(str(source)))
 
 
-def test_counters_and_summary(stream, tmp_path):
+def test_counters_and_summary(stream, replayed, tmp_path):
     counts = monitor.run_to_table(monitor.live_counters(stream), "update", str(tmp_path / "a"))
     assert {(r.run_id, r.counter): r.n for r in monitor.counter_totals(counts).collect()} == {
         (1, "turns"): 2, (1, "tool:Agent"): 3, (1, "tool:Read"): 1, (1, "spawns"): 3, (2, "turns"): 1}
     progress = monitor.run_to_table(monitor.run_progress(stream), "update", str(tmp_path / "b"))
-    agents = monitor.run_to_table(monitor.active_agents(stream), "update", str(tmp_path / "d"))
+    agents = monitor.run_to_table(monitor.active_agents(replayed), "update", str(tmp_path / "d"))
     done = monitor.run_done(progress, counts, agents)
     got = {r.run_id: (r.turns, r.agents, r.returned, r.tools, r.stop_reason, r.cost_usd) for r in done.collect()}
     assert got == {1: (9, 3, 2, "Agent:3, Read:1", "end_turn", 1.5), 3: (9, 0, 0, "none", "end_turn", 1.5),
@@ -67,8 +83,8 @@ def test_counters_and_summary(stream, tmp_path):
     assert [(r.run_id, r.status) for r in limited.collect()] == [(2, "rejected")]
 
 
-def test_open_agents_equal_the_batch_spans(stream, batch_lines, tmp_path):
-    rows = monitor.run_to_table(monitor.active_agents(stream), "update", str(tmp_path / "a"))
+def test_open_agents_equal_the_batch_spans(replayed, batch_lines, tmp_path):
+    rows = monitor.run_to_table(monitor.active_agents(replayed), "update", str(tmp_path / "a"))
     state = {(r.run_id, r.tool_use_id): r for r in monitor.agent_totals(rows).collect()}
     assert (state[(1, "a")].spawns, state[(1, "a")].returns, state[(1, "a")].is_open) == (2, 2, False)
     assert (state[(1, "b")].is_open, state[(1, "zz")].returns) == (True, 0)
@@ -110,7 +126,6 @@ def test_state_ends(spark, rows, tmp_path):
     for name, (stream, mode) in {
         "counters": (monitor.live_counters(events), "update"),
         "progress": (monitor.run_progress(events), "update"),
-        "agents": (monitor.active_agents(events), "update"),
         "life": (monitor.life_cycle(events), "append"),
     }.items():
         sizes = state_sizes(stream, mode, tmp_path / name)
@@ -123,9 +138,77 @@ def test_state_functions_run_where_the_package_is_missing(tmp_path):
 
     from pyspark import cloudpickle
 
-    for number, function in enumerate((monitor._track_agent(1), monitor._life_cycle(1, 2, 3))):
-        file = tmp_path / f"f{number}"
+    functions = {"OpenCalls": monitor.OpenCalls(1), "RunLife": monitor.RunLife(1, 2, 3), "function": monitor._life_cycle(1, 2, 3)}
+    for name, function in functions.items():
+        file = tmp_path / name
         file.write_bytes(cloudpickle.dumps(function))
-        code = f"from pyspark import cloudpickle; print(cloudpickle.loads(open({str(file)!r}, 'rb').read()).__name__)"
+        code = f"from pyspark import cloudpickle; print(type(cloudpickle.loads(open({str(file)!r}, 'rb').read())).__name__)"
         done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
-        assert done.stdout.strip() == function.__name__, done.stderr
+        assert done.stdout.strip() == name, done.stderr
+
+
+def started(stream, folder, rows, mode="append"):
+    def save(batch, number):
+        rows.extend((r.run_id, r.phase) if "phase" in batch.columns else (r.run_id, r.tool_use_id, r.is_open, r.returns) for r in batch.collect())
+
+    return (
+        stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", str(folder))
+        .trigger(processingTime="500 milliseconds").start()
+    )
+
+
+def wait_for(query, condition, seconds=60):
+    import time
+
+    end = time.monotonic() + seconds
+    while not condition():
+        assert query.exception() is None and time.monotonic() < end
+        time.sleep(0.2)
+
+
+def test_a_silent_run_closes_by_the_clock(spark, rows, tmp_path):
+    """No event of any run follows; a restart within the grace is marked, one after it is ignored."""
+    source, found = tmp_path / "lines", []
+
+    def add(*lines):
+        data = [(run, seq, START, json.dumps(event)) for run, seq, event in lines]
+        rows(data, LINES).coalesce(1).write.mode("append").parquet(str(source))
+
+    add((1, 0, INIT), (2, 1, INIT))
+    events = monitor.stream_events(state_session(spark).readStream.schema(LINES).parquet(str(source)))
+    query = started(monitor.live_life_cycle(events, 8_000, 25_000, 3_600_000), tmp_path / "state", found)
+    try:
+        wait_for(query, lambda: len(found) == 2)
+        add((1, 2, DONE))
+        wait_for(query, lambda: (1, "result") in found)
+        add((1, 3, INIT))
+        wait_for(query, lambda: (1, "restart") in found)
+        wait_for(query, lambda: (1, "closed") in found)
+        add((1, 4, INIT), (1, 5, DONE), (3, 6, INIT), (3, 7, DONE))
+        wait_for(query, lambda: (2, "stuck") in found and (3, "closed") in found)
+    finally:
+        query.stop()
+    assert sorted(found) == [(1, "closed"), (1, "restart"), (1, "result"), (1, "started"), (2, "started"), (2, "stuck"),
+                             (3, "closed"), (3, "result"), (3, "started")]
+
+
+def test_calls_that_stay_open_expire(spark, rows, tmp_path):
+    source, found = tmp_path / "lines", []
+
+    def add(*lines):
+        data = [(run, seq, START, json.dumps(event)) for run, seq, event in lines]
+        rows(data, LINES).coalesce(1).write.mode("append").parquet(str(source))
+
+    add((1, 0, assistant(use("a"))), (1, 1, assistant(use("b"))))
+    events = monitor.stream_events(state_session(spark).readStream.schema(LINES).parquet(str(source)))
+    query = started(monitor.active_agents(events, 6_000), tmp_path / "state", found, "update")
+    try:
+        wait_for(query, lambda: len(found) == 2)
+        add((1, 2, back("a")))
+        wait_for(query, lambda: (1, "a", False, 1) in found or (1, "a", False, 0) in found)
+        wait_for(query, lambda: query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0)
+        add((1, 3, back("b")))
+        wait_for(query, lambda: any(r[:3] == (1, "b", False) for r in found))
+    finally:
+        query.stop()
+    assert (1, "b", False, 0) in found
