@@ -12,8 +12,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.catalog.registry import Registry, named
-from gaugeline.operators import metrics, refresh
+from gaugeline.catalog.evaluation import CONDITION_ROUNDED
+from gaugeline.catalog.oracle_views import six, sixes
+from gaugeline.catalog.registry import Registry, named, rounded
+from gaugeline.operators import clustering, metrics, refresh
+from gaugeline.plans import refresh as refresh_plan
 from gaugeline.plans import report
 from gaugeline.plans import standins as s
 from gaugeline.session import ensure_checkpoint_dir, materialised
@@ -236,6 +239,53 @@ def report_counts_sql(oracles: dict[str, str]) -> str:
     return "\nunion all ".join(parts)
 
 
+def _stand_in(t, changed):
+    """The stand-in results and judges of a refresh; ``changed`` names runs whose text differs from the usual one."""
+    labels = materialised(s.labels(t))
+    runs = materialised(metrics.invalid_runs(s.runs_counted(t)))
+    text = F.concat(F.lit("text of "), F.col("run_id").cast("string"), F.when(changed, " before").otherwise(""))
+    hashes = runs.select("run_id", "codebase_id", F.lit("gt").alias("gt_hash"), refresh.content_hash(text).alias("stdout_hash"))
+    part = F.regexp_extract("title", "([0-9]+)$", 1).cast("long")
+
+    def cluster(inputs):
+        named = inputs.withColumns({"part_id": part, "category": F.lit("novel")})
+        return s.clusters(t, named), s.members(t, named)
+
+    judges = refresh_plan.Judges(
+        classify=lambda findings, gt: labels.join(findings.select("run_id").distinct(), "run_id", "left_semi"),
+        cluster=cluster,
+        validate=lambda clusters, members: s.verdicts_of(clusters),
+        prompt_hash="p", cluster_model="m", validator_model="m",
+        inputs=lambda own, findings, own_runs, gt: clustering.collect_novel(own),
+    )
+    return refresh_plan.Current(runs, s.findings(t), s.ground_truth(t), s.conditions(t), hashes), judges
+
+
+@register("i_refresh_tables", named("""
+oldest as (select n_regionkey codebase_id from orders join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey
+  qualify o_orderkey=min(o_orderkey) over ())""", f"""
+select c.codebase_id, condition_id, valid_runs, total_runs, gt_total, total_fp, total_findings, {sixes(*CONDITION_ROUNDED)},
+  {six('avg_duration_ms', 3)} avg_duration_ms, c.codebase_id=o.codebase_id rewritten, 1 runs_judged, 1 codebases_touched
+from e_condition_agg c, oldest o"""))
+def refresh_tables(t):
+    """The conditions of a feed that was written when one run had another text, and then brought up to date."""
+    ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/refreshed-{uuid.uuid4().hex}"
+    oldest = t.orders.agg(F.min("o_orderkey")).first()[0]
+    for changed in (F.col("run_id") == oldest, F.lit(False)):
+        current, judges = _stand_in(t, changed)
+        done = refresh_plan.refresh(t.spark, folder, current, judges, tables=("conditions",))
+    written = feed.read_log(t.spark, folder).filter(f"version = {done.version} and `table` = 'conditions' and kind = 'rows'")
+    rows = feed.read_report_table(t.spark, folder, "conditions").withColumn("part", feed.part_of(F.col("codebase_id")))
+    flagged = rows.join(written.select("part", F.lit(True).alias("rewritten")), "part", "left").na.fill(False, ["rewritten"])
+    shown = flagged.select(
+        "codebase_id", "condition_id", "valid_runs", "total_runs", "gt_total", "total_fp", "total_findings", *CONDITION_ROUNDED,
+        "avg_duration_ms", "rewritten", F.lit(done.runs_judged).alias("runs_judged"),
+        F.lit(done.codebases_touched).alias("codebases_touched"),
+    )
+    return rounded(rounded(shown, *CONDITION_ROUNDED), "avg_duration_ms", digits=3)
+
+
 @register("a14_write_report_tables", "")
 def write_report_tables(t):
     """All report tables of the stand-in results, written to the shared folder, read back and counted."""

@@ -32,7 +32,7 @@ def collect_all(findings: DataFrame, runs: DataFrame) -> DataFrame:
         F.lit("Location: "), F.coalesce("location", F.lit("unknown")), F.lit(". Type: "), "vuln_type", F.lit(".")
     )
     text = F.when(F.coalesce("description", F.lit("")) != "", F.concat("description", F.lit(" "), about)).otherwise(about)
-    return findings.join(usable, "run_id").select(
+    return findings.drop("codebase_id", "condition_id").join(usable, "run_id").select(
         "codebase_id", "run_id", "condition_id", F.col("index").alias("finding_index"), "title", text.alias("reasoning")
     )
 

@@ -389,6 +389,49 @@ def risk_excluded(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(F.count_if(kept).alias("excluded"))
 
 
+def codebase_totals(runs: DataFrame, gt: DataFrame, missed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Per codebase what the pooled totals add up: runs, listed and missed ground truth, validations set aside."""
+    names = ["total_runs", "valid_runs", "invalid_runs", "listed", "missed", "excluded"]
+
+    def counts(frame: DataFrame, **found: Column) -> DataFrame:
+        own = frame.groupBy("codebase_id").agg(*[c.alias(name) for name, c in found.items()])
+        return own.select("codebase_id", *[name if name in found else F.lit(0).cast("long").alias(name) for name in names])
+
+    set_aside = F.col("risk_category").isNotNull() & F.col("verdict").isin("confirmed", "plausible")
+    parts = (
+        counts(
+            runs,
+            total_runs=F.count("*"),
+            valid_runs=F.count_if("is_valid"),
+            invalid_runs=F.count_if(~F.col("is_valid")),
+        )
+        .unionByName(counts(gt, listed=F.count("gt_id")))
+        .unionByName(counts(missed, missed=F.count("*")))
+        .unionByName(counts(verdicts, excluded=F.count_if(set_aside)))
+    )
+    return parts.groupBy("codebase_id").agg(*[F.sum(name).alias(name) for name in names])
+
+
+def pooled_header(totals: DataFrame, latest: bool = False) -> DataFrame:
+    """``report_header`` from the totals of the codebases."""
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)).alias(name)
+
+    known = (F.col("total_runs") > 0) & F.col("codebase_id").isNotNull()
+    return totals.agg(
+        total("total_runs"), total("valid_runs"), total("invalid_runs"), F.count_if(known).alias("codebases")
+    ).withColumn("mode", F.lit("latest" if latest else "all"))
+
+
+def pooled_missed(totals: DataFrame) -> DataFrame:
+    """``missed_totals`` from the totals of the codebases."""
+    return totals.agg(
+        F.coalesce(F.sum("missed"), F.lit(0)).alias("gt_missed_total"),
+        F.coalesce(F.sum("listed"), F.lit(0)).alias("gt_total_all"),
+    ).withColumn("gt_missed_percent", percent(F.col("gt_missed_total"), F.col("gt_total_all")))
+
+
 def integrity_check(runs: DataFrame, labels: DataFrame) -> DataFrame:
     """Runs that lost findings on the way to their labels, or whose categories do not add up."""
     counts = category_counts(labels, ["run_id"])

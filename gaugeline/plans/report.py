@@ -67,8 +67,15 @@ def load_results(
     )
 
 
-def report_tables(results: Results) -> dict[str, DataFrame]:
-    """All report relations by name; what several of them need is written once and read from there."""
+#: Tables that only serve to add up the pooled ones again; they are not part of a report.
+PARTS = ["totals", "seen_conditions"]
+
+
+def codebase_tables(results: Results) -> dict[str, DataFrame]:
+    """The relations that belong to a codebase each, by name; what several of them need is written once.
+
+    ``totals`` and ``seen_conditions`` are what the pooled relations need of a codebase.
+    """
     r = replace(
         results, **{name: materialised(getattr(results, name)) for name in ("labels", "clusters", "members", "verdicts")}
     )
@@ -83,21 +90,12 @@ def report_tables(results: Results) -> dict[str, DataFrame]:
             metrics.novel_counts(r.cluster_conditions, r.verdicts),
         )
     )
-    cross = materialised(metrics.cross_codebase(conditions))
-    bests = cut_lineage(metrics.metric_bests(cross))
     missed = materialised(metrics.missed_gt(gt, r.runs, r.labels))
-    matrix = ledger.findings_matrix(gt, r.runs, r.labels)
     return {
-        "header": metrics.report_header(r.runs),
         "runs": run_metrics,
         "matches": metrics.run_matches(r.labels, gt),
         "conditions": conditions,
-        "condition_order": metrics.condition_order(r.runs, r.conditions),
-        "cross_codebase": cross,
-        "metric_bests": bests,
         "missed_gt": missed,
-        "missed_totals": metrics.missed_totals(gt, missed),
-        "risk_excluded": metrics.risk_excluded(r.verdicts),
         "reliability": metrics.gt_reliability(r.runs, r.labels, gt),
         "integrity": metrics.integrity_check(r.runs, r.labels),
         "ledger": ledger.ledger(
@@ -105,17 +103,40 @@ def report_tables(results: Results) -> dict[str, DataFrame]:
             ledger.ledger_novel(r.clusters, r.members, r.verdicts, r.runs, numbers),
             ledger.ledger_fp(r.runs, r.labels, numbers),
         ),
-        "matrix": matrix,
+        "matrix": ledger.findings_matrix(gt, r.runs, r.labels),
         "comparison": ledger.comparison_table(conditions, r.clusters, r.verdicts),
         "recall_chart": ledger.recall_chart(run_metrics),
         "breakdown": ledger.breakdown_rows(run_metrics),
         "validations": ledger.validation_rows(r.verdicts),
         "overview": ledger.run_overview(r.runs, numbers),
         "analysis_feed": ledger.analysis_feed(run_metrics, missed, r.clusters, r.verdicts, gt),
+        "totals": metrics.codebase_totals(r.runs, gt, missed, r.verdicts),
+        "seen_conditions": r.runs.select("codebase_id", "condition_id").distinct(),
+    }
+
+
+def pooled_tables(conditions: DataFrame, totals: DataFrame, seen: DataFrame, configured: DataFrame) -> dict[str, DataFrame]:
+    """The relations over all codebases, added up from the codebases' conditions, totals and seen conditions."""
+    cross = materialised(metrics.cross_codebase(conditions))
+    bests = cut_lineage(metrics.metric_bests(cross))
+    return {
+        "header": metrics.pooled_header(totals),
+        "condition_order": metrics.condition_order(seen, configured),
+        "cross_codebase": cross,
+        "metric_bests": bests,
+        "missed_totals": metrics.pooled_missed(totals),
+        "risk_excluded": totals.agg(F.coalesce(F.sum("excluded"), F.lit(0)).alias("excluded")),
         "dashboard": ledger.dashboard_rows(cross, bests),
     }
 
 
+def report_tables(results: Results) -> dict[str, DataFrame]:
+    """All report relations by name."""
+    own = codebase_tables(results)
+    totals, seen = (materialised(own.pop(name)) for name in PARTS)
+    return own | pooled_tables(own["conditions"], totals, seen, results.conditions)
+
+
 def write_report(results: Results, folder: str) -> None:
     """Compute every relation and write it; readers of the report only read the written tables."""
     feed.write_report_tables(report_tables(results), folder)

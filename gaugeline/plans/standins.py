@@ -200,8 +200,13 @@ def clusters(t: Tables, known_labels: DataFrame | None = None) -> DataFrame:
 
 
 def verdicts(t: Tables, known_labels: DataFrame | None = None) -> DataFrame:
+    """Validations of the clusters."""
+    return verdicts_of(clusters(t, known_labels))
+
+
+def verdicts_of(known_clusters: DataFrame) -> DataFrame:
     """Validations; every fourth cluster stays unvalidated, every seventh is listed twice with another verdict."""
-    base = clusters(t, known_labels).filter("n % 4 <> 3")
+    base = known_clusters.filter("n % 4 <> 3")
     word = F.when(F.col("n") % 4 == 0, "confirmed").when(F.col("n") % 4 == 1, "plausible").otherwise("rejected")
     columns = [
         "codebase_id",
