@@ -227,14 +227,21 @@ SIMILAR = 0.7
 HOT = 4096  # sets that hold a token; for each so many the sets that ask for it go to one more place
 
 
-def similar_sets(sets: DataFrame, theta: float = SIMILAR) -> DataFrame:
-    """(scope, words, head) links: every pair of distinct word sets of a scope with a Jaccard of ``theta``, once.
-
-    The smaller set (by size, then by words) is the head. Pairs meet through rare tokens (prefix filter), which loses
-    none: a set asks with the prefix for ``theta``. A head meets only sets of its size or larger, so the overlap is at
-    least 2 theta / (1 + theta) of the head, and it is filed under the shorter prefix for that share. The sets that ask
-    for a hot token are spread over salts, the heads under it are repeated for each; size and Jaccard are tested inside
-    the join, so only similar pairs become rows.
+def word_key(words: Column) -> Column:
+    """The node of a word set."""
+    return F.concat(F.lit("w:"), F.array_join(words, " "))
+
+
+def similar_groups(sets: DataFrame, theta: float = SIMILAR) -> DataFrame:
+    """(scope, node, root): the distinct word sets of a scope (as ``word_key``) and the first one of their component, where
+    sets link whose Jaccard reaches ``theta``.
+
+    Links meet through rare tokens (prefix filter), which loses none: a set asks with the prefix for ``theta``. A head, the
+    smaller set of a link, meets only sets of its size or larger, so the overlap is at least 2 theta / (1 + theta) of the
+    head, and it is filed under the shorter prefix for that share. The sets that ask for a hot token are spread over salts,
+    the heads under it are repeated for each. Links are not kept: first every set is compared with the first head of each
+    of its tokens, which joins most; then each round (Boruvka) compares sets of different components only, keeps one link
+    per component, and joins these, until there is none. So a round writes at most a row per set and token.
     """
     if not 0 < theta <= 1:
         raise ValueError("theta must be in (0, 1]")
@@ -243,36 +250,56 @@ def similar_sets(sets: DataFrame, theta: float = SIMILAR) -> DataFrame:
         distinct.select("scope", F.explode("words").alias("token")).groupBy("scope", "token").agg(F.count("*").alias("n"))
     )
     salts = F.ceil(F.col("n") / F.lit(HOT))
-    asked = prefixes(distinct, frequencies, theta).select(
-        "scope", "token", "words", F.pmod(F.xxhash64("words"), salts).alias("salt")
+    asked = cut_lineage(
+        prefixes(distinct, frequencies, theta).select(
+            "scope", "token", "words", word_key(F.col("words")).alias("a"), F.pmod(F.xxhash64("words"), salts).alias("salt")
+        )
     )
-    filed = prefixes(distinct, frequencies, 2 * theta / (1 + theta)).select(
-        "scope", "token", F.col("words").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
+    heads = prefixes(distinct, frequencies, 2 * theta / (1 + theta)).select(
+        "scope", "token", F.col("words").alias("head"), word_key(F.col("words")).alias("b"), salts.alias("salts")
     )
+    heads = cut_lineage(heads)
     smaller = F.struct(F.size("head"), F.col("head")) < F.struct(F.size("words"), F.col("words"))
     long_enough = F.size("head") >= F.size("words") * F.lit(theta) - 1e-9
     shared = F.size(F.array_intersect("words", "head"))
-    score = shared / (F.size("words") + F.size("head") - shared)
-    return (
-        asked.join(filed, ["scope", "token", "salt"])
-        .filter(smaller & long_enough & (score >= theta - 1e-9))
-        .select("scope", "words", "head")
-        .distinct()
-    )
+    similar = smaller & long_enough & (shared / (F.size("words") + F.size("head") - shared) >= theta - 1e-9)
+
+    def rooted(frame: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+        named = roots.select("scope", F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
+        return frame.join(named, ["scope", node])
+
+    first = heads.groupBy("scope", "token").agg(F.min(F.struct(F.size("head").alias("size"), "head", "b")).alias("f"))
+    stars = asked.join(first.select("scope", "token", "f.head", "f.b"), ["scope", "token"]).filter(similar)
+    joined = connected_keys(stars.select("scope", "a", "b").distinct())
+    nodes = distinct.select("scope", word_key(F.col("words")).alias("node"))
+    roots = cut_lineage(nodes.join(joined, ["scope", "node"], "left").withColumn("root", F.coalesce("root", "node")))
+    filed = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    while True:
+        pairs = rooted(asked, "a", roots).join(rooted(filed, "b", roots), ["scope", "token", "salt"])
+        across = pairs.filter((F.col("root_a") != F.col("root_b")) & similar)
+        ways = F.array(
+            F.struct(F.col("root_a").alias("x"), F.col("root_b").alias("y")),
+            F.struct(F.col("root_b").alias("x"), F.col("root_a").alias("y")),
+        )
+        kept = cut_lineage(across.select("scope", F.inline(ways)).groupBy("scope", "x").agg(F.min("y").alias("y")))
+        if kept.isEmpty():
+            return roots
+        merged = connected_keys(kept.select("scope", F.col("x").alias("a"), F.col("y").alias("b")))
+        moved = merged.select("scope", F.col("node").alias("root"), F.col("root").alias("to"))
+        roots = cut_lineage(
+            roots.join(moved, ["scope", "root"], "left").select("scope", "node", F.coalesce("to", "root").alias("root"))
+        )
 
 
 def cluster_findings(inputs: DataFrame, theta: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """Full clustering without a judge: clusters and members.
 
     Inputs also hold root_cause. Two findings of a codebase belong together when they share a root cause or the set of
-    title words, or have similar word sets (``similar_sets``), directly or through others. Each finding links two keys,
-    so the graph has one edge per distinct (root cause, word set) and per pair of similar distinct sets, and never a pair
-    of findings. A codebase's only finding becomes 'novel-1'.
+    title words, or have similar word sets (``similar_groups``), directly or through others. Each finding links two keys,
+    so the graph has one edge per distinct (root cause, word set) and per word set, and never a pair of findings or sets. A
+    codebase's only finding becomes 'novel-1'.
     """
     cause = F.concat(F.lit("c:"), "root_cause")
-    def word_key(words: Column) -> Column:
-        return F.concat(F.lit("w:"), F.array_join(words, " "))
-
     worded = inputs.select(*INPUT, cause.alias("cause_key"), title_words(F.col("title")).alias("words"))
     keyed = cut_lineage(
         worded.withColumn(
@@ -280,7 +307,7 @@ def cluster_findings(inputs: DataFrame, theta: float = SIMILAR) -> tuple[DataFra
         )
     )
     sets = keyed.select(F.col("codebase_id").alias("scope"), "words").distinct()
-    near = similar_sets(sets, theta).select("scope", word_key(F.col("words")).alias("a"), word_key(F.col("head")).alias("b"))
+    near = similar_groups(sets, theta).filter("node <> root").select("scope", F.col("node").alias("a"), F.col("root").alias("b"))
     edges = keyed.select(
         F.col("codebase_id").alias("scope"), F.col("cause_key").alias("a"), F.col("word_key").alias("b")
     ).unionByName(near)

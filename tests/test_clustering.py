@@ -90,18 +90,46 @@ def test_similar_titles_meet_past_smaller_sets_of_their_words(rows):
 
 
 @pytest.mark.parametrize("theta", [0.3, 0.7, 1.0])
-def test_similar_sets_are_all_pairs(rows, monkeypatch, theta):
+def test_similar_groups_are_components_of_all_pairs(rows, monkeypatch, theta):
     monkeypatch.setattr(clustering, "HOT", 7)
     rng = random.Random(4)
-    words = [f"w{i}" for i in range(14)]
+    words = [f"w{i:02}" for i in range(14)]
     sets = sorted({(rng.choice("st"), tuple(sorted(set(rng.choices(words[: rng.choice([6, 14])], k=rng.randint(1, 9)))))) for _ in range(150)})
     frame = rows([(scope, list(own)) for scope, own in sets] + [("s", []), ("s", None)], "scope string, words array<string>")
-    got = [(r.scope, frozenset((tuple(r.words), tuple(r.head)))) for r in clustering.similar_sets(frame, theta).collect()]
-    want = {
-        (s, frozenset((a, b))) for s, a in sets for z, b in sets
-        if s == z and a < b and len(set(a) & set(b)) / len(set(a) | set(b)) >= theta - 1e-9
-    }
-    assert len(got) == len(set(got)) and set(got) == want and (want or theta == 1.0)
+    root = {x: x for x in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for s, a in sets:
+        for z, b in sets:
+            if s == z and a < b and len(set(a) & set(b)) / len(set(a) | set(b)) >= theta - 1e-9:
+                x, y = sorted((find((s, a)), find((z, b))))
+                root[y] = x
+    groups = {}
+    for x in sets:
+        groups.setdefault(find(x), []).append("w:" + " ".join(x[1]))
+    want = {(r[0], n, min(g)) for r, g in groups.items() for n in g}
+    got = [tuple(r) for r in clustering.similar_groups(frame, theta).select("scope", "node", "root").collect()]
+    assert len(got) == len(sets) and set(got) == want and (theta == 1.0 or len(groups) < len(sets))
+
+
+def test_no_round_writes_more_than_a_row_per_set_and_token(rows, monkeypatch):
+    """Sets that share nine of ten words: 300 sets, 44,850 similar pairs, one component."""
+    written, real = [], clustering.cut_lineage
+
+    def counted(frame):
+        frame = real(frame)
+        written.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(clustering, "cut_lineage", counted)
+    common = [f"c{i}" for i in range(9)]
+    frame = rows([("s", sorted([*common, f"x{i:03}"])) for i in range(300)], "scope string, words array<string>")
+    found = clustering.similar_groups(frame).collect()
+    assert len(found) == 300 and len({r.root for r in found}) == 1 and max(written) <= 300 * 10
 
 
 def test_a_single_input_becomes_novel_1(rows):
