@@ -228,8 +228,8 @@ def consistency_jaccard(t):
 @register("e7_consistency_wide", named("""
 wide_runs as (select n_regionkey codebase_id, c_mktsegment condition_id, c_custkey run_id from customer join nation on c_nationkey=n_nationkey
   where c_custkey%9<>0 and c_custkey%10<>0 and n_regionkey<>2),
-wide_ids as (select distinct codebase_id, condition_id, run_id, l_suppkey%34 id from lineitem join orders on l_orderkey=o_orderkey
-  join wide_runs on run_id=o_custkey where l_partkey%2=0),
+wide_ids as (select distinct codebase_id, condition_id, run_id, (l_suppkey*7+l_partkey)%400 id from lineitem join orders on l_orderkey=o_orderkey
+  join wide_runs on run_id=o_custkey),
 wide_sets as (select r.codebase_id, r.condition_id, r.run_id, count(id) a from wide_runs r left join wide_ids using (codebase_id, condition_id, run_id) group by 1,2,3),
 wide_shared as (select x.codebase_id, x.condition_id, x.run_id xr, y.run_id yr, count(*) i from wide_ids x join wide_ids y
   on x.codebase_id=y.codebase_id and x.condition_id=y.condition_id and x.id=y.id and x.run_id<y.run_id group by 1,2,3,4),
@@ -239,7 +239,7 @@ select codebase_id, condition_id, {six('case when n>=2 then (coalesce(j,0)+e*(e-
 from (select codebase_id, condition_id, count(*)::double n, count(*) filter (a=0)::double e from wide_sets group by 1,2)
 left join wide_sum using (codebase_id, condition_id)"""))
 def consistency_wide(t):
-    """Sets of up to 34 ids, most of them distinct."""
+    """Sets out of 400 ids, most of them distinct."""
     return rounded(consistency.consistency_jaccard(*s.wide_runs(t)), "consistency")
 
 

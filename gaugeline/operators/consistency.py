@@ -1,8 +1,9 @@
 """Run-to-run consistency: the mean pairwise Jaccard of matched ground-truth sets.
 
-Equal sets are folded into one row with a count first. The distinct sets of a (codebase, condition) are dealt into blocks
-by hash; each pair of blocks is one bounded piece of work that counts all its intersections at once, as a matrix product,
-and gives back a single partial sum. No pair of sets is ever a row, no id is a key, and the way is the same at any size.
+Equal sets are folded into one row with a count first. The distinct sets of a (codebase, condition) are dealt into tiles by
+hash; for each pair of tiles a task holds one as a bit matrix and streams the other past it, counting all intersections
+at once, and gives back a single partial sum. No pair of sets is ever a row, no id is a key, and the way is the same at
+any size; a set is sent once for each tile there is, of 65,536 sets unless their ids are very many.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +20,13 @@ from pyspark.sql import functions as F
 from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.session import cut_lineage
 
-# The block function travels with the query, so executors do not need this package.
+# The tile function travels with the query, so executors do not need this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEYS = ["codebase_id", "condition_id"]
-BLOCK = 1024
+TILE = 1 << 16  # sets
+TILE_BITS = 1 << 29  # of a tile's matrix, 64 MB
+CELLS = 1 << 20  # intersections counted at once
 
 
 def matched_sets(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> DataFrame:
@@ -48,38 +52,91 @@ def matched_sets(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> DataFrame
     )
 
 
-def block_total(rows: pd.DataFrame) -> float:
-    """The sum of Jaccards over the pairs of runs of two blocks, or within one block (``side`` 0 only)."""
-    width = {x: n for n, x in enumerate(sorted({x for ids in rows["ids"] for x in ids}))}
-
-    def matrix(part: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(part), len(width)), dtype=np.float32)
-        for n, ids in enumerate(part["ids"]):
-            out[n, [width[x] for x in ids]] = 1
-        return out
-
-    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    a, m = matrix(left), left["m"].to_numpy(dtype=np.float64)
-    b, n = (matrix(right), right["m"].to_numpy(dtype=np.float64)) if len(right) else (a, m)
-    shared = (a @ b.T).astype(np.float64)
-    either = a.sum(1, dtype=np.float64)[:, None] + b.sum(1, dtype=np.float64)[None, :] - shared
-    score = np.divide(shared, either, out=np.ones_like(shared), where=either > 0) * m[:, None] * n[None, :]
-    if len(right):
-        return float(score.sum())
-    return float(np.triu(score, 1).sum() + (m * (m - 1) / 2).sum())
-
-
-def consistency_jaccard(runs: DataFrame, labels: DataFrame, gt: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Mean pairwise Jaccard per (codebase, condition); two empty sets agree fully, fewer than two runs give null."""
-    sets = cut_lineage(matched_sets(runs, labels, gt))
-    sizes = cut_lineage(
-        sets.groupBy(*KEYS).agg(F.sum("m").cast("double").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    )
-    own = F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int")
-    dealt = (
+class Tile:
+    """The sets of one tile as a bit matrix over the ids that occur in it."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.counts = rows["m"].to_numpy(dtype=np.float64)
+        self.sizes = rows["ids"].map(len).to_numpy(dtype=np.int64)
+        self.ids = pd.Index(pd.unique(rows["ids"].explode().dropna()))
+        self.bits = self.packed(rows)
+
+    def packed(self, rows: pd.DataFrame) -> np.ndarray:
+        """The rows as words of bits, one per id of the tile; other ids have none."""
+        words = max(1, -(-len(self.ids) // 64))
+        out = np.zeros((len(rows), words * 8), dtype=np.uint8)
+        for at in range(0, len(rows), 1024):
+            part = rows["ids"].iloc[at : at + 1024]
+            cells = np.zeros((len(part), words * 64), dtype=bool)
+            owners = np.repeat(np.arange(len(part)), part.map(len))
+            columns = self.ids.get_indexer(np.concatenate([np.asarray(x) for x in part])) if len(owners) else owners
+            cells[owners[columns >= 0], columns[columns >= 0]] = True
+            out[at : at + 1024] = np.packbits(cells, axis=1)
+        return out.view(np.uint64)
+
+    def step(self) -> int:
+        return max(1, CELLS // max(1, len(self.counts)))
+
+    def scores(self, bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The Jaccards of some sets with all of the tile; two empty sets agree fully."""
+        shared = np.zeros((len(bits), len(self.bits)), dtype=np.int64)
+        for word in range(bits.shape[1]):
+            shared += np.bitwise_count(bits[:, word, None] & self.bits[None, :, word])
+        either = sizes[:, None] + self.sizes[None, :] - shared
+        return np.divide(shared, either, out=np.ones(shared.shape), where=either > 0)
+
+    def with_others(self, rows: pd.DataFrame) -> float:
+        total = 0.0
+        for at in range(0, len(rows), self.step()):
+            part = rows.iloc[at : at + self.step()]
+            scores = self.scores(self.packed(part), part["ids"].map(len).to_numpy(dtype=np.int64))
+            total += float(part["m"].to_numpy(dtype=np.float64) @ scores @ self.counts)
+        return total
+
+    def within(self) -> float:
+        """The sum over the pairs of runs of the tile itself, each pair once; runs with the same set agree fully."""
+        total = float((self.counts * (self.counts - 1) / 2).sum())
+        for at in range(0, len(self.counts), self.step()):
+            end = min(at + self.step(), len(self.counts))
+            scores = np.triu(self.scores(self.bits[at:end], self.sizes[at:end]), at + 1)
+            total += float(self.counts[at:end] @ scores @ self.counts)
+        return total
+
+
+def tile_totals(batches):
+    """Partial sums per pair of tiles; rows come ordered by (keys, i, j, side), the held tile (side 0) first."""
+    held, tile, key, total = [], None, None, 0.0
+
+    def finish():
+        values = [pa.array([v], t) for v, t in zip(key[:2], kinds)]
+        own = tile or (Tile(pd.concat(held)) if held else None)
+        found = own.within() if own is not None and key[2] == key[3] else total
+        return pa.RecordBatch.from_arrays([*values, pa.array([float(found)])], names=[*KEYS, "total"])
+
+    for batch in batches:
+        kinds = [batch.schema.field(k).type for k in KEYS]
+        frame = batch.to_pandas()
+        for mine, rows in frame.groupby([*KEYS, "i", "j", "side"], sort=False, dropna=False):
+            if mine[:4] != key:
+                if key is not None:
+                    yield finish()
+                held, tile, key, total = [], None, mine[:4], 0.0
+            if mine[4] == 0:
+                held.append(rows)
+            elif held:
+                tile = tile or Tile(pd.concat(held))
+                total += tile.with_others(rows)
+    if key is not None:
+        yield finish()
+
+
+def in_tiles(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The sets dealt to the pairs of tiles (i, j), i <= j; side 0 is tile i."""
+    own = F.pmod(F.xxhash64("ids"), F.col("tiles")).cast("int")
+    return (
         sets.join(broadcast_if_small(sizes), KEYS)
         .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
             *KEYS,
             F.least("own", "other").alias("i"),
@@ -89,16 +146,23 @@ def consistency_jaccard(runs: DataFrame, labels: DataFrame, gt: DataFrame, block
             "m",
         )
     )
-    kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
-    keys = ", ".join(f"{k} {kinds[k]}" for k in KEYS)
 
-    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # a block that no set fell into has nothing to meet; alone, the other side would count within itself
-        one_sided = key[2] != key[3] and rows["side"].nunique() < 2
-        return pd.DataFrame([[*key[:2], 0.0 if one_sided else block_total(rows)]])
 
-    sums = (
-        dealt.groupBy(*KEYS, "i", "j").applyInPandas(total, f"{keys}, total double").groupBy(*KEYS).agg(F.sum("total").alias("total"))
-    )
+def tile_sizes(sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """Runs (n) and tiles per (codebase, condition): tiles of up to ``tile`` sets and TILE_BITS bits."""
+    widths = sets.select(*KEYS, F.explode("ids").alias("id")).groupBy(*KEYS).agg(F.count_distinct("id").alias("width"))
+    counts = sets.groupBy(*KEYS).agg(F.sum("m").cast("double").alias("n"), F.count("*").alias("sets")).join(widths, KEYS, "left")
+    most = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(TILE_BITS) / F.coalesce("width", F.lit(1)))))
+    return counts.select(*KEYS, "n", F.ceil(F.col("sets") / most).cast("int").alias("tiles"))
+
+
+def consistency_jaccard(runs: DataFrame, labels: DataFrame, gt: DataFrame, tile: int = TILE) -> DataFrame:
+    """Mean pairwise Jaccard per (codebase, condition); two empty sets agree fully, fewer than two runs give null."""
+    sets = cut_lineage(matched_sets(runs, labels, gt))
+    sizes = cut_lineage(tile_sizes(sets, tile))
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
+    keys = ", ".join(f"{k} {kinds[k]}" for k in KEYS)
+    pairs = in_tiles(sets, sizes).repartition(*KEYS, "i", "j").sortWithinPartitions(*KEYS, "i", "j", "side")
+    sums = pairs.mapInArrow(tile_totals, f"{keys}, total double").groupBy(*KEYS).agg(F.sum("total").alias("total"))
     mean = F.when(F.col("n") >= 2, F.coalesce("total", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1) / 2))
     return sizes.join(sums, KEYS, "left").select(*KEYS, mean.alias("consistency"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from gaugeline.session import cut_lineage
 
 
+HOT = 4096  # sets that ask for a token; for each so many they go to one more place
+
+
 def title_words(title: Column) -> Column:
     """Sorted distinct lower-case words of a title."""
     plain = F.regexp_replace(F.lower(title), "[^a-z0-9]+", " ")
@@ -37,7 +40,8 @@ def best_similar(left: DataFrame, right: DataFrame, theta: float) -> DataFrame:
     """The most similar right entry for every distinct left word set, where the Jaccard reaches ``theta``.
 
     ``left`` holds scope and words, ``right`` scope, words, target and position (ties go to the smallest). Equal word
-    sets are folded first, and only sets that share a rare token meet (prefix filter), which loses no pair.
+    sets are folded first, and only sets that share a rare token meet (prefix filter), which loses no pair. The sets that
+    ask for a hot token are spread over salts, the entries under it are repeated for each.
     """
     if not 0 < theta <= 1 or math.isnan(theta):
         raise ValueError("theta must be in (0, 1]")
@@ -50,10 +54,12 @@ def best_similar(left: DataFrame, right: DataFrame, theta: float) -> DataFrame:
     frequencies = (
         offered.select("scope", F.explode("words").alias("token")).groupBy("scope", "token").agg(F.count("*").alias("n"))
     )
-    near = prefixes(wanted, frequencies, theta).drop("n").join(
-        prefixes(offered.select("scope", "words"), frequencies, theta).drop("n").withColumnRenamed("words", "other"),
-        ["scope", "token"],
-    )
+    asked = cut_lineage(prefixes(wanted, frequencies, theta).drop("n"))
+    demand = asked.groupBy("scope", "token").agg(F.ceil(F.count("*") / HOT).alias("salts"))
+    asked = asked.join(demand, ["scope", "token"]).withColumn("salt", F.pmod(F.xxhash64("words"), F.col("salts")))
+    filed = prefixes(offered.select("scope", "words"), frequencies, theta).drop("n").withColumnRenamed("words", "other")
+    filed = filed.join(demand, ["scope", "token"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    near = asked.drop("salts").join(filed.drop("salts"), ["scope", "token", "salt"])
     shared = F.size(F.array_intersect("words", "other"))
     score = shared / (F.size("words") + F.size("other") - shared)
     scored = near.select("scope", "words", "other").distinct().withColumn("score", score).filter(

@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.functions.joins import MAX_BROADCAST_BYTES, broadcast_if_small
+from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.operators.logs import tool_uses
-from gaugeline.session import cut_lineage
 
 # Contract names too general to search for, and the shortest name worth searching.
 GENERIC_NAMES = [
@@ -128,35 +127,21 @@ def _mention(name: Column) -> Column:
 def oos_mentions(reports: DataFrame, runs: DataFrame, names: DataFrame) -> DataFrame:
     """Out-of-scope contracts a report mentions.
 
-    The names of a codebase are few: up to MAX_BROADCAST_BYTES of them travel to the texts as one array per codebase, and
-    one scan finds them. More names than that meet the texts in an equi-join on (codebase, first word of the name), since
-    a mentioned name shows up among the words of a text; only these candidates are checked against the patterns.
+    A mentioned name shows up among the words of the text, so the distinct words of a text meet the names of its codebase
+    by their first word; only these candidates are checked against the patterns.
     """
-    names = cut_lineage(names)
     owned = runs.select("run_id", "codebase_id")
-    if (names.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0) <= MAX_BROADCAST_BYTES:
-        listed = names.groupBy("codebase_id").agg(F.collect_list("name").alias("names"))
-        lowered = F.lower("text")
-        found = F.filter(
-            "names",
-            lambda name: lowered.contains(F.lower(name)) & F.rlike(F.col("text"), _mention(name)),
-        )
-        return (
-            reports.join(owned.join(F.broadcast(listed), "codebase_id"), "run_id")
-            .select("run_id", F.explode(found).alias("name"))
-        )
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))))
-    texts = reports.join(owned, "run_id")
     keyed = names.withColumn("word", F.lower(F.regexp_extract("name", r"\w+", 0)))
     candidates = (
-        texts.select("run_id", "codebase_id", words.alias("word"))
+        reports.join(owned, "run_id")
+        .select("run_id", "codebase_id", words.alias("word"))
         .join(keyed, ["codebase_id", "word"])
-        .select("run_id", "name")
-        .distinct()
-    )
-    return candidates.join(reports, "run_id").filter(F.rlike("text", _mention(F.col("name")))).select(
-        "run_id", "name"
+        .groupBy("run_id")
+        .agg(F.collect_set("name").alias("names"))  # names that a text holds: at most its words
     )
+    found = F.filter("names", lambda name: F.rlike(F.col("text"), _mention(name)))
+    return reports.join(candidates, "run_id").select("run_id", F.explode(found).alias("name"))
 
 
 def files_read(blocks: DataFrame, runs: DataFrame) -> DataFrame:

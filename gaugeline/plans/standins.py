@@ -147,7 +147,7 @@ def labels(t: Tables) -> DataFrame:
 
 
 def wide_runs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs, labels and ground truth with matched sets of up to 34 ids: a run per customer, a label per line item."""
+    """Runs, labels and ground truth with matched sets out of 400 ids: a run per customer, a label per line item."""
     key = F.col("c_custkey")
     runs_wide = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("n_regionkey").alias("codebase_id"),
@@ -156,8 +156,8 @@ def wide_runs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
         (key % 9 != 0).alias("is_valid"),
         (key % 10 != 0).alias("is_classified"),
     )
-    items = t.lineitem.filter("l_partkey % 2 = 0").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    labels_wide = items.select(F.col("o_custkey").alias("run_id"), (F.col("l_suppkey") % 34).alias("matched_gt_id"))
+    items = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    labels_wide = items.select(F.col("o_custkey").alias("run_id"), ((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 400).alias("matched_gt_id"))
     truth = t.region.filter("r_regionkey <> 2").select(F.col("r_regionkey").alias("codebase_id"))
     return runs_wide, labels_wide, truth
 

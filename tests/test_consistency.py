@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from gaugeline.operators import consistency
 from gaugeline.operators.consistency import consistency_jaccard
 
 RUNS = "codebase_id string, condition_id string, run_id string, is_valid boolean, is_classified boolean"
@@ -24,7 +25,7 @@ def evaluate(rows, groups, limit):
             runs.append(("cb", condition, run, True, True))
             labels += [(run, x) for x in ids] + [(run, None)] + [(run, x) for x in list(ids)[:1]]
     gt = rows([("cb", "x")], "codebase_id string, gt_id string")
-    out = consistency_jaccard(rows(runs, RUNS), rows(labels, LABELS), gt, block=limit)
+    out = consistency_jaccard(rows(runs, RUNS), rows(labels, LABELS), gt, tile=limit)
     return {r.condition_id: r.consistency for r in out.collect()}
 
 
@@ -61,3 +62,17 @@ def test_only_valid_classified_runs_with_ground_truth_count(rows):
     gt = rows([("cb", "G1")], "codebase_id string, gt_id string")
     out = consistency_jaccard(runs, labels, gt).collect()
     assert [(r.codebase_id, r.consistency) for r in out] == [("cb", 1.0)]
+
+
+def test_a_set_is_sent_once_per_tile(rows):
+    sets = rows([("cb", "c", [str(i)], 1) for i in range(100)] + [("cb", "d", [], 4)], "codebase_id string, condition_id string, ids array<string>, m long")
+    for tile, copies in ((consistency.TILE, 1), (100, 1), (40, 3)):
+        sizes = consistency.tile_sizes(sets, tile)
+        dealt = consistency.in_tiles(sets, sizes)
+        assert dealt.filter("condition_id = 'c'").count() == 100 * copies and dealt.filter("condition_id = 'd'").count() == 1
+
+
+def test_wide_tiles_shrink(rows, monkeypatch):
+    monkeypatch.setattr(consistency, "TILE_BITS", 640)
+    sets = rows([("cb", "c", [str(i)], 1) for i in range(64)], "codebase_id string, condition_id string, ids array<string>, m long")
+    assert consistency.tile_sizes(sets).first().tiles == 7
