@@ -259,6 +259,10 @@ def expand_members(t):
 
 
 def _clustered(t):
+    return clustering.cluster_findings(_caused(t))
+
+
+def _caused(t):
     """Root causes link three neighbouring parts, titles the next three, with a break after every thirty.
 
     Every seventh part has one word more in its title, so titles are similar, not equal.
@@ -266,10 +270,8 @@ def _clustered(t):
     key = F.col("part_id")
     group = F.when(key % 30 == 29, F.floor(key / 3)).otherwise(F.floor((key + 1) / 3))
     loose = s.labels(t).filter(F.col("category").isin("novel", "uncertain"))
-    return clustering.cluster_findings(
-        loose.withColumns(
-            {"root_cause": F.concat(F.lit("k"), F.floor(key / 3)), "title": F.concat(F.lit("Weak group g"), group, F.when(key % 7 == 3, " again").otherwise(""))}
-        )
+    return loose.withColumns(
+        {"root_cause": F.concat(F.lit("k"), F.floor(key / 3)), "title": F.concat(F.lit("Weak group g"), group, F.when(key % 7 == 3, " again").otherwise(""))}
     )
 
 
@@ -287,6 +289,20 @@ def cluster_findings(t):
     return _clustered(t)[1].select(*MEMBER_COLUMNS)
 
 
+@register("g11_extended_clusters", named(COMPONENTS, """
+select distinct k.codebase_id, k.a cause_key, root component from g_keyed k join roots r on r.codebase_id=k.codebase_id and r.x=k.a"""))
+def extended_clusters(t):
+    """The components of all findings, reached in two rounds: those of even runs first, the others added."""
+    found = cut_lineage(_caused(t))
+    state = None
+    for half in (0, 1):
+        state, _ = clustering.extend_clusters(state, found.filter(F.pmod("run_id", F.lit(2)) == half))
+    first = state.roots.groupBy("scope", "root").agg(F.min("node").alias("component"))
+    return state.roots.filter(F.col("node").startswith("c:")).join(first, ["scope", "root"]).select(
+        F.col("scope").alias("codebase_id"), F.col("node").alias("cause_key"), "component"
+    )
+
+
 @register("g11_assign_incremental", f"""
 select codebase_id, chunk_no, member_index as "position", member_index, coalesce('gt-'||lpad(gt_id::varchar,12,'0'),'new') assign_to from (
   select f.codebase_id, (n-1)//5 chunk_no, ((n-1)%5+1)::int member_index, b.gt_id from (

@@ -6,13 +6,15 @@ two tables; a finding is identified by (run_id, finding_index).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.operators.matching import best_similar, prefixes, title_words
 from gaugeline.operators.refresh import USABLE_EXIT_CODES
-from gaugeline.session import cut_lineage
+from gaugeline.session import cut_lineage, materialised
 
 FINDING = ["run_id", "finding_index"]
 INPUT = ["codebase_id", "run_id", "condition_id", "finding_index", "title", "reasoning"]
@@ -191,10 +193,11 @@ def connected_keys(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): every round links a node's neighbours to the
     smallest of them. Neighbour lists are never gathered; their minimum is a map-side aggregate. Each round is written
-    to the checkpoint folder, and rounds stop once nothing changes.
+    as a table, whose size the next one knows (that of a checkpoint is estimated, and multiplies from round to round), and
+    rounds stop once nothing changes.
     """
     wanted = edges.filter("a <> b").select("scope", "a", "b")
-    current = cut_lineage(
+    current = materialised(
         wanted.select("scope", F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
     )
     before = None
@@ -212,7 +215,7 @@ def connected_keys(edges: DataFrame) -> DataFrame:
             .filter("node <> root")
             .distinct()
         )
-        current = cut_lineage(small)
+        current = materialised(small)
         state = current.agg(
             F.count("*"), F.sum(F.xxhash64("scope", "node", "root").cast("decimal(20,0)"))
         ).first()
@@ -272,7 +275,7 @@ def similar_groups(sets: DataFrame, theta: float = SIMILAR) -> DataFrame:
     stars = asked.join(first.select("scope", "token", "f.head", "f.b"), ["scope", "token"]).filter(similar)
     joined = connected_keys(stars.select("scope", "a", "b").distinct())
     nodes = distinct.select("scope", word_key(F.col("words")).alias("node"))
-    roots = cut_lineage(nodes.join(joined, ["scope", "node"], "left").withColumn("root", F.coalesce("root", "node")))
+    roots = materialised(nodes.join(joined, ["scope", "node"], "left").withColumn("root", F.coalesce("root", "node")))
     filed = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     while True:
         pairs = rooted(asked, "a", roots).join(rooted(filed, "b", roots), ["scope", "token", "salt"])
@@ -281,12 +284,12 @@ def similar_groups(sets: DataFrame, theta: float = SIMILAR) -> DataFrame:
             F.struct(F.col("root_a").alias("x"), F.col("root_b").alias("y")),
             F.struct(F.col("root_b").alias("x"), F.col("root_a").alias("y")),
         )
-        kept = cut_lineage(across.select("scope", F.inline(ways)).groupBy("scope", "x").agg(F.min("y").alias("y")))
+        kept = materialised(across.select("scope", F.inline(ways)).groupBy("scope", "x").agg(F.min("y").alias("y")))
         if kept.isEmpty():
             return roots
         merged = connected_keys(kept.select("scope", F.col("x").alias("a"), F.col("y").alias("b")))
         moved = merged.select("scope", F.col("node").alias("root"), F.col("root").alias("to"))
-        roots = cut_lineage(
+        roots = materialised(
             roots.join(moved, ["scope", "root"], "left").select("scope", "node", F.coalesce("to", "root").alias("root"))
         )
 
@@ -357,6 +360,83 @@ def assign_incremental(new: DataFrame, clusters: DataFrame, theta: float = 0.5)
     )
 
 
+@dataclass(frozen=True)
+class ClusterState:
+    """What clustering keeps between rounds: the order of tokens, the index of word sets, and the root of every key."""
+
+    frequencies: DataFrame  # scope, token, n: fixed by the first round, as any order serves a prefix filter
+    filed: DataFrame  # scope, token, words, node
+    roots: DataFrame  # scope, node, root
+
+
+def extend_roots(roots: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored roots (scope, node, root) after new edges (scope, a, b), and the rows among them that are new or changed.
+
+    Edges are taken to the roots of their ends, and only what these connect is worked on; a component that meets no new
+    edge is not touched. Of merged components the smallest root that was there before stays, so names are stable; new
+    nodes name a component only among themselves.
+    """
+
+    def to_root(end: str) -> tuple[DataFrame, Column]:
+        named = roots.select("scope", F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        return named, F.coalesce(F.concat(F.lit("0"), f"root_{end}"), F.concat(F.lit("1"), F.col(end)))
+
+    named_a, label_a = to_root("a")
+    named_b, label_b = to_root("b")
+    ends = edges.join(named_a, ["scope", "a"], "left").join(named_b, ["scope", "b"], "left")
+    ends = materialised(ends.select("scope", label_a.alias("a"), label_b.alias("b")).distinct())
+    joined = connected_keys(ends)
+    alone = ends.select("scope", F.explode(F.array("a", "b")).alias("node")).distinct().join(joined, ["scope", "node"], "left_anti")
+    moves = materialised(joined.unionByName(alone.withColumn("root", F.col("node"))))
+    target = F.substring("root", 2, 2**31 - 1)
+    old, new = moves.filter(F.col("node").startswith("0") & (F.col("node") != F.col("root"))), moves.filter(F.col("node").startswith("1"))
+    moved = old.select("scope", F.substring("node", 2, 2**31 - 1).alias("root"), target.alias("to"))
+    rerooted = roots.join(moved, ["scope", "root"]).select("scope", "node", F.col("to").alias("root"))
+    added = new.select("scope", F.substring("node", 2, 2**31 - 1).alias("node"), target.alias("root"))
+    changed = materialised(rerooted.unionByName(added))
+    kept = roots.join(moved.select("scope", "root"), ["scope", "root"], "left_anti").select("scope", "node", "root")
+    return materialised(kept.unionByName(changed)), changed
+
+
+def extend_clusters(state: ClusterState | None, inputs: DataFrame, theta: float = SIMILAR) -> tuple[ClusterState, DataFrame]:
+    """The state after new findings, and the changed rows of its roots; components are those of ``cluster_findings``.
+
+    ``inputs`` are cluster inputs with root_cause, new ones only or with known ones among them. New word sets meet the index
+    of all in an equi-join on rare tokens; a link is kept per new set and component it meets. A finding's component is the
+    root of its key ``c:<root cause>``.
+    """
+    cause = F.concat(F.lit("c:"), "root_cause").alias("cause_key")
+    keyed = inputs.select(F.col("codebase_id").alias("scope"), cause, title_words(F.col("title")).alias("words")).distinct()
+    node = F.when(F.size("words") > 0, word_key(F.col("words"))).otherwise(F.col("cause_key"))
+    keyed = materialised(keyed.withColumn("node", node))
+    fresh = keyed.filter(F.size("words") > 0).select("scope", "words", "node").distinct()
+    if state is not None:
+        fresh = fresh.join(state.roots.select("scope", "node"), ["scope", "node"], "left_anti")
+    fresh = materialised(fresh)
+    frequencies = state.frequencies if state is not None else materialised(
+        fresh.select("scope", F.explode("words").alias("token")).groupBy("scope", "token").agg(F.count("*").alias("n"))
+    )
+    asked = materialised(
+        prefixes(fresh.select("scope", "words"), frequencies, theta).select(
+            "scope", "token", "words", word_key(F.col("words")).alias("node")
+        )
+    )
+    filed = asked if state is None else materialised(state.filed.unionByName(asked))
+    others = filed.select("scope", "token", F.col("words").alias("other"), F.col("node").alias("b"))
+    if state is not None:
+        named = state.roots.select("scope", F.col("node").alias("b"), F.col("root").alias("root_b"))
+        others = others.join(named, ["scope", "b"], "left").withColumn("b", F.coalesce("root_b", "b"))
+    shared = F.size(F.array_intersect("words", "other"))
+    near = asked.join(others, ["scope", "token"]).filter(
+        (F.col("node") != F.col("b")) & (shared / (F.size("words") + F.size("other") - shared) >= theta - 1e-9)
+    )
+    edges = near.select("scope", F.col("node").alias("a"), "b").distinct()
+    edges = edges.unionByName(keyed.select("scope", F.col("cause_key").alias("a"), F.col("node").alias("b")).distinct())
+    roots = state.roots if state is not None else edges.select("scope", F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    roots, changed = extend_roots(roots, edges)
+    return ClusterState(frequencies, filed, roots), changed
+
+
 def cluster_totals(clusters: DataFrame, members: DataFrame) -> DataFrame:
     """Findings and unique bugs per codebase."""
     sizes = members.groupBy("codebase_id").agg(F.count("*").alias("total_findings"))

@@ -132,6 +132,42 @@ def test_no_round_writes_more_than_a_row_per_set_and_token(rows, monkeypatch):
     assert len(found) == 300 and len({r.root for r in found}) == 1 and max(written) <= 300 * 10
 
 
+def test_extended_clusters_equal_a_full_clustering(rows):
+    """Findings added in rounds; components that no new finding meets keep their rows, and merged ones an old name."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    data = []
+    for i in range(120):
+        title = " ".join(rng.choices(words, k=rng.randint(0, 6)))
+        data.append((rng.choice(["s", "t"]), f"r{i}", "c", i, title, "why", f"cause{rng.randrange(60)}"))
+    schema = "codebase_id string, run_id string, condition_id string, finding_index int, title string, reasoning string, root_cause string"
+    state, before = None, {}
+    for start, end in ((0, 70), (60, 110), (110, 120)):
+        state, changed = clustering.extend_clusters(state, rows(data[start:end], schema))
+        roots = {(r.scope, r.node): r.root for r in state.roots.collect()}
+        assert len(roots) == state.roots.count()
+        moved = {(r.scope, r.node) for r in changed.collect()}
+        assert {k for k, r in roots.items() if before.get(k) != r} == moved
+        assert all(before[k] != roots[k] for k in moved if k in before)
+        assert all(r in {x for (s, _), x in before.items() if s == k[0]} for k, r in roots.items() if k in before)
+        before = roots
+        _, members = clustering.cluster_findings(rows(data[:end], schema))
+        full = {r.run_id: (r.codebase_id, r.cluster_id) for r in members.collect()}
+        mine = {d[1]: (d[0], roots[(d[0], "c:" + d[6])]) for d in data[:end]}
+        pairs = {(full[run], mine[run]) for run in full}
+        assert len(pairs) == len({f for f, _ in pairs}) == len({m for _, m in pairs})
+
+
+def test_few_new_edges_touch_few_roots(rows):
+    schema = "scope string, node string, root string"
+    stored = rows([("s", f"n{i:03}", f"n{i // 10 * 10:03}") for i in range(200)], schema)
+    edges = rows([("s", "n015", "n027"), ("s", "new", "n199"), ("s", "p", "q")], "scope string, a string, b string")
+    roots, changed = clustering.extend_roots(stored, edges)
+    got = {r.node: r.root for r in changed.collect()}
+    assert got == {f"n{i:03}": "n010" for i in range(20, 30)} | {"new": "n190", "p": "p", "q": "p"}
+    assert roots.count() == 203
+
+
 def test_a_single_input_becomes_novel_1(rows):
     clusters, members = clustering.cluster_findings(rows([finding("r1", 4, "T") + ("a::b",)], CAUSED))
     assert [(r.cluster_id, r.title, r.severity) for r in clusters.collect()] == [("novel-1", "T", "unknown")]
