@@ -60,6 +60,29 @@ def with_small(rows: DataFrame, small: DataFrame, keys: list[str], spread_by: st
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
+FIT_BYTES = 64 << 20  # text that a classifier is fitted on, at most
+
+
+def fitted_rows(documents: DataFrame, chosen: DataFrame, value: str) -> list[tuple[bytes, int]]:
+    """(text, value) of the chosen ids (doc_id, value; distinct and bounded in number), for a fit on the driver.
+
+    An id that several rows carry gives one, with the smallest text; ids follow in the order of their hashes while their
+    texts stay within FIT_BYTES, and the first one that does not ends the list.
+    """
+    rows = texts(documents).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min(value).alias(value))
+    rows = written(rows)
+    sizes = rows.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("place")).collect()
+    fits, total = [], 0
+    for row in sorted(sizes, key=lambda r: (r["place"], r["doc_id"])):
+        total += row["size"]
+        if total > FIT_BYTES:
+            break
+        fits.append((row["doc_id"],))
+    kept = rows.sparkSession.createDataFrame(fits, "doc_id long")
+    found = rows.join(F.broadcast(kept), "doc_id").select("text", value).collect()
+    return [(r["text"].encode(), r[value]) for r in found]
+
+
 def crc_remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as decimal text, modulo ``parts``; a null id counts as the text 'null'."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))), F.lit(parts)).cast("int")

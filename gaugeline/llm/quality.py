@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import binary, crc_remainder, texts
+from gaugeline.llm.common import binary, crc_remainder, fitted_rows
 
 FIT_ROWS = 8_000  # bound of the labelled sample that is fitted on the driver
 HELD_OUT, PARTS = 2, 4  # rows whose crc32(doc_id) modulo 4 is 2 are never learned from
@@ -108,11 +108,11 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most FIT_ROWS graded training rows, those with the smallest id hashes."""
-    known = graded(labels).filter(crc_remainder(F.col("doc_id"), PARTS) != HELD_OUT)
+    """Fit on at most FIT_ROWS graded training rows and FIT_BYTES of text, those with the smallest id hashes; one row per
+    id, with the smallest text."""
+    known = graded(labels).filter(F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), PARTS) != HELD_OUT))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    rows = texts(documents).join(F.broadcast(chosen), "doc_id").select("text", "grade").collect()  # bounded by the sample
-    return fit([(r["text"].encode(), r["grade"]) for r in rows])
+    return fit(fitted_rows(documents, chosen, "grade"))
 
 
 def quality_score(model: Model) -> Column:
@@ -150,8 +150,9 @@ def quality_score(model: Model) -> Column:
 def select_by_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, expected_grade, tail_probability, kept.
 
-    A null text is empty and gets the thresholds' own prediction. Repeated rows are answered each; without labels the
-    grades count as equally frequent. An empty table gives an empty result.
+    A null text is empty and gets the thresholds' own prediction; texts of any length are read whole. Repeated rows are
+    answered each; without labels the grades count as equally frequent. Other columns are left behind, clashing ones too.
+    An empty table gives an empty result.
     """
     score = quality_score(train(documents, labels))
     return documents.select(F.col("doc_id").cast("long"), score.alias("s")).select(

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import binary, crc_remainder, texts
+from gaugeline.llm.common import binary, crc_remainder, fitted_rows
 
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000  # bound of the labelled sample that is fitted on the driver
 HELD_OUT, PARTS = 2, 4  # rows whose crc32(doc_id) modulo 4 is 2 are never learned from
@@ -124,20 +124,19 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most TOXIC_ROWS + ORDINARY_ROWS labelled training rows, those with the smallest id hashes."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).filter(
+    """Fit on at most TOXIC_ROWS + ORDINARY_ROWS labelled training rows and FIT_BYTES of text, those with the smallest id
+    hashes; one row per id, with the smallest text and label."""
+    usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).filter(
         F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), PARTS) != HELD_OUT) & F.col("label").isin(0, 1)
     )
+    known = usable.groupBy("doc_id").agg(F.min("label").alias("label"))
     order = F.xxhash64("doc_id")
     sample = [
-        row.doc_id
+        (row["doc_id"], row["label"])
         for label, limit in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))
-        for row in known.filter(F.col("label") == label).orderBy(order, "doc_id").limit(limit).select("doc_id").collect()
+        for row in known.filter(F.col("label") == label).orderBy(order, "doc_id").limit(limit).collect()
     ]
-    spark = documents.sparkSession
-    chosen = spark.createDataFrame([(i,) for i in sorted(set(sample))], "doc_id long").join(known.distinct(), "doc_id")
-    rows = texts(documents).join(F.broadcast(chosen), "doc_id").select("text", "label").collect()  # bounded by the sample
-    return fit([(r["text"].encode(), r["label"]) for r in rows])
+    return fit(fitted_rows(documents, documents.sparkSession.createDataFrame(sample, "doc_id long, label int"), "label"))
 
 
 def toxicity_score(model: Model) -> Column:
@@ -158,8 +157,9 @@ def toxicity_score(model: Model) -> Column:
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    A null text scores as an empty one; repeated rows are answered each; without labels of both kinds every score is the
-    share of toxic labels. An empty table gives an empty result.
+    A null text scores as an empty one; texts of any length are scored whole; repeated rows are answered each; without
+    labels of both kinds every score is the share of toxic labels. Other columns are left behind, clashing ones too. An empty
+    table gives an empty result.
     """
     score = toxicity_score(train(documents, labels))
     return documents.select(F.col("doc_id").cast("long"), score.alias("score")).select(

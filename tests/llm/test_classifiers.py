@@ -60,3 +60,24 @@ def test_thresholds_are_ordered_and_words_are_shared():
     model = quality.fit(rows)
     assert model.thresholds == sorted(model.thresholds)
     assert model.weights[quality.slot(b"good")] > model.weights[quality.slot(b"ugly")]
+
+
+def test_a_repeated_id_is_fitted_once(spark, monkeypatch):
+    """20,000 rows of one labelled id, and ids with both labels: the driver gets a row per id and bounded bytes."""
+    from pyspark.sql import functions as F
+
+    from gaugeline.llm import common
+
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.lpad("id", 5, "0")).alias("text"))
+    docs = docs.union(spark.range(2, 12).select("id", F.concat(F.lit("other "), "id")))
+    chosen = spark.range(1, 12).select(F.col("id").alias("doc_id"), F.lit(1).alias("label"))
+    found = common.fitted_rows(docs, chosen, "label")
+    assert sorted(found) == sorted([(b"text 00000", 1), *[(f"other {i}".encode(), 1) for i in range(2, 12)]])
+    monkeypatch.setattr(common, "FIT_BYTES", 40)
+    assert 0 < sum(len(t) for t, _ in common.fitted_rows(docs, chosen, "label")) <= 40
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    sizes = []
+    for module in (toxicity, quality):
+        monkeypatch.setattr(module, "fit", lambda rows: sizes.append(len(rows)))
+        module.train(docs, labels)
+    assert all(n <= 3 for n in sizes) and len(sizes) == 2
