@@ -41,7 +41,9 @@ def test_awkward_rows_go_through_every_stage(spark, tmp_path):
     data += [(None, "no id", None, None, None), (30, None, "en", "src0", 0), (31, "", None, "src0", None), (32, "x " * 50_000, "de", None, 1)]
     data += [(33, "same same", "en", "src1", 2), (33, "same same", "en", "src1", 2), (34, "same  same", "en", "src1", 2)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    frame = spark.createDataFrame(data, schema).selectExpr("*", "1 as row", "2 as domain", "3 as fp", "4 as copies")
+    frame = spark.createDataFrame(data, schema).selectExpr(
+        "*", "1 as row", "2 as domain", "3 as fp", "4 as copies", "5 as _row", "6 as _order", "7 as _gone", "8 as gone", "9 as doc"
+    )
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (frame, frame.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
