@@ -26,24 +26,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own (_row), written, so that it stays the same: ids may repeat or be null."""
-    return materialised(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """The rows packed as doc, with a number of their own (row), written, so that it stays the same: ids may repeat or be
+    null, and columns may have any names."""
+    return materialised(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
 
 
 def as_rows(docs: DataFrame) -> DataFrame:
     """The numbered rows with their number as doc_id and the id as _order."""
-    return docs.select(F.col("_row").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_order"))
+    return docs.select(
+        F.col("row").alias("doc_id"), F.col("doc.text").alias("text"), F.col("doc.doc_id").cast("long").alias("_order")
+    )
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The numbered rows whose number is not among the dropped ones (their doc_id), without the number.
+    """The numbered rows, as they were, whose number is not among the dropped ones (their doc_id).
 
     A list of up to BROADCAST_BYTES is broadcast, so texts stay where they are; a longer one meets them by number.
     """
-    gone = written(dropped.select(F.col("doc_id").alias("_gone")))
+    gone = written(dropped.select(F.col("doc_id").alias("gone")))
     if gone.count() * 16 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["_row"] == gone["_gone"], "left_anti").drop("_row")
+    return docs.join(gone, docs["row"] == gone["gone"], "left_anti").select("doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
