@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import written
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """(node, root) for every node of the (a, b) edges, the smallest node of a component being its root.
 
+    ``written`` keeps the frames of a round. Checkpoints carry the estimated size of their plan on, which multiplies from
+    round to round; over very many rounds, tables whose size is known anew serve better.
+
     Alternating large-star and small-star rounds (Kiveris et al., 2014) until nothing changes. Minima are map-side
     aggregates; they are written before they are joined back, so both sides of that join come from plain shuffles and
     adaptive execution splits the partition of a node with very many neighbours.

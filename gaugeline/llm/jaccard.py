@@ -9,8 +9,8 @@ tokens of the prefix would be missing in the partner. The number of groups follo
 partners may be in the next band is indexed in both.
 
 Tokens that one set alone holds need no signature: a set that has E+1 of them has no partner. The sets left are compared
-in full: with the first set of each bucket, then, where a bucket still holds sets of several components, with each other
-in blocks. Links are counted inside components, in blocks too; pairs are never rows.
+in full: those of a large bucket with its first set, then all, in blocks, within the groups that their buckets connect.
+Links are counted inside components, in blocks too; pairs are never rows.
 """
 
 from __future__ import annotations
@@ -23,20 +23,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import BROADCAST_BYTES, binary, in_blocks, shuffle_partitions, texts, written
+from gaugeline.llm.common import BROADCAST_BYTES, SPACES, binary, in_blocks, shuffle_partitions, texts
 from gaugeline.llm.components import components
 from gaugeline.session import materialised
 
 WIDTH = 4
 THRESHOLD = 85  # percent
-COUNTED = 0.375  # share of the hash space whose tokens are counted
+COUNTED = 0.3  # share of the hash space whose tokens are counted
 FREQUENT = ((2, 1 / 1000), (3, 1 / 50))  # class k: tokens in at least this share of the sets
 FREQUENT_TOKENS = 1 << 18  # the most frequent ones at most; any set of them keeps the result exact
 GROUP = {2: 4, 3: 6}  # tokens of a prefix meant for one group of the class
 PLAIN = 5  # in bands below 2^5 tokens all tokens are rare
 BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20  # sets compared with each other at once
 CELLS = 1 << 23  # of an incidence matrix
-KNOWN_WORDS = 1 << 20
+HASHED = 1 << 22  # bytes hashed at once
 CHUNK = 1 << 22  # tokens counted at once
 
 
@@ -47,27 +47,74 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Hashes of the words met so far."""
+#: Per byte: what it is in lower case (A-Z only), whether it is white space of the contracts, and its 64-bit weight.
+LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
+SPACE = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), dtype=np.uint8))
+WEIGHT = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[LOWER]
+STEP = np.uint64(0xD6E8FEB86659FD93)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
 
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every word; ``bounds`` are the byte positions at which the texts begin and, last, end.
 
-def token_set(text: bytes, width: int, known: WordHashes) -> np.ndarray:
-    """The distinct n-grams of a text as sorted hashes; fewer words than ``width`` make one token."""
-    words = text.lower().split()  # of bytes: A-Z only, and exactly the six white-space bytes
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    hashes = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
-    size = min(width, len(words))
-    out = np.full(len(words) - size + 1, size, dtype=np.uint64)
-    for j in range(size):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(out)])
-    return np.unique(out)
+    A word's hash is a polynomial over the weights of its bytes, scrambled with its length.
+    """
+    inside = ~SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = bounds[:-1][bounds[:-1] < len(data)]
+    first[begins] = inside[begins]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    number = np.cumsum(first)[inside] - 1  # the word of each byte inside one
+    at = np.flatnonzero(inside)
+    depth = at - starts[number]
+    powers = np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(int(depth.max()), STEP))))
+    cuts = np.flatnonzero(first[at])
+    sums = np.add.reduceat(WEIGHT[data[at]] * powers[depth], cuts)
+    lengths = np.diff(np.append(cuts, len(at))).astype(np.uint64)
+    return mixed(sums + lengths * np.uint64(0x9E3779B97F4A7C15)), np.searchsorted(bounds, starts, side="right") - 1
+
+
+def token_runs(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of each text of a binary column as sorted hashes, one text after the other, and their bounds.
+
+    A text with fewer words than ``width`` has one n-gram of all its words. Bytes are hashed HASHED at a time, cut between
+    words, so a long text needs memory for its words only.
+    """
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    hashes, owners, at = [], [], 0
+    while at < len(data):
+        end = min(at + HASHED, len(data))
+        while end < len(data) and not SPACE[data[end - 1]]:
+            gap = np.flatnonzero(SPACE[data[end : end + HASHED]])
+            end = end + int(gap[0]) + 1 if len(gap) else min(end + HASHED, len(data))
+        h, o = word_hashes(data[at:end], np.clip(bounds, at, end) - at)
+        hashes.append(h)
+        owners.append(o)
+        at = end
+    count = len(texts)
+    if not hashes:
+        return np.zeros(0, dtype=np.uint64), np.zeros(count + 1, dtype=np.int64)
+    hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+    words = np.bincount(owners, minlength=count)
+    sizes = np.minimum(words, width)[owners]  # words in an n-gram of the text
+    left = np.cumsum(words)[owners] - np.arange(len(owners))  # words from here to the text's end
+    heads = np.flatnonzero(left >= sizes)
+    sizes, owners = sizes[heads], owners[heads]
+    tokens = sizes.astype(np.uint64)
+    for j in range(width):
+        more = sizes > j
+        tokens[more] = mixed(tokens[more] * np.uint64(0x9E3779B97F4A7C15) + hashes[heads[more] + j])
+    ends = np.cumsum(np.bincount(owners, minlength=count)).tolist()
+    for start, end in zip([0, *ends[:-1]], ends):
+        tokens[start:end].sort()
+    new = np.append(True, (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1]))[: len(tokens)]
+    return tokens[new], np.concatenate(([0], np.cumsum(np.bincount(owners[new], minlength=count))))
 
 
 def ceil_share(n: int, percent: int) -> int:
@@ -99,32 +146,33 @@ def token_sets(documents: DataFrame, width: int, percent: int, counted: float) -
     names = ["row", "doc_id", "key", "n", "n_counted", "counted", "tail"]
 
     def run(batches):
-        known, met = WordHashes(), set()
+        met = set()
         for batch in in_blocks(batches, "text"):
-            keys, sizes, heads, tails = [], [], [], []
-            for text in binary(batch.column("text")):
-                tokens = token_set(text.as_buffer().to_pybytes(), width, known)
-                key = xxhash.xxh128_digest(tokens.tobytes()) if len(tokens) else None
-                head = int(np.searchsorted(tokens, limit))
+            tokens, bounds = token_runs(binary(batch.column("text")), width)
+            head = tokens < limit
+            before = np.concatenate(([0], np.cumsum(head)))
+            sizes, heads = np.diff(bounds), before[bounds[1:]] - before[bounds[:-1]]
+            keys, kept = [], np.zeros(len(sizes), dtype=bool)
+            tails = np.zeros(len(sizes), dtype=np.int64)
+            for i, (start, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                key = xxhash.xxh128_digest(tokens[start:end]) if end > start else None
                 keys.append(key)
-                sizes.append((len(tokens), head))
-                if key is None or key in met:
-                    heads.append(None)
-                    tails.append(None)
-                else:
+                if key is not None and key not in met:
                     met.add(key)
-                    heads.append(tokens[:head].view(np.int64))
-                    tails.append(tokens[head : head + tail_size(len(tokens), head, percent)].view(np.int64))
-            longs, ints = pa.list_(pa.int64()), pa.int32()
+                    kept[i] = True
+                    tails[i] = tail_size(end - start, int(heads[i]), percent)
+            place = np.arange(len(tokens)) - np.repeat(bounds[:-1], sizes)
+            mine, skip = np.repeat(kept, sizes), np.repeat(heads, sizes)
+            tail = mine & (place >= skip) & (place < skip + np.repeat(tails, sizes))
+            ints = [pa.array(x.astype(np.int32)) for x in (sizes, heads)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),
                     batch.column("doc_id"),
                     pa.array(keys, pa.binary()),
-                    pa.array([n for n, _ in sizes], ints),
-                    pa.array([n for _, n in sizes], ints),
-                    pa.array(heads, longs),
-                    pa.array(tails, longs),
+                    *ints,
+                    lists(tokens[mine & head], np.where(kept, heads, 0), kept),
+                    lists(tokens[tail], tails, kept),
                 ],
                 names=names,
             )
@@ -134,6 +182,12 @@ def token_sets(documents: DataFrame, width: int, percent: int, counted: float) -
     return materialised(numbered.mapInArrow(run, schema))
 
 
+def lists(values: np.ndarray, sizes: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Runs of ``values`` as lists of longs; null where not valid."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)), mask=pa.array(~valid))
+
+
 def frequent_tokens(sets: DataFrame) -> DataFrame:
     """(token, class): counted tokens that many sets hold, at most FREQUENT_TOKENS; small and written.
 
@@ -167,7 +221,7 @@ def frequent_tokens(sets: DataFrame) -> DataFrame:
     counts = sets.filter("counted is not null").select("counted").mapInArrow(run, "token long, count long")
     counts = counts.groupBy("token").agg(F.sum("count").alias("count"))
     found = counts.select("token", "count", kind.alias("class")).filter("class > 1").orderBy(F.desc("count"), "token")
-    return written(found.limit(FREQUENT_TOKENS).select("token", "class"))
+    return materialised(found.limit(FREQUENT_TOKENS).select("token", "class"))
 
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
@@ -280,7 +334,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owners, column = owners[order], column[order]
     out = np.zeros((count, count))
-    step = max(1, CELLS // count)
+    step = max(1, min(CELLS // count, len(shared)))
     for start in range(0, len(shared), step):
         a, b = np.searchsorted(column, (start, start + step))
         held = np.zeros((count, step), dtype=np.float32)  # sums of ones are exact up to 2^24 cells in a step
@@ -317,16 +371,16 @@ def full_sets(documents: DataFrame, live: DataFrame, width: int) -> DataFrame:
 
     Texts are read again, those whose id is live only; the ids are broadcast up to BROADCAST_BYTES.
     """
-    ids = written(live.select(F.col("doc_id").alias("_live")).distinct())
+    ids = materialised(live.select(F.col("doc_id").alias("_live")).distinct())
     if ids.count() * 16 <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     docs = texts(documents)
     wanted = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_live"]), "left_semi").select("text")
 
     def run(batches):
-        known = WordHashes()
         for batch in in_blocks(batches, "text"):
-            found = [token_set(t.as_buffer().to_pybytes(), width, known).tobytes() for t in binary(batch.column("text"))]
+            tokens, bounds = token_runs(binary(batch.column("text")), width)
+            found = [tokens[start:end].tobytes() for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             keys = [xxhash.xxh128_digest(x) if x else None for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "tokens"])
 
@@ -335,18 +389,23 @@ def full_sets(documents: DataFrame, live: DataFrame, width: int) -> DataFrame:
     return materialised(rows.select("row", (F.octet_length("tokens") / 8).cast("long").alias("n"), "tokens"))
 
 
+def measured(frame: DataFrame) -> DataFrame:
+    """A written frame of numbers, to be broadcast if it has at most BROADCAST_BYTES."""
+    return F.broadcast(frame) if frame.count() * (16 + 8 * len(frame.columns)) <= BROADCAST_BYTES else frame
+
+
 def star_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets that link with the first set of one of their buckets."""
+    """(a, b): sets that link with the first set of one of their buckets (sig, row)."""
     partitions = shuffle_partitions(sets.sparkSession)
-    firsts = written(buckets.groupBy("sig").agg(F.min("row").alias("first"), F.count("*").alias("size")).filter("size > 1"))
-    pairs = buckets.join(firsts.select("sig", "first"), "sig").filter("row <> first").select("row", "first").distinct()
-    a = sets.select("row", "n", "tokens")
+    firsts = materialised(buckets.groupBy("sig").agg(F.min("row").alias("first")))
+    pairs = buckets.join(firsts, "sig").filter("row <> first").select("row", "first").distinct()
     salts = F.ceil(F.col("size") / BLOCK_SETS)  # a set with very many others meets them in several tasks
-    pairs = written(pairs)
-    often = pairs.groupBy("first").agg(F.count("*").alias("size"))
-    dealt = pairs.join(often, "first").select("row", "first", F.pmod(F.xxhash64("row"), salts).alias("salt"))
-    members = dealt.join(a, "row").select("first", "salt", "row", "tokens")
-    heads = dealt.select("first", "salt").distinct().join(a.withColumnRenamed("row", "first"), "first")
+    pairs = materialised(pairs)
+    often = measured(materialised(pairs.groupBy("first").agg(F.count("*").alias("size"))))
+    dealt = materialised(pairs.join(often, "first").select("row", "first", F.pmod(F.xxhash64("row"), salts).alias("salt")))
+    members = sets.join(measured(dealt), "row").select("first", "salt", "row", "tokens")
+    wanted = measured(materialised(dealt.select("first", "salt").distinct()))
+    heads = sets.withColumnRenamed("row", "first").join(wanted, "first")
     heads = heads.select("first", "salt", F.lit(None).cast("long").alias("row"), "tokens")
 
     def run(batches):
@@ -368,21 +427,22 @@ def star_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.sortWithinPartitions("first", "salt", F.col("row").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def in_pair_blocks(members: DataFrame, sets: DataFrame, key: str, *also: str) -> DataFrame:
-    """Sets of each group of ``members`` (key, row, also) dealt so that any two meet in one block (key, i, j), i <= j.
+def in_pair_blocks(members: DataFrame, sets: DataFrame, group: str, also: str) -> DataFrame:
+    """Sets of each group of the written ``members`` (group, row, also) dealt so that any two meet in one block (i, j), i <= j.
 
     A group's blocks hold about BLOCK_SETS sets and BLOCK_TOKENS tokens; a row comes once for each block it is paired with.
     """
-    sized = members.join(sets.select("row", "n"), "row")
+    sized = sets.select("row", "n").join(measured(members), "row")
     count = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
-    sizes = written(sized.groupBy(key).agg(count.alias("blocks")))
-    placed = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    sizes = measured(materialised(sized.groupBy(group).agg(count.alias("blocks"))))
+    placed = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = placed.select(key, "row", *also, "own", other).select(
-        key, "row", *also, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    pairs = placed.select(group, "row", also, "own", other).select(
+        group, "row", also, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
-    rows = pairs.join(sets.select("row", "tokens"), "row").repartition(shuffle_partitions(sets.sparkSession), key, "i", "j")
-    return rows.sortWithinPartitions(key, "i", "j", "row")
+    rows = sets.select("row", "tokens").join(measured(materialised(pairs)), "row")
+    rows = rows.repartition(shuffle_partitions(sets.sparkSession), group, "i", "j")
+    return rows.sortWithinPartitions(group, "i", "j", "row")
 
 
 def crossing(rows: list[dict], i: int, j: int) -> np.ndarray:
@@ -392,19 +452,43 @@ def crossing(rows: list[dict], i: int, j: int) -> np.ndarray:
     return upper if i == j else upper & (own[:, None] != own[None, :])
 
 
-def residual_links(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between components inside the buckets that hold several; enough to connect all that link there."""
-    rooted = buckets.join(roots, buckets["row"] == roots["node"], "left").select(
-        "sig", "row", F.coalesce("root", "row").alias("root")
-    )
-    several = rooted.groupBy("sig").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.hash("row")).alias("y"), F.count("*").alias("size")
-    )
-    several = several.filter("low <> high").groupBy("x", "y", "size").agg(F.min("sig").alias("sig"))  # equal lists once
-    left = written(rooted.join(several.select("sig"), "sig"))
+def merges(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of the edges (a, b), those that join two components so far: a spanning forest."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        if (u := root(x)) != (v := root(y)):
+            parent[u] = v
+            out.append((x, y))
+    return out
+
+
+def bucket_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges between linked sets that share a bucket (sig, row, size); enough to connect all of them.
+
+    The sets of a bucket of over BLOCK_SETS are first compared with its first one, which joins most of a large family.
+    Buckets that then hold several components, directly or through others, are one group, so that a set is sent to its
+    group once and not with each of its buckets; there it is compared, in blocks, with the sets of other components.
+    """
+    large = buckets.filter(F.col("size") > BLOCK_SETS).select("sig", "row")
+    stars = materialised(star_links(large, sets, percent))
+    roots = measured(materialised(components(stars, materialised).withColumnRenamed("node", "row")))
+    rooted = buckets.select("sig", "row").join(roots, "row", "left").select("sig", "row", F.coalesce("root", "row").alias("root"))
+    heads = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("row").alias("first"))
+    heads = materialised(heads.filter("low <> high").select("sig", "first"))
+    edges = rooted.join(heads, "sig").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
+    members = components(edges, materialised).select(F.col("root").alias("group"), F.col("node").alias("row"))
+    members = members.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
 
     def run(batches):
-        for (_, i, j), rows in runs(batches, ["sig", "i", "j"]):
+        for (_, i, j), rows in runs(batches, ["group", "i", "j"]):
             found = [tokens_of(r["tokens"]) for r in rows]
             n = np.array([len(x) for x in found])
             root = np.array([r["root"] for r in rows])
@@ -413,10 +497,10 @@ def residual_links(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percen
             if near.any():
                 near &= linked(overlaps(found), n[:, None], n[None, :], percent)
                 a, b = np.nonzero(near)
-                ends = np.unique(np.column_stack((root[a], root[b])), axis=0).tolist()
-                yield pairs_frame(ends)
+                yield pairs_frame(merges(root[a], root[b]))
 
-    return in_pair_blocks(left, sets, "sig", "root").mapInArrow(run, "a long, b long")
+    links = in_pair_blocks(materialised(members), sets, "group", "root").mapInArrow(run, "a long, b long")
+    return links.unionByName(stars)
 
 
 def link_counts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -455,21 +539,17 @@ def jaccard_join(
     found = shared.groupBy("row").agg(F.collect_list(F.struct("place", "token")).alias("found"))  # at most the set itself
     need = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     narrow = sets.filter("counted is not null").select("row", "doc_id", "key", "n", "n_counted", "tail")
+    first = narrow.groupBy("key").agg(F.min("row").alias("row"))  # equal sets of several tasks once
+    narrow = narrow.join(first.select("row"), "row", "left_semi")
     open_ = narrow.join(found, "row", "left").withColumn("alone", F.col("n_counted") - F.coalesce(F.size("found"), F.lit(0)))
     live = materialised(open_.filter(F.col("alone") < need))
-    first = live.groupBy("key").agg(F.min("row").alias("row"))
-    live = live.join(first.select("row"), "row", "left_semi")
-    buckets = signatures(live.select("row", "n", "alone", "tail", "found"), percent)
-    buckets = materialised(buckets.distinct())
-    several = buckets.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = materialised(buckets.join(several.select("sig"), "sig", "left_semi"))
-    live = live.join(buckets.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "key")
-    live = materialised(live)
+    signed = materialised(signatures(live.select("row", "n", "alone", "tail", "found"), percent).distinct())
+    sizes = signed.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = materialised(signed.join(sizes, "sig"))
+    live = materialised(live.join(buckets.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "key"))
     full = full_sets(documents, live, width)
-    stars = written(star_links(buckets, full, percent))
-    roots = components(stars)
-    more = written(residual_links(buckets, full, roots, percent))
-    roots = materialised(components(stars.unionByName(more)))
+    edges = materialised(bucket_links(buckets, full, percent))
+    roots = components(edges, materialised)
     per_key = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     classes = materialised(per_key.join(live.select("key", "row"), "key", "left"))
     met = classes.filter("row is not null").select("key", "row", "copies", "least")
