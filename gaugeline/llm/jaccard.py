@@ -479,13 +479,15 @@ def bucket_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     large = buckets.filter(F.col("size") > BLOCK_SETS).select("sig", "row")
     stars = materialised(star_links(large, sets, percent))
-    roots = measured(materialised(components(stars, materialised).withColumnRenamed("node", "row")))
-    rooted = buckets.select("sig", "row").join(roots, "row", "left").select("sig", "row", F.coalesce("root", "row").alias("root"))
+    roots = components(stars, materialised).withColumnRenamed("node", "row")
+    roots = sets.select("row").join(roots, "row", "left").select("row", F.coalesce("root", "row").alias("root"))
+    roots = measured(materialised(roots))
+    rooted = buckets.select("sig", "row").join(roots, "row")
     heads = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("row").alias("first"))
     heads = materialised(heads.filter("low <> high").select("sig", "first"))
     edges = rooted.join(heads, "sig").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
     members = components(edges, materialised).select(F.col("root").alias("group"), F.col("node").alias("row"))
-    members = members.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    members = members.join(roots, "row")
 
     def run(batches):
         for (_, i, j), rows in runs(batches, ["group", "i", "j"]):
