@@ -1,20 +1,24 @@
 """Run-to-run consistency: the mean pairwise Jaccard of matched ground-truth sets.
 
-Equal sets are folded into one row with a count first. The distinct sets of a (codebase, condition) are dealt into tiles by
-hash; for each pair of tiles a task holds one as a bit matrix and streams the other past it, counting all intersections
-at once, and gives back a single partial sum. No pair of sets is ever a row, no id is a key, and the way is the same at
-any size; a set is sent once for each tile there is, of 65,536 sets unless their ids are very many.
+Equal sets are folded into one row with a count first. Sets of up to ``SMALL`` ids are never compared: two sets of a and b
+ids that share s have s / (a + b - s) = sum over j of C(s, j) / C(a + b - 1, j), and C(s, j) counts the sets of j ids that both
+hold, so their Jaccards are added up from the number of sets of each size that hold each set of ids, in work that grows with
+the sets. The others are dealt into tiles by hash, and small ones into tiles beside them; for each pair of tiles with a large
+one a task holds it as a bit matrix and streams the other past it, counting all intersections at once, and gives back a
+single partial sum. No pair of sets is ever a row; a set is sent once for each tile it meets, of 65,536 sets unless their ids
+are very many.
 """
 
 from __future__ import annotations
 
 import sys
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.joins import broadcast_if_small
@@ -27,6 +31,7 @@ KEYS = ["codebase_id", "condition_id"]
 TILE = 1 << 16  # sets
 TILE_BITS = 1 << 29  # of a tile's matrix, 64 MB
 CELLS = 1 << 20  # intersections counted at once
+SMALL = 6  # ids of a set that is compared by its subsets, of which there are 2 ** SMALL at most
 
 
 def matched_sets(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> DataFrame:
@@ -156,13 +161,58 @@ def tile_sizes(sets: DataFrame, tile: int = TILE) -> DataFrame:
     return counts.select(*KEYS, "n", F.ceil(F.col("sets") / most).cast("int").alias("tiles"))
 
 
+def beside_tiles(large: DataFrame, small: DataFrame, sizes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pairs of a tile i of large sets (side 0) and a tile j of small ones, which are numbered after the large ones."""
+    counts = small.groupBy(*KEYS).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("more"))
+    deals = broadcast_if_small(sizes.join(counts, KEYS).select(*KEYS, "tiles", "more"))
+
+    def own(count: str) -> Column:
+        return F.pmod(F.xxhash64("ids"), F.col(count)).cast("int")
+
+    after = F.explode(F.sequence(F.col("tiles"), F.col("tiles") + F.col("more") - 1))
+    held = large.join(deals, KEYS).withColumn("j", after).withColumn("i", own("tiles")).withColumn("side", F.lit(0))
+    before = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    past = small.join(deals, KEYS).withColumn("i", before).withColumn("j", F.col("tiles") + own("more")).withColumn("side", F.lit(1))
+    columns = [*KEYS, "i", "j", "side", "ids", "m"]
+    return held.select(*columns).unionByName(past.select(*columns))
+
+
+def small_totals(sets: DataFrame, most: int) -> DataFrame:
+    """Sum of the Jaccards of all pairs of runs whose sets have up to ``most`` ids, per (codebase, condition)."""
+    none = F.array(F.array().cast(sets.schema["ids"].dataType))
+    subsets = F.aggregate("ids", none, lambda found, x: F.concat(found, F.transform(found, lambda part: F.array_append(part, x))))
+    parts = sets.select(*KEYS, F.explode(subsets).alias("part"), F.size("ids").alias("size"), F.col("m").cast("double").alias("m"))
+    holders = [F.sum(F.when(F.col("size") == a, F.col("m")).otherwise(0.0)).alias(f"n{a}") for a in range(1, most + 1)]
+    counts = parts.filter(F.size("part") > 0).groupBy(*KEYS, "part").agg(*holders)
+
+    def pairs(a: int, b: int) -> Column:
+        return F.col(f"n{a}") * (F.col(f"n{a}") - 1) / 2 if a == b else F.col(f"n{a}") * F.col(f"n{b}")
+
+    def share(both: int) -> Column:
+        values = [1 / comb(both - 1, j) if j < both else 0.0 for j in range(1, most + 1)]
+        return F.element_at(F.array(*[F.lit(x) for x in values]), F.size("part"))
+
+    found = {(a, b): pairs(a, b) for a in range(1, most + 1) for b in range(a, most + 1)}
+    total = sum((n * share(a + b) for (a, b), n in found.items()), F.lit(0.0))
+    return counts.groupBy(*KEYS).agg(F.sum(total).alias("total"))
+
+
 def consistency_jaccard(runs: DataFrame, labels: DataFrame, gt: DataFrame, tile: int = TILE) -> DataFrame:
     """Mean pairwise Jaccard per (codebase, condition); two empty sets agree fully, fewer than two runs give null."""
     sets = cut_lineage(matched_sets(runs, labels, gt))
-    sizes = cut_lineage(tile_sizes(sets, tile))
-    kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
-    keys = ", ".join(f"{k} {kinds[k]}" for k in KEYS)
-    pairs = in_tiles(sets, sizes).repartition(*KEYS, "i", "j").sortWithinPartitions(*KEYS, "i", "j", "side")
-    sums = pairs.mapInArrow(tile_totals, f"{keys}, total double").groupBy(*KEYS).agg(F.sum("total").alias("total"))
+    n = F.col("m").cast("double")
+    empty = F.sum(F.when(F.size("ids") == 0, n).otherwise(0.0))
+    counts = sets.groupBy(*KEYS).agg(F.sum(n).alias("n"), (empty * (empty - 1) / 2).alias("total"))
+    few = sets.filter(F.size("ids").between(1, SMALL))
+    parts = counts.select(*KEYS, "total").unionByName(small_totals(few, SMALL))
+    many = sets.filter(F.size("ids") > SMALL)
+    if not many.isEmpty():
+        sizes = cut_lineage(tile_sizes(many, tile).select(*KEYS, "tiles"))
+        kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
+        keys = ", ".join(f"{k} {kinds[k]}" for k in KEYS)
+        dealt = in_tiles(many, sizes).unionByName(beside_tiles(many, few, sizes, tile))
+        pairs = dealt.repartition(*KEYS, "i", "j").sortWithinPartitions(*KEYS, "i", "j", "side")
+        parts = parts.unionByName(pairs.mapInArrow(tile_totals, f"{keys}, total double"))
+    sums = parts.groupBy(*KEYS).agg(F.sum("total").alias("total"))
     mean = F.when(F.col("n") >= 2, F.coalesce("total", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1) / 2))
-    return sizes.join(sums, KEYS, "left").select(*KEYS, mean.alias("consistency"))
+    return counts.drop("total").join(sums, KEYS, "left").select(*KEYS, mean.alias("consistency"))

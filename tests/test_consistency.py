@@ -76,3 +76,24 @@ def test_wide_tiles_shrink(rows, monkeypatch):
     monkeypatch.setattr(consistency, "TILE_BITS", 640)
     sets = rows([("cb", "c", [str(i)], 1) for i in range(64)], "codebase_id string, condition_id string, ids array<string>, m long")
     assert consistency.tile_sizes(sets).first().tiles == 7
+
+
+@pytest.mark.parametrize("small", [1, 2, 4, 6])
+def test_small_and_large_sets_meet(rows, monkeypatch, small):
+    monkeypatch.setattr(consistency, "SMALL", small)
+    rng = random.Random(small)
+    universe = [f"G{i}" for i in range(12)]
+    sets = [set(rng.sample(universe, rng.choice([0, 1, 1, 2, 3, 5, 6, 7, 9]))) for _ in range(60)] + [{"G1", "G2"}] * 9
+    groups = {"mixed": sets, "low": [s for s in sets if len(s) <= small], "high": [s for s in sets if len(s) > small]}
+    for limit in (7, 1024):
+        got = evaluate(rows, groups, limit)
+        assert got == {name: pytest.approx(brute_force(own), abs=1e-12) for name, own in groups.items()}
+
+
+def test_many_small_sets_are_not_compared(rows, monkeypatch):
+    def compared(batches):
+        raise AssertionError("sets of two ids need no tiles")
+
+    monkeypatch.setattr(consistency, "tile_totals", compared)
+    sets = [{f"G{i}", f"G{i // 2}"} for i in range(200)]
+    assert evaluate(rows, {"c": sets}, consistency.TILE) == {"c": pytest.approx(brute_force(sets), abs=1e-12)}
