@@ -309,3 +309,15 @@ def test_stale_classifications(rows):
     existing = rows([("a", "g", "s", "p"), ("b", "g", "old", "p"), ("c", "g", "s", None)], shape)
     assert {r.run_id for r in refresh.stale_classifications(current, existing).collect()} == {"b", "c", "d"}
     assert refresh.stale_classifications(current, existing, force=True).count() == 4
+
+
+def test_a_frequent_token_does_not_bring_sets_together(rows):
+    schema = "codebase_id string, run_id string, condition_id string, finding_index int, title string, reasoning string, root_cause string"
+    data = [("cb", f"r{i}", "c", i, f"Weak group g{i // 2}" + (" again" if i % 2 else ""), "r", f"k{i}") for i in range(120)]
+    state, _ = clustering.extend_clusters(None, rows(data[:80], schema))
+    state, _ = clustering.extend_clusters(state, rows(data[80:], schema))
+    assert state.filed.filter("token in ('again', 'weak', 'group')").isEmpty()
+    assert state.asked.join(state.filed.select("scope", "token"), ["scope", "token"]).count() == 240
+    roots = {r.node: r.root for r in state.roots.collect()}
+    pairs = {(roots[f"c:k{i}"], i // 2) for i in range(120)}
+    assert len(pairs) == len({a for a, _ in pairs}) == 60
