@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.functions.joins import broadcast_if_small
+from gaugeline.functions.joins import MAX_BROADCAST_BYTES, broadcast_if_small
 from gaugeline.operators.logs import tool_uses
 
 # Contract names too general to search for, and the shortest name worth searching.
@@ -35,8 +35,8 @@ def scoped_levels(clusters: DataFrame, scope: DataFrame, source_files: DataFrame
     return (
         clusters.select(*keys)
         .join(own, keys, "left")
-        .join(broadcast_if_small(listed), "codebase_id", "left")
-        .join(broadcast_if_small(present), "codebase_id", "left")
+        .join(broadcast_if_small(listed, MAX_BROADCAST_BYTES), "codebase_id", "left")
+        .join(broadcast_if_small(present, MAX_BROADCAST_BYTES), "codebase_id", "left")
         .select(*keys, level.alias("level"))
         .filter(F.col("level").isNotNull())
     )
@@ -61,7 +61,7 @@ def scoped_files(levels: DataFrame, clusters: DataFrame, scope: DataFrame, sourc
     Own files are listed per cluster. The scope list and the whole source are the same for all clusters of a codebase
     and listed once, with a null cluster_id, so the rows grow with clusters plus files.
     """
-    used = broadcast_if_small(levels.select("codebase_id", "level").distinct())
+    used = broadcast_if_small(levels.select("codebase_id", "level").distinct(), MAX_BROADCAST_BYTES)
     nobody = F.lit(None).cast(clusters.schema["cluster_id"].dataType).alias("cluster_id")
     shared = (
         _listed_files(scope, source_files)
@@ -94,7 +94,7 @@ def scoped_sizes(levels: DataFrame, files: DataFrame, source_files: DataFrame) -
     )
     own = levels.filter("level = 1").join(totals.filter("level = 1"), [*keys, "cluster_id"])
     shared = levels.filter("level > 1").join(
-        broadcast_if_small(totals.filter("level > 1").drop("cluster_id")), keys
+        broadcast_if_small(totals.filter("level > 1").drop("cluster_id"), MAX_BROADCAST_BYTES), keys
     )
     return (
         own.unionByName(shared)
@@ -162,7 +162,8 @@ def files_read(blocks: DataFrame, runs: DataFrame) -> DataFrame:
 
 def scope_compliance(reads: DataFrame, runs: DataFrame, scope: DataFrame) -> DataFrame:
     """Per run of a codebase with a scope list: files read in scope, out of scope and in total."""
-    listed = broadcast_if_small(scope.filter("in_scope").groupBy("codebase_id").agg(F.count("*").alias("in_scope_files")))
+    counted = scope.filter("in_scope").groupBy("codebase_id").agg(F.count("*").alias("in_scope_files"))
+    listed = broadcast_if_small(counted, MAX_BROADCAST_BYTES)
     marks = scope.groupBy("codebase_id", "path").agg(
         F.bool_or("in_scope").alias("is_in"), F.bool_or(~F.col("in_scope")).alias("is_out")
     )
