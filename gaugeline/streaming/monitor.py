@@ -1,8 +1,8 @@
 """Live monitoring of run events with Structured Streaming.
 
 Input streams hold run_id, seq, ts, raw (one JSON event per row, in order per run). Counting uses built-in streaming
-aggregates over time slices. Only what depends on order and time within a key runs in Python state: open agents (a map per
-part of a run, whose entries expire) and the life cycle of a run (fed by its few init and result events), by event time for
+aggregates over time slices. Only what depends on order and time within a key runs in Python state: open agents (maps whose
+entries expire, by hash of the call) and the life cycle of a run (fed by its few init and result events), by event time for
 logs that are read again and by the clock, with timers, for logs that are followed. All state ends: slices behind the
 watermark, returned or abandoned calls, and runs that are over.
 """
@@ -133,37 +133,51 @@ def run_done(progress: DataFrame, counters: DataFrame, agents: DataFrame) -> Dat
     )
 
 
-AGENT_KEYS = 16  # a run's calls are kept under so many keys, so a run of very many calls is not one task
+AGENT_KEYS = 1024  # the calls of all runs are kept under so many keys by hash: a run is not one task, nor a key a call
 AGENT_OUTPUT = "run_id long, tool_use_id string, is_open boolean, spawns long, returns long"
 
 
 class OpenCalls(StatefulProcessor):
-    """Open agent calls of a run (or of one of its AGENT_KEYS parts) as a map from call id to the time of its spawn.
+    """Open agent calls of one of AGENT_KEYS parts of all calls, as a map from run and call id to the time of the spawn.
 
     A spawn opens the call id, the next result closes it; results of closed ids do not count. A call that stays open
-    longer than the time to live is given up: the state store drops it, and a later result of it does not count.
+    longer than the time to live is given up: the state store drops it, and a later result of it does not count. The rows
+    of a batch are counted together; the state is asked only where it holds any calls.
     """
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getMapState("open", "tool_use_id string", "since_ms long", self.timeout_ms)
+        self.open = handle.getMapState("open", "run_id long, tool_use_id string", "since_ms long", self.timeout_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["seq", "pos"])
+        frame = pd.concat(list(rows)).sort_values(["run_id", "tool_use_id", "seq", "pos"])
         now = timerValues.getCurrentProcessingTimeInMs()
-        out = []
-        for call, own in frame.groupby("tool_use_id", sort=False):
-            spawn = own["is_spawn"].to_numpy(dtype=bool)
-            was_open = self.open.containsKey((call,))
-            open_before = np.concatenate(([was_open], spawn[:-1]))
-            if spawn[-1]:
-                self.open.updateValue((call,), (now,))
-            elif was_open:
-                self.open.removeKey((call,))
-            out.append((int(own["run_id"].iloc[0]), call, bool(spawn[-1]), int(spawn.sum()), int((~spawn & open_before).sum())))
-        yield pd.DataFrame(out, columns=["run_id", "tool_use_id", "is_open", "spawns", "returns"])
+        names = frame[["run_id", "tool_use_id"]]
+        first = (names != names.shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(first)
+        calls = [(int(run), call) for run, call in names.iloc[starts].itertuples(index=False)]
+        any_open = self.open.exists()
+        was_open = np.array([any_open and self.open.containsKey(call) for call in calls], dtype=bool)
+        spawn = frame["is_spawn"].to_numpy(dtype=bool)
+        open_before = np.concatenate(([False], spawn[:-1]))
+        open_before[starts] = was_open
+        is_open = spawn[np.append(starts[1:], len(spawn)) - 1]
+        for at in np.flatnonzero(is_open | was_open):
+            if is_open[at]:
+                self.open.updateValue(calls[at], (now,))
+            else:
+                self.open.removeKey(calls[at])
+        yield pd.DataFrame(
+            {
+                "run_id": [run for run, _ in calls],
+                "tool_use_id": [call for _, call in calls],
+                "is_open": is_open,
+                "spawns": np.add.reduceat(spawn.astype(np.int64), starts),
+                "returns": np.add.reduceat((~spawn & open_before).astype(np.int64), starts),
+            }
+        )
 
     def close(self) -> None:
         pass
@@ -185,8 +199,8 @@ def active_agents(events: DataFrame, timeout_ms: int = RUN_TIMEOUT_MS) -> DataFr
         "pos",
         spawn.alias("is_spawn"),
     )
-    part = F.pmod(F.xxhash64("tool_use_id"), F.lit(AGENT_KEYS)).cast("int").alias("part")
-    return relevant.select("*", part).groupBy("run_id", "part").transformWithStateInPandas(
+    part = F.pmod(F.xxhash64("run_id", "tool_use_id"), F.lit(AGENT_KEYS)).cast("int").alias("part")
+    return relevant.select("*", part).groupBy("part").transformWithStateInPandas(
         OpenCalls(timeout_ms), AGENT_OUTPUT, "Update", "ProcessingTime"
     )
 

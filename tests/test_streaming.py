@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 
 from gaugeline.operators import logs
@@ -212,3 +213,35 @@ def test_calls_that_stay_open_expire(spark, rows, tmp_path):
     finally:
         query.stop()
     assert (1, "b", False, 0) in found
+
+
+class Calls(dict):
+    """A map state that counts what it is asked."""
+
+    asked = 0
+
+    def exists(self):
+        return len(self) > 0
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self
+
+    updateValue, removeKey = dict.__setitem__, dict.__delitem__
+
+
+def test_calls_of_many_runs_share_a_key():
+    state, calls = monitor.OpenCalls(1), Calls()
+    state.open = calls
+    clock = type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: 5})()
+
+    def counted(*rows):
+        frame = pd.DataFrame(rows, columns=["run_id", "tool_use_id", "seq", "pos", "is_spawn"])
+        found = pd.concat(state.handleInputRows((0,), iter([frame[1:], frame[:1]]), clock))
+        return [tuple(r) for r in found.itertuples(index=False)]
+
+    first = counted((1, "a", 0, 0, False), (1, "a", 1, 0, True), (2, "a", 1, 0, True), (1, "b", 2, 0, True), (2, "a", 2, 1, True), (2, "a", 3, 0, False))
+    assert first == [(1, "a", True, 1, 0), (1, "b", True, 1, 0), (2, "a", False, 2, 1)]
+    assert calls.asked == 0 and set(calls) == {(1, "a"), (1, "b")}
+    assert counted((1, "a", 4, 0, False), (1, "a", 5, 0, False), (3, "a", 4, 0, False)) == [(1, "a", False, 0, 1), (3, "a", False, 0, 0)]
+    assert set(calls) == {(1, "b")} and calls.asked == 2
