@@ -3,7 +3,8 @@
 Equal sets are folded into one row with a count first. Sets of up to ``SMALL`` ids are never compared: two sets of a and b
 ids that share s have s / (a + b - s) = sum over j of C(s, j) / C(a + b - 1, j), and C(s, j) counts the sets of j ids that both
 hold, so their Jaccards are added up from the number of sets of each size that hold each set of ids, in work that grows with
-the sets. The others are dealt into tiles by hash, and small ones into tiles beside them; for each pair of tiles with a large
+the sets. Sets of up to ``LARGEST`` ids are added up the same way while all have 2 ** SMALL subsets at most on average, as
+where sets are small and a few are not. The others are dealt into tiles by hash, and small ones into tiles beside them; for each pair of tiles with a large
 one a task holds it as a bit matrix and streams the other past it, counting all intersections at once, and gives back a
 single partial sum. No pair of sets is ever a row; a set is sent once for each tile it meets, of 65,536 sets unless their ids
 are very many.
@@ -32,6 +33,7 @@ TILE = 1 << 16  # sets
 TILE_BITS = 1 << 29  # of a tile's matrix, 64 MB
 CELLS = 1 << 20  # intersections counted at once
 SMALL = 6  # ids of a set that is compared by its subsets, of which there are 2 ** SMALL at most
+LARGEST = 12  # ids of a set that may be compared by its subsets where most sets have fewer
 
 
 def matched_sets(runs: DataFrame, labels: DataFrame, gt: DataFrame) -> DataFrame:
@@ -197,15 +199,29 @@ def small_totals(sets: DataFrame, most: int) -> DataFrame:
     return counts.groupBy(*KEYS).agg(F.sum(total).alias("total"))
 
 
+def by_subsets(sets: DataFrame) -> int:
+    """The most ids of a set to compare by its subsets: SMALL, or up to LARGEST where that keeps 2 ** SMALL subsets a set."""
+    counts = sets.groupBy(F.size("ids").alias("size")).agg(F.count("*").alias("n")).filter(F.col("size").between(1, LARGEST))
+    found = {row["size"]: row["n"] for row in counts.collect()}
+    most = SMALL
+    for size in sorted(size for size in found if size > SMALL):
+        upto = {a: n for a, n in found.items() if a <= size}
+        if sum(n << a for a, n in upto.items()) > sum(upto.values()) << SMALL:
+            break
+        most = size
+    return most
+
+
 def consistency_jaccard(runs: DataFrame, labels: DataFrame, gt: DataFrame, tile: int = TILE) -> DataFrame:
     """Mean pairwise Jaccard per (codebase, condition); two empty sets agree fully, fewer than two runs give null."""
     sets = cut_lineage(matched_sets(runs, labels, gt))
     n = F.col("m").cast("double")
     empty = F.sum(F.when(F.size("ids") == 0, n).otherwise(0.0))
     counts = sets.groupBy(*KEYS).agg(F.sum(n).alias("n"), (empty * (empty - 1) / 2).alias("total"))
-    few = sets.filter(F.size("ids").between(1, SMALL))
-    parts = counts.select(*KEYS, "total").unionByName(small_totals(few, SMALL))
-    many = sets.filter(F.size("ids") > SMALL)
+    most = by_subsets(sets)
+    few = sets.filter(F.size("ids").between(1, most))
+    parts = counts.select(*KEYS, "total").unionByName(small_totals(few, most))
+    many = sets.filter(F.size("ids") > most)
     if not many.isEmpty():
         sizes = cut_lineage(tile_sizes(many, tile).select(*KEYS, "tiles"))
         kinds = {f.name: f.dataType.simpleString() for f in sets.schema}

@@ -97,3 +97,12 @@ def test_many_small_sets_are_not_compared(rows, monkeypatch):
     monkeypatch.setattr(consistency, "tile_totals", compared)
     sets = [{f"G{i}", f"G{i // 2}"} for i in range(200)]
     assert evaluate(rows, {"c": sets}, consistency.TILE) == {"c": pytest.approx(brute_force(sets), abs=1e-12)}
+
+
+def test_a_few_larger_sets_are_not_compared(rows, monkeypatch):
+    def compared(batches):
+        raise AssertionError("a few sets of up to 12 ids need no tiles")
+
+    monkeypatch.setattr(consistency, "tile_totals", compared)
+    sets = [{f"G{i}", f"G{i // 2}"} for i in range(200)] + [{f"G{i}" for i in range(at, at + 7 + at % 6)} for at in (0, 1, 5)]
+    assert evaluate(rows, {"c": sets}, consistency.TILE) == {"c": pytest.approx(brute_force(sets), abs=1e-12)}
