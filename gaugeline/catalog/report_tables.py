@@ -112,7 +112,8 @@ def ledger_fp(t):
 @register("f5_ledger", named(LEDGER, f"""
 select {SHOWN} from gt_rows union all select {SHOWN} from novel_rows union all select {SHOWN} from fp_rows"""))
 def whole_ledger(t):
-    labels, numbers = materialised(s.labels(t)), materialised(_numbers(t).select("run_id", "run_number"))
+    labels = materialised(s.labels(t).drop("reasoning", "agreement", "agreement_count", "position", "is_valid"))
+    numbers = materialised(_numbers(t).select("run_id", "run_number"))
     rows = ledger.ledger(_gt_rows(t, labels, numbers), _novel_rows(t, labels, numbers), _fp_rows(t, labels, numbers))
     return rows.select(*SHOWN_COLUMNS)
 

@@ -11,6 +11,8 @@ from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.functions.numbers import ratio
 from gaugeline.operators.metrics import CATEGORIES
 
+NO_LEVEL = -(1 << 62)  # below every agreement count
+
 
 def validate_vote_gt(votes: DataFrame, gt: DataFrame) -> DataFrame:
     """Votes that name an unknown ground-truth id turn into low-confidence FPs; a known id forces ``matched``."""
@@ -126,24 +128,21 @@ def dedup_gt_match(labels: DataFrame) -> DataFrame:
 
     Needs ``agreement_count``, ``agreement``, ``position`` (unique within a run, unlike a printed number) and
     ``reasoning``. A demoted row that led until a
-    later finding beat it carries its agreement in the text. Leaders are found from the earliest finding per
-    agreement level, so no run or ground-truth item is ever sorted as a whole.
+    later finding beat it carries its agreement in the text. Leaders are found over the matches of one item in one run;
+    labels that lie by run already are not moved, others are spread by run and item or, without a match, by position.
     """
-    group = ["run_id", "matched_gt_id"]
     contested = (F.col("category") == "matched") & F.col("matched_gt_id").isNotNull()
-    levels = (
-        labels.filter(contested)
-        .groupBy(*group, "agreement_count")
-        .agg(F.min("position").alias("position"))
-    )
-    higher = Window.partitionBy(*group).orderBy(F.desc("agreement_count"))
-    above = higher.rowsBetween(Window.unboundedPreceding, -1)
-    leaders = (
-        levels.withColumn("_above", F.min("position").over(above))
-        .filter(F.col("_above").isNull() | (F.col("position") < F.col("_above")))
-        .select(*group, "position", F.when(F.col("_above").isNull(), "winner").otherwise("led").alias("_standing"))
+    keyed = F.coalesce(contested, F.lit(False)) & F.col("run_id").isNotNull()
+    level = F.coalesce(F.col("agreement_count").cast("long"), F.lit(NO_LEVEL))
+    marked = labels.withColumns({"_keyed": keyed, "_level": level, "_alone": F.when(~keyed, F.col("position"))})
+    matches = Window.partitionBy("run_id", "matched_gt_id", "_alone").orderBy(F.desc("_level"))
+    place = F.when(F.col("_keyed"), F.col("position"))
+    first = F.min(place).over(matches.rangeBetween(Window.currentRow, Window.currentRow))
+    above = F.min(place).over(matches.rangeBetween(Window.unboundedPreceding, -1))
+    led_until = F.when(F.col("_above").isNull(), "winner").when(F.col("position") < F.col("_above"), "led")
+    joined = marked.withColumns({"_first": first, "_above": above}).withColumn(
+        "_standing", F.when(F.col("_keyed") & (F.col("position") == F.col("_first")), led_until)
     )
-    joined = labels.join(leaders, [*group, "position"], "left")
     demoted = contested & (F.coalesce("_standing", F.lit("")) != "winner")
     led = F.when(F.col("_standing") == "led", F.concat(F.lit(" ("), "agreement", F.lit(")"))).otherwise(F.lit(""))
     note = F.concat(

@@ -119,6 +119,27 @@ def test_three_matches_under_one_printed_number_keep_one(rows):
     assert got == {0: "uncertain", 1: "matched", 2: "uncertain"}
 
 
+def test_dedup_does_not_move_labels_that_lie_by_run(rows):
+    data = [(i // 6, i, "matched" if i % 2 else "novel", "H-01" if i % 2 else None, 1 + i % 3, f"{1 + i % 3}/3", "r") for i in range(60)]
+    frame = rows(data, "run_id int, position int, category string, matched_gt_id string, agreement_count int, agreement string, reasoning string")
+    plan = voting.dedup_gt_match(frame.repartition(4, "run_id"))._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_dedup_of_missing_keys_and_levels(rows):
+    data = [
+        (None, 0, "matched", "H-01", 3, "3/3", "r"), (1, 0, "matched", "H-01", None, None, "r"), (1, 1, "matched", "H-01", 1, "1/3", "r"),
+        (1, None, "matched", "H-01", 3, "3/3", "r"), (1, 3, None, "H-01", 3, "3/3", "r"), (2, 5, "matched", "H-01", None, None, "r"),
+        (2, 4, "matched", "H-01", None, None, "r"),
+    ]
+    frame = rows(data, "run_id int, position int, category string, matched_gt_id string, agreement_count int, agreement string, reasoning string")
+    got = {(r.run_id, r.position): (r.category, r.matched_gt_id) for r in voting.dedup_gt_match(frame).collect()}
+    lost = ("uncertain", None)
+    assert got == {
+        (None, 0): lost, (1, 0): lost, (1, 1): ("matched", "H-01"), (1, None): lost, (1, 3): (None, None), (2, 5): lost, (2, 4): ("matched", "H-01"),
+    }
+
+
 def test_vote_stability(votes):
     r = voting.vote_stability(votes, ["f"]).first()
     assert (r.findings, r.unstable) == (11, 7)
