@@ -87,7 +87,8 @@ def preflight(metas: DataFrame, texts: DataFrame, ground_truth: DataFrame) -> Da
     """Problems that would stop an analysis, as (file, reason) rows.
 
     ``metas`` holds file, valid_json, run_id, codebase_id, condition_id, exit_code; ``texts`` run_id, chars;
-    ``ground_truth`` file, valid_json, has_findings.
+    ``ground_truth`` file, valid_json, has_findings. Metadata is read once: a file that asks for no text meets the texts under
+    its own name, which finds none, so these files are spread too.
     """
     blank = F.lit("")
     named = (
@@ -95,7 +96,7 @@ def preflight(metas: DataFrame, texts: DataFrame, ground_truth: DataFrame) -> Da
         & (F.coalesce("codebase_id", blank) != "")
         & (F.coalesce("condition_id", blank) != "")
     )
-    usable = metas.filter(F.col("valid_json") & named & F.col("exit_code").isin(USABLE_EXIT_CODES))
+    usable = F.coalesce(F.col("valid_json") & named & F.col("exit_code").isin(USABLE_EXIT_CODES), F.lit(False))
     meta_reason = F.when(~F.col("valid_json"), "invalid JSON").when(
         ~named, "missing required fields (runId, codebaseId, or conditionId)"
     )
@@ -105,13 +106,18 @@ def preflight(metas: DataFrame, texts: DataFrame, ground_truth: DataFrame) -> Da
     gt_reason = F.when(~F.col("valid_json"), "invalid JSON").when(
         ~F.col("has_findings"), 'missing or invalid "findings" array'
     )
+    asks = F.when(usable, F.col("run_id")).otherwise(F.col("file"))
+    wanted = metas.select("file", "run_id", meta_reason.alias("meta_reason"), usable.alias("usable"), asks.alias("asks"))
+    found_texts = texts.select(F.col("run_id").alias("asks"), F.lit(True).alias("usable"), "chars")
+    answered = wanted.join(found_texts, ["asks", "usable"], "left")
+    text_file = F.concat("run_id", F.lit(".stdout.txt"))
     problems = [
-        metas.select("file", meta_reason.alias("reason")),
-        usable.select("run_id")
-        .join(texts.select("run_id", "chars"), "run_id", "left")
-        .select(F.concat("run_id", F.lit(".stdout.txt")).alias("file"), text_reason.alias("reason")),
+        answered.select(
+            F.when(F.col("usable"), text_file).otherwise(F.col("file")).alias("file"),
+            F.when(F.col("usable"), text_reason).otherwise(F.col("meta_reason")).alias("reason"),
+        ),
         ground_truth.select(F.concat(F.lit("ground_truth/"), "file").alias("file"), gt_reason.alias("reason")),
-        metas.agg(F.count("*").alias("n")).select(
+        metas.select("file").limit(1).agg(F.count("*").alias("n")).select(
             F.lit("results").alias("file"), F.when(F.col("n") == 0, "no .meta.json files found").alias("reason")
         ),
     ]

@@ -4,6 +4,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gaugeline.operators import ledger, refresh
 from gaugeline.plans import report
 from gaugeline.sources import feed, files
@@ -207,3 +209,26 @@ def test_scope_and_source_files(spark, tmp_path):
     scope = files.parse_scope(files.read_files(spark, root, "*scope.txt", recursive=True))
     assert {(r.codebase_id, r.path, r.in_scope) for r in scope.collect()} == {
         ("demo", "src/A.sol", True), ("demo", "src/mock/Mocker.sol", False)}
+
+
+def test_preflight_reads_each_metadata_file_once(spark, rows):
+    calls = spark.sparkContext.accumulator(0)
+
+    def checked(file):
+        calls.add(1)
+        return file != "bad.meta.json"
+
+    listed = [("bad.meta.json", "r0", "cb", "c", 0), ("gone.meta.json", "r1", "cb", "c", 0), ("empty.meta.json", "r2", "cb", "c", 143)]
+    listed += [("ok.meta.json", "r3", "cb", "c", 0), ("failed.meta.json", "r4", "cb", "c", 1), ("none.meta.json", None, "cb", "c", 0)]
+    listed += [("open.meta.json", "r5", "cb", "c", None), ("r3", "r6", "cb", "c", 1)]
+    frame = rows(listed, "file string, run_id string, codebase_id string, condition_id string, exit_code int")
+    metas = frame.withColumn("valid_json", F.udf(checked, "boolean")("file"))
+    texts = rows([("r2", 0), ("r3", 0), ("r3", 9), ("r4", 0), (None, 0)], "run_id string, chars int")
+    truth = rows([("g.json", True, True)], "file string, valid_json boolean, has_findings boolean")
+    got = sorted((r.file, r.reason) for r in refresh.preflight(metas, texts, truth).collect())
+    assert got == [
+        ("bad.meta.json", "invalid JSON"), ("none.meta.json", "missing required fields (runId, codebaseId, or conditionId)"),
+        ("r1.stdout.txt", "missing (meta says exit 0 but no stdout file)"), ("r2.stdout.txt", "empty file (0 bytes)"),
+        ("r3.stdout.txt", "empty file (0 bytes)"),
+    ]
+    assert calls.value == len(listed)
