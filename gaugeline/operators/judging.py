@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.joins import broadcast_if_small
 from gaugeline.functions.ordering import numbered
+from gaugeline.session import materialised
 
 # Findings per clustering request, attempts, and failures worth another attempt.
 FULL_CHUNK = 15
@@ -64,8 +65,11 @@ def classify_requests(findings: DataFrame, contexts: DataFrame, gt: DataFrame, v
 
 
 def chunked(inputs: DataFrame, size: int) -> DataFrame:
-    """Cluster inputs with their chunk and their 1-based place in it, in (run, finding) order per codebase."""
-    order = numbered(inputs, ["codebase_id"], ["run_id", "finding_index"], "_number")
+    """Cluster inputs with their chunk and their 1-based place in it, in (run, finding) order per codebase.
+
+    They are written first, as the numbering reads them twice: for the borders of its slices and for the slices.
+    """
+    order = numbered(materialised(inputs), ["codebase_id"], ["run_id", "finding_index"], "_number")
     zero_based = F.col("_number") - 1
     return order.withColumns(
         {

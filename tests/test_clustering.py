@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gaugeline.operators import clustering, judging, matching, refresh
 
 INPUT = "codebase_id string, run_id string, condition_id string, finding_index int, title string, reasoning string"
@@ -321,3 +323,17 @@ def test_a_frequent_token_does_not_bring_sets_together(rows):
     roots = {r.node: r.root for r in state.roots.collect()}
     pairs = {(roots[f"c:k{i}"], i // 2) for i in range(120)}
     assert len(pairs) == len({a for a, _ in pairs}) == 60
+
+
+def test_chunks_read_their_inputs_once(spark, rows):
+    calls = spark.sparkContext.accumulator(0)
+
+    def read(title):
+        calls.add(1)
+        return title
+
+    data = [("cb", i // 3, "c", i, f"t{i}", "r") for i in range(23)]
+    inputs = rows(data, "codebase_id string, run_id int, condition_id string, finding_index int, title string, reasoning string")
+    got = judging.chunked(inputs.withColumn("title", F.udf(read, "string")("title")), 5).collect()
+    assert {(r.title, r.chunk_no, r.member_index) for r in got} == {(f"t{i}", i // 5, i % 5 + 1) for i in range(23)}
+    assert calls.value == 23
