@@ -9,7 +9,6 @@ from gaugeline.catalog.registry import Registry, rounded
 from gaugeline.functions import text
 from gaugeline.operators import extraction
 from gaugeline.plans import standins as s
-from gaugeline.session import cut_lineage
 
 register = Registry()
 
@@ -137,9 +136,8 @@ select u.run_id, coalesce(p.last,-1)+block_no, coalesce(p.n,0)+block_no, 'Recove
 from r_unmatched u left join r_parsed p using (run_id) where block_no<=10""")
 def recovered_findings(t):
     """Every unmatched block answered as one recovered finding."""
-    reports = s.reports(t)
-    findings = cut_lineage(extraction.extract_findings(reports))
-    answers = extraction.unmatched_blocks(reports, findings).select(
+    findings, blocks = extraction.findings_and_blocks(s.reports(t))
+    answers = blocks.select(
         "run_id",
         (F.col("block_no") - 1).alias("position"),
         F.concat(F.lit("Recovered: "), F.split("snippet", "\n")[0]).alias("title"),
