@@ -19,19 +19,29 @@ def title_words(title: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(plain, " "), lambda word: word != "")))
 
 
-def prefixes(sets: DataFrame, frequencies: DataFrame, theta: float) -> DataFrame:
-    """The rarest tokens of each set: two sets with Jaccard >= theta share at least one of them.
+def prefix_length(size: Column, theta: float) -> Column:
+    """How many of its rarest tokens a set of that size keeps: two sets with Jaccard >= theta share at least one of them."""
+    return size - F.ceil(size * F.lit(theta) - F.lit(1e-9)).cast("int") + 1
 
-    A set of n tokens keeps its first n - ceil(theta * n) + 1 tokens in the order of rising frequency, which is n here.
-    """
-    keep = F.size("t") - F.ceil(F.size("t") * F.lit(theta) - F.lit(1e-9)).cast("int") + 1
+
+def rarest(sets: DataFrame, frequencies: DataFrame, theta: float) -> DataFrame:
+    """Each set with its prefix for ``theta`` as ``rare``: its first tokens (n, token) in the order of rising frequency, which
+    is n here. The prefix for a larger share is the start of it."""
     tokens = sets.select("scope", "words", F.explode("words").alias("token")).join(
         frequencies, ["scope", "token"], "left"
     )
     return (
         tokens.groupBy("scope", "words")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("t"))
-        .select("scope", "words", F.explode(F.slice("t", F.lit(1), keep)).alias("f"))
+        .select("scope", "words", F.slice("t", F.lit(1), prefix_length(F.size("t"), theta)).alias("rare"))
+    )
+
+
+def prefixes(sets: DataFrame, frequencies: DataFrame, theta: float) -> DataFrame:
+    """The rarest tokens of each set, a row for each: two sets with Jaccard >= theta share at least one of them."""
+    return (
+        rarest(sets, frequencies, theta)
+        .select("scope", "words", F.explode("rare").alias("f"))
         .select("scope", "words", F.col("f.token").alias("token"), F.col("f.n").alias("n"))
     )
 

@@ -52,6 +52,43 @@ def test_connected_keys(rows, shape):
     assert got == {n: want[n] for n in touched}
 
 
+def test_all_rounds_of_components_write_a_few_times_the_edges(rows, monkeypatch):
+    """A chain of 400 nodes in a shuffled order: the rows of a round fall, whatever the number of rounds."""
+    written, real = [], clustering.materialised
+
+    def counted(frame):
+        frame = real(frame)
+        written.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(clustering, "materialised", counted)
+    order = [f"n{i:03d}" for i in range(400)]
+    random.Random(5).shuffle(order)
+    edges = [("s", a, b) for a, b in zip(order, order[1:])] + [("s", "n003", "n003"), ("s", None, "n004"), (None, "x", "y")]
+    found = clustering.connected_keys(rows(edges, "scope string, a string, b string")).collect()
+    assert sorted(r.node for r in found) == sorted(order) and {(r.scope, r.root) for r in found} == {("s", "n000")}
+    assert sum(written) <= 6 * 400
+
+
+def test_findings_move_once_to_their_cluster(rows):
+    data = [finding(f"r{i}", 1, f"Weak group g{i // 2}") + (f"c{i // 3}",) for i in range(12)]
+    _, members = clustering.cluster_findings(rows(data, CAUSED))
+    plan = members._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(codebase_id" in line]
+    assert len(moved) <= 2 and not any("root" in line for line in moved)
+    assert len({r.cluster_id for r in members.collect()}) == 2
+
+
+def test_findings_without_cause_link_titles_only(rows):
+    titles = {"r1": "a b c d e", "r2": "a b c d e f", "r3": "b c d e f", "r4": None}
+    cause = {"r1": "x", "r2": None, "r3": "z", "r4": "w"}
+    data = [finding(run, 1, title) + (cause[run],) for run, title in titles.items()] + [(None, "r5", "c1", 1, "a b c d e", "why", "v")]
+    clusters, members = clustering.cluster_findings(rows(data, CAUSED))
+    cluster = {r.run_id: r.cluster_id for r in members.collect()}
+    assert set(cluster) == {"r1", "r3", "r4"} and cluster["r1"] == cluster["r3"] != cluster["r4"]
+    assert clusters.count() == 3
+
+
 def test_full_clustering_joins_by_cause_or_title(rows):
     data = [
         finding("r1", 1, "Reentrancy in exit") + ("pool::exit::reentrancy",),
