@@ -19,7 +19,7 @@ from gaugeline.operators import clustering, metrics, refresh
 from gaugeline.plans import refresh as refresh_plan
 from gaugeline.plans import report
 from gaugeline.plans import standins as s
-from gaugeline.session import ensure_checkpoint_dir, materialised
+from gaugeline.session import Scratch, ensure_checkpoint_dir, materialised
 from gaugeline.sources import feed, files
 
 register = Registry()
@@ -239,10 +239,8 @@ def report_counts_sql(oracles: dict[str, str]) -> str:
     return "\nunion all ".join(parts)
 
 
-def _stand_in(t, changed):
+def _stand_in(t, own, runs, changed):
     """The stand-in results and judges of a refresh; ``changed`` names runs whose text differs from the usual one."""
-    labels = materialised(s.labels(t))
-    runs = materialised(metrics.invalid_runs(s.runs_counted(t)))
     text = F.concat(F.lit("text of "), F.col("run_id").cast("string"), F.when(changed, " before").otherwise(""))
     hashes = runs.select("run_id", "codebase_id", F.lit("gt").alias("gt_hash"), refresh.content_hash(text).alias("stdout_hash"))
     part = F.regexp_extract("title", "([0-9]+)$", 1).cast("long")
@@ -252,7 +250,7 @@ def _stand_in(t, changed):
         return s.clusters(t, named), s.members(t, named)
 
     judges = refresh_plan.Judges(
-        classify=lambda findings, gt: labels.join(findings.select("run_id").distinct(), "run_id", "left_semi"),
+        classify=lambda findings, gt: s.labels(t, own.table(findings.select("run_id").distinct())),
         cluster=cluster,
         validate=lambda clusters, members: s.verdicts_of(clusters),
         prompt_hash="p", cluster_model="m", validator_model="m",
@@ -272,9 +270,11 @@ def refresh_tables(t):
     ensure_checkpoint_dir(t.spark)
     folder = f"{t.spark.sparkContext.getCheckpointDir()}/refreshed-{uuid.uuid4().hex}"
     oldest = t.orders.agg(F.min("o_orderkey")).first()[0]
-    for changed in (F.col("run_id") == oldest, F.lit(False)):
-        current, judges = _stand_in(t, changed)
-        done = refresh_plan.refresh(t.spark, folder, current, judges, tables=("conditions",))
+    with Scratch(t.spark) as own:
+        runs = own.table(metrics.invalid_runs(s.runs_counted(t)))
+        for changed in (F.col("run_id") == oldest, F.lit(False)):
+            current, judges = _stand_in(t, own, runs, changed)
+            done = refresh_plan.refresh(t.spark, folder, current, judges, tables=("conditions",))
     written = feed.read_log(t.spark, folder).filter(f"version = {done.version} and `table` = 'conditions' and kind = 'rows'")
     rows = feed.read_report_table(t.spark, folder, "conditions").withColumn("part", feed.part_of(F.col("codebase_id")))
     flagged = rows.join(written.select("part", F.lit(True).alias("rewritten")), "part", "left").na.fill(False, ["rewritten"])

@@ -6,7 +6,7 @@ group, its text comes in pages of ``PAGE`` run numbers, and a cell whose hits al
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,10 +78,15 @@ def _spread(rows: DataFrame, conditions: DataFrame, cells: DataFrame, row: Seque
 LEDGER_COLUMNS = ["codebase_id", "row_id", "title", "condition_id", "page", "cell", "status", "sort_key", "gt_id"]
 
 
-def ledger_gt(gt: DataFrame, runs: DataFrame, labels: DataFrame, numbers: DataFrame) -> DataFrame:
+Written = Callable[[DataFrame], DataFrame]  # writes a frame that is read several times and continues from the table
+
+
+def ledger_gt(
+    gt: DataFrame, runs: DataFrame, labels: DataFrame, numbers: DataFrame, written: Written = materialised
+) -> DataFrame:
     """Ground-truth rows: which valid runs matched each item."""
     valid = runs.filter("is_valid").select("run_id")
-    hits = materialised(
+    hits = written(
         labels.filter(F.col("matched_gt_id").isNotNull())
         .select("codebase_id", "condition_id", "run_id", F.col("matched_gt_id").alias("gt_id"))
         .distinct()
@@ -112,10 +117,15 @@ def last_verdicts(verdicts: DataFrame) -> DataFrame:
 
 
 def ledger_novel(
-    clusters: DataFrame, members: DataFrame, verdicts: DataFrame, runs: DataFrame, numbers: DataFrame
+    clusters: DataFrame,
+    members: DataFrame,
+    verdicts: DataFrame,
+    runs: DataFrame,
+    numbers: DataFrame,
+    written: Written = materialised,
 ) -> DataFrame:
     """Cluster rows: distinct runs per condition, invalid runs included, runs outside the view dropped."""
-    hits = materialised(
+    hits = written(
         members.select("codebase_id", "cluster_id", "condition_id", "run_id")
         .distinct()
         .join(numbers.select("run_id", "run_number"), "run_id")
@@ -148,10 +158,10 @@ def ledger_novel(
     )
 
 
-def ledger_fp(runs: DataFrame, labels: DataFrame, numbers: DataFrame) -> DataFrame:
+def ledger_fp(runs: DataFrame, labels: DataFrame, numbers: DataFrame, written: Written = materialised) -> DataFrame:
     """False-positive rows by exact title; a title repeated within a run counts each time."""
     valid = runs.filter("is_valid").select("run_id")
-    hits = materialised(
+    hits = written(
         labels.filter("category = 'fp'")
         .groupBy("codebase_id", "title", "condition_id", "run_id")
         .agg(F.count("*").alias("repeats"))

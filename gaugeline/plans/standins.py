@@ -85,9 +85,13 @@ def _finding_index() -> Column:
     return (F.col("l_partkey") * 1_000_000_000 + cents) * 8 + F.col("l_linenumber")
 
 
-def findings(t: Tables) -> DataFrame:
-    """All findings of all runs."""
-    return spread(t.lineitem, "l_orderkey").join(runs(t), F.col("l_orderkey") == F.col("run_id")).select(
+def findings(t: Tables, judged: DataFrame | None = None) -> DataFrame:
+    """All findings of all runs, or of the runs in ``judged`` (run_id), whose join then deals them out."""
+    if judged is None:
+        items = spread(t.lineitem, "l_orderkey")
+    else:
+        items = t.lineitem.join(judged.select(F.col("run_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return items.join(runs(t), F.col("l_orderkey") == F.col("run_id")).select(
         "run_id",
         _finding_index().alias("finding_index"),
         "codebase_id",
@@ -112,10 +116,10 @@ def runs_counted(t: Tables) -> DataFrame:
     return runs(t).join(finding_counts(t), "run_id", "left").na.fill(0, ["findings_count"])
 
 
-def raw_labels(t: Tables) -> DataFrame:
-    """Labels before match deduplication, for classified runs; every sixth item is never matched."""
+def raw_labels(t: Tables, judged: DataFrame | None = None) -> DataFrame:
+    """Labels before match deduplication, for classified runs (those in ``judged``); every sixth item is never matched."""
     items = ground_truth(t).select("codebase_id", F.col("gt_id").alias("supplier_id"), F.lit(True).alias("_known"))
-    joined = findings(t).filter("is_classified").join(items, ["codebase_id", "supplier_id"], "left")
+    joined = findings(t, judged).filter("is_classified").join(items, ["codebase_id", "supplier_id"], "left")
     matched = (F.col("l_returnflag") == "R") & F.col("_known") & (F.col("supplier_id") % 6 != 5)
     category = (
         F.when(matched, "matched")
@@ -141,9 +145,9 @@ def raw_labels(t: Tables) -> DataFrame:
     )
 
 
-def labels(t: Tables) -> DataFrame:
-    """Labels after match deduplication."""
-    return dedup_gt_match(raw_labels(t))
+def labels(t: Tables, judged: DataFrame | None = None) -> DataFrame:
+    """Labels after match deduplication, which looks at one run each, so ``judged`` may name the runs."""
+    return dedup_gt_match(raw_labels(t, judged))
 
 
 def wide_runs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:

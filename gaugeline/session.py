@@ -71,6 +71,53 @@ def materialised(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """The disk of one piece of work: ``with Scratch(spark) as own`` removes the tables of ``own.table`` at the end.
+
+    Until then, shuffle files of the session go with the query that wrote them instead of waiting for the driver to collect
+    its garbage. A frame that is run twice is right all the same, as Spark writes them again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.cleanup = spark, {}, None
+
+    def __enter__(self) -> Scratch:
+        self.cleanup = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        return self
+
+    def __exit__(self, *failure) -> None:
+        if self.cleanup is None:
+            self.spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            self.spark.conf.set(SHUFFLE_CLEANUP, self.cleanup)
+        for path in self.paths.values():
+            self._remove(path)
+        self.paths = {}
+
+    def table(self, frame: DataFrame) -> DataFrame:
+        """As ``materialised``, until the work is over."""
+        ensure_checkpoint_dir(self.spark)
+        path = f"{self.spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        self.paths[None] = path  # also one whose write fails is removed
+        frame.write.option("compression", "zstd").parquet(path)
+        written = self.spark.read.schema(frame.schema).parquet(path)
+        self.paths[written] = self.paths.pop(None)
+        return written
+
+    def drop(self, table: DataFrame) -> None:
+        """Remove a table before the end; nothing may read it any more."""
+        self._remove(self.paths.pop(table))
+
+    def _remove(self, path: str) -> None:
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write the frame to the shared checkpoint folder and continue from the written copy."""
     ensure_checkpoint_dir(frame.sparkSession)

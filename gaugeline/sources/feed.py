@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -53,23 +54,41 @@ def last_version(spark: SparkSession, folder: str) -> int:
     return read_log(spark, folder).agg(F.max("version")).first()[0] or 0
 
 
-def commit(spark: SparkSession, folder: str, changes: dict[str, tuple[DataFrame, DataFrame | None]]) -> int:
+def new_write() -> str:
+    """The id of a write that is to be committed."""
+    return uuid.uuid4().hex
+
+
+def store(spark: SparkSession, folder: str, write_id: str, name: str, table: DataFrame) -> DataFrame:
+    """Write a table's data before its commit and continue from there, so what is needed for other tables is written once."""
+    parted = table.withColumn("feed_part", part_of(F.col("codebase_id")) if has_codebases(table) else F.lit(ALL))
+    path = f"{folder.rstrip('/')}/{name}/feed_write={write_id}"
+    parted.write.partitionBy("feed_part").option("compression", "zstd").parquet(path)
+    return spark.read.schema(parted.schema).parquet(path).select(*table.columns)
+
+
+def commit(
+    spark: SparkSession,
+    folder: str,
+    changes: dict[str, tuple[DataFrame, DataFrame | None]],
+    write_id: str | None = None,
+    stored: Collection[str] = (),
+) -> int:
     """Write tables as the feed's next version and return its number.
 
     ``changes`` gives by name a table and the codebases (codebase_id) whose rows it replaces, also where it has none left for
     them; without codebases, or without a codebase column, it replaces the whole table. Rows keep their order within a
-    codebase.
+    codebase. Tables named in ``stored`` were written under ``write_id`` by ``store`` and are not written again.
     """
-    folder, write_id = folder.rstrip("/"), uuid.uuid4().hex
+    folder, write_id = folder.rstrip("/"), write_id or new_write()
     log = []
     for name, (table, codebases) in changes.items():
         split = has_codebases(table)
-        parted = table.withColumn("feed_part", part_of(F.col("codebase_id")) if split else F.lit(ALL))
-        path = f"{folder}/{name}/feed_write={write_id}"
-        parted.write.partitionBy("feed_part").parquet(path)
+        if name not in stored:
+            store(spark, folder, write_id, name, table)
         schema = F.lit(table.schema.json())
         table_name = F.lit(name).alias("table")
-        rows = spark.read.schema("feed_part string").parquet(path).select("feed_part").distinct()
+        rows = spark.read.schema("feed_part string").parquet(f"{folder}/{name}/feed_write={write_id}").select("feed_part").distinct()
         log.append(rows.select(table_name, F.col("feed_part").alias("part"), F.lit("rows").alias("kind"), schema.alias("schema")))
         if codebases is None or not split:
             ended = spark.range(1).select(table_name, F.lit(ALL).alias("part"), F.lit("whole").alias("kind"), schema.alias("schema"))

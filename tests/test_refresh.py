@@ -1,13 +1,17 @@
 """Versions of the feed, and refreshes that judge and write only what is stale."""
 
+import time
 from dataclasses import replace
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.operators import clustering
-from gaugeline.plans import report
+from gaugeline.plans import report, standins
 from gaugeline.plans.refresh import Current, Judges, refresh
+from gaugeline.session import SHUFFLE_CLEANUP, Scratch, ensure_checkpoint_dir
 from gaugeline.sources import feed
 
 
@@ -168,3 +172,77 @@ def test_another_ground_truth_or_model(spark, rows, tmp_path):
     assert refresh(spark, folder, now, judges(log, "m2"), FEW).version == done.version
     stale = refresh(spark, folder, now, replace(judges(log, "m2"), prompt_hash="p2"), FEW)
     assert (stale.runs_judged, stale.codebases_clustered) == (6, 0)
+
+
+# --- what stays on disk ------------------------------------------------------------------------------------------
+
+
+def scratch_tables(spark):
+    ensure_checkpoint_dir(spark)
+    return {p.name for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("table-*")}
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+
+def one_cluster(inputs):
+    named = inputs.select("*", F.lit("c1").alias("cluster_id"))
+    texts = [F.lit(x).alias(x) for x in ("title", "reasoning", "severity")]
+    return named.select("codebase_id", "cluster_id", *texts).distinct(), named.select(*clustering.MEMBER)
+
+
+def test_a_refresh_leaves_nothing_on_disk_but_the_feed(spark, rows, tmp_path):
+    folder, before, setting = str(tmp_path / "feed"), scratch_tables(spark), spark.conf.get(SHUFFLE_CLEANUP, None)
+    plain = replace(judges({}), cluster=one_cluster)
+    done = refresh(spark, folder, current(rows), plain, ("conditions",))
+    assert done.version == 1 and scratch_tables(spark) == before
+    assert len(list((tmp_path / "feed" / "labels").glob("feed_write=*"))) == 1
+
+    def fails(clusters, members):
+        raise ValueError("lost")
+
+    with pytest.raises(ValueError, match="lost"):
+        refresh(spark, folder, current(rows), replace(plain, validate=fails), ("conditions",), force=True)
+    assert scratch_tables(spark) == before and feed.last_version(spark, folder) == 1
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    before = shuffle_files(spark)
+    with Scratch(spark) as own:
+        counted = own.table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        grouped = counted.repartition(3, "k").groupBy("count").count()
+        assert (grouped.count(), grouped.count(), counted.count()) == (2, 2, 7)
+        until = time.time() + 20
+        while shuffle_files(spark) - before and time.time() < until:
+            time.sleep(0.2)
+        assert not shuffle_files(spark) - before
+        own.drop(counted)
+
+
+def test_stored_tables_are_committed_without_a_second_write(spark, rows, tmp_path):
+    good, write_id = rows([("a", 1), (None, 2)], "codebase_id string, n int"), feed.new_write()
+    stored = feed.store(spark, str(tmp_path), write_id, "t", good)
+    assert not feed.has_table(spark, str(tmp_path), "t") and stored.columns == ["codebase_id", "n"]
+    assert feed.commit(spark, str(tmp_path), {"t": (stored, None), "u": (stored, None)}, write_id, ["t"]) == 1
+    assert table(spark, tmp_path, "t") == table(spark, tmp_path, "u") == [("a", 1), (None, 2)]
+
+
+def test_labels_of_some_runs_are_those_of_all(spark, rows):
+    items = [(run, part, part % 2, part, 10.0 + part, "R" if part % 3 else "N", "F") for run in range(1, 9) for part in range(1, 7)]
+    t = SimpleNamespace(
+        nation=rows([(0, 0), (1, 4), (2, None)], "n_nationkey int, n_regionkey int"),
+        customer=rows([(c, c % 3) for c in range(4)], "c_custkey long, c_nationkey int"),
+        supplier=rows([(0, "S0", 0), (1, "S1", 0)], "s_suppkey long, s_name string, s_nationkey int"),
+        orders=rows([(run, run % 4, "F", 9.0, "2026-01-01", "1-URGENT") for run in range(1, 9)],
+                    "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"),
+        lineitem=rows(items + items[:3], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+                                         "l_returnflag string, l_linestatus string"),
+    )
+    asked = rows([(1,), (3,), (4,), (8,), (99,), (None,)], "run_id long")
+    every = standins.labels(t).join(asked, "run_id", "left_semi").select(*standins.labels(t).columns)
+    some = standins.labels(t, asked)
+    assert every.count() == 27 and some.columns == every.columns
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, every.collect()))
